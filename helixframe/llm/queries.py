@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op02_toxicity, op03_token_counts, op04_language, op05_url_filter, op06_warc_zip, op08_token_files
+from . import op01_embedding_dedup, op02_toxicity, op03_token_counts, op04_language, op05_url_filter, op06_warc_zip, op07_ngram_join, op08_token_files
 from . import op10_bpe as bpe
 from .common import learn_bucket, stored, table, work_dir
 
@@ -24,6 +24,10 @@ URL_RULES = [
 ]
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op01_embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out documents (crc32 mod 5 = 0) are never learnt from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -117,6 +121,10 @@ FROM f
 """
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op07_ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return op08_token_files.token_files(spark, docs, VOCABULARY, VOCAB_SIZE, END_ID)
@@ -126,5 +134,22 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY)
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_token_counts, op4_language, op5_url_filter, op6_warc_zip, op8_token_files, op10_bpe)}
-SQL = {"op3_token_counts": OP3_SQL, "op5_url_filter": OP5_SQL, "op6_warc_zip": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_token_counts, op4_language, op5_url_filter, op6_warc_zip, op7_ngram_join, op8_token_files, op10_bpe)}
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, least(e.vec_id, coalesce(m.m, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(m.m, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON e.vec_id = n.a
+LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) m ON e.vec_id = m.a
+"""
+
+SQL = {"op1_embedding_dedup": OP1_SQL, "op3_token_counts": OP3_SQL, "op5_url_filter": OP5_SQL, "op6_warc_zip": OP6_SQL}
