@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op01_embedding_dedup, op02_toxicity, op03_token_counts, op04_language, op05_url_filter, op06_warc_zip, op07_ngram_join, op08_token_files
+from . import op01_embedding_dedup, op02_toxicity, op03_token_counts, op04_language, op05_url_filter, op06_warc_zip, op07_ngram_join, op08_token_files, op09_decontaminate
 from . import op10_bpe as bpe
 from .common import learn_bucket, stored, table, work_dir
 
@@ -130,11 +130,15 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op08_token_files.token_files(spark, docs, VOCABULARY, VOCAB_SIZE, END_ID)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op09_decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_token_counts, op4_language, op5_url_filter, op6_warc_zip, op7_ngram_join, op8_token_files, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_token_counts, op4_language, op5_url_filter, op6_warc_zip, op7_ngram_join, op8_token_files, op9_decontaminate, op10_bpe)}
 OP1_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
@@ -152,4 +156,4 @@ FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON
 LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) m ON e.vec_id = m.a
 """
 
-SQL = {"op1_embedding_dedup": OP1_SQL, "op3_token_counts": OP3_SQL, "op5_url_filter": OP5_SQL, "op6_warc_zip": OP6_SQL}
+SQL = {"op1_embedding_dedup": OP1_SQL, "op3_token_counts": OP3_SQL, "op5_url_filter": OP5_SQL, "op6_warc_zip": OP6_SQL, "op9_decontaminate": op09_decontaminate.oracle()}
