@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import io
 import os
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import open_fs, stored, text_slices, white_split, work_dir
-from .op10_bpe import PieceTable
+from .op10_bpe import _PIECES, WORD_END, PieceTable, _normal
 
 MAGIC = b"HXTOKS01"
 _FOOTER = np.dtype([("ids", "<u8"), ("index", "<u8"), ("width", "<u4"), ("pad", "<u4"), ("magic", "S8")])
@@ -173,26 +174,73 @@ class ShardReader:
 _LIBRARY: dict[str, tuple] = {}
 
 
+class LibraryWords:
+    """Ids of words, each encoded by the tokenizers library once while the table holds it.
+
+    Unknown words are handed to the library many at a time, spaced in one text; the ids are cut behind tokens that end
+    a word.
+    """
+
+    def __init__(self, path: str, max_words: int = 500_000, joined: int = 64):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
+        self.known: dict[str, list[int]] = {}
+        self.max_words, self.joined = max_words, joined
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> None:
+        if len(self.known) > self.max_words:
+            self.known.clear()
+        groups = [words[i : i + self.joined] for i in range(0, len(words), self.joined)]
+        for group, ids in zip(groups, self.encode([" ".join(g) for g in groups]), strict=True):
+            cuts = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            if len(cuts) == len(group):
+                self.known.update(zip(group, (ids[a:z] for a, z in zip([0, *cuts], cuts, strict=False)), strict=True))
+            else:  # not words of this family: one by one
+                self.known.update(zip(group, self.encode(group), strict=True))
+
+    def pieces(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of normalised white-space pieces."""
+        split = [_PIECES.findall(p) for p in pieces]
+        unknown = {w for x in split for w in x} - self.known.keys()
+        self.learn(list(unknown))
+        known = self.known
+        return [known[x[0]] if len(x) == 1 else [i for w in x for i in known[w]] for x in split]
+
+
+def _split(text: str) -> tuple[list[str], bool]:
+    """White-space pieces, normalised where that surely leaves the library's ids as they are."""
+    low = _normal(text)
+    plain = "<|" not in low and unicodedata.is_normalized("NFC", low)
+    return white_split(low if plain else text), plain
+
+
 def library_encoder(path: str):
-    """From a list of texts to (ids, bounds): every distinct white-space piece goes through the tokenizers library once per worker.
+    """From a list of texts to (ids, bounds): every distinct word goes through the tokenizers library, once while it is remembered.
 
     Fit for vocabularies whose pre-tokens do not cross white space and whose white space makes no tokens.
     """
     if path not in _LIBRARY:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        _LIBRARY[path] = LibraryWords(path), PieceTable(None)
+    words, known = _LIBRARY[path]
 
-        _LIBRARY[path] = Tokenizer.from_file(path), PieceTable(None)
-    tokenizer, known = _LIBRARY[path]
+    def learn(new: set) -> None:
+        plain_new, raw_new = [p for p in new if isinstance(p, str)], [p for p in new if not isinstance(p, str)]
+        for p, ids in zip(plain_new, words.pieces(plain_new), strict=True):
+            known.add(p, ids)
+        for p, ids in zip(raw_new, words.encode([p[0] for p in raw_new]), strict=True):
+            known.add(p, ids)
 
     def run(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        pieces = [white_split(t) for t in texts]
-        if len(known) > known.max_pieces:
-            known.reset()
-        new = [p for p in {p for x in pieces for p in x} if p not in known]
-        for p, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known.add(p, e.ids)
-        return known.encode_all(pieces)
+        # pieces of texts that can't be normalised beforehand have keys of their own
+        return known.encode_all([x if plain else [(p,) for p in x] for x, plain in map(_split, texts)], learn)
 
     return run
 

@@ -217,12 +217,20 @@ class PieceTable(dict):
         self.ids.extend(ids)
         self.ends.append(len(self.ids))
 
-    def encode_all(self, pieces: list[list]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and each text's bounds."""
-        if self.encode is not None and len(self) > self.max_pieces:
+    def encode_all(self, pieces: list[list], learn=None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and each text's bounds. learn, if given, adds a set of unknown pieces at once."""
+        if len(self) > self.max_pieces:
             self.reset()
         flat = [p for x in pieces for p in x]
-        rows = np.fromiter(map(self.__getitem__, flat), np.int64, len(flat))
+        if learn is None:
+            rows = np.fromiter(map(self.__getitem__, flat), np.int64, len(flat))
+        else:
+            found = list(map(self.get, flat))
+            holes = [i for i, r in enumerate(found) if r is None]
+            learn({flat[i] for i in holes})
+            for i in holes:
+                found[i] = self[flat[i]]
+            rows = np.array(found, np.int64)
         store = Offsets(np.frombuffer(self.ids, np.uint32) if len(self.ids) else np.zeros(0, np.uint32), np.frombuffer(self.ends, np.int64).copy())
         ids, ends = store.take(rows)
         return ids, ends[np.concatenate(([0], np.cumsum([len(x) for x in pieces], dtype=np.int64)))]
