@@ -1 +1,6 @@
+"""Registered queries over the shared tables."""
 
+from . import core
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "core"]
