@@ -1,6 +1,6 @@
 """Registered queries over the shared tables."""
 
-from . import core
+from . import analytics, core
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "core"]
+__all__ = ["QUERIES", "SQL", "analytics", "core"]
