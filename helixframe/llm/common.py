@@ -64,7 +64,7 @@ def arrow_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sc
     return df.mapInArrow(run, schema)
 
 
-def with_text_columns(df: DataFrame, text: str, make: Callable[[], Callable[[list], list]], fields: list[T.StructField], max_chars: int = 2_000_000) -> DataFrame:
+def with_text_columns(df: DataFrame, text: str, make: Callable[[], Callable[[list], list]], fields: list[T.StructField], max_chars: int = 1_000_000) -> DataFrame:
     """df with columns computed from its text column in Arrow batches.
 
     make() is called once per task and returns a function from a list of texts (None stays None) to one list per field.
@@ -105,6 +105,25 @@ def text_slices(texts: list, max_chars: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+#: Tables that a Python worker keeps between tasks: name -> how to empty them.
+_TABLES: dict[str, Callable[[], None]] = {}
+_in_use = ""
+
+
+def keep_table(name: str, clear: Callable[[], None]) -> None:
+    _TABLES[name] = clear
+
+
+def use_table(name: str) -> None:
+    """Before a task uses a kept table, those of other operators are emptied: a reused worker holds one at a time."""
+    global _in_use
+    if _in_use != name:
+        for other, clear in _TABLES.items():
+            if other != name:
+                clear()
+        _in_use = name
+
+
 #: Characters that Python's str.split() takes for white space and Unicode's White_Space property does not.
 _NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 _SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_text_columns
+from .common import keep_table, use_table, with_text_columns
 
 _WORD = re.compile(r"[^\W_]+")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -58,17 +58,19 @@ class WordHashes(dict):
     """Word -> 64-bit hash; emptied when large."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
 _HASHES = WordHashes()
+keep_table("words", _HASHES.clear)
 
 
 def features(texts: list, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Feature slots of all texts, and each slot's text number; a slot may repeat within a text."""
+    use_table("words")
     words = [_WORD.findall(t.lower()) if t else [] for t in texts]
     n = np.array([len(w) for w in words], np.int64)
     h = np.fromiter(map(_HASHES.__getitem__, (w for x in words for w in x)), np.uint64, int(n.sum()))
@@ -130,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params(), key: str
     def make():
         return lambda texts: [[x.astype(np.int32) for x in distinct_features([t or "" for t in texts], p.bits)]]
 
-    ready = with_text_columns(rows, "_text", make, [T.StructField("_slots", T.ArrayType(T.IntegerType()))], max_chars=1_000_000).drop("_text")
+    ready = with_text_columns(rows, "_text", make, [T.StructField("_slots", T.ArrayType(T.IntegerType()))], max_chars=500_000).drop("_text")
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort([xxhash.xxh3_64_intdigest(str(k)) for k in pdf["_key"]], kind="stable")
@@ -173,4 +175,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score",
 
         return run
 
-    return with_text_columns(docs, text, make, [T.StructField(out, T.DoubleType()), T.StructField(flag, T.IntegerType())], max_chars=1_000_000)
+    return with_text_columns(docs, text, make, [T.StructField(out, T.DoubleType()), T.StructField(flag, T.IntegerType())], max_chars=500_000)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import blocked_links, components
-from .common import stored, text_slices
+from .common import stored, text_slices, use_table
 from .op02_toxicity import _HASHES, _WORD
 
 
@@ -39,6 +39,7 @@ class Params:
     recall: float = 0.9998
     z: float = 4.5
     block: int = 128
+    bitmap_bits: int = 26
     seed: int = 7_001
 
     @property
@@ -54,6 +55,7 @@ class Params:
 
 def ngram_hashes(texts: list, n: int) -> list[np.ndarray]:
     """The sorted distinct 64-bit n-gram hashes of each text."""
+    use_table("words")
     words = [_WORD.findall(t.lower()) if t else [] for t in texts]
     count = np.array([len(w) for w in words], np.int64)
     h = np.fromiter(map(_HASHES.__getitem__, (w for x in words for w in x)), np.uint64, int(count.sum()))
@@ -124,17 +126,35 @@ def sketches(docs: DataFrame, p: Params, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, SKETCH)
 
 
-def _sets(texts: DataFrame, p: Params) -> DataFrame:
-    """(id, weight, t) to (id, weight, size, grams): the full n-gram sets."""
+def key_bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """One bit per hash of a key: 2**bits bits, whatever the number of keys. Built by all tasks; the driver gets at most 2**bits / 64 words."""
+    at = F.pmod(F.xxhash64("k"), F.lit(1 << bits))
+    words = keys.select(F.shiftright(at, 6).cast("int").alias("word"), (at % 64).cast("int").alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _sets(docs: DataFrame, keys: DataFrame, p: Params) -> DataFrame:
+    """(k, grams): the full n-gram sets of documents (k, t) whose key is among the keys, and of few others.
+
+    The scan itself leaves out texts whose key's bit isn't set, so neither their texts nor their sets are shuffled;
+    the exact choice is the caller's join. When very many keys have filled the bitmap it only saves less.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(key_bitmap(keys, p.bitmap_bits))
+    size = 1 << p.bitmap_bits
 
     def run(batches):
+        bitmap = shared.value
         for b in batches:
+            at = b.column(1).to_numpy() % size
+            chosen = np.flatnonzero((bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
+            b = b.take(pa.array(chosen))
             texts = b.column(2).to_pylist()
             for a, z in text_slices(texts, 400_000):
-                sets = ngram_hashes(texts[a:z], p.n)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "weight", "grams"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array([s.tobytes() for s in ngram_hashes(texts[a:z], p.n)], pa.binary())], ["k", "grams"])
 
-    return texts.mapInArrow(run, "id long, weight long, grams binary")
+    return docs.where("k is not null").select("k", F.xxhash64("k").alias("h"), "t").mapInArrow(run, "k long, grams binary")
 
 
 def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, step: int = 4096) -> np.ndarray:
@@ -190,8 +210,11 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), key: str = "doc_
     groups = components(near.select(F.col("id").alias("a"), F.col("root").alias("b")), "candidate-groups")
     members = stored(groups.select(F.col("component").alias("key"), F.col("node").alias("id")).unionAll(groups.select(F.col("component").alias("key"), F.col("component").alias("id"))).distinct(), "members")
     # one text per class that has candidates
-    chosen = stored(classes.select("id", "weight", "least").join(members.select("id"), "id"), "chosen")
-    grams = stored(_sets(docs.join(chosen.withColumnRenamed("least", "k"), "k").select("id", "weight", "t").dropDuplicates(["id"]), p), "ngram-sets")
+    chosen = stored(classes.select("id", "weight", "size", "least").join(members.select("id"), "id"), "chosen")
+    chosen = chosen.withColumnRenamed("least", "k")
+    # rows that repeat a key have sets of their own: the class's set is the one that its sketch was made from
+    grams = _sets(docs, chosen.select("k"), p).join(chosen, "k").where(F.octet_length("grams") == F.col("size") * 8)
+    grams = stored(grams.select("id", "weight", "grams").dropDuplicates(["id"]), "ngram-sets")
 
     def verify(b: pa.RecordBatch, left: np.ndarray, right: np.ndarray):
         sets = [np.frombuffer(x, np.uint64) for x in b.column(6).to_pylist()]

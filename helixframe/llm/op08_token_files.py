@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import open_fs, stored, text_slices, white_split, work_dir
+from .common import keep_table, open_fs, stored, text_slices, use_table, white_split, work_dir
 from .op10_bpe import _PIECES, WORD_END, PieceTable, _normal
 
 MAGIC = b"HXTOKS01"
@@ -172,6 +172,7 @@ class ShardReader:
 # ---- encoding with the tokenizers library ------------------------------------------------------------------------
 
 _LIBRARY: dict[str, tuple] = {}
+keep_table("library", _LIBRARY.clear)
 
 
 class LibraryWords:
@@ -181,7 +182,7 @@ class LibraryWords:
     a word.
     """
 
-    def __init__(self, path: str, max_words: int = 500_000, joined: int = 64):
+    def __init__(self, path: str, max_words: int = 250_000, joined: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -227,6 +228,7 @@ def library_encoder(path: str):
 
     Fit for vocabularies whose pre-tokens do not cross white space and whose white space makes no tokens.
     """
+    use_table("library")
     if path not in _LIBRARY:
         _LIBRARY[path] = LibraryWords(path), PieceTable(None)
     words, known = _LIBRARY[path]
@@ -262,7 +264,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, vocab_size: int, end_id:
         encode, out, uri, shard = library_encoder(vocabulary), None, "", TaskContext.get().partitionId()
         for b in batches:
             keys, texts = key_codes(b.column(0).to_pylist()), b.column(1).to_pylist()
-            for a, z in text_slices(texts, 2_000_000):
+            for a, z in text_slices(texts, 1_000_000):
                 if out is None:
                     uri = f"{path}/shard-{shard:06d}-{uuid.uuid4().hex}.tok"
                     out = ShardWriter(uri, width)

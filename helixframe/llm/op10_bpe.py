@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Offsets, white_split, with_text_columns
+from .common import Offsets, keep_table, use_table, white_split, with_text_columns
 
 #: Fixed values of this tokenizer family: pieces of text that are merged separately, and the mark of a word's end.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -91,7 +91,7 @@ class BacktrackingBpe:
         """Would merging the text of a and b give a, b? Undo merges from the latest back; a merge across the seam that comes earlier breaks the pair."""
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 250_000:
                 self.pairs.clear()
             known = self.pairs[a, b] = self._seam_holds(a, b)
         return known
@@ -199,7 +199,7 @@ def _normal(text: str) -> str:
 class PieceTable(dict):
     """Piece -> row of a flat id store; misses are encoded, and the table is emptied when it holds max_pieces."""
 
-    def __init__(self, encode, max_pieces: int = 700_000):
+    def __init__(self, encode, max_pieces: int = 350_000):
         super().__init__()
         self.encode, self.max_pieces = encode, max_pieces
         self.ids, self.ends = array("I"), array("q", [0])
@@ -237,10 +237,12 @@ class PieceTable(dict):
 
 
 _ENCODERS: dict[str, tuple[BacktrackingBpe, PieceTable]] = {}
+keep_table("bpe", _ENCODERS.clear)
 
 
 def encoder(path: str) -> tuple[BacktrackingBpe, PieceTable]:
     """The encoder of a vocabulary file and its piece table, once per Python worker."""
+    use_table("bpe")
     if path not in _ENCODERS:
         bpe = BacktrackingBpe(path)
         _ENCODERS[path] = bpe, PieceTable(bpe.encode_piece)
@@ -290,4 +292,4 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, text: str = "text") ->
         return run
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return with_text_columns(docs, text, make, fields).drop(text)
+    return with_text_columns(docs, text, make, fields, max_chars=500_000).drop(text)
