@@ -81,6 +81,12 @@ def to_triples(df: DataFrame, graph: str, key: str = "iri", kind: str | None = N
     def cell(column: str, value: Column) -> Column:
         return F.struct(F.lit(names.get(column, column)).alias("p"), value.cast("string").alias("o"), F.lit("literal" if column in literals else "iri").alias("o_kind"))
 
+    def of_struct(c: str):
+        return lambda x: cell(c, x["iri"])
+
+    def of_value(c: str):
+        return lambda x: cell(c, x)
+
     if kind is not None:
         cells.append(F.struct(F.lit("rdf:type").alias("p"), F.lit(kind).alias("o"), F.lit("iri").alias("o_kind")))
     arrays = []
@@ -91,10 +97,10 @@ def to_triples(df: DataFrame, graph: str, key: str = "iri", kind: str | None = N
             cells.append(cell(c, F.col(f"`{c}`.iri")))
             parts.append(to_triples(df.where(F.col(c).isNotNull()).select(f"`{c}`.*"), graph, "iri", None, literals, names))
         elif isinstance(t, T.ArrayType) and isinstance(t.elementType, T.StructType):
-            arrays.append(F.transform(F.col(c), lambda x, c=c: cell(c, x["iri"])))
+            arrays.append(F.transform(F.col(c), of_struct(c)))
             parts.append(to_triples(df.select(F.explode(c).alias("x")).select("x.*"), graph, "iri", None, literals, names))
         elif isinstance(t, T.ArrayType):
-            arrays.append(F.transform(F.col(c), lambda x, c=c: cell(c, x)))
+            arrays.append(F.transform(F.col(c), of_value(c)))
         else:
             cells.append(cell(c, F.col(c)))
     empty = F.array().cast("array<struct<p:string,o:string,o_kind:string>>")
