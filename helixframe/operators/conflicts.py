@@ -34,11 +34,17 @@ def contained_pairs(left: DataFrame, right: DataFrame, share: float, strict: boo
     on = on or []
     lm, lg = gene_groups(left, by=on)
     rm, rg = gene_groups(right, by=on)
-    flat = lg.select("group", "n", *on, F.explode("genes").alias("gene"))
-    other = rg.select(F.col("group").alias("other"), *on, F.explode("genes").alias("gene"))
-    counted = flat.join(other, ["gene", *on]).groupBy("group", "other").agg(F.first("n").alias("n"), F.count("*").alias("shared"))
-    missing = F.col("n") - F.col("shared")
-    ok = counted.where(missing / F.col("n") < share) if strict else counted.where(missing <= share * F.col("n"))
+    # A right set that lacks at most m of n genes has one of any m + 1 of them: the rarest m + 1 make the fewest candidates.
+    right_flat = rg.select(F.col("group").alias("other"), *on, F.explode("genes").alias("gene"))
+    often = right_flat.groupBy("gene", *on).agg(F.count("*").alias("often"))
+    flat = lg.select("group", "n", "genes", *on, F.explode("genes").alias("gene")).join(often, ["gene", *on], "left")
+    m = F.ceil(F.col("n") * share - 1e-9) - 1 if strict else F.floor(F.col("n") * share + 1e-9)
+    ranked = flat.groupBy("group", "n", "genes", *on).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gene"))).alias("rare"))
+    keys = ranked.withColumn("gene", F.explode(F.slice("rare", F.lit(1), F.greatest(m, F.lit(0)).cast("int") + 1)["gene"]))
+    met = keys.join(right_flat, ["gene", *on]).select("group", "other", "n", "genes").dropDuplicates(["group", "other"])
+    met = met.join(rg.select(F.col("group").alias("other"), F.col("genes").alias("others")), "other")
+    missing = F.size(F.array_except("genes", "others"))
+    ok = met.where(missing / F.col("n") < share) if strict else met.where(missing <= share * F.col("n"))
     return (
         ok.select("group", "other").join(lm.select("assertion", "group"), "group")
         .join(rm.select(F.col("assertion").alias("other_assertion"), F.col("group").alias("other")), "other")
