@@ -157,6 +157,8 @@ def score_texts(model: Model, texts: list, dense: np.ndarray) -> np.ndarray:
     has = np.flatnonzero(w)
     both = np.unique(of[has] << model.bits | slots[has])
     total = np.bincount(both >> model.bits, weights=dense[both & ((1 << model.bits) - 1)], minlength=len(texts))
+    if model.intercept == -math.inf:
+        return np.zeros(len(texts))
     return 1 / (1 + np.exp(-np.clip(model.intercept + total, -700, 700)))
 
 

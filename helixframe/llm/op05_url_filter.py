@@ -148,7 +148,7 @@ def judge_by_join(urls: DataFrame, rules: DataFrame, key: str, url: str = "url",
 
     Distinct hosts and paths are probed once, so a hot url costs one candidate set. key: a column that identifies a row.
     """
-    parts = urls.select(F.col(key), F.col(url).alias("u")).withColumns({
+    parts = urls.select(F.col(key), F.coalesce(url, F.lit("")).alias("u")).withColumns({
         "host": F.translate(F.regexp_extract("u", r"://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"),
         "path": F.regexp_extract("u", r"://[^/?#]*([^?#]*)", 1),
     })

@@ -89,7 +89,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: Params = Params(
     small = items.count() <= p.max_broadcast
     hint = F.broadcast if small else (lambda df: df)
     # (explode_outer, as a plain explode would compute all of this once more in a filter)
-    found = windows(docs, key, text, p).select("k", "s.v", F.posexplode_outer("s.hs").alias("place", "h")).join(hint(items.select("h", "item", "at", "iv")), "h")
+    texts = windows(docs, key, text, p)
+    if small:
+        found = texts.select("k", "s.v", F.posexplode_outer("s.hs").alias("place", "h")).join(F.broadcast(items.select("h", "item", "at", "iv")), "h")
+    else:  # hashes alone are shuffled; the words of matched windows are fetched afterwards
+        hits = texts.select("k", F.posexplode_outer("s.hs").alias("place", "h")).where("h is not null").hint("merge").join(items.select("h", "item", "at", "iv"), "h")
+        same = F.xxhash64(F.slice("s.w", F.col("place") + 1, p.window)) == F.col("h")
+        found = texts.hint("merge").join(hits, "k").where(same).select("k", "s.v", "place", "item", "at", "iv").distinct()
     found = found.select("k", "item", "at", (F.col("place") - F.col("at")).alias("diagonal"), F.slice("v", F.col("place") + 1, p.window).alias("dv"), "iv")
     slots = F.filter(F.arrays_zip("iv", "dv"), lambda x: F.startswith(x["iv"], F.lit(MARK)))
     # an alignment has at most one row per window of the item
