@@ -197,8 +197,6 @@ class LibraryWords:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
-        if len(self.known) > self.max_words:
-            self.known.clear()
         groups = [words[i : i + self.joined] for i in range(0, len(words), self.joined)]
         for group, ids in zip(groups, self.encode([" ".join(g) for g in groups]), strict=True):
             cuts = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
@@ -209,6 +207,8 @@ class LibraryWords:
 
     def pieces(self, pieces: list[str]) -> list[list[int]]:
         """Ids of normalised white-space pieces."""
+        if len(self.known) > self.max_words:
+            self.known.clear()
         split = [_PIECES.findall(p) for p in pieces]
         unknown = {w for x in split for w in x} - self.known.keys()
         self.learn(list(unknown))
