@@ -1,6 +1,6 @@
 """Registered queries over the shared tables."""
 
-from . import analytics, core, reporting
+from . import analytics, core, further, reporting
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "analytics", "core", "reporting"]
+__all__ = ["QUERIES", "SQL", "analytics", "core", "further", "reporting"]
