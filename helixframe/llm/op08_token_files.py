@@ -171,18 +171,18 @@ class ShardReader:
 
 # ---- encoding with the tokenizers library ------------------------------------------------------------------------
 
-_LIBRARY: dict[str, tuple] = {}
+_LIBRARY: dict[str, LibraryWords] = {}
 keep_table("library", _LIBRARY.clear)
 
 
 class LibraryWords:
-    """Ids of words, each encoded by the tokenizers library once while the table holds it.
+    """Pieces and their words in one bounded table; every word is encoded by the tokenizers library once while the table holds it.
 
     Unknown words are handed to the library many at a time, spaced in one text; the ids are cut behind tokens that end
-    a word.
+    a word. A piece of several words is put together from theirs.
     """
 
-    def __init__(self, path: str, max_words: int = 250_000, joined: int = 64):
+    def __init__(self, path: str, max_pieces: int = 800_000, joined: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -190,30 +190,46 @@ class LibraryWords:
         vocab = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
-        self.known: dict[str, list[int]] = {}
-        self.max_words, self.joined = max_words, joined
+        self.known = PieceTable(None, max_pieces)
+        self.joined = joined
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
+    def _learn_words(self, words: list[str]) -> None:
         groups = [words[i : i + self.joined] for i in range(0, len(words), self.joined)]
         for group, ids in zip(groups, self.encode([" ".join(g) for g in groups]), strict=True):
             cuts = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
             if len(cuts) == len(group):
-                self.known.update(zip(group, (ids[a:z] for a, z in zip([0, *cuts], cuts, strict=False)), strict=True))
+                for w, a, z in zip(group, [0, *cuts], cuts, strict=False):
+                    self.known.add(w, ids[a:z])
             else:  # not words of this family: one by one
-                self.known.update(zip(group, self.encode(group), strict=True))
-
-    def pieces(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of normalised white-space pieces."""
-        if len(self.known) > self.max_words:
-            self.known.clear()
-        split = [_PIECES.findall(p) for p in pieces]
-        unknown = {w for x in split for w in x} - self.known.keys()
-        self.learn(list(unknown))
+                for w, own in zip(group, self.encode(group), strict=True):
+                    self.known.add(w, own)
+
+    def learn(self, new: set) -> None:
+        """Adds pieces: normalised text, or one-element tuples of text as it came."""
         known = self.known
-        return [known[x[0]] if len(x) == 1 else [i for w in x for i in known[w]] for x in split]
+        raw = [p for p in new if not isinstance(p, str)]
+        for p, ids in zip(raw, self.encode([p[0] for p in raw]), strict=True):
+            known.add(p, ids)
+        words, several = set(), []
+        for p in new:
+            if isinstance(p, str):
+                found = _PIECES.findall(p)
+                if len(found) == 1 and found[0] == p:
+                    words.add(p)
+                else:
+                    several.append((p, found))
+                    words.update(found)
+        self._learn_words(list(words.difference(known)))
+        ids, ends = known.ids, known.ends
+        for p, found in several:
+            if p not in known:
+                known.add(p, [i for w in found for i in ids[ends[known[w]] : ends[known[w] + 1]]])
+
+    def encode_all(self, pieces: list[list]) -> tuple[np.ndarray, np.ndarray]:
+        return self.known.encode_all(pieces, self.learn)
 
 
 def _split(text: str) -> tuple[list[str], bool]:
@@ -230,21 +246,10 @@ def library_encoder(path: str):
     """
     use_table("library")
     if path not in _LIBRARY:
-        _LIBRARY[path] = LibraryWords(path), PieceTable(None)
-    words, known = _LIBRARY[path]
-
-    def learn(new: set) -> None:
-        plain_new, raw_new = [p for p in new if isinstance(p, str)], [p for p in new if not isinstance(p, str)]
-        for p, ids in zip(plain_new, words.pieces(plain_new), strict=True):
-            known.add(p, ids)
-        for p, ids in zip(raw_new, words.encode([p[0] for p in raw_new]), strict=True):
-            known.add(p, ids)
-
-    def run(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        # pieces of texts that can't be normalised beforehand have keys of their own
-        return known.encode_all([x if plain else [(p,) for p in x] for x, plain in map(_split, texts)], learn)
-
-    return run
+        _LIBRARY[path] = LibraryWords(path)
+    words = _LIBRARY[path]
+    # pieces of texts that can't be normalised beforehand have keys of their own
+    return lambda texts: words.encode_all([x if plain else [(p,) for p in x] for x, plain in map(_split, texts)])
 
 
 # ---- Spark -------------------------------------------------------------------------------------------------------

@@ -21,6 +21,7 @@ import json
 import re
 import unicodedata
 from array import array
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -225,12 +226,11 @@ class PieceTable(dict):
         if learn is None:
             rows = np.fromiter(map(self.__getitem__, flat), np.int64, len(flat))
         else:
-            found = list(map(self.get, flat))
-            holes = [i for i, r in enumerate(found) if r is None]
-            learn({flat[i] for i in holes})
-            for i in holes:
-                found[i] = self[flat[i]]
-            rows = np.array(found, np.int64)
+            rows = np.fromiter(map(self.get, flat, repeat(-1)), np.int64, len(flat))
+            holes = np.flatnonzero(rows < 0)
+            missing = [flat[i] for i in holes.tolist()]
+            learn(set(missing))
+            rows[holes] = np.fromiter(map(self.__getitem__, missing), np.int64, len(missing))
         store = Offsets(np.frombuffer(self.ids, np.uint32) if len(self.ids) else np.zeros(0, np.uint32), np.frombuffer(self.ends, np.int64).copy())
         ids, ends = store.take(rows)
         return ids, ends[np.concatenate(([0], np.cumsum([len(x) for x in pieces], dtype=np.int64)))]
