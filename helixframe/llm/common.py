@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -121,6 +122,7 @@ def use_table(name: str) -> None:
         for other, clear in _TABLES.items():
             if other != name:
                 clear()
+        gc.collect()
         _in_use = name
 
 

@@ -58,7 +58,7 @@ class WordHashes(dict):
     """Word -> 64-bit hash; emptied when large."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 250_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -136,9 +136,14 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params(), key: str
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort([xxhash.xxh3_64_intdigest(str(k)) for k in pdf["_key"]], kind="stable")
-        slots = [np.asarray(pdf["_slots"].iloc[i], np.int64) for i in order]
-        common = np.bincount(np.concatenate(slots), minlength=1 << p.bits) >= min(p.min_rows, len(slots))
-        w0, w = ftrl([x[common[x]] for x in slots], pdf["_y"].to_numpy(float)[order], p)
+        labels, slots = pdf["_y"].to_numpy(float)[order], pdf["_slots"].to_numpy()[order]
+        count = np.zeros(1 << p.bits, np.int32)
+        for x in slots:
+            count[x] += 1  # a row's slots are distinct
+        common = count >= min(p.min_rows, len(slots))
+        for i, x in enumerate(slots):
+            slots[i] = x[common[x]]
+        w0, w = ftrl(slots, labels, p)
         found = np.flatnonzero(w)
         return pd.DataFrame({"slot": np.append(found, -1), "w": np.append(w[found], w0)})
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_text_columns
+from .common import use_table, with_text_columns
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -102,6 +102,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], params: Params = Pa
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def make():
+        use_table("dictionaries")  # none is kept; those of other operators are emptied
         judge = Classifier(shared.value, params).judge
 
         def run(texts):

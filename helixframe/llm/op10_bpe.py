@@ -92,7 +92,7 @@ class BacktrackingBpe:
         """Would merging the text of a and b give a, b? Undo merges from the latest back; a merge across the seam that comes earlier breaks the pair."""
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > 250_000:
+            if len(self.pairs) > 200_000:
                 self.pairs.clear()
             known = self.pairs[a, b] = self._seam_holds(a, b)
         return known
@@ -200,7 +200,7 @@ def _normal(text: str) -> str:
 class PieceTable(dict):
     """Piece -> row of a flat id store; misses are encoded, and the table is emptied when it holds max_pieces."""
 
-    def __init__(self, encode, max_pieces: int = 350_000):
+    def __init__(self, encode, max_pieces: int = 300_000):
         super().__init__()
         self.encode, self.max_pieces = encode, max_pieces
         self.ids, self.ends = array("I"), array("q", [0])
