@@ -48,25 +48,27 @@ def letters(text: str) -> str:
     return _NOT_LETTERS.sub(" ", text.lower()).strip()
 
 
-def fit(docs: DataFrame, params: Params = Params(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
-    """One dictionary per non-null language, in descending order of rows: passages from the middle of the rows with the smallest key hashes."""
+def fit(docs: DataFrame, params: Params = Params(), text: str = "text", lang: str = "lang") -> dict[str, bytes]:
+    """One dictionary per non-null language, in descending order of rows: the distinct passages, from the middle of the rows, with the smallest hashes.
+
+    Keys play no part: rows with null or repeated keys are learnt from like others, and repeated passages are one.
+    """
     p = params
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.xxhash64(key).alias("h"))
-    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(p.max_languages + 1).collect()
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"))
+    middle = F.substring("t", F.greatest(F.lit(1), ((F.length("t") - p.passage_chars) / 2).cast("int")), F.lit(p.passage_chars))
+    rows = rows.select("l", middle.alias("t")).where(F.col("t").rlike(r"\p{L}")).select("l", "t", F.xxhash64("t").alias("h"))
+    counts = rows.groupBy("l").agg(F.count("*").alias("count"), F.approx_count_distinct("h").alias("passages")).orderBy(F.desc("count"), "l").limit(p.max_languages + 1).collect()
     if len(counts) > p.max_languages:
         raise ValueError(f"more than {p.max_languages} languages")
     if not counts:
         return {}
-    # About four times the wanted rows of each language lie below its hash bound; of those, ranked, the first are taken.
-    bounds = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, (4 * p.passages + 64) / r["count"]))])
-    near = rows.where((F.pmod("h", F.lit(1 << 40)) / float(1 << 40)) < F.element_at(bounds, F.col("l")))
-    order = Window.partitionBy("l").orderBy(F.pmod("h", F.lit(1 << 40)), "k")
-    chosen = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= p.passages).select("k", "l", "r").limit(p.passages * p.max_languages)
-    texts = docs.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
-    middle = F.substring("t", F.greatest(F.lit(1), ((F.length("t") - p.passage_chars) / 2).cast("int")), F.lit(p.passage_chars))
-    got = texts.join(F.broadcast(chosen), ["k", "l"]).groupBy("l", "r").agg(F.min(middle).alias("t")).orderBy("l", F.desc("r")).collect()
+    # About four times the wanted passages of each language lie below its hash bound; of those, ranked, the first are taken.
+    bounds = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, (4 * p.passages + 64) / max(r["passages"], 1)))])
+    near = rows.where((F.pmod("h", F.lit(1 << 40)) / float(1 << 40)) < F.element_at(bounds, F.col("l"))).groupBy("l", "h").agg(F.min("t").alias("t"))
+    order = Window.partitionBy("l").orderBy(F.pmod("h", F.lit(1 << 40)), "h")
+    chosen = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= p.passages).limit(p.passages * p.max_languages)
     out: dict[str, list[str]] = {}
-    for r in got:
+    for r in chosen.orderBy("l", F.desc("r")).collect():
         out.setdefault(r["l"], []).append(letters(r["t"]))
     return {r["l"]: "\n".join(out[r["l"]]).encode() for r in counts if r["l"] in out}
 

@@ -170,6 +170,17 @@ def test_language_hostile(spark):
     assert {x.lang_pred for x in op04_language.predict(hostile(spark), op04_language.fit(empty(spark))).collect()} == {"und"}
 
 
+def test_language_learns_from_null_and_hot_keys(spark):
+    word = lambda rng, letters: "".join(rng.choice(letters) for _ in range(6))
+    rng = random.Random(3)
+    texts = lambda letters, n: [f"{word(rng, letters)} {word(rng, letters)}" for _ in range(n)]
+    rows = [(None, t, "aa") for t in texts("abcdef", 300)] + [(k, t, "aa") for k, t in enumerate(texts("abcdef", 20))]
+    rows += [(7, t, "bb") for t in texts("uvwxyz", 400)]  # one key carries all rows of its language
+    rows += [(k, "mmm nnn", "cc") for k in range(300)] + [(1000, "ooo ppp", "cc")]
+    learnt = op04_language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {k: len(set(v.decode().split("\n"))) for k, v in learnt.items()} == {"aa": 256, "bb": 256, "cc": 2}
+
+
 # ---- 3: rollups --------------------------------------------------------------------------------------------------
 
 
