@@ -93,6 +93,28 @@ def related_assertions(assertions: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(members.select("assertion", "group"), "group").join(members.select(F.col("assertion").alias("other_assertion"), F.col("group").alias("other")), "other").select("assertion", F.col("other_assertion").alias("other"))
 
 
+def related_counts(assertions: DataFrame, sets: DataFrame, max_subset_genes: int = 10) -> DataFrame:
+    """(assertion, n_related): how many assertions related_assertions pairs each with, for all that have genes, without making the pairs.
+
+    A set meets as many others as inclusion and exclusion over its subsets say: subsets of odd size count the others that
+    hold them, those of even size count against. The others are no larger, so sets of at most max_subset_genes need the
+    subsets of such sets alone; larger sets are joined to the others gene by gene.
+    """
+    members, groups = gene_groups(sets.join(assertions, "assertion"), by=["copy_change", "direction"])
+    weights = members.groupBy("group").agg(F.count("*").alias("weight"))
+    groups = groups.join(weights, "group").select("group", "n", "genes", "copy_change", "direction", "weight")
+    subsets = F.aggregate("genes", F.array(F.array().cast("array<string>")), lambda acc, g: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(g)))))
+    small = groups.where(F.col("n") <= max_subset_genes).withColumn("subset", F.explode(subsets)).where(F.size("subset") > 0)
+    held = small.groupBy("subset", "copy_change", F.col("direction").alias("d2"), F.col("n").alias("n_other")).agg(F.sum("weight").alias("weight"))
+    sign = F.when(F.size("subset") % 2 == 1, 1).otherwise(-1)
+    few = small.drop("weight").join(held, ["subset", "copy_change"]).where("direction <> d2 and n_other <= n").groupBy("group").agg(F.sum(sign * F.col("weight")).alias("n_related"))
+    flat = groups.withColumn("gene", F.explode("genes"))
+    other = flat.select(F.col("group").alias("other"), F.col("n").alias("n_other"), "copy_change", F.col("direction").alias("d2"), "gene", "weight")
+    large = flat.where(F.col("n") > max_subset_genes).drop("weight").join(other, ["gene", "copy_change"]).where("direction <> d2 and n_other <= n")
+    many = large.select("group", "other", "weight").distinct().groupBy("group").agg(F.sum("weight").alias("n_related"))
+    return members.join(few.unionByName(many), "group", "left").select("assertion", F.coalesce("n_related", F.lit(0)).cast("long").alias("n_related"))
+
+
 def same_gene_set(regions: DataFrame, variants: DataFrame) -> DataFrame:
     """(region, variant) with equal gene sets (X11). regions: (region, gene); variants: (variant, gene)."""
     r = regions.groupBy("region").agg(F.sort_array(F.collect_set("gene")).alias("genes"))

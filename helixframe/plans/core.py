@@ -215,6 +215,12 @@ def x9(t):
     return conflicts.related_assertions(flagged, t.gene_sets)
 
 
+query("x9_related_counts", ALL + """, k AS (SELECT g.assertion, g.gene, v.copy_change, a.direction FROM gene_sets g JOIN assertions a ON g.assertion = a.assertion JOIN variants v ON a.variant = v.variant),
+n AS (SELECT assertion, count(*) AS n FROM gene_sets GROUP BY assertion),
+met AS (SELECT a.assertion, count(DISTINCT b.assertion) AS n_related FROM k a JOIN k b ON a.gene = b.gene AND a.copy_change = b.copy_change AND a.direction <> b.direction JOIN n x ON a.assertion = x.assertion JOIN n y ON b.assertion = y.assertion WHERE y.n <= x.n GROUP BY a.assertion)
+SELECT k.assertion, coalesce(max(met.n_related), 0) AS n_related FROM k LEFT JOIN met ON k.assertion = met.assertion GROUP BY k.assertion""")(lambda t: conflicts.related_counts(stated(t), t.gene_sets))
+
+
 _X7 = """ SELECT a.assertion, string_agg(DISTINCT m.mech, ',' ORDER BY m.mech) AS mechanisms FROM assertions a JOIN variants v ON a.variant = v.variant AND v.copy_change = '{cc}'
 JOIN olap o ON o.variant = a.variant AND o.kind = 'CompleteOverlap' JOIN mechanism m ON m.feature = o.feature AND m.mechanism = '{m}' AND m.strength = 'DosageSufficientEvidence'
 WHERE a.review_status <> 'Flagged' AND a.direction <> 'Supports' AND a.classification <> 'OtherClassification' AND a.assertion NOT IN (SELECT subject FROM annotations) GROUP BY a.assertion"""

@@ -1,5 +1,6 @@
 """Operators against brute force and worked examples."""
 
+import collections
 import random
 
 from hypothesis import HealthCheck, given, settings
@@ -145,3 +146,14 @@ def test_embedding_job_normalises(spark):
     df = spark.createDataFrame([(1, "ab"), (2, None)], "k long, t string")
     got = {r.k: list(r.vector) for r in search.embed(df, "k", "t", lambda xs: np.array([[3.0 * len(x), 4.0 * len(x)] for x in xs])).collect()}
     assert [round(x, 6) for x in got[1]] == [0.6, 0.8] and got[2] == [0.0, 0.0]
+
+
+def test_related_counts_equal_pairs_over_all_assertions(spark):
+    rng = random.Random(9)
+    stated = [(f"a{i}", rng.choice(["loss", "gain"]), rng.choice(["Supports", "Refutes", "Inconclusive"])) for i in range(120)]
+    sets = [(a, f"g{g}") for a, _, _ in stated for g in rng.sample(range(12), rng.randint(1, 6))]
+    assertions, genes = spark.createDataFrame(stated, "assertion string, copy_change string, direction string"), spark.createDataFrame(sets, "assertion string, gene string")
+    want = collections.Counter(a for a, _ in map(tuple, conflicts.related_assertions(assertions, genes).collect()))
+    for most in (10, 3):  # 3: larger sets go gene by gene
+        got = {x.assertion: x.n_related for x in conflicts.related_counts(assertions, genes, most).collect()}
+        assert got == {a: want[a] for a, _, _ in stated} and sum(got.values())
