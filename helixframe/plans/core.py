@@ -250,14 +250,11 @@ query("x18_region_matches", _REGIONS + """ SELECT region, variant FROM (SELECT r
 WHERE abs(vn.n - rn.n) <= floor(rn.n * 0.05 + 0.5) AND shared >= 0.9 * vn.n""")(lambda t: conflicts.region_matches(*region_sets(t)))
 
 
-@query("x20_containment_counts", ALL + """, k AS (SELECT g.assertion, g.gene, v.copy_change, a.direction FROM gene_sets g JOIN assertions a ON g.assertion = a.assertion JOIN variants v ON a.variant = v.variant),
-n AS (SELECT assertion, count(*) AS n FROM gene_sets GROUP BY assertion),
-m AS (SELECT a.assertion, b.assertion AS other, a.copy_change, count(*) AS shared FROM k a JOIN k b ON a.gene = b.gene AND a.copy_change = b.copy_change WHERE a.direction = 'Supports' AND b.direction = 'Refutes' GROUP BY ALL)
-SELECT copy_change, count_if(m.shared = x.n) AS n_subset, count_if(m.shared = y.n) AS n_superset, count_if(m.shared = x.n AND x.n = y.n) AS n_equal FROM m JOIN n x ON m.assertion = x.assertion JOIN n y ON m.other = y.assertion GROUP BY copy_change""")
-def x20(t):
+def containment(t: Source, direction: str):
+    """Pairs of supporting assertions with those of the direction whose gene sets contain each other, by copy change."""
     known = t.gene_sets.join(stated(t), "assertion")
     lm, lg = conflicts.gene_groups(known.where("direction = 'Supports'"), by=["copy_change"])
-    rm, rg = conflicts.gene_groups(known.where("direction = 'Refutes'"), by=["copy_change"])
+    rm, rg = conflicts.gene_groups(known.where(F.col("direction") == direction), by=["copy_change"])
     w = lambda m, n: m.groupBy("group").agg(F.count("*").alias(n))
     a = lg.join(w(lm, "w1"), "group").select("group", "n", "w1", "copy_change", F.explode("genes").alias("gene"))
     b = rg.join(w(rm, "w2"), "group").select(F.col("group").alias("other"), F.col("n").alias("n2"), "w2", "copy_change", F.explode("genes").alias("gene"))
@@ -267,12 +264,39 @@ def x20(t):
     return m.groupBy("copy_change").agg(total(s == n).alias("n_subset"), total(s == n2).alias("n_superset"), total((s == n) & (n == n2)).alias("n_equal"))
 
 
+@query("x20_containment_counts", ALL + """, k AS (SELECT g.assertion, g.gene, v.copy_change, a.direction FROM gene_sets g JOIN assertions a ON g.assertion = a.assertion JOIN variants v ON a.variant = v.variant),
+n AS (SELECT assertion, count(*) AS n FROM gene_sets GROUP BY assertion),
+m AS (SELECT a.assertion, b.assertion AS other, a.copy_change, count(*) AS shared FROM k a JOIN k b ON a.gene = b.gene AND a.copy_change = b.copy_change WHERE a.direction = 'Supports' AND b.direction = 'Refutes' GROUP BY ALL)
+SELECT copy_change, count_if(m.shared = x.n) AS n_subset, count_if(m.shared = y.n) AS n_superset, count_if(m.shared = x.n AND x.n = y.n) AS n_equal FROM m JOIN n x ON m.assertion = x.assertion JOIN n y ON m.other = y.assertion GROUP BY copy_change""")
+def x20(t):
+    return containment(t, "Refutes")
+
+
+@query("x20_containment_inconclusive", ALL + """, k AS (SELECT g.assertion, g.gene, v.copy_change, a.direction FROM gene_sets g JOIN assertions a ON g.assertion = a.assertion JOIN variants v ON a.variant = v.variant),
+n AS (SELECT assertion, count(*) AS n FROM gene_sets GROUP BY assertion),
+m AS (SELECT a.assertion, b.assertion AS other, a.copy_change, count(*) AS shared FROM k a JOIN k b ON a.gene = b.gene AND a.copy_change = b.copy_change WHERE a.direction = 'Supports' AND b.direction = 'Inconclusive' GROUP BY ALL)
+SELECT copy_change, count_if(m.shared = x.n) AS n_subset, count_if(m.shared = y.n) AS n_superset, count_if(m.shared = x.n AND x.n = y.n) AS n_equal FROM m JOIN n x ON m.assertion = x.assertion JOIN n y ON m.other = y.assertion GROUP BY copy_change""")
+def x20_inconclusive(t):
+    return containment(t, "Inconclusive")
+
+
 @query("j10_shared_gene_sizes", ALL + """, s AS (SELECT assertion, string_agg(gene, '|' ORDER BY gene) AS genes, count(*) AS n FROM gene_sets GROUP BY assertion), g AS (SELECT DISTINCT genes, n FROM s)
 SELECT n, count(*) AS n_sets FROM g GROUP BY n""")
 def j10(t):
     return conflicts.gene_groups(t.gene_sets)[1].groupBy(F.col("n").cast("long").alias("n")).agg(F.count("*").alias("n_sets"))
 
 
+@query("j10_shared_gene_sets", ALL + """, s AS (SELECT assertion, string_agg(gene, '|' ORDER BY gene) AS genes, count(*) AS n FROM gene_sets GROUP BY assertion), g AS (SELECT DISTINCT genes, n FROM s),
+f AS (SELECT genes, n, unnest(string_split(genes, '|')) AS gene FROM g),
+m AS (SELECT a.n, b.n AS n_other, count(*) AS shared FROM f a JOIN f b ON a.gene = b.gene GROUP BY a.genes, b.genes, a.n, b.n)
+SELECT n, n_other, shared, shared = n AS subset, shared = n_other AS superset, shared / n AS fraction, count(*) AS n_pairs FROM m GROUP BY n, n_other, shared""")
+def j10_shared(t):
+    """Ordered pairs of distinct gene sets that share a gene, over the whole table, by their sizes and what they share."""
+    counts = conflicts.shared_counts(conflicts.gene_groups(t.gene_sets)[1])
+    whole = counts.groupBy(*[F.col(c).cast("long").alias(c) for c in ("n", "n_other", "shared")]).agg(F.count("*").alias("n_pairs"))
+    return whole.select("n", "n_other", "shared", (F.col("shared") == F.col("n")).alias("subset"), (F.col("shared") == F.col("n_other")).alias("superset"), (F.col("shared") / F.col("n")).alias("fraction"), "n_pairs")
+
+
 # ---- scores ------------------------------------------------------------------------------------------------------
 
 query("x15_lof_scores", ALL + """, p AS (SELECT o.variant, product(1 - l.lower95) AS none FROM olap o JOIN lof l ON o.feature = l.gene WHERE o.kind = 'CompleteOverlap' GROUP BY o.variant)

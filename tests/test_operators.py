@@ -157,3 +157,23 @@ def test_related_counts_equal_pairs_over_all_assertions(spark):
     for most in (10, 3):  # 3: larger sets go gene by gene
         got = {x.assertion: x.n_related for x in conflicts.related_counts(assertions, genes, most).collect()}
         assert got == {a: want[a] for a, _, _ in stated} and sum(got.values())
+
+
+def test_shared_counts_equal_brute_force(spark):
+    sets = {"a": "12", "b": "123", "c": "34", "d": "5", "e": "12"}
+    rows = spark.createDataFrame([(k, g) for k, v in sets.items() for g in v], "assertion string, gene string")
+    members, groups = conflicts.gene_groups(rows)
+    name = {x.group: sets[x.assertion] for x in members.collect()}
+    got = {(name[x.group], name[x.other]): (x.n, x.n_other, x.shared) for x in conflicts.shared_counts(groups).collect()}
+    assert got == {(a, b): (len(a), len(b), len(set(a) & set(b))) for a in name.values() for b in name.values() if set(a) & set(b)}
+
+
+def test_set_similarity_queries_cover_the_whole_table(spark, sf):
+    from helixframe import plans
+
+    got = plans.QUERIES["j10_shared_gene_sets"](spark, sf).collect()
+    sizes = {x.n: x.n_sets for x in plans.QUERIES["j10_shared_gene_sizes"](spark, sf).collect()}
+    whole = lambda x: x.subset and x.superset
+    assert {x.n: x.n_pairs for x in got if whole(x)} == sizes  # each set is met by itself
+    assert any(x.subset and not x.superset for x in got) and all(x.fraction == x.shared / x.n for x in got)
+    assert plans.QUERIES["x20_containment_inconclusive"](spark, sf).count() == 2
