@@ -39,6 +39,10 @@ query("j6_theta_self_join", with_views("validity") + " SELECT a.disease, a.stmt,
 query("j13_full_outer_counts", "SELECT k, coalesce(a.n, 0) AS n_orders, coalesce(b.n, 0) AS n_lines FROM (SELECT o_orderkey % 97 AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL) a FULL JOIN (SELECT l_orderkey % 97 AS k, count(*) AS n FROM lineitem WHERE l_quantity > 49 GROUP BY ALL) b USING (k)")(
     lambda t: t.orders.where("o_orderstatus = 'P'").groupBy((F.col("o_orderkey") % 97).alias("k")).agg(F.count("*").alias("n_orders")).join(t.lineitem.where("l_quantity > 49").groupBy((F.col("l_orderkey") % 97).alias("k")).agg(F.count("*").alias("n_lines")), "k", "full").na.fill(0)
 )
+query("j13_full_outer_orders", """SELECT coalesce(o.k, l.k) AS k, coalesce(n_orders, 0) AS n_orders, coalesce(n_lines, 0) AS n_lines
+FROM (SELECT o_orderkey AS k, count(*) AS n_orders FROM orders GROUP BY k) o FULL JOIN (SELECT l_orderkey AS k, count(*) AS n_lines FROM lineitem GROUP BY k) l ON o.k = l.k""")(
+    lambda t: t.orders.groupBy(F.col("o_orderkey").alias("k")).agg(F.count("*").alias("n_orders")).join(t.lineitem.groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n_lines")), "k", "full").na.fill(0, ["n_orders", "n_lines"])
+)
 query("o7_triple_union", T + " SELECT s, p, o FROM triples WHERE p = 'memberOf' UNION SELECT s, p, o FROM triples WHERE p IN ('memberOf', 'direction')")(lambda t: filters.union_distinct(t.triples.where("p = 'memberOf'"), t.triples.where("p in ('memberOf', 'direction')")))
 
 # ---- scalars -----------------------------------------------------------------------------------------------------
@@ -52,6 +56,7 @@ query("c14_offset_instants", "SELECT o_orderkey, concat(CAST(CAST(o_orderdate AS
 )
 query("c15_date_prefixes", with_views("assertions") + " SELECT assertion, substr(date_last_evaluated, 1, 4) AS year, substr(date_last_evaluated, 1, 10) AS day FROM assertions")(lambda t: t.assertions.select("assertion", S.date_part("date_last_evaluated", 4).alias("year"), S.date_part("date_last_evaluated").alias("day")))
 query("c16_epoch_dates", "SELECT o_orderkey, strftime(make_timestamp(CAST(o_orderkey AS BIGINT) * 86400000 * 1000), '%Y-%m-%d') AS day FROM orders WHERE o_orderkey < 20000")(lambda t: t.orders.where("o_orderkey < 20000").select("o_orderkey", S.millis_date(F.col("o_orderkey").cast("long") * 86400000).alias("day")))
+query("c16_epoch_days", "SELECT o_orderkey, strftime(make_timestamp(CAST(o_orderkey % 20000 AS BIGINT) * 86400000 * 1000), '%Y-%m-%d') AS day FROM orders")(lambda t: t.orders.select("o_orderkey", S.millis_date((F.col("o_orderkey") % 20000).cast("long") * 86400000).alias("day")))
 query("c26_label_fallback", T + " SELECT s, coalesce(max(CASE WHEN p = 'rdfs:label' THEN o END), max(CASE WHEN p = 'rdf:type' THEN o END), 'none') AS label FROM triples GROUP BY s")(
     lambda t: t.triples.groupBy("s").agg(*[F.max(F.when(F.col("p") == p, F.col("o"))).alias(c) for c, p in (("a", "rdfs:label"), ("b", "rdf:type"))]).select("s", S.first_of("a", "b", F.lit("none")).alias("label"))
 )

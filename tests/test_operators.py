@@ -177,3 +177,14 @@ def test_set_similarity_queries_cover_the_whole_table(spark, sf):
     assert {x.n: x.n_pairs for x in got if whole(x)} == sizes  # each set is met by itself
     assert any(x.subset and not x.superset for x in got) and all(x.fraction == x.shared / x.n for x in got)
     assert plans.QUERIES["x20_containment_inconclusive"](spark, sf).count() == 2
+
+
+def test_dates_and_counts_take_all_rows(spark):
+    from helixframe import plans
+
+    sf = "/root/testdata/sf0.1"
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    days = plans.QUERIES["c16_epoch_days"](spark, sf)
+    assert (days.count(), days.where("day is null").count()) == (orders.count(), 0)
+    got = plans.QUERIES["j13_full_outer_orders"](spark, sf).agg(F.sum("n_orders"), F.sum("n_lines")).first()
+    assert tuple(got) == (orders.count(), spark.read.parquet(f"{sf}/lineitem.parquet").count())
