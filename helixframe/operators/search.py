@@ -54,16 +54,19 @@ def combined(symbol_hits: DataFrame, label_hits: DataFrame) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, group: str, k: int = 5, max_queries: int = 10_000) -> DataFrame:
     """(query, group, score, rank): the k groups whose best vector has the largest dot product with the query (T5).
 
-    The query set is bounded (checked) and sent to every task; each task keeps the best score per query and group
-    before the shuffle.
+    Queries are dealt by key hash into blocks of about max_queries, each sent to every task in a pass of its own; a task
+    keeps the best score per query and group before the shuffle.
     """
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries")
     dot = F.aggregate(F.zip_with(vector, "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    asked = F.broadcast(queries.select(F.col(key).alias("query"), F.col(vector).alias("q")))
-    scored = vectors.crossJoin(asked).groupBy("query", group).agg(F.round(F.max(dot), 6).alias("score"))  # stated queries against all rows
+    asked = queries.select(F.col(key).alias("query"), F.col(vector).alias("q"))
+    n = -(-queries.count() // max_queries)
+    found = None
+    for i in range(max(n, 1)):
+        block = asked if n <= 1 else asked.where(F.pmod(F.xxhash64("query"), F.lit(n)) == i)
+        scored = vectors.crossJoin(F.broadcast(block)).groupBy("query", group).agg(F.round(F.max(dot), 6).alias("score"))  # stated queries against all rows
+        found = scored if found is None else found.unionByName(scored)
     w = Window.partitionBy("query").orderBy(F.desc("score"), group)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def embed(docs: DataFrame, key: str, text: str, model: Callable[[list[str]], np.ndarray]) -> DataFrame:

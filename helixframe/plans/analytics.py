@@ -9,7 +9,7 @@ from ..functions import vocab
 from ..operators import aggregates as A
 from ..operators import filters, graph, search
 from .core import ALL, overlaps
-from .registry import query
+from .registry import SQL, query
 from .views import with_views
 
 YEAR = "year(o_orderdate)"
@@ -238,6 +238,12 @@ query("t1_text_search", _BM.format(n=100))(lambda t: search.bm25(t.documents, t.
 query("t1_text_hits", _BM.format(n=10).replace("SELECT query, doc_id, score, rank FROM", "SELECT query, round(max(score), 3) AS best, count(*) AS n FROM") + " GROUP BY query")(
     lambda t: search.bm25(t.documents, t.benchmark.where("item_id < 10").select(F.col("item_id").alias("query"), "text"), "doc_id", "text", 10).groupBy("query").agg(F.round(F.max("score"), 3).alias("best"), F.count("*").alias("n"))
 )
+#: Every item or vector whose id is divisible by 50 is a query, so that queries grow with the tables.
+_BM_ALL = _BM.replace("item_id < 10", "item_id % 50 = 0")
+query("t1_text_search_all", _BM_ALL.format(n=100))(lambda t: search.bm25(t.documents, t.benchmark.where("item_id % 50 = 0").select(F.col("item_id").alias("query"), "text"), "doc_id", "text", 100))
+query("t1_text_hits_all", _BM_ALL.format(n=10).replace("SELECT query, doc_id, score, rank FROM", "SELECT query, round(max(score), 3) AS best, count(*) AS n FROM") + " GROUP BY query")(
+    lambda t: search.bm25(t.documents, t.benchmark.where("item_id % 50 = 0").select(F.col("item_id").alias("query"), "text"), "doc_id", "text", 10).groupBy("query").agg(F.round(F.max("score"), 3).alias("best"), F.count("*").alias("n"))
+)
 query("t3_typed_search", "SELECT doc_id FROM documents WHERE lang = 'en' AND list_contains(regexp_split_to_array(lower(text), '[^a-z0-9]+'), 'the')")(lambda t: t.documents.where((F.col("lang") == "en") & F.array_contains(search.terms("text"), "the")).select("doc_id"))
 query("t4_combined_search", with_views("features") + " SELECT feature, 0 AS source_rank FROM features WHERE symbol = 'G7' UNION ALL SELECT feature, 1 FROM features WHERE contains(lower(symbol), '7')")(
     lambda t: search.combined(search.symbol_search(t.features, "g7").select("feature"), t.features.where(filters.mentions("symbol", "7")).select("feature"))
@@ -246,3 +252,4 @@ query("f18_mentions", "SELECT doc_id FROM documents WHERE contains(lower(coalesc
 query("t5_nearest", """WITH q AS (SELECT vec_id AS query, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings WHERE vec_id < 10), v AS (SELECT label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 s AS (SELECT query, label, round(max(list_dot_product(e, q)), 6) AS score FROM v CROSS JOIN q GROUP BY ALL)
 SELECT query, label, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, label) AS rank FROM s) WHERE rank <= 5""")(lambda t: search.nearest(t.embeddings, t.embeddings.where("vec_id < 10"), "vec_id", "embedding", "label", 5))
+query("t5_nearest_all", SQL["t5_nearest"].replace("vec_id < 10", "vec_id % 50 = 0"))(lambda t: search.nearest(t.embeddings, t.embeddings.where("vec_id % 50 = 0"), "vec_id", "embedding", "label", 5))

@@ -188,3 +188,15 @@ def test_dates_and_counts_take_all_rows(spark):
     assert (days.count(), days.where("day is null").count()) == (orders.count(), 0)
     got = plans.QUERIES["j13_full_outer_orders"](spark, sf).agg(F.sum("n_orders"), F.sum("n_lines")).first()
     assert tuple(got) == (orders.count(), spark.read.parquet(f"{sf}/lineitem.parquet").count())
+
+
+def test_nearest_takes_more_queries_than_a_block(spark, sf):
+    from helixframe import plans
+
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    asked = v.where("vec_id % 10 = 0")
+    run = lambda most: sorted(map(tuple, search.nearest(v, asked, "vec_id", "embedding", "label", 2, most).collect()))
+    whole = run(10_000)
+    assert run(7) == whole and len({x[0] for x in whole}) == asked.count() > 7
+    got = {x["query"] for x in plans.QUERIES["t5_nearest_all"](spark, sf).collect()}
+    assert got == {x.vec_id for x in v.where("vec_id % 50 = 0").collect()}
