@@ -41,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    held = op09_decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    held = op09_decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), op09_decontaminate.Params(verbatim=True)).select("doc_id").distinct()
     return docs.join(stored(held, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
 
 

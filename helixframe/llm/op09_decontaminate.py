@@ -4,14 +4,20 @@ Numbers, capitalised words inside a sentence (names) and units after numbers bec
 lower-cased words. Windows of `window` template words of the benchmark are hashed and joined to the windows of whole
 texts. Matched windows on one diagonal (text place minus item place) are one alignment; it counts if its slots agree:
 each value of the item stands for one value in the text and the other way round, as when a question is asked again with
-other numbers. A document holds an item if its consistent alignments cover at least min_coverage of the item's windows.
+other numbers. With Params.verbatim, windows whose values are the item's own always count. A document holds an item if the windows that count
+are at least min_coverage of the item's windows.
+
+Items without a window to look for, as they are shorter than one or placeholders fill more than half of each, are looked
+for by value: the plain words of all their windows, or of the whole item where it is shorter. That is a scan of its own,
+made only where there are such items.
 
 The benchmark's windows are sent to every task while they are at most max_broadcast; beyond that the join shuffles. The
 texts are scanned once; only matched windows leave the scan, so a passage that many documents share costs a row per
 match and no document group is gathered.
 
-Defined results: null or empty texts and texts shorter than a window hold nothing; items shorter than a window, or with
-placeholders in more than half of a window's words, can't be told from chance and those windows aren't looked for;
+Defined results: null or empty texts hold nothing, and texts shorter than a window at most a shorter item; windows of
+other items with placeholders in more than half of their words can't be told from chance and aren't looked for; items
+without words are in no text;
 repeated rows of a text or an item give their matches once per key (rows with equal keys are taken as one document);
 null keys are left out; an empty table on either side gives an empty result; other columns are not read.
 """
@@ -37,15 +43,19 @@ DECIMALS = (r"([0-9])[.,]([0-9])", rf"\1{MARK}d\2")
 NUMBERS = (rf"([0-9]+(?:{MARK}d[0-9]+)*)", rf" {MARK}n\1 ")
 NAMES = (r"([\p{Ll},;] )(\p{Lu}\p{Ll}+)", rf"\1{MARK}a\2")
 WORDS = (rf"[^\p{{L}}\p{{N}}{MARK}]+", " ")
+PLAIN = (rf"{MARK}[nau]", "")
 UNIT = (rf"({MARK}n[^ ]*) ({'|'.join(UNITS)}) ", rf"\1 {MARK}u\2 ")
 SLOT = (rf"{MARK}([nau])[^ ]*", rf"{MARK}\1")
 
 
 @dataclass(frozen=True)
 class Params:
+    """verbatim: windows with the item's own values count in alignments too whose slots disagree."""
+
     window: int = 8
     min_coverage: float = 0.5
     max_broadcast: int = 1_000_000
+    verbatim: bool = False
 
 
 def _sub(c: Column, rule: tuple[str, str]) -> Column:
@@ -99,14 +109,41 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: Params = Params(
     found = found.select("k", "item", "at", (F.col("place") - F.col("at")).alias("diagonal"), F.slice("v", F.col("place") + 1, p.window).alias("dv"), "iv")
     slots = F.filter(F.arrays_zip("iv", "dv"), lambda x: F.startswith(x["iv"], F.lit(MARK)))
     # an alignment has at most one row per window of the item
-    aligned = found.withColumn("slots", slots).groupBy("k", "item", "diagonal").agg(F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("pairs"))
+    aligned = found.withColumn("slots", slots).groupBy("k", "item", "diagonal").agg(F.collect_set("at").alias("ats"), F.collect_set(F.when(F.col("iv") == F.col("dv"), F.col("at"))).alias("same"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("pairs"))
     n = F.size("pairs")
     agree = (F.size(F.array_distinct("pairs.iv")) == n) & (F.size(F.array_distinct("pairs.dv")) == n)
-    held = aligned.where(agree).groupBy("k", "item").agg(F.array_distinct(F.flatten(F.collect_set("ats"))).alias("ats"))
-    held = held.join(hint(sizes), "item").withColumn("n_matched", F.size("ats").cast("long")).withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
+    aligned = aligned.withColumn("ats", F.when(agree, F.col("ats")).otherwise(F.col("same"))).where(F.size("ats") > 0) if p.verbatim else aligned.where(agree)
+    held = aligned.groupBy("k", "item").agg(F.array_distinct(F.flatten(F.collect_set("ats"))).alias("ats"))
+    held = held.join(hint(sizes), "item").select("k", "item", "n_windows", F.size("ats").cast("long").alias("n_matched"))
+    by_value = value_matches(docs, benchmark, sizes, p, key, text, item, item_text)
+    held = (held if by_value is None else held.unionByName(by_value)).withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
     return held.where(F.col("coverage") >= p.min_coverage).select(F.col("k").alias(key), F.col("item").alias(item), "n_windows", "n_matched", "coverage")
 
 
+def value_matches(docs: DataFrame, benchmark: DataFrame, sizes: DataFrame, p: Params, key: str, text: str, item: str, item_text: str) -> DataFrame | None:
+    """(k, item, n_windows, n_matched) by plain words, of the items that `sizes` doesn't hold; None where there is none."""
+
+    def hashes(v: Column, length: Column) -> Column:
+        return F.when(F.size(v) >= length, F.transform(F.sequence(F.lit(1), F.size(v) - length + 1), lambda i: F.xxhash64(F.slice(v, i, length))))
+
+    def plain(df: DataFrame, k: str, t: str) -> DataFrame:
+        words = let(F.rtrim(_sub(valued_words(F.col(t)), PLAIN)), lambda x: F.split(x, " "))
+        return df.where(F.col(k).isNotNull()).select(F.col(k).alias("k"), words.alias("v"))
+
+    items = plain(benchmark, item, item_text).withColumnRenamed("k", "item").where("v[0] <> ''").join(sizes, "item", "left_anti")
+    items = items.withColumn("length", F.least(F.size("v"), F.lit(p.window)))
+    items = items.select("item", "length", F.posexplode(hashes(F.col("v"), F.col("length"))).alias("at", "h")).dropDuplicates(["item", "at", "h"])
+    lengths = [r[0] for r in items.select("length").distinct().orderBy("length").collect()]  # at most p.window
+    if not lengths:
+        return None
+    hint = F.broadcast if items.count() <= p.max_broadcast else (lambda df: df)
+    each = lambda v: F.array_distinct(F.concat(*[F.coalesce(hashes(v, F.lit(n)), F.array().cast("array<bigint>")) for n in lengths]))
+    texts = plain(docs, key, text).select("k", F.explode_outer(let(F.col("v"), each)).alias("h"))
+    n_windows = items.groupBy("item").agg(F.countDistinct("at").alias("n_windows"))
+    met = texts.join(hint(items.select("h", "item", "at")), "h").groupBy("k", "item").agg(F.countDistinct("at").alias("n_matched"))
+    return met.join(hint(n_windows), "item").select("k", "item", "n_windows", "n_matched")
+
+
 def oracle(window: int = 8, min_coverage: float = 0.5) -> str:
     """The same in DuckDB's SQL."""
 

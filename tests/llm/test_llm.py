@@ -359,6 +359,20 @@ def test_reparameterised_questions(spark):
     assert op09_decontaminate.contaminated(df.limit(0), bench).count() == 0 and op09_decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_verbatim_items(spark):
+    twice = "the first tank holds 5 litres of oil and the second tank also holds 5 litres of oil when both tanks are full at the end of each working shift"
+    values = "a shop that sells 12 green apples and 10 red apples to the people of the town has no more of them at the end"
+    bench = spark.createDataFrame([(0, "Name seven noble gases"), (1, "12 + 30 = 42, 7 + 8 = 15, 6 + 5 = 11, 90"), (2, twice), (3, values), (4, ""), (5, "?!")], "item_id long, text string")
+    docs = [
+        (1, "Now answer: Name seven noble gases. Then rest."), (2, "name seven gases that are noble"), (3, "Sums: 12 + 30 = 42, 7 + 8 = 15, 6 + 5 = 11, 90 and so on"), (4, "Sums: 13 + 30 = 43, 7 + 9 = 16, 6 + 6 = 12, 91"),
+        (5, twice.replace("5", "8", 1)), (6, values.replace("12", "10")), (7, twice.replace("5", "8")), (8, ""), (9, None),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for p in (op09_decontaminate.Params(verbatim=True), op09_decontaminate.Params(verbatim=True, max_broadcast=0)):
+        got = op09_decontaminate.contaminated(df, bench, p).collect()
+        assert sorted((x.doc_id, x.item_id) for x in got) == [(1, 0), (3, 1), (5, 2), (6, 3), (7, 2)]
+
+
 def test_decontamination_shuffles_where_it_cannot_broadcast(spark):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     rows = lambda p: sorted(map(tuple, op09_decontaminate.contaminated(docs, bench, p).collect()))
