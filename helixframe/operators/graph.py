@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -21,7 +22,7 @@ def _written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def closure(edges: DataFrame, child: str = "child", parent: str = "parent", reflexive: bool = False, max_depth: int = 100) -> DataFrame:
+def closure(edges: DataFrame, child: str = "child", parent: str = "parent", reflexive: bool = False) -> DataFrame:
     """(node, ancestor, depth): smallest number of edges from node to ancestor; cycles end.
 
     A frontier of new pairs is joined to the edges until none is new. Each round's pairs are written to shared storage
@@ -29,12 +30,14 @@ def closure(edges: DataFrame, child: str = "child", parent: str = "parent", refl
     """
     e = edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).where("child is not null and parent is not null").distinct()
     found = frontier = _written(e.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), "closure")
-    for depth in range(2, max_depth + 1):
+    for depth in itertools.count(2):
         step = frontier.join(e.select(F.col("child").alias("ancestor"), "parent"), "ancestor").select("node", F.col("parent").alias("ancestor")).distinct()
         frontier = _written(step.join(found, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)
+        if depth % 25 == 0:  # one folder again, as plans grow with the rounds
+            found = _written(found, "closure")
     if reflexive:
         nodes = e.select(F.col("child").alias("node")).unionByName(e.select(F.col("parent").alias("node"))).distinct()
         found = found.where("node <> ancestor").unionByName(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")))

@@ -200,3 +200,9 @@ def test_nearest_takes_more_queries_than_a_block(spark, sf):
     assert run(7) == whole and len({x[0] for x in whole}) == asked.count() > 7
     got = {x["query"] for x in plans.QUERIES["t5_nearest_all"](spark, sf).collect()}
     assert got == {x.vec_id for x in v.where("vec_id % 50 = 0").collect()}
+
+
+def test_closure_of_a_long_path(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(110)], "child long, parent long")
+    got = graph.closure(edges).groupBy().agg(F.count("*"), F.max("depth"), F.sum(F.col("ancestor") - F.col("node") - F.col("depth"))).first()
+    assert tuple(got) == (110 * 111 // 2, 110, 0)
