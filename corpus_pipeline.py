@@ -15,6 +15,7 @@ from helixframe.llm import op10_bpe as bpe
 from helixframe.llm.common import learn_bucket, stored, table
 from helixframe.llm.queries import VOCABULARY
 
+_ROW = "_row_number"
 _SCORE, _FLAG = "_toxic_score", "_toxic"
 _LANG, _SURE, _REJECTED = "_lang_pred", "_lang_score", "_lang_rejected"
 
@@ -33,16 +34,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where(~F.col(_REJECTED)).select(*docs.columns)
 
 
+def numbered(docs: DataFrame, what: str) -> DataFrame:
+    """The rows with a number each, written, so that rows with null or equal ids are told apart."""
+    return stored(docs.withColumn(_ROW, F.monotonically_increasing_id()), what)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest id; of rows with equal ids too."""
-    goes = op07_ngram_join.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(stored(goes, "duplicates"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates stays, that with the smallest id (a null id last), of equal ids the first row."""
+    rows = numbered(docs, "duplicates-rows")
+    classes = op07_ngram_join.near_duplicates(rows, key=_ROW).where("n_links > 0").select(_ROW, "class_id")
+    classes = stored(classes.join(rows.select(_ROW, "doc_id"), _ROW), "duplicate-classes")
+    first = classes.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", _ROW))[_ROW].alias("first"))
+    goes = classes.join(first, "class_id").where(F.col(_ROW) != F.col("first")).select(_ROW)
+    return rows.join(stored(goes, "duplicates"), _ROW, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    held = op09_decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), op09_decontaminate.Params(verbatim=True)).select("doc_id").distinct()
-    return docs.join(stored(held, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+    """Rows that hold a benchmark item go."""
+    rows = numbered(docs, "contaminated-rows")
+    held = op09_decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), op09_decontaminate.Params(verbatim=True), key=_ROW).select(_ROW).distinct()
+    return rows.join(stored(held, "contaminated"), _ROW, "left_anti").select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -401,3 +401,17 @@ def test_pipeline_stages(spark):
     for x in out.limit(20).collect():
         assert list(x.ids) == library.encode(texts[x.doc_id], add_special_tokens=False).ids
     assert out.count() == docs.count() < n
+
+
+def test_pipeline_judges_each_row_by_its_own_text(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 60").orderBy("item_id").first().text
+    copied = "seven grey herons stood beside the old canal while nobody on the bridge cared to look at them"
+    other = "the committee will meet on the second floor after lunch to talk about the new bicycle stands"
+    third = "rain fell on the tin roof all night and the children counted drops until they were asleep"
+    cols = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = lambda *pairs: spark.createDataFrame([(k, t, "en", "s", 1) for k, t in pairs], cols)
+    left = lambda df: sorted(((x.doc_id, x.text) for x in df.collect()), key=str)
+    got = left(corpus_pipeline.near_duplicates(spark, rows((None, copied), (None, copied), (3, copied), (3, copied), (4, copied), (4, other), (None, third), (None, third), (5, None), (5, "")), SF))
+    assert got == sorted([(3, copied), (4, other), (None, third), (5, None), (5, "")], key=str)
+    got = left(corpus_pipeline.decontamination(spark, rows((None, item), (6, item), (6, other), (None, third)), SF))
+    assert got == sorted([(6, other), (None, third)], key=str)
