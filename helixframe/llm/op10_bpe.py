@@ -5,9 +5,12 @@ left to right: a token is accepted if the pair it forms with the token before it
 text would give exactly these two); otherwise a shorter token is tried, and if none is left the last token is taken
 back. A place proved dead is not entered again, so the work is linear in the word's length. Verdicts on pairs are kept.
 
-Texts never cross white space in this tokenizer family, so results are kept by white-space piece (a bounded table that
+Tokens never cross white space in this tokenizer family, so results are kept by white-space piece (a bounded table that
 is emptied when full); joining the ids of a batch of texts is one NumPy gather.
 
+Which characters are letters, numbers or white space, and how they are normalised, is what the tokenizers library says
+of each code point: LetterClasses asks it once, on the driver, as Unicode tables differ from library to library.
+
 Defined results: a null text counts as empty; an empty text has no ids; texts of any length are encoded whole; repeated
 rows give repeated results; an empty table gives an empty result; other columns pass through, except those that bear the
 name of a result column, which are replaced.
@@ -21,18 +24,19 @@ import json
 import re
 import unicodedata
 from array import array
+from bisect import bisect_right
+from functools import lru_cache
 from itertools import repeat
 
 import ahocorasick
 import numpy as np
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import Offsets, keep_table, use_table, white_split, with_text_columns
 
-#: Fixed values of this tokenizer family: pieces of text that are merged separately, and the mark of a word's end.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Fixed values of this tokenizer family: endings that are pieces of their own, and the mark of a word's end.
+ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 WORD_END = "</w>"
 
 _PRIVATE = 0xF0000  # code points for base symbols inside the automaton
@@ -45,10 +49,137 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(plain) else chr(256 + rest.index(b)) for b in range(256)]
 
 
+Ranges = list[tuple[int, int]]  # first and last code point
+
+
+def _merged(ranges: Ranges) -> Ranges:
+    out: Ranges = []
+    for a, z in sorted(ranges):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = out[-1][0], max(z, out[-1][1])
+        else:
+            out.append((a, z))
+    return out
+
+
+def _class(ranges: Ranges) -> str:
+    """The inside of a regular expression's brackets."""
+    return "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in ranges)
+
+
+_CODE_POINTS = [(0, 0xD7FF), (0xE000, 0x10FFFF)]  # without surrogates
+
+
+def _probe_kinds(pre, first: int, last: int, found: dict[str, Ranges]) -> None:
+    """Sorts a range of code points into letter, number, space and other by how the library cuts them between a letter and a mark."""
+    n = last - first + 1
+    points = [chr(c) for c in range(first, last + 1)]
+
+    def cut(text: str) -> list[tuple[int, int]]:
+        return [x[1] for x in pre.pre_tokenize_str("a" + text + "!")]
+
+    spans = cut("".join(points))
+    for kind, want in (("letter", [(0, n + 1), (n + 1, n + 2)]), ("other", [(0, 1), (1, n + 2)]), ("space", [(0, 1), (n + 1, n + 2)])):
+        if spans == want:
+            found[kind].append((first, last))
+            return
+    # letters and marks in turn are cut like numbers, twice each they are not
+    if spans == [(i, i + 1) for i in range(n + 2)] and (n == 1 or len(cut("".join(c + c for c in points))) == 2 * n + 2):
+        found["number"].append((first, last))
+        return
+    if n == 1:
+        raise ValueError(f"the pre-tokenizer cuts U+{first:04X} in a way of its own")
+    middle = (first + last) // 2
+    _probe_kinds(pre, first, middle, found)
+    _probe_kinds(pre, middle + 1, last, found)
+
+
+def _probe_normal(normalizer, points: list[int], differing: list[int]) -> None:
+    """Adds the code points that the library normalises otherwise than _normal()."""
+    if normalizer.normalize_str(" ".join(map(chr, points))) == " ".join(_normal(chr(c)) for c in points):
+        return
+    if len(points) == 1:
+        differing.append(points[0])
+        return
+    _probe_normal(normalizer, points[: len(points) // 2], differing)
+    _probe_normal(normalizer, points[len(points) // 2 :], differing)
+
+
+class LetterClasses:
+    """How the tokenizers library sorts and normalises code points, as ranges.
+
+    odd: code points whose normalisation may differ between Unicode versions: those that the library treats otherwise by
+    themselves, those not assigned here, and those assigned after version 3.2 that combine or are part of a composition.
+    Texts with any of them are normalised by the library.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        found: dict[str, Ranges] = {"letter": [], "number": [], "space": [], "other": []}
+        for first, last in _CODE_POINTS:
+            for at in range(first, last + 1, 4096):
+                _probe_kinds(tokenizer.pre_tokenizer, at, min(at + 4095, last), found)
+        self.path, self.kinds = path, {k: _merged(v) for k, v in found.items()}
+        spaces = {c for a, z in self.kinds["space"] for c in range(a, z + 1)}
+        odd: list[int] = []
+        known = [c for a, z in _CODE_POINTS for c in range(a, z + 1) if c not in spaces and unicodedata.category(chr(c)) != "Cn"]
+        for i in range(0, len(known), 1024):
+            _probe_normal(tokenizer.normalizer, known[i : i + 1024], odd)
+        assigned = set(known)
+        for c in known:
+            if unicodedata.ucd_3_2_0.category(chr(c)) == "Cn":
+                parts = unicodedata.decomposition(chr(c))
+                if unicodedata.combining(chr(c)):
+                    odd.append(c)
+                if parts and not parts.startswith("<"):
+                    odd += [c, *(int(x, 16) for x in parts.split())]
+        unknown = [(c, c) for a, z in _CODE_POINTS for c in range(a, z + 1) if c not in assigned and c not in spaces]
+        self.odd = _merged([(c, c) for c in odd] + unknown)
+
+    def pieces(self) -> re.Pattern:
+        """Pieces of normalised text that are merged separately."""
+        letter, number, space = (_class(self.kinds[k]) for k in ("letter", "number", "space"))
+        return re.compile(f"{ENDINGS}|[{letter}]+|[{number}]|[^{space}{letter}{number}]+")
+
+
+@lru_cache(maxsize=4)
+def letter_classes(path: str) -> LetterClasses:
+    return LetterClasses(path)
+
+
+class Normalizer(dict):
+    """Texts normalised as the library does; the dictionary holds for each character met whether it is odd."""
+
+    def __init__(self, classes: LetterClasses):
+        super().__init__()
+        self.path, self.library = classes.path, None
+        self.starts, self.lasts = [a for a, _ in classes.odd], [z for _, z in classes.odd]
+
+    def __missing__(self, c: str) -> bool:
+        i = bisect_right(self.starts, ord(c)) - 1
+        found = self[c] = i >= 0 and ord(c) <= self.lasts[i]
+        return found
+
+    def __call__(self, text: str) -> str:
+        if text.isascii():
+            return text.lower()
+        if not any(map(self.__getitem__, set(text))):
+            return _normal(text)
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path).normalizer
+        return self.library.normalize_str(text)
+
+
 class BacktrackingBpe:
     """Encoder for a vocabulary file with word ends whose merged tokens are numbered in merge order."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, classes: LetterClasses | None = None):
+        classes = classes or letter_classes(path)
+        self.normal, self.find_pieces = Normalizer(classes), classes.pieces().findall
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -78,7 +209,7 @@ class BacktrackingBpe:
         for s, i in self.by_symbols.items():
             self.automaton.add_word(s, i)
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # first id << 20 | second id -> do they hold
         self.shorter: dict[int, int] = {}
         special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.special = special
@@ -90,11 +221,11 @@ class BacktrackingBpe:
 
     def compatible(self, a: int, b: int) -> bool:
         """Would merging the text of a and b give a, b? Undo merges from the latest back; a merge across the seam that comes earlier breaks the pair."""
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 20 | b)
         if known is None:
-            if len(self.pairs) > 200_000:
+            if len(self.pairs) > 150_000:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self._seam_holds(a, b)
+            known = self.pairs[a << 20 | b] = self._seam_holds(a, b)
         return known
 
     def _seam_holds(self, a: int, b: int) -> bool:
@@ -150,7 +281,7 @@ class BacktrackingBpe:
         while at < n:
             end = at + width[token]
             if not dead[end]:
-                fits = last < 0 or pairs.get((last, token))
+                fits = last < 0 or pairs.get(last << 20 | token)
                 if fits is None:
                     fits = self.compatible(last, token)
                 if fits:
@@ -170,7 +301,7 @@ class BacktrackingBpe:
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of text between white space, already split from special tokens and normalised."""
         out: list[int] = []
-        for word in _PIECES.findall(piece):
+        for word in self.find_pieces(piece):
             raw = word.encode()
             out += self.encode_symbols(codecs.charmap_decode(raw[:-1], "strict", self.inner)[0] + self.final[raw[-1]])
         return out
@@ -180,19 +311,17 @@ class BacktrackingBpe:
         if self.special_split is not None and "<|" in text and self.special_split.search(text):
             out: list = []
             for part in self.special_split.split(text):
-                out += [(self.special[part],)] if part in self.special else white_split(_normal(part))
+                out += [(self.special[part],)] if part in self.special else white_split(self.normal(part))
             return out
-        return white_split(_normal(text))
+        return white_split(self.normal(text))
 
     def names_of(self, ids: np.ndarray) -> bytes:
         """Decoded text of ids: token strings from the offset table, joined by a space."""
         return self.names.take(ids)[0].tobytes()[:-1]
 
 
-_PIECES = regex.compile(PIECES)
-
-
 def _normal(text: str) -> str:
+    """NFC, then lower case of each character by itself."""
     text = unicodedata.normalize("NFC", text)
     return (text.replace("Σ", "σ") if "Σ" in text else text).lower()
 
@@ -218,6 +347,13 @@ class PieceTable(dict):
         self.ids.extend(ids)
         self.ends.append(len(self.ids))
 
+    def add_all(self, pieces: list, ids: np.ndarray, ends: np.ndarray) -> None:
+        """Adds pieces whose ids stand one after another in ids; ends: where each one's stop."""
+        n, at = len(self.ends) - 1, len(self.ids)
+        self.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+        self.ids.frombytes(ids.astype(np.uint32).tobytes())
+        self.ends.frombytes((ends + at).astype(np.int64).tobytes())
+
     def encode_all(self, pieces: list[list], learn=None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and each text's bounds. learn, if given, adds a set of unknown pieces at once."""
         if len(self) > self.max_pieces:
@@ -231,7 +367,7 @@ class PieceTable(dict):
             missing = [flat[i] for i in holes.tolist()]
             learn(set(missing))
             rows[holes] = np.fromiter(map(self.__getitem__, missing), np.int64, len(missing))
-        store = Offsets(np.frombuffer(self.ids, np.uint32) if len(self.ids) else np.zeros(0, np.uint32), np.frombuffer(self.ends, np.int64).copy())
+        store = Offsets(np.frombuffer(self.ids, np.uint32) if len(self.ids) else np.zeros(0, np.uint32), np.frombuffer(self.ends, np.int64))
         ids, ends = store.take(rows)
         return ids, ends[np.concatenate(([0], np.cumsum([len(x) for x in pieces], dtype=np.int64)))]
 
@@ -240,20 +376,21 @@ _ENCODERS: dict[str, tuple[BacktrackingBpe, PieceTable]] = {}
 keep_table("bpe", _ENCODERS.clear)
 
 
-def encoder(path: str) -> tuple[BacktrackingBpe, PieceTable]:
+def encoder(path: str, classes: LetterClasses | None = None) -> tuple[BacktrackingBpe, PieceTable]:
     """The encoder of a vocabulary file and its piece table, once per Python worker."""
     use_table("bpe")
     if path not in _ENCODERS:
-        bpe = BacktrackingBpe(path)
+        bpe = BacktrackingBpe(path, classes)
         _ENCODERS[path] = bpe, PieceTable(bpe.encode_piece)
     return _ENCODERS[path]
 
 
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with the array of token ids of each text (null: empty)."""
+    classes = letter_classes(vocabulary)
 
     def make():
-        bpe, known = encoder(vocabulary)
+        bpe, known = encoder(vocabulary, classes)
 
         def run(texts):
             flat, ends = known.encode_all([bpe.pieces(t or "") for t in texts])
@@ -266,9 +403,10 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """df with the text of each id array (null stays null), as token strings joined by a space."""
+    classes = letter_classes(vocabulary)
 
     def make():
-        bpe, _ = encoder(vocabulary)
+        bpe, _ = encoder(vocabulary, classes)
         return lambda rows: [[None if r is None else bpe.names_of(np.asarray(r, np.int64)).decode() for r in rows]]
 
     return with_text_columns(df, ids, make, [T.StructField(text, T.StringType())])
@@ -276,9 +414,10 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
 
 def round_trip_digests(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """docs (text dropped) with n_tokens, SHA-256 of the decimal ids and SHA-256 of the text decoded from them: encode and decode in one pass."""
+    classes = letter_classes(vocabulary)
 
     def make():
-        bpe, known = encoder(vocabulary)
+        bpe, known = encoder(vocabulary, classes)
 
         def run(texts):
             flat, ends = known.encode_all([bpe.pieces(t or "") for t in texts])
@@ -292,4 +431,4 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, text: str = "text") ->
         return run
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return with_text_columns(docs, text, make, fields, max_chars=500_000).drop(text)
+    return with_text_columns(docs, text, make, fields).drop(text)
