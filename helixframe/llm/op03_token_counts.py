@@ -4,8 +4,9 @@ A change batch holds signed rows (+1 for an inserted document, -1 for a deleted
 Applying a batch folds its rows to additive deltas per (source, language, tokenizer version), writes them under a name
 of its own, and then commits by writing one small row that names the batch and the written deltas. Totals are the
 sums over committed deltas. A batch that is applied again after its commit changes nothing; an attempt that died before its
-commit is never read; if two attempts commit the same batch, the one with the smaller name counts. compact() folds all
-committed batches into one.
+commit is never read; if two attempts commit the same batch, the one with the smaller name counts. compact() folds the
+batches that were committed when it began into one row per group; a batch that is committed to the old rollup later is
+not among those of the new one and can be applied to it.
 
 Sums are aggregated per task before the shuffle, so a hot source costs one row per task. No document-level state is kept.
 
@@ -65,15 +66,24 @@ class TokenRollup:
     def committed(self) -> DataFrame:
         return self._read("deltas", _DELTAS).join(self.commits(), ["batch", "attempt"], "left_semi")
 
+    @staticmethod
+    def _totals(deltas: DataFrame) -> DataFrame:
+        sums = deltas.groupBy(*KEYS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
+        return sums.where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
+
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens over all committed batches."""
-        sums = self.committed().groupBy(*KEYS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
-        return sums.where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
+        return self._totals(self.committed())
 
     def compact(self, path: str) -> TokenRollup:
-        """A new rollup with the same totals and the same committed batch names, each with no more than one row per group in all."""
-        to = TokenRollup(self.spark, path)
-        attempt = uuid.uuid4().hex
-        self.totals().select(F.lit("compacted").alias("batch"), F.lit(attempt).alias("attempt"), *KEYS, F.col("n_docs").alias("d_docs"), F.col("n_tokens").alias("d_tokens")).write.parquet(f"{path}/deltas/{attempt}")
-        self.commits().select("batch", F.lit(attempt).alias("attempt")).unionByName(self.spark.createDataFrame([("compacted", attempt)], _COMMITS)).coalesce(1).write.parquet(f"{path}/commits/{attempt}")
+        """A new rollup with the same totals and the same committed batch names, with one row per group in all."""
+        to, attempt = TokenRollup(self.spark, path), uuid.uuid4().hex
+        # The commits are read once: totals and names come from the same ones.
+        self.commits().write.parquet(f"{path}/folded/{attempt}")
+        folded = self.spark.read.schema(_COMMITS).parquet(f"{path}/folded/{attempt}")
+        sums = self._totals(self._read("deltas", _DELTAS).join(folded, ["batch", "attempt"], "left_semi"))
+        # The folded deltas are a batch named by their attempt, which no caller's batch is.
+        sums.select(F.lit(attempt).alias("batch"), F.lit(attempt).alias("attempt"), *KEYS, F.col("n_docs").alias("d_docs"), F.col("n_tokens").alias("d_tokens")).write.parquet(f"{path}/deltas/{attempt}")
+        done = self.spark.createDataFrame([(attempt, attempt)], _COMMITS)
+        folded.select("batch", F.lit(attempt).alias("attempt")).unionByName(done).coalesce(1).write.parquet(f"{path}/commits/{attempt}")
         return to
