@@ -1,17 +1,20 @@
 """Operator 4: language identification by compression with per-language zstandard dictionaries.
 
-Learning joins a bounded number of passages of each language into one raw-content dictionary. A text is cut into blocks
-of block_chars characters; each block's letters (lower-cased, runs of anything else as one space) are compressed with
-every language's dictionary, and a language's size is the sum over all blocks of the whole text. The language with the
-smallest size wins. Blocks keep a long text from becoming its own dictionary. A text is rejected when its margin, the
-gap to the second size divided by the second size, is narrower than min_margin, or when it has no letters.
+Whole learnt texts are cut into passages of passage_chars characters; of each language's distinct passages a bounded
+number, those with the smallest hashes, becomes one raw-content dictionary. A text is cut into blocks of block_chars
+characters; each block's letters (lower-cased, runs of anything else as one space) are compressed with every language's
+dictionary, and a language's size is the sum over all blocks of the whole text. The language with the smallest size
+wins. Blocks keep a long text from becoming its own dictionary. A text is rejected when its margin, the gap to the
+second size divided by the second size, is narrower than min_margin, or when it has no letters.
 
 score = 1 / (1 + sum over the other languages of exp(-sharpness * gap / smallest size)): 1 when far ahead, 1/n when all tie.
 
-Defined results: null texts and texts without letters are `und`, score 0, rejected; ties go to the language with more
-learnt rows, then the first in alphabetical order (and are rejected, their margin being 0); very long texts are compressed whole, block by block;
-repeated rows give repeated results; with no learnt language every text is `und`; an empty table gives an empty
-result; other columns pass through, except those that bear a result column's name, which are replaced.
+Defined results: null texts and texts without a letter (numerals such as Roman or circled ones are none) are `und`,
+score 0, rejected; ties go to the language with more learnt rows, then the first in alphabetical order (and are
+rejected, their margin being 0); very long texts are compressed whole, block by block; repeated rows give repeated
+results; with no learnt language every text is `und`; any number of languages is learnt (passages * passage_chars
+characters each); an empty table gives an empty result; other columns pass through, except those that bear a result
+column's name, which are replaced.
 """
 
 from __future__ import annotations
@@ -25,18 +28,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import use_table, with_text_columns
+from .common import stored, use_table, with_text_columns
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 @dataclass(frozen=True)
 class Params:
-    """passages per language, their length and the number of languages bound what is learnt from: passages * passage_chars * max_languages characters."""
+    """passages per language and their length bound what is learnt from each language: passages * passage_chars characters."""
 
     passages: int = 256
     passage_chars: int = 768
-    max_languages: int = 200
     block_chars: int = 4096
     level: int = 6
     min_match: int = 3
@@ -45,32 +47,31 @@ class Params:
 
 
 def letters(text: str) -> str:
-    return _NOT_LETTERS.sub(" ", text.lower()).strip()
+    """Lower-cased words with one space between them; empty if no character is a letter."""
+    clean = _NOT_LETTERS.sub(" ", text.lower()).strip()
+    return clean if any(map(str.isalpha, clean)) else ""
 
 
 def fit(docs: DataFrame, params: Params = Params(), text: str = "text", lang: str = "lang") -> dict[str, bytes]:
-    """One dictionary per non-null language, in descending order of rows: the distinct passages, from the middle of the rows, with the smallest hashes.
+    """One dictionary per non-null language, in descending order of rows.
 
     Keys play no part: rows with null or repeated keys are learnt from like others, and repeated passages are one.
     """
     p = params
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"))
-    middle = F.substring("t", F.greatest(F.lit(1), ((F.length("t") - p.passage_chars) / 2).cast("int")), F.lit(p.passage_chars))
-    rows = rows.select("l", middle.alias("t")).where(F.col("t").rlike(r"\p{L}")).select("l", "t", F.xxhash64("t").alias("h"))
-    counts = rows.groupBy("l").agg(F.count("*").alias("count"), F.approx_count_distinct("h").alias("passages")).orderBy(F.desc("count"), "l").limit(p.max_languages + 1).collect()
-    if len(counts) > p.max_languages:
-        raise ValueError(f"more than {p.max_languages} languages")
-    if not counts:
-        return {}
+    rows = rows.select("l", F.posexplode(F.regexp_extract_all("t", F.lit(f"(?s).{{1,{p.passage_chars}}}"), F.lit(0))).alias("place", "t"))
+    rows = rows.where(F.col("t").rlike(r"\p{L}")).select("l", "place", "t", F.xxhash64("t").alias("h"))
+    learnt = stored(rows.groupBy("l").agg(F.count(F.when(F.col("place") == 0, 1)).alias("count"), F.approx_count_distinct("h").alias("passages")), "languages")
     # About four times the wanted passages of each language lie below its hash bound; of those, ranked, the first are taken.
-    bounds = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, (4 * p.passages + 64) / max(r["passages"], 1)))])
-    near = rows.where((F.pmod("h", F.lit(1 << 40)) / float(1 << 40)) < F.element_at(bounds, F.col("l"))).groupBy("l", "h").agg(F.min("t").alias("t"))
+    share = F.pmod("h", F.lit(1 << 40)) / float(1 << 40)
+    near = rows.join(learnt.select("l", ((4 * p.passages + 64) / F.col("passages")).alias("bound")), "l").where(share < F.col("bound")).groupBy("l", "h").agg(F.min("t").alias("t"))
     order = Window.partitionBy("l").orderBy(F.pmod("h", F.lit(1 << 40)), "h")
-    chosen = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= p.passages).limit(p.passages * p.max_languages)
+    chosen = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= p.passages)
     out: dict[str, list[str]] = {}
-    for r in chosen.orderBy("l", F.desc("r")).collect():
+    for r in chosen.orderBy("l", F.desc("r")).collect():  # at most p.passages rows a language
         out.setdefault(r["l"], []).append(letters(r["t"]))
-    return {r["l"]: "\n".join(out[r["l"]]).encode() for r in counts if r["l"] in out}
+    names = [r["l"] for r in learnt.orderBy(F.desc("count"), "l").collect()]
+    return {name: "\n".join(out[name]).encode() for name in names if name in out}
 
 
 class Classifier:
@@ -100,7 +101,7 @@ class Classifier:
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], params: Params = Params(), text: str = "text", out: str = "lang_pred", score: str = "score", rejected: str = "rejected") -> DataFrame:
-    """docs with the predicted language, its score and whether it is rejected. The dictionaries are bounded by Params."""
+    """docs with the predicted language, its score and whether it is rejected. Params bounds each dictionary."""
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def make():
