@@ -20,6 +20,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import math
 import os
 import struct
 import uuid
@@ -51,20 +52,43 @@ class RangeZip:
         self.file, size = file, file.size()
         tail_at = max(0, size - 65_557)
         tail = self._read(tail_at, size - tail_at)
+        # An end mark inside the archive comment is no end record: the comment of a true one reaches the file's end, and
+        # its directory is where it says. A comment may even hold the record of an empty archive, so one with members wins.
+        ends, problem = [], "no end record: not a ZIP file, or a damaged one"
         at = tail.rfind(END)
-        if at < 0:
-            raise ValueError("no end record: not a ZIP file")
-        count, length, start = struct.unpack_from("<H", tail, at + 10)[0], *struct.unpack_from("<II", tail, at + 12)
-        locator = tail[at - 20 : at] if at >= 20 else b""
+        while at >= 0:
+            if at + 22 <= len(tail) and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] == len(tail):
+                try:
+                    ends.append(self._directory(tail_at + at, tail[at : at + 22], size))
+                except ValueError as e:
+                    problem = str(e)
+            at = tail.rfind(END, 0, at)
+        if not ends:
+            raise ValueError(problem)
+        self.members = next((m for m in ends if m), {})  # name -> method, size, local header
+        self._starts: dict[str, int] = {}
+
+    def _directory(self, end: int, record: bytes, size: int) -> dict[str, tuple[int, int, int]]:
+        """The members by the end record at place `end`."""
+        count, length, start = struct.unpack_from("<H", record, 10)[0], *struct.unpack_from("<II", record, 12)
+        locator = self._read(end - 20, 20) if end >= 20 else b""
         if locator[:4] == LOCATOR64:
-            end64 = self._read(struct.unpack_from("<Q", locator, 8)[0], 56)
-            if end64[:4] != END64:
+            # bytes before the archive move the record; it then stands right before its locator
+            for place in (struct.unpack_from("<Q", locator, 8)[0], end - 76):
+                end64 = self._read(place, 56) if 0 <= place <= size - 56 else b""
+                if end64[:4] == END64:
+                    break
+            else:
                 raise ValueError("the ZIP64 end record is missing")
             count, length, start = struct.unpack_from("<Q", end64, 32)[0], *struct.unpack_from("<QQ", end64, 40)
-        self.members: dict[str, tuple[int, int, int]] = {}  # name -> method, size, local header
-        raw, at = self._read(start, length), 0
+            end = place
+        before = end - length - start  # bytes before the archive, which its offsets don't count
+        if before < 0:
+            raise ValueError("the central directory is damaged")
+        members: dict[str, tuple[int, int, int]] = {}
+        raw, at = self._read(start + before, length), 0
         for _ in range(count):
-            if raw[at : at + 4] != CENTRAL:
+            if raw[at : at + 4] != CENTRAL or at + 46 > len(raw):
                 raise ValueError("the central directory is damaged")
             flags, method = struct.unpack_from("<HH", raw, at + 8)
             packed, plain, n_name, n_extra, n_comment = struct.unpack_from("<IIHHH", raw, at + 20)
@@ -79,8 +103,10 @@ class RangeZip:
                     packed = wide.pop(0) if packed == 0xFFFFFFFF else packed
                     header = wide.pop(0) if header == 0xFFFFFFFF else header
                 extra = extra[4 + n :]
-            self.members[name] = method, packed, header
-        self._starts: dict[str, int] = {}
+            members[name] = method, packed, header + before
+        if raw[at : at + 4] == CENTRAL:
+            raise ValueError("the central directory has more entries than its end record counts")
+        return members
 
     def _read(self, at: int, n: int) -> bytes:
         return self.file.read_at(n, at)
@@ -193,13 +219,17 @@ def read_record(uri: str, page: int) -> tuple[dict[str, str], bytes] | None:
 
 # ---- Spark -------------------------------------------------------------------------------------------------------
 
-MANIFEST = "shard int, path string, n_records long"
+MANIFEST = "shard int, part int, path string, n_records long"
 
 
-def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 100) -> DataFrame:
-    """Writes packages below path, in ascending key order, and returns their manifest (one row per package)."""
+def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 100, pages_per_task: int = 100_000, max_package_bytes: int = 1 << 30) -> DataFrame:
+    """Writes packages below path, in ascending key order, and returns their manifest (one row per package).
+
+    There is a task per pages_per_task pages (spark.sql.shuffle.partitions at least), and a task begins a new package
+    when one holds max_package_bytes.
+    """
     spark = pages.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(pages.count() / pages_per_task))
     rows = pages.select(F.col(key).cast("long").alias("k"), F.col(url).alias("u"), F.encode(F.coalesce(payload, F.lit("")), "UTF-8").alias("p")).withColumn("d", F.sha2("p", 256))
     firsts = rows.where(F.octet_length("p") >= min_bytes).groupBy(F.col("d").alias("fd")).agg(F.min("k").alias("first"), F.count("*").alias("n")).where("n > 1")
     # The keys of revisits alone meet the digests; then both sides meet in the partition that writes them.
@@ -208,21 +238,27 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
         revisits.select("k", F.lit(None).cast("string").alias("u"), F.lit(None).cast("binary").alias("p"), "d", "first", F.lit(0).alias("kind"))
     )
 
+    def row(shard: int, part: int, uri: str, n_records: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([uri]), pa.array([n_records], pa.int64())], ["shard", "part", "path", "n_records"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, uri, shard = None, "", TaskContext.get().partitionId()
+        out, uri, shard, part = None, "", TaskContext.get().partitionId(), 0
         noted: tuple | None = None
         for b in batches:
             for k, u, p, d, first, kind in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if kind == 0:
                     noted = k, d, first
                     continue
+                if out is not None and out.at >= max_package_bytes:
+                    yield row(shard, part, uri, out.close())
+                    out, part = None, part + 1
                 if out is None:
-                    uri = f"{path}/pages-{shard:06d}-{uuid.uuid4().hex}.wacz"
+                    uri = f"{path}/pages-{shard:06d}-{part:04d}-{uuid.uuid4().hex}.wacz"
                     out = PackageWriter(uri)
                 refers = str(noted[2]) if noted is not None and noted[:2] == (k, d) and noted[2] is not None else None
                 out.add("" if k is None else str(k), u, p, d, refers)
         if out is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([uri]), pa.array([out.close()], pa.int64())], ["shard", "path", "n_records"])
+            yield row(shard, part, uri, out.close())
 
     ordered = both.repartitionByRange(n, "k").sortWithinPartitions("k", "d", "kind")
     ordered.mapInArrow(run, MANIFEST).write.parquet(f"{path}/manifest")
