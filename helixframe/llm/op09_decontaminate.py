@@ -11,7 +11,7 @@ Items without a window to look for, as they are shorter than one or placeholders
 for by value: the plain words of all their windows, or of the whole item where it is shorter. That is a scan of its own,
 made only where there are such items.
 
-The benchmark's windows are sent to every task while they are at most max_broadcast; beyond that the join shuffles. The
+The benchmark's windows are sent to every task while they are at most max_broadcast bytes; beyond that the join shuffles. The
 texts are scanned once; only matched windows leave the scan, so a passage that many documents share costs a row per
 match and no document group is gathered.
 
@@ -54,7 +54,7 @@ class Params:
 
     window: int = 8
     min_coverage: float = 0.5
-    max_broadcast: int = 1_000_000
+    max_broadcast: int = 1 << 26
     verbatim: bool = False
 
 
@@ -96,7 +96,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: Params = Params(
     items = items.withColumn("tw", F.slice("w", F.col("at") + 1, p.window)).where(F.size(F.filter("tw", lambda x: F.startswith(x, F.lit(MARK)))) * 2 <= p.window)
     items = items.select("item", "at", "h", F.slice("v", F.col("at") + 1, p.window).alias("iv")).dropDuplicates(["item", "at", "h"])
     sizes = items.groupBy("item").agg(F.countDistinct("at").alias("n_windows"))
-    small = items.count() <= p.max_broadcast
+    small = table_bytes(items, "iv") <= p.max_broadcast
     hint = F.broadcast if small else (lambda df: df)
     # (explode_outer, as a plain explode would compute all of this once more in a filter)
     texts = windows(docs, key, text, p)
@@ -120,6 +120,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: Params = Params(
     return held.where(F.col("coverage") >= p.min_coverage).select(F.col("k").alias(key), F.col("item").alias(item), "n_windows", "n_matched", "coverage")
 
 
+def table_bytes(df: DataFrame, *arrays: str) -> int:
+    """About how much memory a table of numbers and arrays of strings takes: 64 bytes a row, and 24 and its length for each string."""
+    size = F.lit(64).cast("long")
+    for a in arrays:
+        size = size + F.aggregate(a, F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 24)
+    return df.agg(F.sum(size)).first()[0] or 0
+
+
 def value_matches(docs: DataFrame, benchmark: DataFrame, sizes: DataFrame, p: Params, key: str, text: str, item: str, item_text: str) -> DataFrame | None:
     """(k, item, n_windows, n_matched) by plain words, of the items that `sizes` doesn't hold; None where there is none."""
 
@@ -136,7 +144,7 @@ def value_matches(docs: DataFrame, benchmark: DataFrame, sizes: DataFrame, p: Pa
     lengths = [r[0] for r in items.select("length").distinct().orderBy("length").collect()]  # at most p.window
     if not lengths:
         return None
-    hint = F.broadcast if items.count() <= p.max_broadcast else (lambda df: df)
+    hint = F.broadcast if table_bytes(items) <= p.max_broadcast else (lambda df: df)
     each = lambda v: F.array_distinct(F.concat(*[F.coalesce(hashes(v, F.lit(n)), F.array().cast("array<bigint>")) for n in lengths]))
     texts = plain(docs, key, text).select("k", F.explode_outer(let(F.col("v"), each)).alias("h"))
     n_windows = items.groupBy("item").agg(F.countDistinct("at").alias("n_windows"))
