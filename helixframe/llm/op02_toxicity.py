@@ -2,8 +2,8 @@
 
 Features of a text are the distinct hashes (2**bits slots) of its words, word pairs and pairs with one word between, all
 lower-cased. FTRL-proximal is a sequential method (averaging separately trained shards lost a third of the held-out
-recall here), so it learns from a sample whose size max_rows bounds: the features of those rows are made by all tasks,
-and one task makes the passes (a learning rate per coordinate; L1 makes most weights exactly zero; features in fewer
+recall here), so it learns from a sample whose rows and features max_rows and max_slots bound: features are made by all
+tasks, from whole texts, and one task makes the passes (a learning rate per coordinate; L1 makes most weights exactly zero; features in fewer
 than min_rows rows are left out). The result is an intercept and a sparse vector of at most 2**bits weights, in
 practice some hundreds, small enough to send to every task. Scoring reads each whole text once, without a shuffle.
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep_table, use_table, with_text_columns
+from .common import keep_table, stored, use_table, with_text_columns
 
 _WORD = re.compile(r"[^\W_]+")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -34,10 +34,11 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 
 @dataclass(frozen=True)
 class Params:
-    """max_rows bounds the labelled sample (chosen by key hash); all else is fixed, whatever the input's size."""
+    """max_rows and max_slots bound the labelled sample (chosen by key hash): about so many rows, and features in all; the rest is fixed, whatever the input's size."""
 
     bits: int = 20
     max_rows: int = 16_000
+    max_slots: int = 32_000_000
     min_rows: int = 4
     epochs: int = 6
     alpha: float = 3.0
@@ -118,7 +119,8 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, p: Params) -> tuple[float,
 def fit(docs: DataFrame, labels: DataFrame, params: Params = Params(), key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Learns from the rows of labels (key, label 0/1) and the texts of docs with the same key.
 
-    If there are more labelled keys than max_rows, about max_rows of them are taken, by key hash.
+    If there are more labelled keys than max_rows, about max_rows of them are taken, by key hash; of those, if their
+    texts have more than max_slots features, about as many as have max_slots.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(F.col(label).cast("int")).alias("_y"))
     count = known.count()
@@ -132,7 +134,11 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params(), key: str
     def make():
         return lambda texts: [[x.astype(np.int32) for x in distinct_features([t or "" for t in texts], p.bits)]]
 
-    ready = with_text_columns(rows, "_text", make, [T.StructField("_slots", T.ArrayType(T.IntegerType()))], max_chars=500_000).drop("_text")
+    ready = with_text_columns(rows, "_text", make, [T.StructField("_slots", T.ArrayType(T.IntegerType()))]).drop("_text")
+    ready = stored(ready, "toxicity-features")
+    slots = ready.agg(F.sum(F.size("_slots"))).first()[0] or 0
+    if slots > p.max_slots:
+        ready = ready.where(F.pmod(F.xxhash64("_key", F.lit(2)), F.lit(1 << 30)) < int(p.max_slots / slots * (1 << 30)))
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort([xxhash.xxh3_64_intdigest(str(k)) for k in pdf["_key"]], kind="stable")
@@ -147,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params(), key: str
         found = np.flatnonzero(w)
         return pd.DataFrame({"slot": np.append(found, -1), "w": np.append(w[found], w0)})
 
-    # one group of at most about max_rows rows
+    # one group of at most about max_rows rows and max_slots numbers
     got = ready.groupBy(F.lit(0).alias("_all")).applyInPandas(learn, "slot long, w double").toPandas()  # at most 2**bits + 1 rows
     if got.empty:
         return Model(p.bits, -math.inf, np.zeros(0, np.int64), np.zeros(0))
@@ -182,4 +188,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score",
 
         return run
 
-    return with_text_columns(docs, text, make, [T.StructField(out, T.DoubleType()), T.StructField(flag, T.IntegerType())], max_chars=500_000)
+    return with_text_columns(docs, text, make, [T.StructField(out, T.DoubleType()), T.StructField(flag, T.IntegerType())])
