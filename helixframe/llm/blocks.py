@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forest_roots, runs, stored
+from .common import forest_roots, give_back, runs, stored
 
 LINKS = "id long, links long, root long"
 
@@ -57,6 +57,7 @@ def blocked_links(rows: DataFrame, payload: DataFrame, compare: Compare, block:
             root = ids[order][forest_roots(len(ids), rank[i], rank[j])[rank]]
             has = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array(ids[has], pa.int64()), pa.array(links[has].astype(np.int64)), pa.array(root[has], pa.int64())], ["id", "links", "root"])
+        give_back()
 
     return units.mapInArrow(run, LINKS)
 

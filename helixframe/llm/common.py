@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -11,6 +12,7 @@ from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession, what: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one only where that is unset."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Where that is unset, a temporary folder serves a local master; on a cluster it is an error."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that they share with the driver")
         base = f"file://{tempfile.mkdtemp(prefix='helixframe-')}"
         sc.setCheckpointDir(base)
     elif not sc.getCheckpointDir():
@@ -65,11 +69,12 @@ def arrow_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sc
     return df.mapInArrow(run, schema)
 
 
-def with_text_columns(df: DataFrame, text: str, make: Callable[[], Callable[[list], list]], fields: list[T.StructField], max_chars: int = 1_000_000) -> DataFrame:
+def with_text_columns(df: DataFrame, text: str, make: Callable[[], Callable[[list], list]], fields: list[T.StructField], max_chars: int = 250_000) -> DataFrame:
     """df with columns computed from its text column in Arrow batches.
 
     make() is called once per task and returns a function from a list of texts (None stays None) to one list per field.
-    Lists hold about max_chars characters at a time (a single longer text comes alone), which bounds memory.
+    Texts are taken from a batch, and results handed on, about max_chars bytes at a time (a single longer text comes
+    alone), so a task never holds the Python objects of a whole batch.
     An input column that bears the name of an output field is replaced by it.
     """
     kept = [f for f in df.schema.fields if f.name not in {x.name for x in fields} or f.name == text]
@@ -82,28 +87,33 @@ def with_text_columns(df: DataFrame, text: str, make: Callable[[], Callable[[lis
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for b in batches:
-            texts = b.column(names.index(text)).to_pylist()
-            columns: list[list] = [[] for _ in fields]
-            for a, z in text_slices(texts, max_chars):
-                for have, new in zip(columns, fn(texts[a:z]), strict=True):
-                    have.extend(new)
-            own = [b.column(names.index(f.name)) for f in outer]
-            made = [pa.array(c, arrow.field(len(outer) + i).type) for i, c in enumerate(columns)]
-            yield pa.RecordBatch.from_arrays([x.cast(arrow.field(i).type) for i, x in enumerate(own)] + made, schema=arrow)
+            texts = b.column(names.index(text))
+            own = [b.column(names.index(f.name)).cast(arrow.field(i).type) for i, f in enumerate(outer)]
+            for a, z in slices(item_sizes(texts), max_chars):
+                made = [pa.array(c, arrow.field(len(outer) + i).type) for i, c in enumerate(fn(texts.slice(a, z - a).to_pylist()))]
+                yield pa.RecordBatch.from_arrays([x.slice(a, z - a) for x in own] + made, schema=arrow)
+            del b, texts, own
+            give_back()
 
     return df.select(*names).mapInArrow(run, schema)
 
 
-def text_slices(texts: list, max_chars: int) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > start and size + n > max_chars:
+def item_sizes(column: pa.Array) -> list[int]:
+    """Bytes of each string, or items of each list; 0 for null."""
+    nested = pa.types.is_list(column.type) or pa.types.is_large_list(column.type)
+    return pc.fill_null(pc.list_value_length(column) if nested else pc.binary_length(column), 0).to_pylist()
+
+
+def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of items whose sizes sum to `most` at most (a larger item has a range of its own)."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > most:
             yield start, i
-            start, size = i, 0
-        size += n
-    if start < len(texts):
-        yield start, len(texts)
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 #: Tables that a Python worker keeps between tasks: name -> how to empty them.
@@ -123,9 +133,23 @@ def use_table(name: str) -> None:
             if other != name:
                 clear()
         gc.collect()
+        give_back()
         _in_use = name
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # not glibc
+    _trim = None
+
+
+def give_back() -> None:
+    """Returns memory that Arrow and the C library keep for later to the system: a reused worker's share stays small."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 #: Characters that Python's str.split() takes for white space and Unicode's White_Space property does not.
 _NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 _SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -142,8 +166,7 @@ class Offsets:
     """Variable-length items in one flat array with an offset table; take() concatenates chosen items without a Python loop."""
 
     def __init__(self, flat: np.ndarray, offsets: np.ndarray):
-        self.flat, self.offsets = flat, offsets.astype(np.int64)
-        self.lengths = np.diff(self.offsets)
+        self.flat, self.offsets = flat, offsets
 
     @classmethod
     def of_bytes(cls, items: list[bytes]) -> Offsets:
@@ -151,7 +174,7 @@ class Offsets:
 
     def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The chosen items' values one after another, and the bounds of each (length + 1)."""
-        n = self.lengths[which]
+        n = self.offsets[which + 1] - self.offsets[which]
         ends = np.concatenate(([0], np.cumsum(n)))
         at = np.repeat(self.offsets[which] - ends[:-1], n)
         at += np.arange(ends[-1])

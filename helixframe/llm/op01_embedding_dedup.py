@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import blocked_links, components
-from .common import stored
+from .common import give_back, stored
 
 
 @dataclass(frozen=True)
@@ -59,7 +59,7 @@ def near_duplicates(vectors: DataFrame, params: Params = Params(), key: str = "v
     rows = vectors.select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v"), F.col(label).alias("l"))
     good = F.col("l").isNotNull() & F.coalesce(F.size("v") > 0, F.lit(False)) & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("good", good).withColumn("c1", F.when(F.col("good"), F.xxhash64("l", "v"))).withColumn("c2", F.when(F.col("good"), F.xxhash64(F.lit(1), "v", "l")))
-    # Two 64-bit hashes stand for label and components; the class is numbered by the first.
+    # Two 64-bit hashes stand for label and components; the class is numbered by a hash of both.
     classes = stored(rows.where("good").groupBy("c1", "c2").agg(F.min("k").alias("least"), F.count("*").alias("weight"), F.any_value("l").alias("l"), F.any_value("v").alias("v")).select(F.xxhash64("c1", "c2").alias("id"), "c1", "c2", "least", "weight", F.xxhash64("l", F.size("v")).alias("l"), F.col("v").cast("array<double>").alias("v")), "classes")
     largest = classes.groupBy("l").count().agg(F.max("count")).first()[0] or 0
     bits, tables = shape(largest, p)
@@ -80,7 +80,8 @@ def near_duplicates(vectors: DataFrame, params: Params = Params(), key: str = "v
                 out[which] = sign_codes(x, bits, tables, p.seed)
                 for i, row in zip(which.tolist(), x, strict=True):
                     norms[i] = row.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([r.tobytes() for r in out], pa.binary()), pa.array([[int(c) for c in r] for r in out], pa.list_(pa.int32())), pa.array(norms, pa.binary())], ["id", "l", "weight", "codes", "each", "unit"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([r.tobytes() for r in out], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, tables), pa.int32()), pa.array(out.ravel())), pa.array(norms, pa.binary())], ["id", "l", "weight", "codes", "each", "unit"])
+        give_back()
 
     coded = stored(classes.select("id", "l", "weight", "v").mapInArrow(codes, "id long, l long, weight long, codes binary, each array<int>, unit binary"), "codes")
     buckets = coded.select("id", "l", F.posexplode("each").alias("t", "c"))
