@@ -25,9 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .blocks import blocked_links, components
-from .common import stored, text_slices, use_table
+from .common import give_back, item_sizes, slices, stored, use_table
 from .op02_toxicity import _HASHES, _WORD
 
 
@@ -97,64 +99,75 @@ def band_keys(minima: np.ndarray, p: Params) -> np.ndarray:
     return key.view(np.int64)
 
 
-SKETCH = "k long, id long, id2 long, size int, sketch binary, bands array<long>"
+def set_ids(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Two 64-bit hashes of each whole set."""
+    with np.errstate(over="ignore"):
+        return [np.array([int((s * np.uint64(m) >> np.uint64(3)).sum(dtype=np.uint64) ^ np.uint64(len(s))) for s in sets], np.uint64).view(np.int64) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+
+
+SKETCH = "k long, th long, id long, id2 long, size int, sketch binary, bands array<long>"
 
 
-def sketches(docs: DataFrame, p: Params, key: str, text: str) -> DataFrame:
-    """Per document with n-grams: its class (two hashes of the whole set), set size, signature bytes and band keys."""
+def sketches(docs: DataFrame, p: Params) -> DataFrame:
+    """Per row of docs (k, t), its class (two hashes of the whole set), set size, signature bytes and band keys; nulls and size 0 for a row without n-grams. th numbers the pair (k, t)."""
+    schema = to_arrow_schema(StructType.fromDDL(SKETCH))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, keys = b.column(1).to_pylist(), b.column(0)
-            for a, z in text_slices(texts, 400_000):
-                sets = ngram_hashes(texts[a:z], p.n)
-                has = [i for i, s in enumerate(sets) if len(s)]
-                if not has:
-                    continue
-                sets = [sets[i] for i in has]
-                minima = signatures(sets, p)
-                with np.errstate(over="ignore"):
-                    sums = [np.array([int((s * np.uint64(m) >> np.uint64(3)).sum(dtype=np.uint64) ^ np.uint64(len(s))) for s in sets], np.uint64).view(np.int64) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
-                bands = band_keys(minima, p)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, p.bands), pa.int32()), pa.array(bands.ravel()))
-                raw = (minima >> np.uint32(4)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array([a + i for i in has])), pa.array(sums[0]), pa.array(sums[1]), pa.array([len(s) for s in sets], pa.int32()), pa.array([r.tobytes() for r in raw], pa.binary()), lists],
-                    ["k", "id", "id2", "size", "sketch", "bands"],
-                )
-
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, SKETCH)
-
-
-def key_bitmap(keys: DataFrame, bits: int) -> np.ndarray:
-    """One bit per hash of a key: 2**bits bits, whatever the number of keys. Built by all tasks; the driver gets at most 2**bits / 64 words."""
-    at = F.pmod(F.xxhash64("k"), F.lit(1 << bits))
-    words = keys.select(F.shiftright(at, 6).cast("int").alias("word"), (at % 64).cast("int").alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toPandas()
+            part = None
+            for a, z in slices(item_sizes(b.column(2)), 400_000):
+                part = b.slice(a, z - a)
+                sets = ngram_hashes(part.column(2).to_pylist(), p.n)
+                full = np.array([len(s) > 0 for s in sets])
+                none = part.filter(pa.array(~full))
+                if none.num_rows:
+                    yield pa.RecordBatch.from_arrays([none.column(0), none.column(1), *(pa.array([x] * none.num_rows, schema.field(i + 2).type) for i, x in enumerate((None, None, 0, None, None)))], schema=schema)
+                if full.any():
+                    sets, part = [s for s in sets if len(s)], part.filter(pa.array(full))
+                    minima = signatures(sets, p)
+                    bands = band_keys(minima, p)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, p.bands), pa.int32()), pa.array(bands.ravel()))
+                    raw = (minima >> np.uint32(4)).astype(np.uint8)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), part.column(1), *map(pa.array, set_ids(sets)), pa.array([len(s) for s in sets], pa.int32()), pa.array([r.tobytes() for r in raw], pa.binary()), lists.cast(schema.field(6).type)],
+                        schema=schema,
+                    )
+            del b, part
+            give_back()
+
+    return docs.select("k", F.xxhash64("k", "t").alias("th"), "t").mapInArrow(run, SKETCH)
+
+
+def hash_bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """One bit per hash: 2**bits bits, whatever the number of hashes (column th). Built by all tasks; the driver gets at most 2**bits / 64 words."""
+    at = F.pmod("th", F.lit(1 << bits))
+    words = hashes.select(F.shiftright(at, 6).cast("int").alias("word"), (at % 64).cast("int").alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toPandas()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out.view(np.uint64)
 
 
-def _sets(docs: DataFrame, keys: DataFrame, p: Params) -> DataFrame:
-    """(k, grams): the full n-gram sets of documents (k, t) whose key is among the keys, and of few others.
+def _sets(docs: DataFrame, chosen: DataFrame, p: Params) -> DataFrame:
+    """(id, id2, grams): the full n-gram sets of rows of docs (k, t) whose th is among the chosen, and of few others.
 
-    The scan itself leaves out texts whose key's bit isn't set, so neither their texts nor their sets are shuffled;
-    the exact choice is the caller's join. When very many keys have filled the bitmap it only saves less.
+    The scan itself leaves out texts whose bit isn't set, so neither their texts nor their sets are shuffled; the exact
+    choice is the caller's join on the set's two hashes. When very many have filled the bitmap it only saves less.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(key_bitmap(keys, p.bitmap_bits))
+    shared = docs.sparkSession.sparkContext.broadcast(hash_bitmap(chosen.select("th"), p.bitmap_bits))
     size = 1 << p.bitmap_bits
 
     def run(batches):
         bitmap = shared.value
         for b in batches:
-            at = b.column(1).to_numpy() % size
-            chosen = np.flatnonzero((bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
-            b = b.take(pa.array(chosen))
-            texts = b.column(2).to_pylist()
-            for a, z in text_slices(texts, 400_000):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array([s.tobytes() for s in ngram_hashes(texts[a:z], p.n)], pa.binary())], ["k", "grams"])
+            at = b.column(0).to_numpy() % size
+            b = b.take(pa.array(np.flatnonzero((bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))))
+            for a, z in slices(item_sizes(b.column(1)), 400_000):
+                sets = [s for s in ngram_hashes(b.column(1).slice(a, z - a).to_pylist(), p.n) if len(s)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, set_ids(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "id2", "grams"])
+            del b
+            give_back()
 
-    return docs.where("k is not null").select("k", F.xxhash64("k").alias("h"), "t").mapInArrow(run, "k long, grams binary")
+    return docs.select(F.xxhash64("k", "t").alias("th"), "t").mapInArrow(run, "id long, id2 long, grams binary")
 
 
 def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, step: int = 4096) -> np.ndarray:
@@ -184,9 +197,14 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), key: str = "doc_
     """key, class_id (smallest key that links reach), copy_of (smallest key with the same n-gram set), n_links, kept: one row per row of docs."""
     p = params
     docs = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    made = stored(sketches(docs, p, "k", "t"), "sketches")
-    classes = stored(made.groupBy("id", "id2").agg(F.min("k").alias("least"), F.count("*").alias("weight"), F.any_value("size").alias("size"), F.any_value("sketch").alias("sketch"), F.any_value("bands").alias("bands")), "ngram-classes")
-    buckets = classes.select(F.explode("bands").alias("key"), "id").distinct()
+    made = stored(sketches(docs, p), "sketches")
+    classes = stored(
+        made.where("size > 0").groupBy("id", "id2").agg(
+            F.min("k").alias("least"), F.min("th").alias("th"), F.count("*").alias("weight"), F.any_value("size").alias("size"), F.any_value("sketch").alias("sketch"), F.any_value("bands").alias("bands")
+        ),
+        "ngram-classes",
+    )
+    buckets = classes.select(F.explode("bands").alias("key"), "id")  # a band's number is part of its key
     least_equal, threshold = p.least_equal, p.threshold
 
     def likely(b: pa.RecordBatch, left: np.ndarray, right: np.ndarray):
@@ -210,10 +228,8 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), key: str = "doc_
     groups = components(near.select(F.col("id").alias("a"), F.col("root").alias("b")), "candidate-groups")
     members = stored(groups.select(F.col("component").alias("key"), F.col("node").alias("id")).unionAll(groups.select(F.col("component").alias("key"), F.col("component").alias("id"))).distinct(), "members")
     # one text per class that has candidates
-    chosen = stored(classes.select("id", "weight", "size", "least").join(members.select("id"), "id"), "chosen")
-    chosen = chosen.withColumnRenamed("least", "k")
-    # rows that repeat a key have sets of their own: the class's set is the one that its sketch was made from
-    grams = _sets(docs, chosen.select("k"), p).join(chosen, "k").where(F.octet_length("grams") == F.col("size") * 8)
+    chosen = stored(classes.select("id", "id2", "weight", "th").join(members.select("id"), "id"), "chosen")
+    grams = _sets(docs, chosen, p).join(chosen.select("id", "id2", "weight"), ["id", "id2"])
     grams = stored(grams.select("id", "weight", "grams").dropDuplicates(["id"]), "ngram-sets")
 
     def verify(b: pa.RecordBatch, left: np.ndarray, right: np.ndarray):
@@ -234,8 +250,7 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), key: str = "doc_
     one = stored(one.select("id", "id2", "least", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n"), "component"), "class-links")
     names = stored(one.groupBy("component").agg(F.min("least").alias("name")), "class-names")
     one = stored(one.join(names, "component").select("id", "id2", "least", "n", "name"), "class-results")
-    got = made.select("k", "id", "id2").join(one, ["id", "id2"]).select("k", "least", "n", "name")
-    # documents without n-grams stand for themselves; equal keys have a row each in both parts
-    empty = docs.where(~F.coalesce(F.regexp_like("t", F.lit(r"[\p{L}\p{N}]")), F.lit(False))).select("k", F.col("k").alias("least"), F.lit(0).cast("long").alias("n"), F.col("k").alias("name"))
-    out = got.unionByName(empty)
+    got = made.where("size > 0").select("k", "id", "id2").join(one, ["id", "id2"]).select("k", "least", "n", "name")
+    # rows without n-grams stand for themselves
+    out = got.unionByName(made.where("size = 0").select("k", F.col("k").alias("least"), F.lit(0).cast("long").alias("n"), F.col("k").alias("name")))
     return out.select(F.col("k").alias(key), F.col("name").alias("class_id"), F.col("least").alias("copy_of"), F.col("n").alias("n_links"), F.coalesce(F.col("k") == F.col("name"), F.lit(False)).alias("kept"))
