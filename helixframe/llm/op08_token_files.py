@@ -1,23 +1,27 @@
 """Operator 8: token-id shard files with a minimal perfect hash index from document key to offset.
 
-Texts are range-partitioned by key, sorted, encoded and written as one file per partition, so the files in order hold
-the documents in ascending key order. A file is: the ids of all documents, one after another and unframed (unsigned 16
-or 32 bits, little endian); then the index; then a fixed-size footer. The index places the n distinct keys of the file
-on the numbers 0..n-1 by a cascade of bit levels (a key settles at the first level where no other key shares its bit;
-its number is the count of set bits before it), and holds per number a 32-bit fingerprint and the key's first record.
-A lookup reads a few bits, compares the fingerprint and reads two offsets: constant time, and no keys are compared.
+Texts are range-partitioned by key, sorted, encoded and written as files of at most about max_file_bytes of ids, so the
+files in order hold the documents in ascending key order. A file is: the ids of all documents, one after another and
+unframed (unsigned 16 or 32 bits, little endian); then the index, plain arrays one after another; then a fixed-size
+footer. The index places the n distinct keys of the file on the numbers 0..n-1 by a cascade of bit levels (a key settles
+at the first level where no other key shares its bit; its number is the count of set bits before it), and holds per
+number a 32-bit fingerprint and the key's first record, and per record its key code and where its ids end.
+
+A lookup reads one word and one count per level (under two on average), a fingerprint, a record number, the record's key
+code, which confirms the key, and two offsets: a constant number of small range reads, whatever the file's size.
 
 A file is written under a name of its own per attempt, and only attempts that Spark commits appear in the manifest, so
 lost executors and repeated tasks leave no half files in the result.
 
 Defined results: a null text counts as empty (its record holds the end id alone); a null key's record is written first
-and can be read in order but not looked up; repeated keys keep one record per row, next to each other, ordered by
-text; an empty table gives no files; other columns are not read.
+and can be read in order but not looked up; repeated keys keep one record per row, next to each other in one file,
+ordered by text (a lookup gives the first); keys of text are known by their 64-bit hash; an empty table gives no files;
+other columns are not read.
 """
 
 from __future__ import annotations
 
-import io
+import math
 import os
 import unicodedata
 import uuid
@@ -31,12 +35,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep_table, open_fs, stored, text_slices, use_table, white_split, work_dir
-from .op10_bpe import _PIECES, WORD_END, PieceTable, _normal
+from .common import give_back, item_sizes, keep_table, open_fs, runs, slices, stored, use_table, white_split, work_dir
+from .op10_bpe import WORD_END, LetterClasses, Normalizer, PieceTable, letter_classes
 
-MAGIC = b"HXTOKS01"
-_FOOTER = np.dtype([("ids", "<u8"), ("index", "<u8"), ("width", "<u4"), ("pad", "<u4"), ("magic", "S8")])
-MANIFEST = "shard int, path string, n_docs long, n_ids long, n_bytes long"
+MAGIC = b"HXTOKS02"
+_FOOTER = np.dtype([("ids", "<u8"), ("docs", "<u8"), ("keys", "<u8"), ("words", "<u8"), ("levels", "<u8"), ("width", "<u8"), ("magic", "S8")])
+MANIFEST = "shard int, part int, path string, n_docs long, n_ids long, n_bytes long, first_key long, last_key long"
 _NO_KEY = -(2**63)
 
 
@@ -53,11 +57,10 @@ def mix(keys: np.ndarray, seed: int) -> np.ndarray:
 
 
 class PerfectHash:
-    """Minimal perfect hash of distinct 64-bit keys by levels of bits."""
+    """Minimal perfect hash of distinct 64-bit keys by levels of bits: words of bits, set bits before each word, first bit of each level."""
 
-    def __init__(self, bits: np.ndarray, starts: np.ndarray):
-        self.bits, self.starts = bits, starts
-        self.ranks = np.concatenate(([0], np.cumsum(np.bitwise_count(bits), dtype=np.int64)))
+    def __init__(self, bits, before, starts: np.ndarray):
+        self.bits, self.before, self.starts = bits, before, starts
 
     @classmethod
     def build(cls, keys: np.ndarray, room: float = 2.0) -> PerfectHash:
@@ -69,10 +72,11 @@ class PerfectHash:
             words.append(np.packbits(alone, bitorder="little").view("<u8"))
             starts.append(starts[-1] + size)
             left, level = left[~alone[at]], level + 1
-        return cls(np.concatenate(words) if words else np.zeros(0, "<u8"), np.array(starts, np.int64))
+        bits = np.concatenate(words) if words else np.zeros(0, "<u8")
+        return cls(bits, np.cumsum(np.bitwise_count(bits), dtype=np.int64) - np.bitwise_count(bits), np.array(starts, np.int64))
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
-        """The number of each key; -1 for a key that surely isn't one of those built in (others need a fingerprint)."""
+        """The number of each key; -1 for a key that surely isn't one of those built in (others need to be confirmed)."""
         out = np.full(len(keys), -1, np.int64)
         open_ = np.arange(len(keys))
         for level in range(len(self.starts) - 1):
@@ -84,7 +88,7 @@ class PerfectHash:
             value = self.bits[word]
             hit = (value >> within) & np.uint64(1) == 1
             below = np.bitwise_count(value & ((np.uint64(1) << within) - np.uint64(1)))
-            out[open_[hit]] = self.ranks[word[hit]] + below[hit]
+            out[open_[hit]] = self.before[word[hit]] + below[hit]
             open_ = open_[~hit]
         return out
 
@@ -116,7 +120,8 @@ class ShardWriter:
         self.lengths.append(lengths)
         self.n_ids += len(ids)
 
-    def close(self) -> tuple[int, int, int]:
+    def close(self) -> tuple[int, int, int, int | None, int | None]:
+        """Writes index and footer; documents, ids, bytes, and the smallest and largest key code."""
         codes = np.concatenate(self.codes) if self.codes else np.zeros(0, np.int64)
         ends = np.concatenate(([0], np.cumsum(np.concatenate(self.lengths) if self.lengths else np.zeros(0, np.int64))))
         keys, first = np.unique(codes[codes != _NO_KEY], return_index=True)
@@ -125,42 +130,76 @@ class ShardWriter:
         slots = table.slots(keys.view(np.uint64))
         prints, records = np.zeros(len(keys), "<u4"), np.zeros(len(keys), "<u4")
         prints[slots], records[slots] = fingerprints(keys.view(np.uint64)), first
-        index = io.BytesIO()
-        np.savez(index, bits=table.bits, starts=table.starts, prints=prints, records=records, ends=ends, codes=codes)
-        raw = index.getvalue()
-        self.out.write(raw)
-        self.out.write(np.array([(self.n_ids, len(raw), self.width, 0, MAGIC)], _FOOTER).tobytes())
+        index = (ends.astype("<i8"), codes.astype("<i8"), table.bits, table.before.astype("<i8"), table.starts.astype("<i8"), prints, records)
+        for a in index:
+            self.out.write(a.tobytes())
+        self.out.write(np.array([(self.n_ids, len(codes), len(keys), len(table.bits), len(table.starts), self.width, MAGIC)], _FOOTER).tobytes())
         self.out.close()
-        return len(codes), self.n_ids, self.n_ids * self.width + len(raw) + _FOOTER.itemsize
+        size = self.n_ids * self.width + sum(a.nbytes for a in index) + _FOOTER.itemsize
+        return len(codes), self.n_ids, size, *((int(keys[0]), int(keys[-1])) if len(keys) else (None, None))
+
+
+class _Range:
+    """An array inside a file: chosen items are read one by one, a slice by one range read."""
+
+    def __init__(self, file, at: int, n: int, dtype: str):
+        self.file, self.at, self.n, self.dtype = file, at, n, np.dtype(dtype)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def slice(self, first: int, last: int) -> np.ndarray:
+        return np.frombuffer(self.file.read_at((last - first) * self.dtype.itemsize, self.at + first * self.dtype.itemsize), self.dtype)
+
+    def __getitem__(self, which: np.ndarray) -> np.ndarray:
+        return np.array([self.slice(i, i + 1)[0] for i in which.tolist()], self.dtype)
 
 
 class ShardReader:
-    """Random and ordered access to one file, by ranges."""
+    """Random and ordered access to one file. The index is read item by item, or at once with whole=True (for many keys)."""
 
-    def __init__(self, uri: str):
+    def __init__(self, uri: str, whole: bool = False):
         fs, path = open_fs(uri)
         self.file = fs.open_input_file(path)
         size = self.file.size()
         foot = np.frombuffer(self.file.read_at(_FOOTER.itemsize, size - _FOOTER.itemsize), _FOOTER)[0]
         if foot["magic"] != MAGIC:
             raise ValueError(f"{uri} is not a token file")
-        self.width, self.n_ids = int(foot["width"]), int(foot["ids"])
-        index = np.load(io.BytesIO(self.file.read_at(int(foot["index"]), size - _FOOTER.itemsize - int(foot["index"]))))
-        self.table = PerfectHash(index["bits"], index["starts"])
-        self.prints, self.records, self.ends, self.codes = index["prints"], index["records"], index["ends"], index["codes"]
+        self.width, self.n_ids, self.n_docs = int(foot["width"]), int(foot["ids"]), int(foot["docs"])
+        keys, words = int(foot["keys"]), int(foot["words"])
+        at, arrays = self.n_ids * self.width, []
+        for n, dtype in ((self.n_docs + 1, "<i8"), (self.n_docs, "<i8"), (words, "<u8"), (words, "<i8"), (int(foot["levels"]), "<i8"), (keys, "<u4"), (keys, "<u4")):
+            arrays.append(_Range(self.file, at, n, dtype))
+            at += n * arrays[-1].dtype.itemsize
+        if whole:
+            arrays = [a.slice(0, len(a)) for a in arrays]
+        self.ends, self.codes, bits, before, starts, self.prints, self.records = arrays
+        self.table = PerfectHash(bits, before, starts if whole else starts.slice(0, len(starts)))
+
+    def close(self) -> None:
+        self.file.close()
+
+    def __enter__(self) -> ShardReader:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def find(self, keys) -> np.ndarray:
-        """Record number of each key, -1 if the file has no such key. A strange key passes with a chance of 2**-32."""
-        codes = (keys if isinstance(keys, np.ndarray) else key_codes(keys)).view(np.uint64)
-        slots = self.table.slots(codes)
-        if not len(self.prints):
-            return slots
-        good = (slots >= 0) & (self.prints[slots] == fingerprints(codes))
-        return np.where(good, self.records[slots].astype(np.int64), -1)
+        """The first record of each key, -1 if the file has no such key. The fingerprint rules out most strange keys, the key code the rest."""
+        codes = keys if isinstance(keys, np.ndarray) else key_codes(keys)
+        out = np.full(len(codes), -1, np.int64)
+        slots = self.table.slots(codes.view(np.uint64))
+        at = np.flatnonzero((slots >= 0) & (codes != _NO_KEY))
+        at = at[self.prints[slots[at]] == fingerprints(codes[at].view(np.uint64))]
+        records = self.records[slots[at]].astype(np.int64)
+        same = self.codes[records] == codes[at]
+        out[at[same]] = records[same]
+        return out
 
     def ids(self, first: int, last: int) -> np.ndarray:
         """Ids of records first to last - 1."""
-        a, z = int(self.ends[first]), int(self.ends[last])
+        a, z = self.ends[np.array([first, last])].tolist()
         return np.frombuffer(self.file.read_at((z - a) * self.width, a * self.width), "<u2" if self.width == 2 else "<u4")
 
     def get(self, key) -> np.ndarray | None:
@@ -182,7 +221,7 @@ class LibraryWords:
     a word. A piece of several words is put together from theirs.
     """
 
-    def __init__(self, path: str, max_pieces: int = 800_000, joined: int = 64):
+    def __init__(self, path: str, max_pieces: int = 800_000, joined: int = 64, classes: LetterClasses | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -191,6 +230,8 @@ class LibraryWords:
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
         self.known = PieceTable(None, max_pieces)
+        classes = classes or letter_classes(path)
+        self.normal, self.find_pieces = Normalizer(classes), classes.pieces().findall
         self.joined = joined
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -199,30 +240,34 @@ class LibraryWords:
     def _learn_words(self, words: list[str]) -> None:
         groups = [words[i : i + self.joined] for i in range(0, len(words), self.joined)]
         for group, ids in zip(groups, self.encode([" ".join(g) for g in groups]), strict=True):
-            cuts = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            ids = np.array(ids, np.uint32)
+            cuts = np.flatnonzero(self.ends_word[ids]) + 1
             if len(cuts) == len(group):
-                for w, a, z in zip(group, [0, *cuts], cuts, strict=False):
-                    self.known.add(w, ids[a:z])
+                self.known.add_all(group, ids, cuts)
             else:  # not words of this family: one by one
                 for w, own in zip(group, self.encode(group), strict=True):
                     self.known.add(w, own)
 
     def learn(self, new: set) -> None:
-        """Adds pieces: normalised text, or one-element tuples of text as it came."""
+        """Adds pieces that aren't known: normalised text, or one-element tuples of text as it came."""
         known = self.known
-        raw = [p for p in new if not isinstance(p, str)]
-        for p, ids in zip(raw, self.encode([p[0] for p in raw]), strict=True):
-            known.add(p, ids)
-        words, several = set(), []
+        words, parts, several, raw = [], set(), [], []
         for p in new:
-            if isinstance(p, str):
-                found = _PIECES.findall(p)
+            if not isinstance(p, str):
+                raw.append(p)
+            elif p.isascii() and p.isalpha():
+                words.append(p)
+            else:
+                found = self.find_pieces(p)
                 if len(found) == 1 and found[0] == p:
-                    words.add(p)
+                    words.append(p)
                 else:
                     several.append((p, found))
-                    words.update(found)
-        self._learn_words(list(words.difference(known)))
+                    parts.update(found)
+        for p, ids in zip(raw, self.encode([p[0] for p in raw]), strict=True):
+            known.add(p, ids)
+        words += [w for w in parts if w not in known and w not in new]
+        self._learn_words(words)
         ids, ends = known.ids, known.ends
         for p, found in several:
             if p not in known:
@@ -232,57 +277,80 @@ class LibraryWords:
         return self.known.encode_all(pieces, self.learn)
 
 
-def _split(text: str) -> tuple[list[str], bool]:
-    """White-space pieces, normalised where that surely leaves the library's ids as they are."""
-    low = _normal(text)
-    plain = "<|" not in low and unicodedata.is_normalized("NFC", low)
-    return white_split(low if plain else text), plain
+    def split(self, text: str) -> list:
+        """White-space pieces: normalised ones where that surely leaves the library's ids as they are, else one-element tuples."""
+        if text.isascii():
+            low = text.lower()
+            plain = "<|" not in low
+        else:
+            low = None if any(map(self.normal.__getitem__, set(text))) else self.normal(text)
+            plain = low is not None and "<|" not in low and unicodedata.is_normalized("NFC", low)
+        return white_split(low) if plain else [(p,) for p in white_split(text)]
 
 
-def library_encoder(path: str):
+def library_encoder(path: str, classes: LetterClasses | None = None):
     """From a list of texts to (ids, bounds): every distinct word goes through the tokenizers library, once while it is remembered.
 
     Fit for vocabularies whose pre-tokens do not cross white space and whose white space makes no tokens.
     """
     use_table("library")
     if path not in _LIBRARY:
-        _LIBRARY[path] = LibraryWords(path)
+        _LIBRARY[path] = LibraryWords(path, classes=classes)
     words = _LIBRARY[path]
-    # pieces of texts that can't be normalised beforehand have keys of their own
-    return lambda texts: words.encode_all([x if plain else [(p,) for p in x] for x, plain in map(_split, texts)])
+    return lambda texts: words.encode_all(list(map(words.split, texts)))
 
 
 # ---- Spark -------------------------------------------------------------------------------------------------------
 
 
-def write(docs: DataFrame, path: str, vocabulary: str, vocab_size: int, end_id: int, key: str = "doc_id", text: str = "text", shards: int | None = None) -> DataFrame:
+def write(
+    docs: DataFrame, path: str, vocabulary: str, vocab_size: int, end_id: int, key: str = "doc_id", text: str = "text", docs_per_task: int = 200_000, max_file_bytes: int = 1 << 30
+) -> DataFrame:
     """Writes docs as shard files below path; returns the manifest with each file's first global id position (`base`).
 
-    shards: number of files at most; by default spark.sql.shuffle.partitions. The manifest (one row per file) is
-    stored beside the files.
+    There is a task per docs_per_task documents (spark.sql.shuffle.partitions at least), and a task begins a new file
+    when one holds max_file_bytes of ids. The manifest (one row per file) is stored beside the files.
     """
     spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(docs.count() / docs_per_task))
     width = 2 if max(vocab_size, end_id + 1) <= 65536 else 4
+    classes = letter_classes(vocabulary)
+
+    def row(shard: int, part: int, uri: str, done: tuple) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 5)
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((shard, part, uri, *done), kinds, strict=True)], [x.split()[0] for x in MANIFEST.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, out, uri, shard = library_encoder(vocabulary), None, "", TaskContext.get().partitionId()
+        encode, out, uri, shard, part, last = library_encoder(vocabulary, classes), None, "", TaskContext.get().partitionId(), 0, None
         for b in batches:
-            keys, texts = key_codes(b.column(0).to_pylist()), b.column(1).to_pylist()
-            for a, z in text_slices(texts, 1_000_000):
-                if out is None:
-                    uri = f"{path}/shard-{shard:06d}-{uuid.uuid4().hex}.tok"
-                    out = ShardWriter(uri, width)
-                ids, ends = encode([t or "" for t in texts[a:z]])
-                out.add(keys[a:z], np.insert(ids, ends[1:], end_id), np.diff(ends) + 1)
+            keys = key_codes(b.column(0).to_pylist())
+            for a, z in slices(item_sizes(b.column(1)), min(1_000_000, max_file_bytes)):
+                ids, ends = encode([t or "" for t in b.column(1).slice(a, z - a).to_pylist()])
+                ids, lengths = np.insert(ids, ends[1:], end_id), np.diff(ends) + 1
+                if out is not None and out.n_ids * width >= max_file_bytes:
+                    same = int(np.argmin(np.append(keys[a:z] == last, False)))  # rows of the last key stay in its file
+                    out.add(keys[a : a + same], ids[: lengths[:same].sum()], lengths[:same])
+                    ids, lengths, a = ids[lengths[:same].sum() :], lengths[same:], a + same
+                    if a < z:
+                        yield row(shard, part, uri, out.close())
+                        out, part = None, part + 1
+                if a < z:
+                    if out is None:
+                        uri = f"{path}/shard-{shard:06d}-{part:04d}-{uuid.uuid4().hex}.tok"
+                        out = ShardWriter(uri, width)
+                    out.add(keys[a:z], ids, lengths)
+                    last = keys[z - 1]
+            del b
+            give_back()
         if out is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((shard, uri, *out.close()), (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["shard", "path", "n_docs", "n_ids", "n_bytes"])
+            yield row(shard, part, uri, out.close())
 
     ordered = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).repartitionByRange(n, "k").sortWithinPartitions("k", "t")
     ordered.mapInArrow(run, MANIFEST).write.parquet(f"{path}/manifest")
     manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
     # one row per file: a window over all of them is small
-    return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
+    return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -300,45 +368,54 @@ def read_back(manifest: DataFrame, chunk_ids: int = 4_000_000) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                f = ShardReader(path)
-                records = f.find(f.codes)
-                again = np.arange(len(f.codes)) - np.searchsorted(f.codes, f.codes)  # which of a repeated key's records
-                records = np.where(f.codes == _NO_KEY, np.arange(len(f.codes)), records + again)
-                at = 0
-                while at < len(records):
-                    to = max(at + 1, int(np.searchsorted(f.ends, f.ends[at] + chunk_ids, "right")) - 1)
-                    ids, origin = f.ids(at, to), int(f.ends[at])
-                    raw = memoryview(ids.astype("<u4").tobytes())
-                    starts, stops = f.ends[records[at:to]], f.ends[records[at:to] + 1]
-                    crcs = [zlib.crc32(raw[4 * (a - origin) : 4 * (z - origin)]) for a, z in zip(starts.tolist(), stops.tolist(), strict=True)]
-                    codes = f.codes[at:to]
-                    yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64(), mask=codes == _NO_KEY), pa.array(starts + base, pa.int64()), pa.array(stops - starts, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-                    at = to
+                with ShardReader(path, whole=True) as f:
+                    records = f.find(f.codes)
+                    again = np.arange(len(f.codes)) - np.searchsorted(f.codes, f.codes)  # which of a repeated key's records
+                    records = np.where(f.codes == _NO_KEY, np.arange(len(f.codes)), records + again)
+                    at = 0
+                    while at < len(records):
+                        to = max(at + 1, int(np.searchsorted(f.ends, f.ends[at] + chunk_ids, "right")) - 1)
+                        ids, origin = f.ids(at, to), int(f.ends[at])
+                        raw = memoryview(ids.astype("<u4").tobytes())
+                        starts, stops = f.ends[records[at:to]], f.ends[records[at:to] + 1]
+                        crcs = [zlib.crc32(raw[4 * (a - origin) : 4 * (z - origin)]) for a, z in zip(starts.tolist(), stops.tolist(), strict=True)]
+                        codes = f.codes[at:to]
+                        yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64(), mask=codes == _NO_KEY), pa.array(starts + base, pa.int64()), pa.array(stops - starts, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                        at = to
 
     return rows.mapInArrow(run, READ)
 
 
 def lookup(keys: DataFrame, manifest: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Ids of the documents with the given whole-number keys: (key, ids), keys that no file has left out.
+    """Ids of the (first) documents with the given whole-number keys: (key, ids); keys that no file has are left out.
 
-    Every file is asked for its share of the keys; files know their key range only through the index, so each is asked
-    for all keys of its batch. keys: a table small enough to be sent to each file's task, which is checked.
+    Files hold disjoint key ranges, so each key goes to the one file whose range it may lie in; every file is opened
+    once and asked for its own keys alone. Both tables may be of any size: only the files' first and last keys (16
+    bytes a file) are sent to all tasks.
     """
-    limit = 1_000_000
-    wanted = [r[0] for r in keys.select(key).where(F.col(key).isNotNull()).distinct().limit(limit + 1).collect()]
-    if len(wanted) > limit:
-        raise ValueError(f"more than {limit} keys: join on read_back() instead")
-    codes = np.sort(np.array(wanted, np.int64))
+    files = manifest.where("first_key is not null").select("first_key", "last_key", "path").orderBy("first_key").toArrow()  # a row per file
+    first, last, paths = (files.column(i).to_numpy() for i in (0, 1, 2))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path in b.column(0).to_pylist():
-                f = ShardReader(path)
+            k = b.column(0).to_numpy()
+            at = np.searchsorted(first, k, "right") - 1
+            good = np.flatnonzero((at >= 0) & (k <= last[at])) if len(first) else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays([pa.array(at[good], pa.int64()), pa.array(k[good], pa.int64())], ["f", "k"])
+
+    places = manifest.sparkSession.createDataFrame([(i, str(p)) for i, p in enumerate(paths.tolist())], "f long, path string")
+    routed = keys.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k")).distinct().mapInArrow(route, "f long, k long")
+    asked = routed.join(places, "f").select("f", "k", "path").repartition("f").sortWithinPartitions("f", "k")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in runs(batches, 1):
+            codes = b.column(1).to_numpy()
+            with ShardReader(b.column(2)[0].as_py(), whole=len(codes) > 64) as f:
                 found = f.find(codes)
                 for code, r in zip(codes[found >= 0].tolist(), found[found >= 0].tolist(), strict=True):
                     yield pa.RecordBatch.from_arrays([pa.array([code], pa.int64()), pa.array([f.ids(r, r + 1).astype(np.int64)], pa.list_(pa.int64()))], [key, "ids"])
 
-    return manifest.select("path").mapInArrow(run, f"{key} long, ids array<long>")
+    return asked.mapInArrow(run, f"{key} long, ids array<long>")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, vocabulary: str, vocab_size: int, end_id: int) -> DataFrame:
