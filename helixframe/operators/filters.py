@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from . import intervals
 
 # ---- predicates --------------------------------------------------------------------------------------------------
 
@@ -59,7 +60,11 @@ def no_nulls(df: DataFrame, *columns: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """The tables a filter may use: assertions, variants, overlaps (variant, feature, kind), mechanism, validity, features, annotations, criteria; invalidated holds assertion ids."""
+    """The tables a filter may use: assertions, variants, overlaps (variant, feature, kind), mechanism, validity, features, annotations, criteria; invalidated holds assertion ids.
+
+    Without an overlaps table, overlaps are joined from the locations of variants and features, for the features that a
+    filter asks for alone; one_location is that of intervals.overlaps().
+    """
 
     assertions: DataFrame
     variants: DataFrame | None = None
@@ -71,6 +76,13 @@ class Model:
     criteria: DataFrame | None = None
     propositions: DataFrame | None = None
     invalidated: DataFrame | None = None
+    one_location: bool = False
+
+    def overlaps_with(self, features: DataFrame) -> DataFrame:
+        """Overlaps of all variants with some features (feature)."""
+        if self.overlaps is not None:
+            return self.overlaps.join(features, "feature", "left_semi")
+        return intervals.overlaps(self.variants, self.features.join(features, "feature", "left_semi"), one_location=self.one_location)
 
 
 # ---- feature sets ------------------------------------------------------------------------------------------------
@@ -103,9 +115,13 @@ def feature_set(m: Model, name: str, compat: bool = False) -> DataFrame:
 # ---- named filters -----------------------------------------------------------------------------------------------
 
 
+#: Filters that look for a kind of overlap with a feature set.
+OVERLAP_KINDS = {"complete_overlap_with_feature_set": "CompleteOverlap", "partial_overlap_with_feature_set": "PartialOverlap"}
+
+
 def _by_overlap(kind: str) -> Callable[[Model, str], DataFrame]:
     def found(m: Model, argument: str) -> DataFrame:
-        hit = m.overlaps.where(F.col("kind") == kind).join(feature_set(m, argument), "feature", "left_semi").select("variant").distinct()
+        hit = m.overlaps_with(feature_set(m, argument)).where(F.col("kind") == kind).select("variant").distinct()
         return m.assertions.join(hit, "variant", "left_semi").select("assertion")
 
     return found
@@ -134,8 +150,8 @@ FILTERS: dict[str, tuple[Callable[[Model, str | None], DataFrame], str]] = {
     "proposition_type": (_proposition_type, "subject proposition has the type"),
     "copy_change": (lambda m, a: m.assertions.join(m.variants.where(F.col("copy_change") == a), "variant", "left_semi").select("assertion"), "variant has the copy change"),
     "assertion_direction": (lambda m, a: m.assertions.where(F.col("direction") == a).select("assertion"), "direction equals"),
-    "complete_overlap_with_feature_set": (_by_overlap("CompleteOverlap"), "variant completely overlaps a feature of the set"),
-    "partial_overlap_with_feature_set": (_by_overlap("PartialOverlap"), "variant partially overlaps a feature of the set"),
+    "complete_overlap_with_feature_set": (_by_overlap(OVERLAP_KINDS["complete_overlap_with_feature_set"]), "variant completely overlaps a feature of the set"),
+    "partial_overlap_with_feature_set": (_by_overlap(OVERLAP_KINDS["partial_overlap_with_feature_set"]), "variant partially overlaps a feature of the set"),
     "gene_count_min": (lambda m, a: m.assertions.join(m.criteria.where(F.col("criterion") == a), "variant", "left_semi").select("assertion"), "variant meets the gene-count criterion"),
     "date_evaluated_min": (lambda m, a: m.assertions.where(date_after("date_last_evaluated", a)).select("assertion"), "evaluated after the date"),
     "has_annotation": (_has_annotation, "annotated, with the classification if one is given"),
@@ -171,6 +187,42 @@ def apply_filters(m: Model, calls: list[dict], base: DataFrame | None = None, co
     return kept
 
 
+def filter_bits(m: Model, calls: list[tuple[str, str | None]]) -> DataFrame:
+    """Assertions with a column bits: bit i is set where call i (filter, argument) keeps the row. At most 63 calls.
+
+    All overlap filters are answered by one interval join, over the features of all their sets; the others' rows are
+    folded by assertion in one aggregation.
+    """
+    if len(calls) > 63:
+        raise ValueError("more than 63 calls")
+    near = [(i, OVERLAP_KINDS[f], a) for i, (f, a) in enumerate(calls) if f in OVERLAP_KINDS]
+    flags = None
+    for i, (f, a) in enumerate(calls):
+        if f not in OVERLAP_KINDS:
+            rows = FILTERS[f][0](m, a).select("assertion", F.lit(1 << i).alias("bits"))
+            flags = rows if flags is None else flags.unionByName(rows)
+    out = m.assertions
+    zero = F.lit(0).cast("long")
+    bits = zero
+    if flags is not None:
+        out = out.join(flags.groupBy("assertion").agg(F.bit_or("bits").cast("long").alias("_own")), "assertion", "left")
+        bits = bits.bitwiseOR(F.coalesce("_own", zero))
+    if near:
+        names = sorted({a for _, _, a in near})
+        sets = None
+        for j, name in enumerate(names):
+            rows = feature_set(m, name).select("feature", F.lit(1 << j).alias("sets"))
+            sets = rows if sets is None else sets.unionByName(rows)
+        sets = sets.groupBy("feature").agg(F.bit_or("sets").cast("long").alias("sets"))
+        hit = m.overlaps_with(sets.select("feature")).join(sets, "feature")
+        each = zero
+        for i, kind, a in near:
+            each = each.bitwiseOR(F.when((F.col("kind") == kind) & (F.col("sets").bitwiseAND(F.lit(1 << names.index(a))) != 0), F.lit(1 << i).cast("long")).otherwise(zero))
+        out = out.join(hit.groupBy("variant").agg(F.bit_or(each).alias("_near")), "variant", "left")
+        bits = bits.bitwiseOR(F.coalesce("_near", zero))
+    return out.withColumn("bits", bits).drop("_own", "_near")
+
+
 def list_filters(spark: SparkSession) -> DataFrame:
     """The advertised filters (NF15)."""
     return spark.createDataFrame([(k, v[1]) for k, v in FILTERS.items()], "filter string, description string")

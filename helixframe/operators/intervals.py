@@ -57,12 +57,13 @@ def candidates(variants: DataFrame, features: DataFrame, bin_width: int = 1 << 2
 
     Variants without a start make no candidates.
     """
-    bounds = feature_bounds(features, fkey).withColumn("bin", F.floor(F.col("coord") / bin_width))
-    types = features.select("ftype").distinct()
-    wide = variants.where("start_outer is not null").join(F.broadcast(types.limit(1000)), how="cross")
-    wide = wide.withColumn("to", window_end(F.col("ftype"), widths)).select(key, "seq_ref", "ftype", "start_outer", "to")
+    # types without a width of their own share one window, so a variant has a row per width, whatever the types
+    kind = F.when(F.col("ftype").isin(*widths), F.col("ftype")).otherwise(F.lit(""))
+    bounds = feature_bounds(features, fkey).withColumn("kind", F.coalesce(kind, F.lit(""))).withColumn("bin", F.floor(F.col("coord") / bin_width))
+    wide = variants.where("start_outer is not null").withColumn("kind", F.explode(F.array(*map(F.lit, [*widths, ""]))))
+    wide = wide.withColumn("to", window_end(F.col("kind"), widths)).select(key, "seq_ref", "kind", "start_outer", "to")
     wide = wide.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start_outer") / bin_width), F.floor(F.col("to") / bin_width))))
-    return wide.join(bounds, ["seq_ref", "ftype", "bin"]).where("coord between start_outer and to").select(key, fkey).distinct()
+    return wide.join(bounds, ["seq_ref", "kind", "bin"]).where("coord between start_outer and to").select(key, fkey).distinct()
 
 
 def interval_join(variants: DataFrame, features: DataFrame) -> DataFrame:
@@ -82,10 +83,11 @@ def interval_join(variants: DataFrame, features: DataFrame) -> DataFrame:
     return met.where("bin = greatest(floor(v_start_outer / level), floor(f_start_outer / level))").drop("level", "bin")
 
 
-def overlaps(variants: DataFrame, features: DataFrame, mode: str = "compat", key: str = "variant", fkey: str = "feature", widths: dict[str, int] = WIDTHS) -> DataFrame:
+def overlaps(variants: DataFrame, features: DataFrame, mode: str = "compat", key: str = "variant", fkey: str = "feature", widths: dict[str, int] = WIDTHS, one_location: bool = False) -> DataFrame:
     """(variant, feature, kind): the best kind of each pair over all sequences, NoOverlap left out.
 
-    Sides may have several location rows per key, one per build. In compat mode a pair also needs a feature boundary in
+    Sides may have several location rows per key, one per build; one_location says that no key has more than one on
+    either side, so that a pair meets once and the pairs need no shuffle to find their best kind. In compat mode a pair also needs a feature boundary in
     the variant's candidate window on some sequence; on a single sequence every kind but NoOverlap implies that
     the outer extents meet, so the interval join loses none of them.
     """
@@ -96,13 +98,15 @@ def overlaps(variants: DataFrame, features: DataFrame, mode: str = "compat", key
         met = met.where(F.coalesce(inside[0], F.lit(False)) | F.coalesce(inside[1], F.lit(False)) | F.coalesce(inside[2], F.lit(False)) | F.coalesce(inside[3], F.lit(False)))
     kind = overlap_kind("v_", "f_", mode)
     rank = vocab.lookup({k: i for i, k in enumerate(vocab.OVERLAP_ORDER)}, kind)
-    best = met.withColumn("rank", rank).where(F.col("rank") < 3).groupBy(F.col(f"v_{key}").alias(key), F.col(f"f_{fkey}").alias(fkey)).agg(F.min("rank").alias("rank"))
+    best = met.select(F.col(f"v_{key}").alias(key), F.col(f"f_{fkey}").alias(fkey), rank.alias("rank")).where(F.col("rank") < 3)
+    if not one_location:
+        best = best.groupBy(key, fkey).agg(F.min("rank").alias("rank"))
     return best.select(key, fkey, F.element_at(F.array(*map(F.lit, vocab.OVERLAP_ORDER)), F.col("rank") + 1).alias("kind"))
 
 
-def coding_overlaps(variants: DataFrame, features: DataFrame, mode: str = "compat") -> DataFrame:
+def coding_overlaps(variants: DataFrame, features: DataFrame, mode: str = "compat", one_location: bool = False) -> DataFrame:
     """Overlaps with protein-coding features alone."""
-    return overlaps(variants, features.where("protein_coding"), mode)
+    return overlaps(variants, features.where("protein_coding"), mode, one_location=one_location)
 
 
 def gene_count_criteria(found: DataFrame, key: str = "variant") -> DataFrame:

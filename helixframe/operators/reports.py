@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import vocab
 from .aggregates import frequencies, pivot_counts, running_total
-from .filters import Model, apply_filters
+from .filters import Model, apply_filters, filter_bits
 
 #: Named combinations of filters: name -> calls.
 COMBINATIONS: dict[str, list[tuple[str, str | None, str]]] = {
@@ -29,14 +29,16 @@ COMBINATIONS: dict[str, list[tuple[str, str | None, str]]] = {
 
 def case_mix(m: Model, combinations: dict[str, list] = COMBINATIONS) -> DataFrame:
     """(combination, classification, n): the class distribution of each combination."""
-    parts = []
+    distinct = list(dict.fromkeys((f, a) for calls in combinations.values() for f, a, _ in calls))
+    bit = lambda f, a: F.col("bits").bitwiseAND(F.lit(1 << distinct.index((f, a)))) != 0
+    kept = []
     for name, calls in combinations.items():
-        kept = apply_filters(m, [{"filter": f, "argument": a, "operation": o} for f, a, o in calls])
-        parts.append(m.assertions.join(kept, "assertion", "left_semi").groupBy("classification").agg(F.count("*").alias("n")).select(F.lit(name).alias("combination"), "classification", "n"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        holds = F.lit(True)
+        for f, a, op in calls:
+            holds = holds | bit(f, a) if op == "union" else holds & (bit(f, a) if op == "exists" else ~bit(f, a))
+        kept.append(F.when(holds, F.lit(name)))
+    rows = filter_bits(m, distinct).select("classification", F.explode(F.array_compact(F.array(*kept))).alias("combination"))
+    return rows.groupBy("combination", "classification").agg(F.count("*").alias("n"))
 
 
 def about_feature(links: list[DataFrame], invalidated: DataFrame) -> DataFrame:
@@ -139,6 +141,47 @@ def feature_hierarchy(gff: DataFrame) -> DataFrame:
     return children.join(exons, "transcript").groupBy("gene", "transcript").agg(F.count("*").alias("n_exons"), S.set_hash(F.collect_set("hash")).alias("exon_set"))
 
 
+def feature_levels(gff: DataFrame) -> DataFrame:
+    """(gene, child, child_type, grandchild, grandchild_type): features two levels below a gene by Parent and ID; a child without children has null ones."""
+    below = gff.where("parent is not null").select("id", F.col("parent"), "type")
+    child = below.select(F.col("parent").alias("gene"), F.col("id").alias("child"), F.col("type").alias("child_type"))
+    grandchild = below.select(F.col("parent").alias("child"), F.col("id").alias("grandchild"), F.col("type").alias("grandchild_type"))
+    return gff.where("type = 'gene'").select(F.col("id").alias("gene")).join(child, "gene").join(grandchild, "child", "left").select("gene", "child", "child_type", "grandchild", "grandchild_type")
+
+
+def exon_ids(gff: DataFrame) -> DataFrame:
+    """(gene, start, end, exon_ids): the exon ids that a gene's transcripts use for each place."""
+    genes = gff.where("type = 'gene'").select(F.col("id").alias("gene"))
+    children = gff.select(F.col("id").alias("transcript"), F.col("parent").alias("gene")).join(genes, "gene")
+    exons = gff.where("type = 'exon'").select(F.col("parent").alias("transcript"), "start", "end", F.col("attrs")["exon_id"].alias("exon"))
+    return children.join(exons, "transcript").groupBy("gene", "start", "end").agg(F.sort_array(F.collect_set("exon")).alias("exon_ids"))
+
+
+#: What a curation list is of -> its columns.
+LISTS = {"curation": ["curation", "gene", "gene_label", "disease", "disease_label"], "gene": ["gene", "gene_label"], "disease": ["disease", "disease_label"]}
+
+
+def curation_list(curations: DataFrame, contributions: DataFrame, role: str | None = None, affiliation: str | None = None, text: str | None = None, of: str = "curation") -> DataFrame:
+    """Distinct validity curations, or their genes or diseases (of), with a contribution in the role (G14). Pages and counts: aggregates.page().
+
+    curations: (curation, gene, gene_label, disease, disease_label); contributions: (curation, agent, role). role: APPROVER
+    where none is given, ANY for all; text: part of a label, in any case.
+    """
+    some = contributions if role == "ANY" else contributions.where(F.col("role") == (role or "APPROVER"))
+    some = some if affiliation is None else some.where(F.col("agent") == affiliation)
+    rows = curations.join(some, "curation", "left_semi")
+    if text is not None:
+        rows = rows.where(F.contains(F.lower("gene_label"), F.lit(text.lower())) | F.contains(F.lower("disease_label"), F.lit(text.lower())))
+    return rows.select(*LISTS[of]).distinct()
+
+
+def affiliation_counts(curations: DataFrame, contributions: DataFrame) -> DataFrame:
+    """Per agent the number of its curations, in all and by role."""
+    rows = contributions.join(curations, "curation", "left_semi").distinct()
+    by_role = lambda r: F.countDistinct(F.when(F.col("role") == r, F.col("curation")))
+    return rows.groupBy("agent").agg(F.countDistinct("curation").alias("n_curations"), by_role("APPROVER").alias("n_approved"), by_role("SECONDARY_CONTRIBUTOR").alias("n_secondary"))
+
+
 def profile(df: DataFrame, *columns: str) -> DataFrame:
     """(column, value, n): counts per value of each column in one pass."""
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))
