@@ -3,23 +3,18 @@
 from __future__ import annotations
 
 import itertools
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import shared_folder
+
 
 def _written(df: DataFrame, what: str) -> DataFrame:
-    """df written to the folder that spark.checkpoint.dir names (a temporary one where it names none) and read again."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='helixframe-')}"
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """df written to a new shared folder and read again."""
+    path = shared_folder(df.sparkSession, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def closure(edges: DataFrame, child: str = "child", parent: str = "parent", reflexive: bool = False) -> DataFrame:

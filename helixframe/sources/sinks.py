@@ -1,7 +1,9 @@
-"""Writers (K1-K8). Keyed tables are kept as versions: a write makes a new folder and then moves a pointer, so readers and lost executors never see half a table."""
+"""Writers (K1-K8). Keyed tables are kept as versions: a write makes new folders and then adds a commit, so readers and lost executors never see half a table."""
 
 from __future__ import annotations
 
+import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,60 +12,109 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder's name below spark.checkpoint.dir. Where that is unset, a temporary folder serves a local master; on a cluster it is an error."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that they share with the driver")
+        base = f"file://{tempfile.mkdtemp(prefix='helixframe-')}"
+        sc.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 class KeyedTable:
-    """A table of rows with a key; upserts replace all rows of their keys, tombstones delete them."""
+    """A table of rows with a key; upserts replace all rows of their keys, tombstones delete them.
+
+    Rows lie in buckets by key hash. A merge reads and rewrites the buckets of its own keys alone; its commit names the
+    folder of every bucket. vacuum() removes the folders that no recent commit names.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "key", buckets: int = 32):
+        self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, key, buckets
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "key"):
-        self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{path}")
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _versions(self) -> list[tuple[int, str]]:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(p):
-            return []
-        return sorted((int(s.getPath().getName().split("-")[0]), s.getPath().getName().split("-", 1)[1]) for s in fs.listStatus(p))
+    def _names(self, path: str) -> list[str]:
+        fs, p = self._fs(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _commit(self, name: str) -> dict[str, str]:
+        """Bucket -> folder of its rows."""
+        fs, p = self._fs(f"commits/{name}")
+        stream = fs.open(p)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _read(self, places: dict[str, str]) -> DataFrame:
+        paths = [f"{self.path}/data/{folder}/bucket={b}" for b, folder in sorted(places.items())]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def read(self) -> DataFrame:
-        versions = self._versions()
-        if not versions:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/data/{versions[-1][1]}")
+        commits = self._names("commits")
+        return self._read(self._commit(commits[-1]) if commits else {})
 
     def batches(self) -> int:
-        return len(self._versions())
+        return len(self._names("commits"))
 
     def merge(self, upserts: DataFrame | None = None, deletes: DataFrame | None = None, batch: int | None = None) -> bool:
         """Applies upserts (full rows) and deletes (keys) as one commit; a batch number that was committed before changes nothing."""
-        versions = self._versions()
-        number = batch if batch is not None else (versions[-1][0] + 1 if versions else 0)
-        if batch is not None and any(v[0] >= batch for v in versions):
+        commits = self._names("commits")
+        last = int(commits[-1]) if commits else -1
+        if batch is not None and last >= batch:
             return False
-        old = self.read()
+        number = last + 1 if batch is None else batch
+        places = self._commit(commits[-1]) if commits else {}
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
         gone = None
         for df in (upserts, deletes):
             if df is not None:
-                keys = df.select(self.key).distinct()
-                gone = keys if gone is None else gone.unionByName(keys).distinct()
-        new = old if gone is None else old.join(gone, self.key, "left_anti")
-        if upserts is not None:
-            new = new.unionByName(upserts.select(*old.columns))
-        name = uuid.uuid4().hex
-        new.select(*old.columns).write.parquet(f"{self.path}/data/{name}")
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{number:09d}-{name}")
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(p).close()
+                keys = df.select(self.key)
+                gone = keys if gone is None else gone.unionByName(keys)
+        name, columns = uuid.uuid4().hex, self.spark.createDataFrame([], self.schema).columns
+        if gone is not None:
+            gone = gone.distinct()
+            touched = {str(r[0]) for r in gone.select(bucket).distinct().collect()}  # at most `buckets` numbers
+            new = self._read({b: f for b, f in places.items() if b in touched}).join(gone, self.key, "left_anti").select(*columns)
+            if upserts is not None:
+                new = new.unionByName(upserts.select(*columns))
+            new.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/{name}")
+            places = {b: f for b, f in places.items() if b not in touched} | {x.removeprefix("bucket="): name for x in self._names(f"data/{name}") if x.startswith("bucket=")}
+        fs, p = self._fs(f"commits/{number:09d}")
+        try:
+            out = fs.create(p, False)  # of two commits of one number the first counts
+        except Exception as e:
+            if fs.exists(p):
+                return False
+            raise e
+        out.write(json.dumps(places).encode())
+        out.close()
         return True
 
+    def vacuum(self, keep: int = 2) -> int:
+        """Removes the data folders that none of the last `keep` commits names; how many went."""
+        used = {f for c in self._names("commits")[-keep:] for f in self._commit(c).values()}
+        old = [x for x in self._names("data") if x not in used]
+        for x in old:
+            fs, p = self._fs(f"data/{x}")
+            fs.delete(p, True)
+        return len(old)
+
 
 def last_per_key(df: DataFrame, key: str, *order: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def write_report(df: DataFrame, path: str, sep: str = ",", single: bool = True) -> None:
-    """CSV or TSV with a header (K3). single: one file, for reports of bounded size."""
-    (df.coalesce(1) if single else df).write.csv(path, header=True, sep=sep)
+def write_report(df: DataFrame, path: str, sep: str = ",", single_rows: int = 100_000) -> None:
+    """CSV or TSV with a header (K3): one file up to single_rows rows, beyond that one for each partition."""
+    small = df.limit(single_rows + 1).count() <= single_rows
+    (df.coalesce(1) if small else df).write.csv(path, header=True, sep=sep)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -85,11 +136,11 @@ def bed_rows(df: DataFrame, chrom: str = "chrom", name: str = "variant") -> Data
 
 
 def write_bed(df: DataFrame, path: str, position: str | None = None) -> None:
-    """A browser track as one file of bounded size: the position line, then the rows."""
+    """A browser track: the position line, then the rows in order; its files, in the order of their names, are the track."""
     lines = bed_rows(df).withColumn("o", F.lit(1))
     if position:
         lines = lines.unionByName(df.sparkSession.createDataFrame([(f"browser position {position}", 0)], "value string, o int"))
-    lines.coalesce(1).sortWithinPartitions("o", "value").select("value").write.text(path)
+    lines.orderBy("o", "value").select("value").write.text(path)
 
 
 def publish(df: DataFrame, servers: str, topic: str, stream: bool = False):
