@@ -192,6 +192,12 @@ def dosage_statements(records: DataFrame) -> DataFrame:
     )
 
 
+def dosage_reports(statements: DataFrame) -> DataFrame:
+    """One report per record with its two statements, haploinsufficiency first (B10). statements: those of dosage_statements()."""
+    parts = F.struct("mechanism", "assertion", "proposition", "strength", "condition", "description", "evidence")
+    return statements.groupBy("report", "feature", "date", "role").agg(F.sort_array(F.collect_list(parts)).alias("statements"))
+
+
 def dosage_regions(records: DataFrame, locus_fields: dict[str, str]) -> DataFrame:
     """Regions (records without a gene) with one location per build, the newest first, and whether they recur (B9). locus_fields: build -> field."""
     made = []
@@ -222,23 +228,34 @@ def persons(events: DataFrame) -> DataFrame:
     return events.select(F.concat(F.lit(vocab.PREFIXES["cgagent"]), "person.id").alias("iri"), F.col("person.email").alias("email"), F.col("person.first_name").alias("given_name"), F.col("person.last_name").alias("family_name"))
 
 
-def minimised_version(triples: DataFrame, assertion: Column | str, successor: str) -> DataFrame:
-    """The prior version of an assertion graph: its own and its proposition's triples without contributions and evidence, with what invalidated it and the submit and approval dates."""
-    a = triples.where(F.col("s") == assertion)
-    kept = a.where(~F.col("p").isin("cg:contributions", "cg:evidence"))
-    props = triples.where((F.col("p") == "rdf:type") & (F.col("o") == "cg:GeneDiseaseValidityProposition")).select("s")
-    contribs = a.where("p = 'cg:contributions'").select(F.col("o").alias("c"))
+def minimised_versions(graphs: DataFrame, replaced: DataFrame) -> DataFrame:
+    """(g, s, p, o): prior versions of assertion graphs, minimised.
+
+    graphs: (g, s, p, o); replaced: (g, assertion, successor). Kept are the assertion's own triples without contributions
+    and evidence and its proposition's; new are what invalidated it and its submit and approval dates.
+    """
+    t = graphs.join(replaced, "g")
+    own = t.where("s = assertion")
+    kept = own.where(~F.col("p").isin("cg:contributions", "cg:evidence")).select("g", "s", "p", "o")
+    props = graphs.where("p = 'rdf:type' and o = 'cg:GeneDiseaseValidityProposition'").select("g", "s").join(replaced.select("g"), "g", "left_semi")
+    contribs = own.where("p = 'cg:contributions'").select("g", "assertion", F.col("o").alias("c"))
+    dates = graphs.where("p = 'cg:date'").select("g", F.col("s").alias("c"), "o")
 
     def dated(p: str, o: str, as_: str) -> DataFrame:
-        who = triples.where((F.col("p") == p) & (F.col("o") == o)).select(F.col("s").alias("c"))
-        dates = triples.where("p = 'cg:date'").select(F.col("s").alias("c"), F.col("o").alias("o"))
-        return contribs.join(who, "c", "left_semi").join(dates, "c").select(F.lit(assertion).alias("s"), F.lit(as_).alias("p"), "o")
+        who = graphs.where((F.col("p") == p) & (F.col("o") == o)).select("g", F.col("s").alias("c"))
+        return contribs.join(who, ["g", "c"], "left_semi").join(dates, ["g", "c"]).select("g", F.col("assertion").alias("s"), F.lit(as_).alias("p"), "o")
 
-    new = triples.sparkSession.createDataFrame([(assertion, "prov:wasInvalidatedBy", successor)], "s string, p string, o string")
-    out = kept.select("s", "p", "o").unionByName(triples.join(props, "s", "left_semi").select("s", "p", "o")).unionByName(new)
+    new = replaced.select("g", F.col("assertion").alias("s"), F.lit("prov:wasInvalidatedBy").alias("p"), F.col("successor").alias("o"))
+    out = kept.unionByName(graphs.join(props, ["g", "s"], "left_semi").select("g", "s", "p", "o")).unionByName(new)
     return out.unionByName(dated("cg:role", "cg:Publisher", "dc:dateSubmitted")).unionByName(dated("cg:activityType", "cg:Evaluated", "dc:dateAccepted")).distinct()
 
 
+def minimised_version(triples: DataFrame, assertion: str, successor: str) -> DataFrame:
+    """(s, p, o): the minimised prior version of one assertion's graph."""
+    one = triples.sparkSession.createDataFrame([(0, assertion, successor)], "g int, assertion string, successor string")
+    return minimised_versions(triples.select(F.lit(0).alias("g"), "s", "p", "o"), one).drop("g")
+
+
 def search_documents(df: DataFrame, source: str, key: str = "iri", symbols: str | None = None, labels: str | None = None, types: str | None = None, descriptions: str | None = None) -> DataFrame:
     """Search documents: iri, source and arrays of symbols, labels, types, descriptions."""
     as_array = lambda c: F.array().cast("array<string>") if c is None else F.array_compact(F.array(F.col(c))) if not dict(df.dtypes)[c].startswith("array") else F.col(c)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import builders, filters, intervals
@@ -43,27 +43,39 @@ def publish_or_delete(table: KeyedTable, is_published, order: tuple[str, ...] =
 
 
 def gated(fn: Callable[[DataFrame, int], None], ready: Callable[[], bool], waiting: KeyedTable) -> Callable[[DataFrame, int], None]:
-    """Holds batches in a table until the gate opens, then gives them with the next batch (ST4)."""
+    """Holds batches in a table until the gate opens, then gives them with the next batch (ST4, J14).
+
+    waiting: a table of the batches' columns; its rows are kept by event, so several of one key wait beside each other.
+    """
+    events = KeyedTable(waiting.spark, waiting.path, f"{waiting.schema}, _event string", "_event", waiting.buckets)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         if not ready():
-            waiting.merge(upserts=batch, batch=batch_id)
+            events.merge(upserts=batch.withColumn("_event", F.concat_ws("-", F.lit(str(batch_id)), F.monotonically_increasing_id().cast("string"))), batch=batch_id)
             return
-        held = waiting.read()
-        fn(held.unionByName(batch.select(*held.columns)), batch_id)
-        waiting.merge(deletes=held.select(waiting.key), batch=batch_id)
+        held = events.read()
+        fn(held.drop("_event").unionByName(batch.select(*[c for c in held.columns if c != "_event"])), batch_id)
+        events.merge(deletes=held.select("_event"), batch=batch_id)
 
     return run
 
 
-def supersede(current: KeyedTable, history: KeyedTable, order: tuple[str, ...] = ("ts",)) -> Callable[[DataFrame, int], None]:
-    """A new version of a record puts the one it replaces into the history, marked with what invalidated it (ST5)."""
+def supersede(current: KeyedTable, history: KeyedTable, order: tuple[str, ...] = ("ts",), minimise: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+    """Each new version of a record puts the one before it into the history, marked with what invalidated it (ST5).
+
+    Every version of a batch gets there, not its last alone. minimise: from replaced rows to what the history keeps of
+    them, such as builders.minimised_versions() (B14).
+    """
 
     def fn(batch: DataFrame, batch_id: int) -> None:
-        last = last_per_key(batch, current.key, *order)
-        old = current.read().join(last.select(current.key, F.col("version").alias("invalidated_by")), current.key).where("version <> invalidated_by")
+        now = current.read()
+        live = now.join(batch.select(current.key).distinct(), current.key, "left_semi").withColumn("_new", F.lit(0))
+        w = Window.partitionBy(current.key).orderBy("_new", *order)
+        versions = live.unionByName(batch.select(*now.columns).withColumn("_new", F.lit(1))).withColumns({"invalidated_by": F.lead("version").over(w), "_last": F.lead(F.lit(True)).over(w).isNull()})
+        old = versions.where("not _last and version <> invalidated_by").drop("_new", "_last")
+        old = old if minimise is None else minimise(old)
         history.merge(upserts=old.withColumn(current.key, F.concat_ws("/", current.key, "version")).select(*history.read().columns), batch=batch_id)
-        current.merge(upserts=last, batch=batch_id)
+        current.merge(upserts=versions.where("_last").select(*now.columns), batch=batch_id)
 
     return fn
 
