@@ -58,7 +58,7 @@ def best_ranked(df: DataFrame, key: str, value: str, order: list[str], tie: str)
 
 
 def running_total(df: DataFrame, by: str, total: str = "n", *keys: str) -> DataFrame:
-    """Cumulative totals in order of `by`, after grouping."""
+    """Cumulative totals in order of `by`, after grouping: without keys, for totals of a row per date or the like, as one task orders them."""
     w = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("total", F.sum(total).over(w))
 
@@ -69,9 +69,9 @@ def top(df: DataFrame, n: int, by: str, *ties: str, ascending: bool = False) ->
 
 def top_and_other(counts: DataFrame, n: int, key: str, by: str = "n") -> DataFrame:
     """The n largest groups and one group 'other' (L5)."""
-    w = Window.orderBy(F.desc(by), key)
-    ranked = counts.withColumn("_r", F.row_number().over(w))
-    return ranked.groupBy(F.when(F.col("_r") <= n, F.col(key)).otherwise("other").alias(key)).agg(F.sum(by).alias(by))
+    first = counts.select(key, by).orderBy(F.desc(by), key).limit(n)
+    rest = counts.join(first.select(F.col(key).alias("_top")), F.col(key).eqNullSafe(F.col("_top")), "left_anti").agg(F.sum(by).alias(by))
+    return first.unionByName(rest.where(F.col(by).isNotNull()).select(F.lit("other").alias(key), by))
 
 
 SORTS = {"GENE_LABEL": "gene_label", "DISEASE_LABEL": "disease_label", "REPORT_DATE": "report_date"}

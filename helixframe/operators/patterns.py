@@ -89,9 +89,10 @@ def subjects_of(nodes: DataFrame, triples: DataFrame, predicates: list[str], key
     return values(nodes, triples, predicates, inverse=True, key=key, out="subject")
 
 
-def lookup_join(df: DataFrame, mapping: DataFrame, on: str, target: str, max_rows: int = 1_000_000) -> DataFrame:
-    """Left join to an identifier map; sent to every task while it has at most max_rows rows, shuffled beyond that."""
-    small = mapping.limit(max_rows + 1).count() <= max_rows
+def lookup_join(df: DataFrame, mapping: DataFrame, on: str, target: str, max_bytes: int = 1 << 26) -> DataFrame:
+    """Left join to an identifier map; sent to every task while it takes at most max_bytes, shuffled beyond that."""
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in (on, target)), F.lit(64).cast("long"))
+    small = (mapping.agg(F.sum(size)).first()[0] or 0) <= max_bytes
     one = mapping.groupBy(on).agg(F.min(target).alias(target))
     return df.join(F.broadcast(one) if small else one, on, "left")
 

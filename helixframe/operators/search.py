@@ -22,21 +22,23 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return flat.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, n: int = 100, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, n: int = 100, k1: float = 1.2, b: float = 0.75, max_broadcast: int = 500_000) -> DataFrame:
     """(query, key, score, rank): the n best documents of each query that hold any of its terms.
 
-    queries: (query, text), few terms in all: they are sent to every task, so a document's other terms are dropped
-    before anything is shuffled. Lengths and document frequencies are over all documents.
+    queries: (query, text). While their terms are at most max_broadcast they are sent to every task, so a document's other
+    terms are dropped before anything is shuffled; beyond that the joins shuffle. Lengths and document frequencies are
+    over all documents.
     """
     asked = queries.select("query", F.explode(F.array_distinct(terms("text"))).alias("term"))
+    hint = F.broadcast if asked.count() <= max_broadcast else (lambda df: df)  # terms are words: a bound in rows is one in bytes, but for freaks
     split = docs.select(key, terms(text).alias("ts"))
     stats = split.agg(F.count("*").alias("n_docs"), F.avg(F.size("ts")).alias("mean"))
-    hit = split.select(key, F.size("ts").alias("length"), F.explode("ts").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term")
+    hit = split.select(key, F.size("ts").alias("length"), F.explode("ts").alias("term")).join(hint(asked.select("term").distinct()), "term")
     tf = hit.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(stats).select("term", "mean", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row of statistics
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = tf.join(F.broadcast(idf), "term").join(F.broadcast(asked), "term").groupBy("query", key).agg(F.round(F.sum(part), 6).alias("score"))
+    scored = tf.join(hint(idf), "term").join(hint(asked), "term").groupBy("query", key).agg(F.round(F.sum(part), 6).alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
@@ -51,22 +53,42 @@ def combined(symbol_hits: DataFrame, label_hits: DataFrame) -> DataFrame:
     return symbol_hits.withColumn("source_rank", F.lit(0)).unionByName(label_hits.withColumn("source_rank", F.lit(1)))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, group: str, k: int = 5, max_queries: int = 10_000) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, group: str, k: int = 5, block: int = 4_096) -> DataFrame:
     """(query, group, score, rank): the k groups whose best vector has the largest dot product with the query (T5).
 
-    Queries are dealt by key hash into blocks of about max_queries, each sent to every task in a pass of its own; a task
-    keeps the best score per query and group before the shuffle.
+    Queries are dealt by key hash into blocks of about `block`, each sent to every task in a pass of its own (stated
+    queries against all rows); a task multiplies matrices and keeps the best score per query and group before the
+    shuffle. Vectors of other lengths than the query's, null ones and ones with null components have no score.
     """
-    dot = F.aggregate(F.zip_with(vector, "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    asked = queries.select(F.col(key).alias("query"), F.col(vector).alias("q"))
-    n = -(-queries.count() // max_queries)
+    asked = queries.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())).select(F.col(key).cast("string").alias("query"), F.col(vector).cast("array<double>").alias("q"))
+    passes = max(1, -(-queries.count() // block))
+    kinds = dict(vectors.dtypes)
+    rows = vectors.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())).select(F.col(group).alias("g"), F.col(vector).cast("array<double>").alias("v"))
     found = None
-    for i in range(max(n, 1)):
-        block = asked if n <= 1 else asked.where(F.pmod(F.xxhash64("query"), F.lit(n)) == i)
-        scored = vectors.crossJoin(F.broadcast(block)).groupBy("query", group).agg(F.round(F.max(dot), 6).alias("score"))  # stated queries against all rows
+    for i in range(passes):
+        mine = (asked if passes == 1 else asked.where(F.pmod(F.xxhash64("query"), F.lit(passes)) == i)).collect()  # about `block` vectors
+        by_length = {}
+        for r in mine:
+            by_length.setdefault(len(r["q"]), ([], []))[0].append(r["query"])
+            by_length[len(r["q"])][1].append(r["q"])
+        shared = vectors.sparkSession.sparkContext.broadcast({n: (names, np.array(q)) for n, (names, q) in by_length.items()})
+
+        def best(frames, shared=shared):
+            for pdf in frames:
+                sizes = pdf["v"].map(len)
+                for n, (names, q) in shared.value.items():
+                    some = pdf[sizes == n]
+                    if len(some):
+                        score = pd.DataFrame(np.stack(some["v"].to_numpy()) @ q.T, columns=names)
+                        score["g"] = some["g"].to_numpy()
+                        top = score.groupby("g", dropna=False).max()
+                        yield pd.DataFrame({"query": np.tile(top.columns.to_numpy(), len(top)), "g": np.repeat(top.index.to_numpy(), top.shape[1]), "score": top.to_numpy().ravel()})
+
+        scored = rows.mapInPandas(best, f"query string, g {kinds[group]}, score double")
         found = scored if found is None else found.unionByName(scored)
+    total = found.groupBy(F.col("query").cast(dict(queries.dtypes)[key]).alias("query"), F.col("g").alias(group)).agg(F.round(F.max("score"), 6).alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), group)
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def embed(docs: DataFrame, key: str, text: str, model: Callable[[list[str]], np.ndarray]) -> DataFrame:
