@@ -76,16 +76,37 @@ INHERITANCE = {
 CONTRIBUTION_ROLES = {"DateCreated": "cg:Creator", "DateLastEvaluated": "cg:Evaluator", "DateUpdated": "cg:Submitter"}
 BUILDS = {"hg19": "grch37", "hg38": "grch38", "grch38": "grch38", "grch37": "grch37", "19": "grch37", "38": "grch38"}
 CHROMOSOMES = [*map(str, range(1, 23)), "X", "Y"]
-#: RefSeq version of each chromosome, in the order of CHROMOSOMES.
-REFSEQ_VERSION = {
-    "grch37": [10, 11, 11, 11, 9, 11, 13, 10, 11, 10, 9, 11, 10, 8, 9, 9, 10, 9, 9, 10, 8, 10, 10, 9],
-    "grch38": [11, 12, 12, 12, 10, 12, 14, 11, 12, 11, 10, 12, 11, 9, 10, 10, 11, 10, 10, 11, 9, 11, 11, 10],
+#: Build -> chromosome -> RefSeq sequence.
+REFSEQ = {
+    "grch37": {
+        "1": "NC_000001.10", "2": "NC_000002.11", "3": "NC_000003.11", "4": "NC_000004.11", "5": "NC_000005.9", "6": "NC_000006.11",
+        "7": "NC_000007.13", "8": "NC_000008.10", "9": "NC_000009.11", "10": "NC_000010.10", "11": "NC_000011.9", "12": "NC_000012.11",
+        "13": "NC_000013.10", "14": "NC_000014.8", "15": "NC_000015.9", "16": "NC_000016.9", "17": "NC_000017.10", "18": "NC_000018.9",
+        "19": "NC_000019.9", "20": "NC_000020.10", "21": "NC_000021.8", "22": "NC_000022.10", "X": "NC_000023.10", "Y": "NC_000024.9",
+    },
+    "grch38": {
+        "1": "NC_000001.11", "2": "NC_000002.12", "3": "NC_000003.12", "4": "NC_000004.12", "5": "NC_000005.10", "6": "NC_000006.12",
+        "7": "NC_000007.14", "8": "NC_000008.11", "9": "NC_000009.12", "10": "NC_000010.11", "11": "NC_000011.10", "12": "NC_000012.12",
+        "13": "NC_000013.11", "14": "NC_000014.9", "15": "NC_000015.10", "16": "NC_000016.10", "17": "NC_000017.11", "18": "NC_000018.10",
+        "19": "NC_000019.10", "20": "NC_000020.11", "21": "NC_000021.9", "22": "NC_000022.11", "X": "NC_000023.11", "Y": "NC_000024.10",
+    },
 }
 GENCC_CLASS = {
     "GENCC:100001": "cg:Definitive", "GENCC:100002": "cg:Strong", "GENCC:100003": "cg:Moderate", "GENCC:100004": "cg:Limited",
     "GENCC:100005": "cg:Disputed", "GENCC:100006": "cg:Refuted", "GENCC:100008": "cg:NoKnownDiseaseRelationship", "GENCC:100009": "cg:Supportive",
 }
 GENCC_SKIPPED_SUBMITTER = "GENCC:000102"
+GENCC_SUBMITTERS = {
+    "GENCC:000101": "Ambry Genetics", "GENCC:000102": "ClinGen", "GENCC:000104": "Genomics England PanelApp", "GENCC:000105": "Illumina", "GENCC:000106": "Invitae",
+    "GENCC:000107": "Laboratory for Molecular Medicine", "GENCC:000108": "Myriad Women’s Health", "GENCC:000110": "Orphanet", "GENCC:000111": "PanelApp Australia",
+    "GENCC:000112": "G2P", "GENCC:000113": "Franklin by Genoox", "GENCC:000114": "King Faisal Specialist Hospital and Research Center",
+    "GENCC:000115": "Broad Center for Mendelian Genomics", "GENCC:000116": "Baylor College of Medicine Research Center",
+}
+#: INFO keys of structural variants that are read.
+VCF_INFO = [
+    "END", "ENDMAX", "ENDMIN", "Genes", "POSMAX", "POSMIN", "SVLEN", "SVTYPE", "AC", "AF", "ALGORITHMS", "AN", "BOTHSIDES_SUPPORT", "CHR2", "CN_COUNT", "CN_FREQ",
+    "CN_NUMBER", "CN_STATUS", "CPX_INTERVALS", "CPX_TYPE", "END2", "FREQ_HET", "FREQ_HOMALT", "FREQ_HOMREF", "OUTLIER_SAMPLE_ENRICHED_LENIENT", "PREDICTED_LOF", "PREDICTED_COPY_GAIN",
+]
 DOSAGE_LEVEL = {
     "3": "cg:DosageSufficientEvidence", "2": "cg:DosageModerateEvidence", "1": "cg:DosageMinimalEvidence", "0": "cg:DosageNoEvidence",
     "30: Gene associated with autosomal recessive phenotype": "cg:DosageAutosomalRecessive", "40: Dosage sensitivity unlikely": "cg:DosageSensitivityUnlikely",
@@ -96,6 +117,7 @@ DOSAGE_EVIDENCE_FIELDS = {
     1: [(10183, 10184), (10185, 10186), (10187, 10188), (12231, 12237), (12232, 12238), (12233, 12239)],
     3: [(10189, 10190), (10191, 10192), (10193, 10194), (12234, 12240), (12235, 12241), (12236, 12242)],
 }
+#: The names in use lack the question mark that some lists carry after "virus integration site".
 LOCUS_TYPE = {
     "immunoglobulin gene": "so:0002122", "T cell receptor gene": "so:0002099", "RNA, micro": "so:0000276", "gene with protein product": "so:0001217",
     "RNA, transfer": "so:0000253", "pseudogene": "so:0000336", "RNA, long non-coding": "so:0001877", "virus integration site": "so:0000946",
@@ -129,5 +151,4 @@ def lookup(table: dict, key: Column | str, default: str | None = None) -> Column
 
 def refseq_table() -> dict[str, str]:
     """'build|chromosome' -> RefSeq IRI."""
-    root = "https://identifiers.org/refseq:NC_"
-    return {f"{b}|{c}": f"{root}{i + 1:06d}.{v[i]}" for b, v in REFSEQ_VERSION.items() for i, c in enumerate(CHROMOSOMES)}
+    return {f"{build}|{name}": f"https://identifiers.org/refseq:{sequence}" for build, sequences in REFSEQ.items() for name, sequence in sequences.items()}

@@ -41,7 +41,7 @@ def load_archive(spark: SparkSession, path: str, row_tag: str = "VariationArchiv
     raw = raw.repartition(partitions) if partitions else raw
     sa, list_ = "ClassifiedRecord.SimpleAllele", "ClassifiedRecord.ClinicalAssertionList.ClinicalAssertion"
     location = F.transform(F.coalesce(F.col(f"{sa}.Location.SequenceLocation"), F.array().cast(T.ArrayType(_location_type()))), lambda x: F.struct(*[x[f"_{n}"].alias(n) for n in [*_INTS, *_TEXTS]]))
-    copies = F.element_at(F.filter(F.flatten(F.transform(F.col(list_), lambda a: F.coalesce(F.transform(a["SimpleAllele"]["AttributeSet"], lambda s: s["Attribute"]), F.array().cast("array<struct<_Type:string,_VALUE:string>>")))), lambda x: x["_Type"] == "AbsoluteCopyNumber"), 1)
+    copies = F.try_element_at(F.filter(F.flatten(F.transform(F.col(list_), lambda a: F.coalesce(F.transform(a["SimpleAllele"]["AttributeSet"], lambda s: s["Attribute"]), F.array().cast("array<struct<_Type:string,_VALUE:string>>")))), lambda x: x["_Type"] == "AbsoluteCopyNumber"), F.lit(1))
     classified = F.transform(F.col(list_), lambda a: F.struct(
         a["ClinVarAccession"]["_Accession"].alias("accession"), a["ClinVarAccession"]["_Version"].alias("version"), a["ClinVarAccession"]["_DateUpdated"].alias("DateUpdated"),
         a["ClinVarAccession"]["_DateCreated"].alias("DateCreated"), a["ClinVarAccession"]["_SubmitterName"].alias("submitter_name"), a["ClinVarAccession"]["_OrgID"].alias("org_id"),
@@ -70,10 +70,10 @@ def _tabbed(spark: SparkSession, path: str, columns: list[str], comment: str | N
     return reader.schema(", ".join(f"`{c}` string" for c in columns)).csv(path)
 
 
-def load_gff(spark: SparkSession, path: str) -> DataFrame:
-    """Genes, exons and coding sequences with their attributes (S3). Rows of three fields or fewer are dropped."""
+def load_gff(spark: SparkSession, path: str, types: tuple[str, ...] | None = tuple(vocab.GFF_TYPES)) -> DataFrame:
+    """Genes, exons and coding sequences (types; None: rows of all types) with their attributes (S3). Rows of three fields or fewer are dropped."""
     raw = _tabbed(spark, path, ["seqid", "source", "type", "start", "end", "score", "strand", "phase", "attributes"]).where("start is not null")
-    a = raw.where(F.col("type").isin(*vocab.GFF_TYPES)).withColumn("attrs", S.attributes(F.coalesce("attributes", F.lit(""))))
+    a = (raw if types is None else raw.where(F.col("type").isin(*types))).withColumn("attrs", S.attributes(F.coalesce("attributes", F.lit(""))))
     start, end = S.long_or_null("start"), S.long_or_null("end")
     return a.select(
         "seqid", "source", "type", vocab.lookup(vocab.GFF_TYPES, "type").alias("so_type"), start.alias("start"), end.alias("end"), "score", "strand", "phase", "attrs",
@@ -88,7 +88,7 @@ def gene_features(gff: DataFrame) -> DataFrame:
     return genes.groupBy(F.concat(F.lit(vocab.PREFIXES["ncbigene"]), "gene_id").alias("iri")).agg(F.min(F.col("attrs")["Name"]).alias("symbol"), F.sort_array(F.collect_set(location)).alias("locations"))
 
 
-def load_vcf(spark: SparkSession, path: str, keys: list[str] = ("END", "SVTYPE", "SVLEN", "AF", "PREDICTED_LOF")) -> DataFrame:
+def load_vcf(spark: SparkSession, path: str, keys: list[str] = tuple(vocab.VCF_INFO)) -> DataFrame:
     """VCF rows with the wanted INFO keys as lower-case columns; a key without a value is 'true' (S4)."""
     raw = _tabbed(spark, path, ["chrom", "pos", "id", "ref", "alt", "qual", "filter", "info"])
     m = raw.withColumn("m", S.attributes(F.coalesce("info", F.lit(""))))
