@@ -17,16 +17,22 @@ def located(t: Source):
 
 def overlaps(t: Source):
     f, v = located(t)
-    return intervals.overlaps(v, f)
+    return intervals.overlaps(v, f, one_location=True)
+
+
+def overlaps_of(t: Source, features):
+    """Overlaps with the features whose id is among those given (feature)."""
+    f, v = located(t)
+    return intervals.overlaps(v, f.join(features, "feature", "left_semi"), one_location=True)
 
 
 def model(t: Source) -> filters.Model:
     f, v = located(t)
-    found = intervals.overlaps(v, f)
     a = t.assertions.withColumn("gene", F.concat(F.lit("gene:"), F.expr("cast(split_part(assertion, ':', 2) as bigint) % 40"))).withColumn("proposition", F.concat(F.lit("prop:"), "variant"))
     props = a.select("proposition", F.when(F.col("direction") == "Refutes", "GeneValidityProposition").otherwise("VariantPathogenicityProposition").alias("type")).distinct()
     obsolete = t.annotations.where("classification = 'NoAssessment'").select(F.col("subject").alias("assertion"))
-    return filters.Model(a, v, found, t.mechanism, t.validity, f, t.annotations, intervals.gene_count_criteria(found), props, obsolete)
+    criteria = intervals.gene_count_criteria(intervals.overlaps(v, f, one_location=True))
+    return filters.Model(a, v, None, t.mechanism, t.validity, f, t.annotations, criteria, props, obsolete, one_location=True)
 
 
 #: Kinds of all pairs whose outer extents meet and that have a feature boundary in the candidate window.
@@ -66,7 +72,7 @@ def b19(t):
 @query("x3_coding_overlaps", VF + " SELECT variant, feature, kind FROM olap WHERE protein_coding")
 def x3(t):
     f, v = located(t)
-    return intervals.coding_overlaps(v, f)
+    return intervals.coding_overlaps(v, f, one_location=True)
 
 
 #: A region here is a band of the sequence: features and variants are counted against thresholds of the small tables.
@@ -84,13 +90,13 @@ def a3(t):
 def x14(t):
     f = located(t)[0]
     other = f.withColumnRenamed("feature", "other")
-    return intervals.overlaps(f, other, key="feature", fkey="other").where("feature <> other and kind in ('CompleteOverlap', 'PartialOverlap')")
+    return intervals.overlaps(f, other, key="feature", fkey="other", one_location=True).where("feature <> other and kind in ('CompleteOverlap', 'PartialOverlap')")
 
 
 @query("x10_variant_features", VF + " SELECT variant, feature FROM olap WHERE kind = 'CompleteOverlap' AND (protein_coding OR ftype = 'DosageRegion')")
 def x10(t):
     some = t.features.where("protein_coding or ftype = 'DosageRegion'").select("feature")
-    return overlaps(t).where("kind = 'CompleteOverlap'").join(some, "feature", "left_semi").select("variant", "feature")
+    return overlaps_of(t, some).where("kind = 'CompleteOverlap'").select("variant", "feature")
 
 
 # ---- patterns ----------------------------------------------------------------------------------------------------
@@ -206,13 +212,11 @@ query("x5_batch_conflicts", _STATED + " SELECT m.assertion, m.other FROM met m J
 query("x6_conflict_triples", _STATED + """, c AS (SELECT m.assertion, m.other FROM met m JOIN sizes s ON m.assertion = s.assertion WHERE s.n - m.shared <= 0.1 * s.n)
 SELECT assertion AS s, 'cg:conflictingAssertions' AS p, other AS o FROM c UNION SELECT other, 'cg:conflictingAssertions', assertion FROM c""")(lambda t: conflicts.symmetric(conflicts.variant_conflicts(stated(t), t.gene_sets)))
 
-@query("x9_related_assertions", ALL + """, k AS (SELECT g.assertion, g.gene, v.copy_change, a.direction FROM gene_sets g JOIN assertions a ON g.assertion = a.assertion JOIN variants v ON a.variant = v.variant WHERE a.review_status = 'Flagged'),
+@query("x9_related_assertions", ALL + """, k AS (SELECT g.assertion, g.gene, v.copy_change, a.direction FROM gene_sets g JOIN assertions a ON g.assertion = a.assertion JOIN variants v ON a.variant = v.variant),
 n AS (SELECT assertion, count(*) AS n FROM gene_sets GROUP BY assertion)
 SELECT DISTINCT a.assertion, b.assertion AS other FROM k a JOIN k b ON a.gene = b.gene AND a.copy_change = b.copy_change AND a.direction <> b.direction JOIN n x ON a.assertion = x.assertion JOIN n y ON b.assertion = y.assertion WHERE y.n <= x.n""")
 def x9(t):
-    """Related assertions among the flagged ones."""
-    flagged = t.assertions.where("review_status = 'Flagged'").join(t.variants.select("variant", "copy_change"), "variant").select("assertion", "copy_change", "direction")
-    return conflicts.related_assertions(flagged, t.gene_sets)
+    return conflicts.related_assertions(stated(t), t.gene_sets)
 
 
 query("x9_related_counts", ALL + """, k AS (SELECT g.assertion, g.gene, v.copy_change, a.direction FROM gene_sets g JOIN assertions a ON g.assertion = a.assertion JOIN variants v ON a.variant = v.variant),
@@ -227,7 +231,10 @@ WHERE a.review_status <> 'Flagged' AND a.direction <> 'Supports' AND a.classific
 
 
 def dosage_map_conflicts(t: Source, copy_change: str = "loss", mechanism: str = "Haploinsufficiency"):
-    got = conflicts.dosage_conflicts(t.assertions, t.variants, overlaps(t), t.mechanism, t.annotations, copy_change, mechanism)
+    sufficient = t.mechanism.where((F.col("mechanism") == mechanism) & (F.col("strength") == "DosageSufficientEvidence")).select("feature")
+    f, v = located(t)
+    found = intervals.overlaps(v.where(F.col("copy_change") == copy_change), f.join(sufficient, "feature", "left_semi"), one_location=True)
+    got = conflicts.dosage_conflicts(t.assertions, t.variants, found, t.mechanism, t.annotations, copy_change, mechanism)
     return got.withColumn("mechanisms", F.array_join("mechanisms", ","))
 
 
@@ -300,7 +307,7 @@ def j10_shared(t):
 # ---- scores ------------------------------------------------------------------------------------------------------
 
 query("x15_lof_scores", ALL + """, p AS (SELECT o.variant, product(1 - l.lower95) AS none FROM olap o JOIN lof l ON o.feature = l.gene WHERE o.kind = 'CompleteOverlap' GROUP BY o.variant)
-SELECT variant, round(ln((1 - none) / none), 6) AS score FROM p""")(lambda t: scores.lof_scores(overlaps(t), t.lof).select("variant", F.round("score", 6).alias("score")))
+SELECT variant, round(ln((1 - none) / none), 6) AS score FROM p""")(lambda t: scores.lof_scores(overlaps_of(t, t.lof.select(F.col("gene").alias("feature"))), t.lof).select("variant", F.round("score", 6).alias("score")))
 query("x16_deletion_scores", ALL + """, p AS (SELECT o.variant, product(1 - l.lower95) AS none FROM olap o JOIN lof l ON o.feature = l.gene WHERE o.kind = 'CompleteOverlap' AND o.copy_change = 'loss' GROUP BY o.variant)
 SELECT variant, round(ln((1 - none) / none), 6) AS score FROM p WHERE ln((1 - none) / none) > -11 AND ln((1 - none) / none) < 3.5""")(
     lambda t: scores.lof_scores(overlaps(t).join(t.variants.where("copy_change = 'loss'"), "variant", "left_semi"), t.lof).where(filters.in_open_range("score", -11, 3.5)).select("variant", F.round("score", 6).alias("score"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -36,8 +33,8 @@ query("j5_correlated_anti", with_views("validity", "mechanism") + " SELECT v.stm
 query("j6_theta_self_join", with_views("validity") + " SELECT a.disease, a.stmt, b.stmt AS stmt_2 FROM validity a JOIN validity b ON a.disease = b.disease AND a.stmt <> b.stmt AND a.strength <> b.strength")(
     lambda t: patterns.theta_self_join(t.validity.select("disease", "stmt", "strength"), ["disease"], ["stmt", "strength"]).select("disease", "stmt", "stmt_2")
 )
-query("j13_full_outer_counts", "SELECT k, coalesce(a.n, 0) AS n_orders, coalesce(b.n, 0) AS n_lines FROM (SELECT o_orderkey % 97 AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL) a FULL JOIN (SELECT l_orderkey % 97 AS k, count(*) AS n FROM lineitem WHERE l_quantity > 49 GROUP BY ALL) b USING (k)")(
-    lambda t: t.orders.where("o_orderstatus = 'P'").groupBy((F.col("o_orderkey") % 97).alias("k")).agg(F.count("*").alias("n_orders")).join(t.lineitem.where("l_quantity > 49").groupBy((F.col("l_orderkey") % 97).alias("k")).agg(F.count("*").alias("n_lines")), "k", "full").na.fill(0)
+query("j13_full_outer_counts", "SELECT k, coalesce(a.n, 0) AS n_orders, coalesce(b.n, 0) AS n_lines FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY ALL) a FULL JOIN (SELECT l_partkey AS k, count(*) AS n FROM lineitem GROUP BY ALL) b USING (k)")(
+    lambda t: t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n_orders")).join(t.lineitem.groupBy(F.col("l_partkey").alias("k")).agg(F.count("*").alias("n_lines")), "k", "full").na.fill(0, ["n_orders", "n_lines"])
 )
 query("j13_full_outer_orders", """SELECT coalesce(o.k, l.k) AS k, coalesce(n_orders, 0) AS n_orders, coalesce(n_lines, 0) AS n_lines
 FROM (SELECT o_orderkey AS k, count(*) AS n_orders FROM orders GROUP BY k) o FULL JOIN (SELECT l_orderkey AS k, count(*) AS n_lines FROM lineitem GROUP BY k) l ON o.k = l.k""")(
@@ -55,7 +52,7 @@ query("c14_offset_instants", "SELECT o_orderkey, concat(CAST(CAST(o_orderdate AS
     lambda t: t.orders.select("o_orderkey", F.date_format(S.offset_instant(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T09:55:41.000-0400"))), "yyyy-MM-dd HH:mm").alias("instant"))
 )
 query("c15_date_prefixes", with_views("assertions") + " SELECT assertion, substr(date_last_evaluated, 1, 4) AS year, substr(date_last_evaluated, 1, 10) AS day FROM assertions")(lambda t: t.assertions.select("assertion", S.date_part("date_last_evaluated", 4).alias("year"), S.date_part("date_last_evaluated").alias("day")))
-query("c16_epoch_dates", "SELECT o_orderkey, strftime(make_timestamp(CAST(o_orderkey AS BIGINT) * 86400000 * 1000), '%Y-%m-%d') AS day FROM orders WHERE o_orderkey < 20000")(lambda t: t.orders.where("o_orderkey < 20000").select("o_orderkey", S.millis_date(F.col("o_orderkey").cast("long") * 86400000).alias("day")))
+query("c16_epoch_dates", "SELECT o_orderkey, strftime(make_timestamp(CAST(o_orderkey % 40000 AS BIGINT) * 43200000 * 1000), '%Y-%m-%d') AS day FROM orders")(lambda t: t.orders.select("o_orderkey", S.millis_date((F.col("o_orderkey") % 40000).cast("long") * 43200000).alias("day")))
 query("c16_epoch_days", "SELECT o_orderkey, strftime(make_timestamp(CAST(o_orderkey % 20000 AS BIGINT) * 86400000 * 1000), '%Y-%m-%d') AS day FROM orders")(lambda t: t.orders.select("o_orderkey", S.millis_date((F.col("o_orderkey") % 20000).cast("long") * 86400000).alias("day")))
 query("c26_label_fallback", T + " SELECT s, coalesce(max(CASE WHEN p = 'rdfs:label' THEN o END), max(CASE WHEN p = 'rdf:type' THEN o END), 'none') AS label FROM triples GROUP BY s")(
     lambda t: t.triples.groupBy("s").agg(*[F.max(F.when(F.col("p") == p, F.col("o"))).alias(c) for c, p in (("a", "rdfs:label"), ("b", "rdf:type"))]).select("s", S.first_of("a", "b", F.lit("none")).alias("label"))
@@ -108,18 +105,13 @@ query("k5_bed_rows", with_views("variants", "assertions") + " SELECT concat_ws(c
 _KEYED = "key long, event_id long, event_type string, ts timestamp"
 
 
-def _folder(spark, what: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='helixframe-')}"
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def _events(t):
     return t.events.select(F.col("user_id").cast("long").alias("key"), F.col("event_id").cast("long").alias("event_id"), "event_type", F.col("ts").cast("timestamp").alias("ts"))
 
 
 def _replayed(t, fn_of_table):
     """The events in three batches by event id through a batch function, the second batch sent twice."""
-    table = sinks.KeyedTable(t.spark, _folder(t.spark, "keyed"), _KEYED)
+    table = sinks.KeyedTable(t.spark, sinks.shared_folder(t.spark, "keyed"), _KEYED)
     fn = fn_of_table(table)
     e = _events(t)
     top = e.agg(F.max("event_id")).first()[0]

@@ -48,7 +48,7 @@ FROM {part} WHERE p_partkey % 4 <> 3""",
 SELECT concat('ann:', o_orderkey) AS annotation, concat('scv:', o_orderkey) AS subject,
        CASE WHEN o_orderkey % 2 = 0 THEN 'DosageMapConflict' ELSE 'NoAssessment' END AS classification
 FROM {orders} WHERE o_orderkey % 17 = 0""",
-    "gene_sets": "SELECT DISTINCT concat('scv:', l_orderkey) AS assertion, concat('gene:', l_partkey % 40) AS gene FROM {lineitem}",
+    "gene_sets": "SELECT DISTINCT concat('scv:', l_orderkey) AS assertion, concat('gene:', l_partkey) AS gene FROM {lineitem}",
     "triples": """
 SELECT concat('order:', o_orderkey) AS s, 'rdf:type' AS p, 'Order' AS o FROM {orders}
 UNION ALL SELECT concat('order:', o_orderkey), 'subject', concat('customer:', o_custkey) FROM {orders}
