@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a DataFrame; run()
 writes it as Parquet in the shared folder and reads it again for the next stage. All stages but the last return the
 columns of `documents`.
+
+Defined results: rows are judged one by one, whatever their ids: null and repeated ids are rows like others. A null or
+empty text scores as the toxicity model's intercept does and goes as a text without a letter in the language stage. Of
+rows with equal texts that one stays which near_duplicates() names. Very long texts are judged whole. A table without
+rows, labels or benchmark items is no error: nothing is rejected for want of them. Further columns pass through all
+stages but the last; the names that begin with an underscore below are the stages' own.
 """
 
 from __future__ import annotations
