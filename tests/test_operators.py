@@ -206,3 +206,43 @@ def test_closure_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(110)], "child long, parent long")
     got = graph.closure(edges).groupBy().agg(F.count("*"), F.max("depth"), F.sum(F.col("ancestor") - F.col("node") - F.col("depth"))).first()
     assert tuple(got) == (110 * 111 // 2, 110, 0)
+
+
+def test_candidates_of_more_than_a_thousand_feature_types(spark):
+    loc = "seq_ref string, start_outer long, start_inner long, end_inner long, end_outer long, is_range boolean"
+    f = spark.createDataFrame([(f"f{i}", f"type{i}" if i % 2 else "Gene", "s", 10 + i, 10 + i, 20 + i, 20 + i, False) for i in range(2400)], f"feature string, ftype string, {loc}")
+    v = spark.createDataFrame([("v", "s", 5, 5, 3000, 3000, False), ("w", "s", 100_000, 100_000, 100_001, 100_001, False), ("u", "s", None, None, 9, 9, False)], f"variant string, {loc}")
+    got = {(r.variant, r.feature) for r in intervals.candidates(v, f).collect()}
+    assert got == {("v", f"f{i}") for i in range(2400)}
+
+
+def test_overlaps_of_keys_with_one_location_need_no_grouping(spark, sf):
+    from helixframe import plans
+    from helixframe.plans import core, registry
+
+    f, v = core.located(registry.Source(spark, sf))
+    rows = lambda one: sorted(map(tuple, intervals.overlaps(v, f, one_location=one).collect()))
+    assert rows(True) == rows(False) and len(rows(True)) == plans.QUERIES["x2_overlaps"](spark, sf).count()
+
+
+def test_filter_bits_equal_the_filters_one_by_one(spark, sf):
+    from helixframe.operators import filters, reports
+    from helixframe.plans import core, registry
+
+    m = core.model(registry.Source(spark, sf))
+    calls = [("complete_overlap_with_feature_set", "ARGene"), ("partial_overlap_with_feature_set", "HaploinsufficiencyFeatures"), ("has_annotation", None), ("copy_change", "loss"), ("gene_count_min", "Genes25")]
+    bits = {r.assertion: r.bits for r in filters.filter_bits(m, calls).select("assertion", "bits").collect()}
+    for i, (f, a) in enumerate(calls):
+        want = {r.assertion for r in filters.apply_filters(m, [{"filter": f, "argument": a}]).collect()}
+        assert {k for k, b in bits.items() if b >> i & 1} == want
+    union = {"u": [("copy_change", "loss", "exists"), ("has_annotation", None, "union"), ("date_evaluated_min", "1996", "difference")]}
+    want = filters.apply_filters(m, [{"filter": f, "argument": a, "operation": o} for f, a, o in union["u"]]).count()
+    assert sum(r.n for r in reports.case_mix(m, union).collect()) == want > 0
+
+
+def test_top_and_other_of_ties_nulls_and_few_groups(spark):
+    from helixframe.operators import aggregates
+
+    df = spark.createDataFrame([("a", 5), ("b", 5), (None, 5), ("d", 1), ("e", 2)], "k string, n long")
+    assert sorted(map(tuple, aggregates.top_and_other(df, 2, "k").collect()), key=str) == sorted([(None, 5), ("a", 5), ("other", 8)], key=str)
+    assert sorted(map(tuple, aggregates.top_and_other(df.where("k > 'c'"), 9, "k").collect())) == [("d", 1), ("e", 2)]

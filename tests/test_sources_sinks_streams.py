@@ -150,3 +150,47 @@ def test_region_stream_and_people(spark, tmp_path):
     ev = spark.createDataFrame([("created", ("1", "e", "a", "b"), 1), ("other", ("2", "e", "a", "b"), 1)], "event_type string, person struct<id:string,email:string,first_name:string,last_name:string>, ts long")
     streams.person_events(people)(ev, 0)
     assert people.read().count() == 1
+
+
+def test_keyed_table_rewrites_the_buckets_of_its_keys_alone(spark, tmp_path):
+    schema = "key string, value long"
+    table = sinks.KeyedTable(spark, str(tmp_path / "t"), schema, buckets=8)
+    assert table.read().count() == 0
+    rows = spark.createDataFrame([(f"k{i}", i) for i in range(100)], schema)
+    assert table.merge(upserts=rows, batch=3)
+    first = set((tmp_path / "t" / "data").iterdir())
+    assert table.merge(upserts=spark.createDataFrame([("k7", -1), (None, 5)], schema), deletes=spark.createDataFrame([("k8",)], "key string"), batch=4)
+    assert not table.merge(deletes=rows, batch=4) and not table.merge(deletes=rows, batch=2)
+    new = set((tmp_path / "t" / "data").iterdir()) - first
+    assert len(new) == 1 and len([x for x in next(iter(new)).iterdir() if x.name.startswith("bucket=")]) <= 3
+    want = {f"k{i}": i for i in range(100) if i != 8} | {"k7": -1, None: 5}
+    assert {r.key: r.value for r in table.read().collect()} == want
+    assert table.merge(deletes=table.read().where("key is not null").select("key"), batch=9)
+    assert [tuple(r) for r in table.read().collect()] == [(None, 5)] and table.batches() == 3
+    assert table.vacuum(keep=1) >= 1 and table.read().count() == 1
+
+
+def test_every_version_and_every_waiting_event_is_kept(spark, tmp_path):
+    schema = "key string, version string, ts long"
+    history = sinks.KeyedTable(spark, str(tmp_path / "h"), schema + ", invalidated_by string")
+    current, waiting = sinks.KeyedTable(spark, str(tmp_path / "c"), schema), sinks.KeyedTable(spark, str(tmp_path / "w"), schema)
+    gate = {"open": False}
+    fn = streams.gated(streams.supersede(current, history), lambda: gate["open"], waiting)
+    fn(spark.createDataFrame([("k", "1", 1), ("k", "2", 2)], schema), 0)
+    fn(spark.createDataFrame([("k", "3", 3)], schema), 1)
+    fn(spark.createDataFrame([("k", "3", 3)], schema), 1)  # sent again
+    gate["open"] = True
+    fn(spark.createDataFrame([("k", "4", 4), ("j", "1", 5)], schema), 2)
+    assert sorted((r.key, r.invalidated_by) for r in history.read().collect()) == [("k/1", "2"), ("k/2", "3"), ("k/3", "4")]
+    assert {(r.key, r.version) for r in current.read().collect()} == {("k", "4"), ("j", "1")} and waiting.read().count() == 0
+
+
+def test_reports_and_tracks_of_many_rows_are_several_files(spark, tmp_path):
+    df = spark.range(300).select(F.lit("chr1").alias("chrom"), F.col("id").cast("string").alias("variant"), *[F.col("id").alias(c) for c in ("start_outer", "start_inner", "end_inner", "end_outer")], F.lit("x").alias("direction")).repartition(3)
+    sinks.write_report(df, str(tmp_path / "many"), single_rows=100)
+    sinks.write_report(df, str(tmp_path / "one"))
+    files_of = lambda name: [x for x in (tmp_path / name).iterdir() if x.name.endswith(".csv")]
+    assert len(files_of("many")) > 1 and len(files_of("one")) == 1
+    sinks.write_bed(df, str(tmp_path / "bed"), "chr1:1-9")
+    lines = [line for x in sorted((tmp_path / "bed").glob("part-*")) for line in x.read_text().splitlines()]
+    assert lines[0].startswith("browser") and len(lines) == 301 and lines[1:] == sorted(lines[1:])
