@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import op01_embedding_dedup, op02_toxicity, op03_token_counts, op04_language, op05_url_filter, op06_warc_zip, op07_ngram_join, op08_token_files, op09_decontaminate
+from . import op11_license_scan, op12_filter_audit, op13_centroids
 from . import op10_bpe as bpe
 from .common import learn_bucket, stored, table, work_dir
 
@@ -138,7 +139,20 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY)
 
 
+def op11_license_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_license_scan.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_centroids_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_token_counts, op4_language, op5_url_filter, op6_warc_zip, op7_ngram_join, op8_token_files, op9_decontaminate, op10_bpe)}
+QUERIES |= {"op11_license_scan": op11_license_scan_query, "op12_filter_audit": op12_filter_audit_query, "op13_centroids": op13_centroids_query}
 OP1_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
@@ -157,3 +171,4 @@ LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) m ON e.vec_id = m.a
 """
 
 SQL = {"op1_embedding_dedup": OP1_SQL, "op3_token_counts": OP3_SQL, "op5_url_filter": OP5_SQL, "op6_warc_zip": OP6_SQL, "op9_decontaminate": op09_decontaminate.oracle()}
+SQL |= {"op11_license_scan": op11_license_scan.oracle(), "op12_filter_audit": op12_filter_audit.oracle(), "op13_centroids": op13_centroids.oracle()}
