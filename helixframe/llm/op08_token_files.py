@@ -38,10 +38,10 @@ from pyspark.sql import functions as F
 from .common import give_back, item_sizes, keep_table, open_fs, runs, slices, stored, use_table, white_split, work_dir
 from .op10_bpe import WORD_END, LetterClasses, Normalizer, PieceTable, letter_classes
 
-MAGIC = b"HXTOKS02"
-_FOOTER = np.dtype([("ids", "<u8"), ("docs", "<u8"), ("keys", "<u8"), ("words", "<u8"), ("levels", "<u8"), ("width", "<u8"), ("magic", "S8")])
+MAGIC = b"HXTOKS03"
+_FOOTER = np.dtype([("ids", "<u8"), ("docs", "<u8"), ("keys", "<u8"), ("words", "<u8"), ("levels", "<u8"), ("nulls", "<u8"), ("width", "<u8"), ("magic", "S8")])
 MANIFEST = "shard int, part int, path string, n_docs long, n_ids long, n_bytes long, first_key long, last_key long"
-_NO_KEY = -(2**63)
+_NO_KEY = -(2**63)  # stands in for a null key, whose records are the first of a file: the file holds their number
 
 
 # ---- minimal perfect hashing -------------------------------------------------------------------------------------
@@ -112,9 +112,11 @@ class ShardWriter:
         self.out, self.width = self.fs.open_output_stream(path), width
         self.codes: list[np.ndarray] = []
         self.lengths: list[np.ndarray] = []
-        self.n_ids = 0
+        self.n_ids = self.nulls = 0
 
-    def add(self, codes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+    def add(self, codes: np.ndarray, ids: np.ndarray, lengths: np.ndarray, nulls: int = 0) -> None:
+        """Records in order of their keys; the first `nulls` of them have none."""
+        self.nulls += nulls
         self.out.write(ids.astype("<u2" if self.width == 2 else "<u4").tobytes())
         self.codes.append(codes)
         self.lengths.append(lengths)
@@ -124,8 +126,8 @@ class ShardWriter:
         """Writes index and footer; documents, ids, bytes, and the smallest and largest key code."""
         codes = np.concatenate(self.codes) if self.codes else np.zeros(0, np.int64)
         ends = np.concatenate(([0], np.cumsum(np.concatenate(self.lengths) if self.lengths else np.zeros(0, np.int64))))
-        keys, first = np.unique(codes[codes != _NO_KEY], return_index=True)
-        first = first + int((codes == _NO_KEY).sum())  # records without a key stand first
+        keys, first = np.unique(codes[self.nulls :], return_index=True)
+        first = first + self.nulls
         table = PerfectHash.build(keys.view(np.uint64))
         slots = table.slots(keys.view(np.uint64))
         prints, records = np.zeros(len(keys), "<u4"), np.zeros(len(keys), "<u4")
@@ -133,7 +135,7 @@ class ShardWriter:
         index = (ends.astype("<i8"), codes.astype("<i8"), table.bits, table.before.astype("<i8"), table.starts.astype("<i8"), prints, records)
         for a in index:
             self.out.write(a.tobytes())
-        self.out.write(np.array([(self.n_ids, len(codes), len(keys), len(table.bits), len(table.starts), self.width, MAGIC)], _FOOTER).tobytes())
+        self.out.write(np.array([(self.n_ids, len(codes), len(keys), len(table.bits), len(table.starts), self.nulls, self.width, MAGIC)], _FOOTER).tobytes())
         self.out.close()
         size = self.n_ids * self.width + sum(a.nbytes for a in index) + _FOOTER.itemsize
         return len(codes), self.n_ids, size, *((int(keys[0]), int(keys[-1])) if len(keys) else (None, None))
@@ -165,7 +167,7 @@ class ShardReader:
         foot = np.frombuffer(self.file.read_at(_FOOTER.itemsize, size - _FOOTER.itemsize), _FOOTER)[0]
         if foot["magic"] != MAGIC:
             raise ValueError(f"{uri} is not a token file")
-        self.width, self.n_ids, self.n_docs = int(foot["width"]), int(foot["ids"]), int(foot["docs"])
+        self.width, self.n_ids, self.n_docs, self.nulls = int(foot["width"]), int(foot["ids"]), int(foot["docs"]), int(foot["nulls"])
         keys, words = int(foot["keys"]), int(foot["words"])
         at, arrays = self.n_ids * self.width, []
         for n, dtype in ((self.n_docs + 1, "<i8"), (self.n_docs, "<i8"), (words, "<u8"), (words, "<i8"), (int(foot["levels"]), "<i8"), (keys, "<u4"), (keys, "<u4")):
@@ -188,9 +190,10 @@ class ShardReader:
     def find(self, keys) -> np.ndarray:
         """The first record of each key, -1 if the file has no such key. The fingerprint rules out most strange keys, the key code the rest."""
         codes = keys if isinstance(keys, np.ndarray) else key_codes(keys)
+        known = np.ones(len(codes), bool) if isinstance(keys, np.ndarray) else np.array([k is not None for k in keys], bool)
         out = np.full(len(codes), -1, np.int64)
         slots = self.table.slots(codes.view(np.uint64))
-        at = np.flatnonzero((slots >= 0) & (codes != _NO_KEY))
+        at = np.flatnonzero((slots >= 0) & known)
         at = at[self.prints[slots[at]] == fingerprints(codes[at].view(np.uint64))]
         records = self.records[slots[at]].astype(np.int64)
         same = self.codes[records] == codes[at]
@@ -323,13 +326,13 @@ def write(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, out, uri, shard, part, last = library_encoder(vocabulary, classes), None, "", TaskContext.get().partitionId(), 0, None
         for b in batches:
-            keys = key_codes(b.column(0).to_pylist())
+            keys, none = key_codes(b.column(0).to_pylist()), b.column(0).is_null().to_numpy(zero_copy_only=False)
             for a, z in slices(item_sizes(b.column(1)), min(1_000_000, max_file_bytes)):
                 ids, ends = encode([t or "" for t in b.column(1).slice(a, z - a).to_pylist()])
                 ids, lengths = np.insert(ids, ends[1:], end_id), np.diff(ends) + 1
                 if out is not None and out.n_ids * width >= max_file_bytes:
                     same = int(np.argmin(np.append(keys[a:z] == last, False)))  # rows of the last key stay in its file
-                    out.add(keys[a : a + same], ids[: lengths[:same].sum()], lengths[:same])
+                    out.add(keys[a : a + same], ids[: lengths[:same].sum()], lengths[:same], int(none[a : a + same].sum()))
                     ids, lengths, a = ids[lengths[:same].sum() :], lengths[same:], a + same
                     if a < z:
                         yield row(shard, part, uri, out.close())
@@ -338,14 +341,15 @@ def write(
                     if out is None:
                         uri = f"{path}/shard-{shard:06d}-{part:04d}-{uuid.uuid4().hex}.tok"
                         out = ShardWriter(uri, width)
-                    out.add(keys[a:z], ids, lengths)
+                    out.add(keys[a:z], ids, lengths, int(none[a:z].sum()))
                     last = keys[z - 1]
             del b
             give_back()
         if out is not None:
             yield row(shard, part, uri, out.close())
 
-    ordered = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).repartitionByRange(n, "k").sortWithinPartitions("k", "t")
+    # rows of a hot key (null among them) are split by a hash of their texts, and stay in the order of keys
+    ordered = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h")).repartitionByRange(n, "k", "h").sortWithinPartitions("k", "h", "t").select("k", "t")
     ordered.mapInArrow(run, MANIFEST).write.parquet(f"{path}/manifest")
     manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
     # one row per file: a window over all of them is small
@@ -370,8 +374,9 @@ def read_back(manifest: DataFrame, chunk_ids: int = 4_000_000) -> DataFrame:
             for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 with ShardReader(path, whole=True) as f:
                     records = f.find(f.codes)
-                    again = np.arange(len(f.codes)) - np.searchsorted(f.codes, f.codes)  # which of a repeated key's records
-                    records = np.where(f.codes == _NO_KEY, np.arange(len(f.codes)), records + again)
+                    own = f.codes[f.nulls :]
+                    again = np.arange(len(own)) - np.searchsorted(own, own)  # which of a repeated key's records
+                    records = np.concatenate((np.arange(f.nulls), records[f.nulls :] + again))
                     at = 0
                     while at < len(records):
                         to = max(at + 1, int(np.searchsorted(f.ends, f.ends[at] + chunk_ids, "right")) - 1)
@@ -380,7 +385,7 @@ def read_back(manifest: DataFrame, chunk_ids: int = 4_000_000) -> DataFrame:
                         starts, stops = f.ends[records[at:to]], f.ends[records[at:to] + 1]
                         crcs = [zlib.crc32(raw[4 * (a - origin) : 4 * (z - origin)]) for a, z in zip(starts.tolist(), stops.tolist(), strict=True)]
                         codes = f.codes[at:to]
-                        yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64(), mask=codes == _NO_KEY), pa.array(starts + base, pa.int64()), pa.array(stops - starts, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                        yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64(), mask=np.arange(at, to) < f.nulls), pa.array(starts + base, pa.int64()), pa.array(stops - starts, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
                         at = to
 
     return rows.mapInArrow(run, READ)
@@ -389,18 +394,19 @@ def read_back(manifest: DataFrame, chunk_ids: int = 4_000_000) -> DataFrame:
 def lookup(keys: DataFrame, manifest: DataFrame, key: str = "doc_id") -> DataFrame:
     """Ids of the (first) documents with the given whole-number keys: (key, ids); keys that no file has are left out.
 
-    Files hold disjoint key ranges, so each key goes to the one file whose range it may lie in; every file is opened
-    once and asked for its own keys alone. Both tables may be of any size: only the files' first and last keys (16
+    Files hold key ranges that meet at most in a key whose records go on in the next file, so each key goes to the first
+    file whose range it may lie in; every file is opened once and asked for its own keys alone. Both tables may be of any size: only the files' first and last keys (16
     bytes a file) are sent to all tasks.
     """
-    files = manifest.where("first_key is not null").select("first_key", "last_key", "path").orderBy("first_key").toArrow()  # a row per file
+    files = manifest.where("first_key is not null").select("first_key", "last_key", "path").orderBy("first_key", "last_key").toArrow()  # a row per file
     first, last, paths = (files.column(i).to_numpy() for i in (0, 1, 2))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k = b.column(0).to_numpy()
-            at = np.searchsorted(first, k, "right") - 1
-            good = np.flatnonzero((at >= 0) & (k <= last[at])) if len(first) else np.zeros(0, int)
+            at = np.searchsorted(last, k)
+            good = np.flatnonzero(np.append(first, 2**63 - 1)[at] <= k) if len(first) else np.zeros(0, int)
+            good = good[at[good] < len(first)]
             yield pa.RecordBatch.from_arrays([pa.array(at[good], pa.int64()), pa.array(k[good], pa.int64())], ["f", "k"])
 
     places = manifest.sparkSession.createDataFrame([(i, str(p)) for i, p in enumerate(paths.tolist())], "f long, path string")
