@@ -119,29 +119,36 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, p: Params) -> tuple[float,
 def fit(docs: DataFrame, labels: DataFrame, params: Params = Params(), key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Learns from the rows of labels (key, label 0/1) and the texts of docs with the same key.
 
-    If there are more labelled keys than max_rows, about max_rows of them are taken, by key hash; of those, if their
-    texts have more than max_slots features, about as many as have max_slots.
+    A key's different texts are learnt one by one, a text that it repeats once. If there are more labelled rows than
+    max_rows, about max_rows of their (key, text) pairs are taken, by a hash of both; of those, if their texts have more
+    than max_slots features, about as many as have max_slots.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(F.col(label).cast("int")).alias("_y"))
+    p = params
     count = known.count()
-    if count > params.max_rows:
-        share = params.max_rows / count
-        known = known.where(F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    # at most about max_rows rows of two numbers: a proven bound
+    if count > 4 * p.max_rows:  # more keys than may be sent to every task: fewer by their hash first
+        known = known.where(F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) < int(4 * p.max_rows / count * (1 << 30)))
+    # at most about 4 * max_rows rows of two numbers: a proven bound
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(known), "_key")
-    p = params
+    if rows.select("_key").count() > p.max_rows:
+        pairs = rows.select("_key", F.xxhash64("_text").alias("_hash")).distinct().count()
+        if pairs > p.max_rows:
+            rows = rows.where(F.pmod(F.xxhash64("_key", "_text"), F.lit(1 << 30)) < int(p.max_rows / pairs * (1 << 30)))
 
     def make():
         return lambda texts: [[x.astype(np.int32) for x in distinct_features([t or "" for t in texts], p.bits)]]
 
+    rows = rows.withColumn("_hash", F.xxhash64("_text"))
     ready = with_text_columns(rows, "_text", make, [T.StructField("_slots", T.ArrayType(T.IntegerType()))]).drop("_text")
+    # repeated rows are one, taken together per task before they are shuffled
+    ready = ready.groupBy("_key", "_hash").agg(F.any_value("_y").alias("_y"), F.any_value("_slots").alias("_slots"))
     ready = stored(ready, "toxicity-features")
     slots = ready.agg(F.sum(F.size("_slots"))).first()[0] or 0
     if slots > p.max_slots:
-        ready = ready.where(F.pmod(F.xxhash64("_key", F.lit(2)), F.lit(1 << 30)) < int(p.max_slots / slots * (1 << 30)))
+        ready = ready.where(F.pmod(F.xxhash64("_key", "_hash", F.lit(2)), F.lit(1 << 30)) < int(p.max_slots / slots * (1 << 30)))
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort([xxhash.xxh3_64_intdigest(str(k)) for k in pdf["_key"]], kind="stable")
+        order = np.lexsort((pdf["_hash"].to_numpy(np.int64), np.array([xxhash.xxh3_64_intdigest(str(k)) for k in pdf["_key"]], np.uint64)))
         labels, slots = pdf["_y"].to_numpy(float)[order], pdf["_slots"].to_numpy()[order]
         count = np.zeros(1 << p.bits, np.int32)
         for x in slots:
