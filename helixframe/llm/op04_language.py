@@ -12,8 +12,7 @@ score = 1 / (1 + sum over the other languages of exp(-sharpness * gap / smallest
 Defined results: null texts and texts without a letter (numerals such as Roman or circled ones are none) are `und`,
 score 0, rejected; ties go to the language with more learnt rows, then the first in alphabetical order (and are
 rejected, their margin being 0); very long texts are compressed whole, block by block; repeated rows give repeated
-results; with no learnt language every text is `und`; any number of languages is learnt (passages * passage_chars
-characters each); an empty table gives an empty result; other columns pass through, except those that bear a result
+results; with no learnt language every text is `und`; the dictionaries of all languages together are bounded (Params.max_bytes); an empty table gives an empty result; other columns pass through, except those that bear a result
 column's name, which are replaced.
 """
 
@@ -35,7 +34,12 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 @dataclass(frozen=True)
 class Params:
-    """passages per language and their length bound what is learnt from each language: passages * passage_chars characters."""
+    """passages per language and their length bound what is learnt from each language: passages * passage_chars characters.
+
+    max_bytes bounds all dictionaries together, which every task is sent: where there are so many languages that it would
+    not hold, each learns fewer passages (of the default, 256 up to 85 languages and one up to 21,845); more languages
+    than that are an error.
+    """
 
     passages: int = 256
     passage_chars: int = 768
@@ -44,6 +48,7 @@ class Params:
     min_match: int = 3
     min_margin: float = 0.01
     sharpness: float = 40.0
+    max_bytes: int = 1 << 26
 
 
 def letters(text: str) -> str:
@@ -62,13 +67,17 @@ def fit(docs: DataFrame, params: Params = Params(), text: str = "text", lang: st
     rows = rows.select("l", F.posexplode(F.regexp_extract_all("t", F.lit(f"(?s).{{1,{p.passage_chars}}}"), F.lit(0))).alias("place", "t"))
     rows = rows.where(F.col("t").rlike(r"\p{L}")).select("l", "place", "t", F.xxhash64("t").alias("h"))
     learnt = stored(rows.groupBy("l").agg(F.count(F.when(F.col("place") == 0, 1)).alias("count"), F.approx_count_distinct("h").alias("passages")), "languages")
+    most = p.max_bytes // (4 * p.passage_chars * max(1, learnt.count()))  # a character takes four bytes at most
+    if most < 1:
+        raise ValueError(f"dictionaries of {learnt.count()} languages take more than {p.max_bytes} bytes")
+    wanted = min(p.passages, most)
     # About four times the wanted passages of each language lie below its hash bound; of those, ranked, the first are taken.
     share = F.pmod("h", F.lit(1 << 40)) / float(1 << 40)
-    near = rows.join(learnt.select("l", ((4 * p.passages + 64) / F.col("passages")).alias("bound")), "l").where(share < F.col("bound")).groupBy("l", "h").agg(F.min("t").alias("t"))
+    near = rows.join(learnt.select("l", ((4 * wanted + 64) / F.col("passages")).alias("bound")), "l").where(share < F.col("bound")).groupBy("l", "h").agg(F.min("t").alias("t"))
     order = Window.partitionBy("l").orderBy(F.pmod("h", F.lit(1 << 40)), "h")
-    chosen = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= p.passages)
+    chosen = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= wanted)
     out: dict[str, list[str]] = {}
-    for r in chosen.orderBy("l", F.desc("r")).collect():  # at most p.passages rows a language
+    for r in chosen.orderBy("l", F.desc("r")).collect():  # at most `wanted` rows a language
         out.setdefault(r["l"], []).append(letters(r["t"]))
     names = [r["l"] for r in learnt.orderBy(F.desc("count"), "l").collect()]
     return {name: "\n".join(out[name]).encode() for name in names if name in out}
