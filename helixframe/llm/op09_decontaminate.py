@@ -9,7 +9,8 @@ are at least min_coverage of the item's windows.
 
 Items without a window to look for, as they are shorter than one or placeholders fill more than half of each, are looked
 for by value: the plain words of all their windows, or of the whole item where it is shorter. That is a scan of its own,
-made only where there are such items.
+made only where there are such items. An item of fewer than min_words words is in too many texts to say anything and is not
+looked for; unsought() lists such items.
 
 The benchmark's windows are sent to every task while they are at most max_broadcast bytes; beyond that the join shuffles. The
 texts are scanned once; only matched windows leave the scan, so a passage that many documents share costs a row per
@@ -17,7 +18,7 @@ match and no document group is gathered.
 
 Defined results: null or empty texts hold nothing, and texts shorter than a window at most a shorter item; windows of
 other items with placeholders in more than half of their words can't be told from chance and aren't looked for; items
-without words are in no text;
+of fewer than min_words words, none among them, are in no text;
 repeated rows of a text or an item give their matches once per key (rows with equal keys are taken as one document);
 null keys are left out; an empty table on either side gives an empty result; other columns are not read.
 """
@@ -50,12 +51,13 @@ SLOT = (rf"{MARK}([nau])[^ ]*", rf"{MARK}\1")
 
 @dataclass(frozen=True)
 class Params:
-    """verbatim: windows with the item's own values count in alignments too whose slots disagree."""
+    """verbatim: windows with the item's own values count in alignments too whose slots disagree. min_words: the least words of an item that is looked for."""
 
     window: int = 8
     min_coverage: float = 0.5
     max_broadcast: int = 1 << 26
     verbatim: bool = False
+    min_words: int = 4
 
 
 def _sub(c: Column, rule: tuple[str, str]) -> Column:
@@ -128,17 +130,24 @@ def table_bytes(df: DataFrame, *arrays: str) -> int:
     return df.agg(F.sum(size)).first()[0] or 0
 
 
+def plain_words(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, v): the words of each text without placeholders, none for a text without words; rows with null keys are left out."""
+    words = let(F.rtrim(_sub(valued_words(F.col(text)), PLAIN)), lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, " ")))
+    return df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), words.alias("v"))
+
+
+def unsought(benchmark: DataFrame, params: Params = Params(), item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(item, n_words) of the items that are too short to be looked for."""
+    return plain_words(benchmark, item, item_text).groupBy(F.col("k").alias(item)).agg(F.max(F.size("v")).alias("n_words")).where(F.col("n_words") < params.min_words)
+
+
 def value_matches(docs: DataFrame, benchmark: DataFrame, sizes: DataFrame, p: Params, key: str, text: str, item: str, item_text: str) -> DataFrame | None:
     """(k, item, n_windows, n_matched) by plain words, of the items that `sizes` doesn't hold; None where there is none."""
 
     def hashes(v: Column, length: Column) -> Column:
         return F.when(F.size(v) >= length, F.transform(F.sequence(F.lit(1), F.size(v) - length + 1), lambda i: F.xxhash64(F.slice(v, i, length))))
 
-    def plain(df: DataFrame, k: str, t: str) -> DataFrame:
-        words = let(F.rtrim(_sub(valued_words(F.col(t)), PLAIN)), lambda x: F.split(x, " "))
-        return df.where(F.col(k).isNotNull()).select(F.col(k).alias("k"), words.alias("v"))
-
-    items = plain(benchmark, item, item_text).withColumnRenamed("k", "item").where("v[0] <> ''").join(sizes, "item", "left_anti")
+    items = plain_words(benchmark, item, item_text).withColumnRenamed("k", "item").where(F.size("v") >= p.min_words).join(sizes, "item", "left_anti")
     items = items.withColumn("length", F.least(F.size("v"), F.lit(p.window)))
     items = items.select("item", "length", F.posexplode(hashes(F.col("v"), F.col("length"))).alias("at", "h")).dropDuplicates(["item", "at", "h"])
     lengths = [r[0] for r in items.select("length").distinct().orderBy("length").collect()]  # at most p.window
@@ -146,27 +155,28 @@ def value_matches(docs: DataFrame, benchmark: DataFrame, sizes: DataFrame, p: Pa
         return None
     hint = F.broadcast if table_bytes(items) <= p.max_broadcast else (lambda df: df)
     each = lambda v: F.array_distinct(F.concat(*[F.coalesce(hashes(v, F.lit(n)), F.array().cast("array<bigint>")) for n in lengths]))
-    texts = plain(docs, key, text).select("k", F.explode_outer(let(F.col("v"), each)).alias("h"))
+    texts = plain_words(docs, key, text).select("k", F.explode_outer(let(F.col("v"), each)).alias("h"))
     n_windows = items.groupBy("item").agg(F.countDistinct("at").alias("n_windows"))
     met = texts.join(hint(items.select("h", "item", "at")), "h").groupBy("k", "item").agg(F.countDistinct("at").alias("n_matched"))
     return met.join(hint(n_windows), "item").select("k", "item", "n_windows", "n_matched")
 
 
-def oracle(window: int = 8, min_coverage: float = 0.5) -> str:
+def oracle(p: Params = Params(verbatim=True)) -> str:
     """The same in DuckDB's SQL."""
+    window = p.window
 
     def sub(expr: str, rule: tuple[str, str]) -> str:
         return f"regexp_replace({expr}, '{rule[0]}', '{rule[1]}', 'g')"
 
     t = sub(sub(sub(sub(f"replace(coalesce(text, ''), '{MARK}', ' ')", DECIMALS), NUMBERS), NAMES), NAMES)
     t = sub(f"ltrim({sub(f'lower({t}) || chr(32)', WORDS)})", UNIT)
-    side = lambda table, key: (
-        f"SELECT k, v, w FROM (SELECT k, string_split(rtrim(t), ' ') AS v, string_split(rtrim({sub('t', SLOT)}), ' ') AS w "
-        f"FROM (SELECT {key} AS k, {t} AS t FROM {table} WHERE {key} IS NOT NULL)) WHERE len(v) >= {window}"
-    )
+    side = lambda table, key: f"SELECT {key} AS k, {t} AS t FROM {table} WHERE {key} IS NOT NULL"
+    slots = lambda x: f"SELECT k, v, w FROM (SELECT k, string_split(rtrim(t), ' ') AS v, string_split(rtrim({sub('t', SLOT)}), ' ') AS w FROM {x}) WHERE len(v) >= {window}"
+    plain = lambda x: f"SELECT k, string_split(rtrim({sub('t', PLAIN)}), ' ') AS v FROM {x} WHERE rtrim({sub('t', PLAIN)}) <> ''"
     cut = lambda x: f"SELECT k, place, array_to_string(list_slice(w, place + 1, place + {window}), ' ') AS tw, list_slice(v, place + 1, place + {window}) AS vw FROM (SELECT *, unnest(range(0, len(w) - {window - 1})) AS place FROM {x})"
+    counts = "bad.k IS NULL OR iv = dv" if p.verbatim else "bad.k IS NULL"
     return f"""
-WITH d AS ({side("documents", "doc_id")}), b AS ({side("benchmark", "item_id")}),
+WITH dt AS MATERIALIZED ({side("documents", "doc_id")}), bt AS MATERIALIZED ({side("benchmark", "item_id")}), d AS ({slots("dt")}), b AS ({slots("bt")}),
 bw AS (SELECT * FROM ({cut("b")}) WHERE 2 * (length(tw) - length(replace(tw, '{MARK}', ''))) <= {window}),
 dw AS ({cut("d")}),
 sizes AS (SELECT k AS item, count(DISTINCT place) AS n_windows FROM bw GROUP BY k),
@@ -176,8 +186,18 @@ slots AS (
 ), bad AS (
   SELECT k, item, diagonal FROM slots GROUP BY ALL HAVING count(DISTINCT iv) <> count(DISTINCT iv || ' ' || dv) OR count(DISTINCT dv) <> count(DISTINCT iv || ' ' || dv)
 ), held AS (
-  SELECT k, item, count(DISTINCT place) AS n_matched FROM hits ANTI JOIN bad USING (k, item, diagonal) GROUP BY k, item
+  SELECT h.k, h.item, count(DISTINCT place) AS n_matched FROM hits h LEFT JOIN bad ON h.k = bad.k AND h.item = bad.item AND h.diagonal = bad.diagonal
+  WHERE {counts} GROUP BY h.k, h.item
+), pd AS ({plain("dt")}),
+pi AS (SELECT k AS item, v, least(len(v), {window}) AS n FROM ({plain("bt")}) WHERE len(v) >= {p.min_words} AND k NOT IN (SELECT item FROM sizes)),
+iw AS (SELECT DISTINCT item, n, at_, array_to_string(list_slice(v, at_ + 1, at_ + n), ' ') AS words FROM (SELECT *, unnest(range(0, len(v) - n + 1)) AS at_ FROM pi)),
+pw AS (
+  SELECT DISTINCT k, n, array_to_string(list_slice(v, at_ + 1, at_ + n), ' ') AS words
+  FROM (SELECT k, v, n, unnest(range(0, len(v) - n + 1)) AS at_ FROM pd, (SELECT DISTINCT n FROM iw) WHERE len(v) >= n)
+), told AS (
+  SELECT k, item, n_windows, n_matched FROM held JOIN sizes USING (item)
+  UNION ALL SELECT k, iw.item, any_value(s.n_windows), count(DISTINCT at_) FROM pw JOIN iw ON pw.n = iw.n AND pw.words = iw.words
+  JOIN (SELECT item, count(DISTINCT at_) AS n_windows FROM iw GROUP BY item) s ON s.item = iw.item GROUP BY k, iw.item
 )
-SELECT k AS doc_id, item AS item_id, n_windows, n_matched, n_matched / n_windows AS coverage
-FROM held JOIN sizes USING (item) WHERE n_matched / n_windows >= {min_coverage}
+SELECT k AS doc_id, item AS item_id, n_windows, n_matched, n_matched / n_windows AS coverage FROM told WHERE n_matched / n_windows >= {p.min_coverage}
 """
