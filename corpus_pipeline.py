@@ -8,7 +8,7 @@ Defined results: rows are judged one by one, whatever their ids: null and repeat
 empty text scores as the toxicity model's intercept does and goes as a text without a letter in the language stage. Of
 rows with equal texts that one stays which near_duplicates() names. Very long texts are judged whole. A table without
 rows, labels or benchmark items is no error: nothing is rejected for want of them. Further columns pass through all
-stages but the last; the names that begin with an underscore below are the stages' own.
+stages but the last: the stages' own columns take names that no column has.
 """
 
 from __future__ import annotations
@@ -21,45 +21,56 @@ from helixframe.llm import op10_bpe as bpe
 from helixframe.llm.common import learn_bucket, stored, table
 from helixframe.llm.queries import VOCABULARY
 
-_ROW = "_row_number"
-_SCORE, _FLAG = "_toxic_score", "_toxic"
-_LANG, _SURE, _REJECTED = "_lang_pred", "_lang_score", "_lang_rejected"
+
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it one that no column has in any case."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as toxic (0.5 or more) go. The model learns from the labels of the folder."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(learn_bucket("doc_id", 5) != 0)
     model = op02_toxicity.fit(docs, labels)
-    return op02_toxicity.score(docs, model, out=_SCORE, flag=_FLAG).where(F.col(_FLAG) == 0).select(*docs.columns)
+    score, flag = free(docs, "_toxic_score", "_toxic")
+    return op02_toxicity.score(docs, model, out=score, flag=flag).where(F.col(flag) == 0).select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told (no letters, or too narrow a margin) go."""
     dictionaries = op04_language.fit(docs.where(learn_bucket("doc_id", 3) != 1))
-    judged = op04_language.predict(docs, dictionaries, out=_LANG, score=_SURE, rejected=_REJECTED)
-    return judged.where(~F.col(_REJECTED)).select(*docs.columns)
+    lang, sure, rejected = free(docs, "_lang_pred", "_lang_score", "_lang_rejected")
+    judged = op04_language.predict(docs, dictionaries, out=lang, score=sure, rejected=rejected)
+    return judged.where(~F.col(rejected)).select(*docs.columns)
 
 
-def numbered(docs: DataFrame, what: str) -> DataFrame:
-    """The rows with a number each, written, so that rows with null or equal ids are told apart."""
-    return stored(docs.withColumn(_ROW, F.monotonically_increasing_id()), what)
+def numbered(docs: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """The rows with a number each, written, so that rows with null or equal ids are told apart; and the number's column."""
+    row = free(docs, "_row_number")[0]
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), what), row
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates stays, that with the smallest id (a null id last), of equal ids the first row."""
-    rows = numbered(docs, "duplicates-rows")
-    classes = op07_ngram_join.near_duplicates(rows, key=_ROW).where("n_links > 0").select(_ROW, "class_id")
-    classes = stored(classes.join(rows.select(_ROW, "doc_id"), _ROW), "duplicate-classes")
-    first = classes.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", _ROW))[_ROW].alias("first"))
-    goes = classes.join(first, "class_id").where(F.col(_ROW) != F.col("first")).select(_ROW)
-    return rows.join(stored(goes, "duplicates"), _ROW, "left_anti").select(*docs.columns)
+    rows, row = numbered(docs, "duplicates-rows")
+    classes = op07_ngram_join.near_duplicates(rows, key=row).where("n_links > 0").select(row, "class_id")
+    classes = stored(classes.join(rows.select(row, "doc_id"), row), "duplicate-classes")
+    first = classes.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row))[row].alias("first"))
+    goes = classes.join(first, "class_id").where(F.col(row) != F.col("first")).select(row)
+    return rows.join(stored(goes, "duplicates"), row, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold a benchmark item go."""
-    rows = numbered(docs, "contaminated-rows")
-    held = op09_decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), op09_decontaminate.Params(verbatim=True), key=_ROW).select(_ROW).distinct()
-    return rows.join(stored(held, "contaminated"), _ROW, "left_anti").select(*docs.columns)
+    rows, row = numbered(docs, "contaminated-rows")
+    held = op09_decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), op09_decontaminate.Params(verbatim=True), key=row).select(row).distinct()
+    return rows.join(stored(held, "contaminated"), row, "left_anti").select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
