@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 
 def frequencies(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -58,9 +60,8 @@ def best_ranked(df: DataFrame, key: str, value: str, order: list[str], tie: str)
 
 
 def running_total(df: DataFrame, by: str, total: str = "n", *keys: str) -> DataFrame:
-    """Cumulative totals in order of `by`, after grouping: without keys, for totals of a row per date or the like, as one task orders them."""
-    w = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("total", F.sum(total).over(w))
+    """Cumulative totals in order of `by`, per key or over all rows, in two passes over range partitions."""
+    return ranges.running_total(df, [by], total, keys=list(keys))
 
 
 def top(df: DataFrame, n: int, by: str, *ties: str, ascending: bool = False) -> DataFrame:

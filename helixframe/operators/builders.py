@@ -223,9 +223,9 @@ def annotation_triples(annotations: DataFrame) -> DataFrame:
     return annotations.select(F.col("iri").alias("g"), F.explode(F.concat(cells, evidence)).alias("t")).select("g", "t.*").where("o is not null")
 
 
-def persons(events: DataFrame) -> DataFrame:
-    """Person events to persons (B12): event_type, person struct(id, email, first_name, last_name)."""
-    return events.select(F.concat(F.lit(vocab.PREFIXES["cgagent"]), "person.id").alias("iri"), F.col("person.email").alias("email"), F.col("person.first_name").alias("given_name"), F.col("person.last_name").alias("family_name"))
+def persons(events: DataFrame, *more: str) -> DataFrame:
+    """Person events to persons (B12): event_type, person struct(id, email, first_name, last_name); more: columns of the events that are kept."""
+    return events.select(*more, F.concat(F.lit(vocab.PREFIXES["cgagent"]), "person.id").alias("iri"), F.col("person.email").alias("email"), F.col("person.first_name").alias("given_name"), F.col("person.last_name").alias("family_name"))
 
 
 def minimised_versions(graphs: DataFrame, replaced: DataFrame) -> DataFrame:

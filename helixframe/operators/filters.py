@@ -47,6 +47,14 @@ def is_lof_deletion(alt="alt", filt="filter", length="svlen", lof="predicted_lof
     return F.coalesce((F.col(alt) == "<DEL>") & (F.col(filt) == "PASS") & (F.col(length).try_cast("bigint") > 1000) & F.col(lof).isNotNull(), F.lit(False))
 
 
+VALID_PERSON_EVENTS = ("created", "person_created", "person_updated", "updated")
+
+
+def valid_event(column: str = "event_type", types: tuple[str, ...] = VALID_PERSON_EVENTS) -> Column:
+    """The event is of one of the types; a null one isn't."""
+    return F.coalesce(F.col(column).isin(*types), F.lit(False))
+
+
 def in_open_range(column: str, low: float, high: float) -> Column:
     return (F.col(column) > low) & (F.col(column) < high)
 

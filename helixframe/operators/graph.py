@@ -7,14 +7,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.sinks import shared_folder
-
-
-def _written(df: DataFrame, what: str) -> DataFrame:
-    """df written to a new shared folder and read again."""
-    path = shared_folder(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from .ranges import written as _written
 
 
 def closure(edges: DataFrame, child: str = "child", parent: str = "parent", reflexive: bool = False) -> DataFrame:

@@ -63,7 +63,7 @@ query("f14_cnv", "SELECT l_orderkey AS k, l_linenumber AS n FROM lineitem WHERE
         F.array(F.struct(F.lit(None).cast("long").alias("display_start"), F.lit(5).cast("long").alias("display_stop")), F.struct(F.lit(7).cast("long").alias("display_start"), (F.col("l_orderkey") % 2000 + 7).cast("long").alias("display_stop"))).alias("locations"),
     ).where(filters.is_cnv()).select("k", "n")
 )
-query("f15_valid_events", "SELECT event_id FROM events WHERE event_type IN ('view', 'click')")(lambda t: t.events.where(F.col("event_type").isin("view", "click")).select("event_id"))
+query("f15_valid_events", "SELECT event_id FROM events WHERE event_type IN ('view', 'click')")(lambda t: t.events.where(filters.valid_event("event_type", ("view", "click"))).select("event_id"))
 query("f16_roles", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")(
     lambda t: t.orders.join(t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(F.struct(F.col("l_returnflag").alias("role"))).alias("c")), "o_orderkey", "left").where(filters.has_role("c", "R")).select("o_orderkey")
 )
@@ -199,23 +199,24 @@ _EVENT = "key long, version string, ts long"
 
 
 def batches_of(t: Source) -> list[DataFrame]:
-    """The events in three batches by event id, as versions of their users' records."""
+    """The events as versions of their users' records, in three batches dealt by a hash of their ids: older versions come late."""
     e = t.events.select(F.col("user_id").cast("long").alias("key"), F.col("event_id").cast("string").alias("version"), F.col("event_id").cast("long").alias("ts"))
-    top = e.agg(F.max("ts")).first()[0]
-    cuts = [-1, top // 3, 2 * top // 3, top]
-    return [e.where((F.col("ts") > a) & (F.col("ts") <= z)) for a, z in zip(cuts, cuts[1:], strict=False)]
+    return [e.where(F.pmod(F.xxhash64("ts"), F.lit(3)) == i) for i in range(3)]
 
 
-def table_of(t: Source, schema: str = _EVENT, key: str = "key") -> sinks.KeyedTable:
-    return sinks.KeyedTable(t.spark, sinks.shared_folder(t.spark, "stream"), schema, key, buckets=8)
+def table_of(t: Source, schema: str = _EVENT, key: str = "key", order: tuple[str, ...] = ()) -> sinks.KeyedTable:
+    return sinks.KeyedTable(t.spark, sinks.shared_folder(t.spark, "stream"), schema, key, buckets=8, order=order)
+
+
+_HISTORY = "key long, version string, ts long, invalidated_by string"
 
 
 def _superseded(t: Source) -> DataFrame:
-    history = table_of(t, "key string, version string, ts long, invalidated_by string")
+    history = table_of(t, _HISTORY)
     fn = streams.supersede(table_of(t), history)
     for i, b in enumerate(batches_of(t)):
         fn(b, i)
-    return history.read()
+    return history.read().withColumn("key", F.concat_ws("/", F.col("key").cast("string"), "version"))
 
 
 _SENT = "SELECT CAST(user_id AS BIGINT) AS key, CAST(event_id AS BIGINT) AS e, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS next FROM events"
@@ -224,22 +225,52 @@ query("st5_superseded_versions", f"SELECT concat(key, '/', e) AS key, CAST(e AS
 
 def _gated(t: Source) -> DataFrame:
     """The gate opens with the third batch; every event that waited is handed on."""
-    history, gate = table_of(t, "key string, version string, ts long, invalidated_by string"), {"open": False}
+    history, gate = table_of(t, _HISTORY), {"open": False}
     fn = streams.gated(streams.supersede(table_of(t), history), lambda: gate["open"], table_of(t))
     for i, b in enumerate(batches_of(t)):
         gate["open"] = i == 2
         fn(b, i)
-    return history.read().groupBy(F.split_part("key", F.lit("/"), F.lit(1)).cast("long").alias("key")).agg(F.count("*").alias("n"))
+    return history.read().groupBy("key").agg(F.count("*").alias("n"))
 
 
 query("st4_gated_events", f"SELECT key, count(*) AS n FROM ({_SENT}) WHERE next IS NOT NULL GROUP BY key")(_gated)
 
 
+def _waited(t: Source) -> DataFrame:
+    """Orders as events that wait for their customer; customers arrive in two parts, every seventh never."""
+    spark, log = t.spark, sinks.shared_folder(t.spark, "log")
+    orders = t.orders.select(F.col("o_orderkey").cast("long").alias("event"), F.col("o_custkey").cast("long").alias("gene"))
+    customers = t.customer.select(F.col("c_custkey").cast("long").alias("gene")).where("gene % 7 <> 0")
+    customers.where("gene % 2 = 0").write.parquet(f"{log}/genes/part=0")
+    orders.write.parquet(f"{log}/events/part=0")
+    out, progress = f"{log}/out", f"{log}/progress"
+    spark.createDataFrame([], orders.schema).write.parquet(f"{out}/batch=-1")
+
+    def run() -> None:
+        read = lambda name, schema: spark.readStream.schema(schema).parquet(f"{log}/{name}/part=*")
+        passed = streams.wait_for_key(read("events", orders.schema), read("genes", customers.schema), "gene")
+        streams.start(passed, streams.batches_to(out), progress).awaitTermination()
+
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store, None)
+    streams.state_store(spark)
+    try:
+        run()
+        customers.where("gene % 2 <> 0").write.parquet(f"{log}/genes/part=1")
+        run()  # starts again from the checkpoint
+    finally:
+        spark.conf.unset(store) if before is None else spark.conf.set(store, before)
+    return spark.read.schema(orders.schema).parquet(f"{out}/batch=*")
+
+
+query("j14_events_after_their_gene", "SELECT CAST(o_orderkey AS BIGINT) AS event, CAST(o_custkey AS BIGINT) AS gene FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 7 <> 0")(_waited)
+
+
 def _streamed(t: Source) -> DataFrame:
     """The event log as a stream, replayed to its end."""
-    table = table_of(t, files.EVENTS)
+    table = table_of(t, files.EVENTS, order=("ts", "topic", "value"))
     stream = files.read_event_log(t.spark, event_log(t), stream=True)
-    streams.start(stream, streams.last_write_wins(table, ("ts", "topic", "value")), sinks.shared_folder(t.spark, "progress")).awaitTermination()
+    streams.start(stream, streams.last_write_wins(table), sinks.shared_folder(t.spark, "progress")).awaitTermination()
     return table.read().select("key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
@@ -252,9 +283,10 @@ def _regions(t: Source) -> tuple[DataFrame, DataFrame, DataFrame]:
     schema = "key string, status string, resolution string, resolutiondate string, ts long, seq_ref string, start_outer long, start_inner long, end_inner long, end_outer long, is_range boolean"
     k = F.split_part("variant", F.lit(":"), F.lit(2)).cast("long")
     events = v.select(F.col("variant").alias("key"), F.when(k % 3 == 0, "Open").otherwise("Closed").alias("status"), F.lit("Complete").alias("resolution"), F.lit("d").alias("resolutiondate"), F.lit(1).cast("long").alias("ts"), "seq_ref", "start_outer", "start_inner", "end_inner", "end_outer", "is_range")
-    regions, found, rejects = table_of(t, schema), table_of(t, "key string, feature string, kind string"), table_of(t, "key string, status string")
+    regions, found = table_of(t, schema, order=("ts",)), table_of(t, "key string, feature string, kind string")
+    rejects = table_of(t, "key string, status string, ts long", order=("ts",))
     streams.enrich_regions(f, regions, found, rejects)(events, 0)
-    return regions.read(), found.read(), rejects.read()
+    return regions.read(), found.read(), rejects.read().drop("ts")
 
 
 query("st6_enriched_regions", VF + " SELECT variant AS key, feature, kind FROM olap WHERE protein_coding AND CAST(split_part(variant, ':', 2) AS BIGINT) % 3 <> 0")(lambda t: _regions(t)[1])
@@ -263,7 +295,7 @@ query("st7_rejected_regions", "SELECT concat('var:', o_orderkey) AS key, 'Open'
 
 def _marked(t: Source) -> DataFrame:
     progress = table_of(t, "name string, batch long", "name")
-    fn = streams.with_marker(streams.last_write_wins(table_of(t)), progress, "events")
+    fn = streams.with_marker(streams.last_write_wins(table_of(t, order=("ts",))), progress, "events")
     for i, b in enumerate(batches_of(t)):
         fn(b, i)
     return progress.read().join(t.events.agg(F.count("*").alias("n_events")))
@@ -273,7 +305,7 @@ query("st8_progress_marker", "SELECT 'events' AS name, CAST(2 AS BIGINT) AS batc
 
 
 def _logged(t: Source) -> DataFrame:
-    table = table_of(t, "start_time long, end_time long, duration long", "start_time")
+    table = table_of(t, "start_time long, end_time long, duration long", "start_time", ("end_time",))
     streams.request_log(table)(t.orders.select(F.col("o_orderkey").cast("long").alias("start_time"), (F.col("o_orderkey") + F.col("o_custkey")).cast("long").alias("end_time")), 0)
     return table.read()
 
@@ -282,7 +314,7 @@ query("st9_request_log", "SELECT CAST(o_orderkey AS BIGINT) AS start_time, CAST(
 
 
 def _people(t: Source) -> DataFrame:
-    table = table_of(t, "iri string, email string, given_name string, family_name string", "iri")
+    table = table_of(t, "iri string, email string, given_name string, family_name string, ts long", "iri", ("ts",))
     k = F.col("c_custkey")
     person = F.struct((k % 50).cast("string").alias("id"), F.col("c_name").alias("email"), F.lit("g").alias("first_name"), F.lit("f").alias("last_name"))
     streams.person_events(table)(t.customer.select(F.when(k % 2 == 0, "updated").otherwise("other").alias("event_type"), person.alias("person"), k.cast("long").alias("ts")), 0)

@@ -109,21 +109,21 @@ def test_keyed_table_and_streams(spark, tmp_path):
     def stream():
         return spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
 
-    table = sinks.KeyedTable(spark, str(tmp_path / "t1"), schema)
+    table = sinks.KeyedTable(spark, str(tmp_path / "t1"), schema, order=("ts",))
     streams.start(stream(), streams.publish_or_delete(table, F.col("ok")), str(tmp_path / "c1")).awaitTermination()
     assert {(r.key, r.value) for r in table.read().collect()} == {("a", "2"), ("c", "1")}
     n = table.batches()
     assert table.merge(upserts=table.read().limit(0), batch=0) is False and table.batches() == n
-    whole = sinks.KeyedTable(spark, str(tmp_path / "t2"), schema)
+    whole = sinks.KeyedTable(spark, str(tmp_path / "t2"), schema, order=("ts",))
     streams.last_write_wins(whole)(spark.createDataFrame(rows, schema), 0)
-    split = sinks.KeyedTable(spark, str(tmp_path / "t3"), schema)
+    split = sinks.KeyedTable(spark, str(tmp_path / "t3"), schema, order=("ts",))
     streams.start(stream(), streams.last_write_wins(split), str(tmp_path / "c3")).awaitTermination()
     assert sorted(whole.read().collect()) == sorted(split.read().collect())
 
 
 def test_gate_and_supersede(spark, tmp_path):
     schema = "key string, version string, ts long"
-    target, waiting = sinks.KeyedTable(spark, str(tmp_path / "a"), schema), sinks.KeyedTable(spark, str(tmp_path / "w"), schema)
+    target, waiting = sinks.KeyedTable(spark, str(tmp_path / "a"), schema, order=("ts",)), sinks.KeyedTable(spark, str(tmp_path / "w"), schema)
     gate = {"open": False}
     fn = streams.gated(streams.last_write_wins(target), lambda: gate["open"], waiting)
     fn(spark.createDataFrame([("k", "1", 1)], schema), 0)
@@ -133,7 +133,7 @@ def test_gate_and_supersede(spark, tmp_path):
     assert target.read().count() == 2 and waiting.read().count() == 0
     history = sinks.KeyedTable(spark, str(tmp_path / "h"), schema + ", invalidated_by string")
     streams.supersede(target, history)(spark.createDataFrame([("k", "2", 3)], schema), 2)
-    assert [(r.key, r.invalidated_by) for r in history.read().collect()] == [("k/1", "2")]
+    assert [(r.key, r.version, r.invalidated_by) for r in history.read().collect()] == [("k", "1", "2")]
     assert {(r.key, r.version) for r in target.read().collect()} == {("k", "2"), ("j", "1")}
 
 
@@ -141,12 +141,12 @@ def test_region_stream_and_people(spark, tmp_path):
     loc = "seq_ref string, start_outer long, start_inner long, end_inner long, end_outer long, is_range boolean"
     f = spark.createDataFrame([("f", "Gene", True, "s", 5, 5, 6, 6, False)], f"feature string, ftype string, protein_coding boolean, {loc}")
     schema = f"key string, status string, resolution string, resolutiondate string, ts long, {loc}"
-    regions, rejects = sinks.KeyedTable(spark, str(tmp_path / "r"), schema), sinks.KeyedTable(spark, str(tmp_path / "x"), "key string, status string")
+    regions, rejects = sinks.KeyedTable(spark, str(tmp_path / "r"), schema, order=("ts",)), sinks.KeyedTable(spark, str(tmp_path / "x"), "key string, status string, ts long", order=("ts",))
     found = sinks.KeyedTable(spark, str(tmp_path / "o"), "key string, feature string, kind string")
     batch = spark.createDataFrame([("a", "Closed", "Complete", "d", 1, "s", 1, 1, 9, 9, False), ("b", "Open", "Complete", "d", 1, "s", 1, 1, 9, 9, False)], schema)
     streams.enrich_regions(f, regions, found, rejects)(batch, 0)
     assert found.read().collect() == [("a", "f", "CompleteOverlap")] and rejects.read().first().key == "b" and regions.read().count() == 1
-    people = sinks.KeyedTable(spark, str(tmp_path / "p"), "iri string, email string, given_name string, family_name string", key="iri")
+    people = sinks.KeyedTable(spark, str(tmp_path / "p"), "iri string, email string, given_name string, family_name string, ts long", key="iri", order=("ts",))
     ev = spark.createDataFrame([("created", ("1", "e", "a", "b"), 1), ("other", ("2", "e", "a", "b"), 1)], "event_type string, person struct<id:string,email:string,first_name:string,last_name:string>, ts long")
     streams.person_events(people)(ev, 0)
     assert people.read().count() == 1
@@ -181,7 +181,7 @@ def test_every_version_and_every_waiting_event_is_kept(spark, tmp_path):
     fn(spark.createDataFrame([("k", "3", 3)], schema), 1)  # sent again
     gate["open"] = True
     fn(spark.createDataFrame([("k", "4", 4), ("j", "1", 5)], schema), 2)
-    assert sorted((r.key, r.invalidated_by) for r in history.read().collect()) == [("k/1", "2"), ("k/2", "3"), ("k/3", "4")]
+    assert sorted((r.key, r.version, r.invalidated_by) for r in history.read().collect()) == [("k", "1", "2"), ("k", "2", "3"), ("k", "3", "4")]
     assert {(r.key, r.version) for r in current.read().collect()} == {("k", "4"), ("j", "1")} and waiting.read().count() == 0
 
 
