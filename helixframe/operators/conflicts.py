@@ -7,9 +7,13 @@ pairs without a shared gene are never made.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ranges
+
 
 def gene_groups(sets: DataFrame, key: str = "assertion", gene: str = "gene", by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(members: key, group, *by) and (groups: group, n, genes, *by) of equal gene sets within `by`."""
@@ -26,32 +30,121 @@ def shared_counts(groups: DataFrame, on: list[str] | None = None) -> DataFrame:
     return flat.join(other, ["gene", *on]).groupBy("group", "other").agg(F.first("n").alias("n"), F.first("n_other").alias("n_other"), F.count("*").alias("shared"))
 
 
-def contained_pairs(left: DataFrame, right: DataFrame, share: float, strict: bool, on: list[str] | None = None) -> DataFrame:
-    """(assertion, other): pairs where what the left gene set has beyond the right one is at most (strict: less than) the share of the left set.
+def _prefixes(groups: DataFrame, often: DataFrame, length: Column, on: list[str]) -> DataFrame:
+    """(group, n, genes, *on, gene, place): the `length` rarest genes of each set, with their places in the order from rare to frequent."""
+    flat = groups.select("group", "n", "genes", *on, F.explode("genes").alias("gene")).join(often, ["gene", *on], "left")
+    rare = F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gene")))
+    ranked = flat.groupBy("group", "n", "genes", *on).agg(rare.alias("rare"))
+    return ranked.select("group", "n", "genes", *on, F.posexplode(F.slice("rare", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))).alias("place", "x")).select("group", "n", "genes", *on, "place", F.col("x.gene").alias("gene"))
 
-    Sides have (assertion, gene, *on); rows with empty sets aren't there, so they make no pairs.
+
+def similar_sets(left: DataFrame, right: DataFrame, need: Callable[[Column, Column], Column], left_need: Column, right_need: Column | None = None, window: Callable[[Column, Column], Column] | None = None, on: list[str] | None = None) -> DataFrame:
+    """(group, other, n, n_other, shared): pairs of sets that share at least need(n, n_other) genes.
+
+    Sides are groups (group, n, genes, *on), distinct sets each. left_need (of column n) is the least that a left set must
+    share with any partner, right_need the like for a right one (None: nothing is known, as where left sets may be small).
+    A pair that shares m genes meets in one of the n - m + 1 rarest genes of either side, so only these are joined, and of
+    both sides where both bounds are known: a gene that most sets hold is in the prefix of those alone that have little
+    else. A pair is kept in the first gene of the left prefix in which it meets, if what is left of both sets from there
+    can still make the need (positions), and the size window holds. What remains is counted exactly.
     """
     on = on or []
+    genes = lambda df: df.select(*on, F.explode("genes").alias("gene"))
+    often = genes(left).unionByName(genes(right)).groupBy("gene", *on).agg(F.count("*").alias("often"))
+    a = _prefixes(left, often, F.col("n") - left_need + 1, on)
+    b = _prefixes(right, often, F.col("n") if right_need is None else F.col("n") - right_need + 1, on)
+    b = b.select(F.col("group").alias("other"), F.col("n").alias("n_other"), "gene", *on, F.col("place").alias("place_other"))
+    met = a.select("group", "n", "gene", *on, "place").join(b, ["gene", *on])
+    least = need(F.col("n"), F.col("n_other"))
+    met = met.where(F.least(F.col("n") - F.col("place"), F.col("n_other") - F.col("place_other")) >= least) if right_need is not None else met.where(F.col("n") - F.col("place") >= least)
+    if window is not None:
+        met = met.where(window(F.col("n"), F.col("n_other")))
+    pairs = met.select("group", "other", "n", "n_other").distinct()
+    pairs = pairs.join(left.select("group", "genes"), "group").join(right.select(F.col("group").alias("other"), F.col("genes").alias("others")), "other")
+    pairs = pairs.withColumn("shared", F.size(F.array_intersect("genes", "others")))
+    return pairs.where(F.col("shared") >= need(F.col("n"), F.col("n_other"))).select("group", "other", "n", "n_other", "shared")
+
+
+def contained_sets(left: DataFrame, right: DataFrame, share: float = 1.0, on: list[str] | None = None) -> DataFrame:
+    """(group, other, n, n_other, shared): pairs where at least the share of the left set lies in the right one."""
+    least = F.ceil(F.col("n") * share - 1e-9)
+    return similar_sets(left, right, lambda n, _: F.ceil(n * share - 1e-9), least, on=on)
+
+
+def jaccard_sets(groups: DataFrame, least: float, on: list[str] | None = None) -> DataFrame:
+    """(group, other, n, n_other, shared): pairs of different sets, each once, whose shared part of their union is at least `least`."""
+    need = lambda n, m: F.ceil((n + m) * (least / (1 + least)) - 1e-9)
+    own = F.ceil(F.col("n") * least - 1e-9)
+    close = lambda n, m: (m >= n * least - 1e-9) & (n >= m * least - 1e-9)
+    return similar_sets(groups, groups, need, own, own, close, on).where("group < other")
+
+
+def contained_groups(left: DataFrame, right: DataFrame, share: float, strict: bool, on: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs: group, other), (left members: assertion, group, *on), (right members): pairs of distinct gene sets where what the
+    left one has beyond the right one is at most (strict: less than) the share of the left set. Members of a pair's groups are
+    not paired with each other here."""
+    on = on or []
     lm, lg = gene_groups(left, by=on)
     rm, rg = gene_groups(right, by=on)
-    # A right set that lacks at most m of n genes has one of any m + 1 of them: the rarest m + 1 make the fewest candidates.
-    right_flat = rg.select(F.col("group").alias("other"), *on, F.explode("genes").alias("gene"))
-    often = right_flat.groupBy("gene", *on).agg(F.count("*").alias("often"))
-    flat = lg.select("group", "n", "genes", *on, F.explode("genes").alias("gene")).join(often, ["gene", *on], "left")
+    # at most m of n genes may be missing
     m = F.ceil(F.col("n") * share - 1e-9) - 1 if strict else F.floor(F.col("n") * share + 1e-9)
-    ranked = flat.groupBy("group", "n", "genes", *on).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gene"))).alias("rare"))
-    keys = ranked.withColumn("gene", F.explode(F.slice("rare", F.lit(1), F.greatest(m, F.lit(0)).cast("int") + 1)["gene"]))
-    met = keys.join(right_flat, ["gene", *on]).select("group", "other", "n", "genes").dropDuplicates(["group", "other"])
-    met = met.join(rg.select(F.col("group").alias("other"), F.col("genes").alias("others")), "other")
-    missing = F.size(F.array_except("genes", "others"))
+    met = similar_sets(lg, rg, lambda n, _: F.lit(0), F.col("n") - F.greatest(m, F.lit(0)), on=on)
+    missing = F.col("n") - F.col("shared")
     ok = met.where(missing / F.col("n") < share) if strict else met.where(missing <= share * F.col("n"))
+    return ok.select("group", "other"), lm, rm
+
+
+def contained_pairs(left: DataFrame, right: DataFrame, share: float, strict: bool, on: list[str] | None = None) -> DataFrame:
+    """(assertion, other): contained_groups() as pairs of assertions; as many as the groups' sizes multiply to.
+
+    Sides have (assertion, gene, *on); rows with empty sets aren't there, so they make no pairs.
+    """
+    pairs, lm, rm = contained_groups(left, right, share, strict, on)
     return (
-        ok.select("group", "other").join(lm.select("assertion", "group"), "group")
+        pairs.join(lm.select("assertion", "group"), "group")
         .join(rm.select(F.col("assertion").alias("other_assertion"), F.col("group").alias("other")), "other")
         .select("assertion", F.col("other_assertion").alias("other")).where("assertion <> other")
     )
 
 
+#: Residual categories in the order in which they are asked.
+CATEGORIES = {
+    ("loss", False): ("complete_haploinsufficient", "partial_haploinsufficient", "no_genes", "holds_a_pathogenic_set", "none"),
+    ("gain", False): ("complete_triplosensitive", "no_genes", "holds_a_pathogenic_set", "none"),
+    ("loss", True): ("no_genes", "within_a_residual_set", "none"),
+    ("gain", True): ("no_genes", "within_a_residual_set", "none"),
+}
+
+
+def residual_categories(assertions: DataFrame, sets: DataFrame, hits: DataFrame) -> DataFrame:
+    """(assertion, copy_change, direction, category, best): every assertion in exactly one category.
+
+    assertions: (assertion, copy_change, direction); sets: (assertion, gene), the completely overlapped genes; hits:
+    (assertion, feature_set, kind) of the dosage map. Assertions that don't support go to the dosage map's category first
+    (losses: complete, then partial overlap with haploinsufficient features; gains: complete overlap with triplosensitive
+    ones). Of what is left, those that hold all genes of a supporting assertion's set of the same copy change are in conflict
+    with it; supporting ones are if all their genes lie in such a residual set. best: the genes of the largest partner set
+    that is held, or of the smallest that holds it. Distinct sets are compared, not assertions, by contained_sets().
+    """
+    own = assertions.select("assertion", "copy_change", "direction", (F.coalesce(F.col("direction") == "Supports", F.lit(False))).alias("supports"))
+    flag = lambda s, k: F.max((F.col("feature_set") == s) & (F.col("kind") == k))
+    told = hits.groupBy("assertion").agg(flag("haplo", "CompleteOverlap").alias("h"), flag("haplo", "PartialOverlap").alias("p"), flag("triplo", "CompleteOverlap").alias("t"))
+    own = own.join(told, "assertion", "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    loss, gain = F.col("copy_change") == "loss", F.col("copy_change") == "gain"
+    mapped = F.when(~F.col("supports") & loss & yes("h"), "complete_haploinsufficient").when(~F.col("supports") & loss & yes("p"), "partial_haploinsufficient").when(~F.col("supports") & gain & yes("t"), "complete_triplosensitive")
+    own = ranges.written(own.select("assertion", "copy_change", "direction", "supports", mapped.alias("mapped")), "categories")
+    rest = sets.join(own.where("mapped is null"), "assertion").select("assertion", "gene", "copy_change", "supports")
+    members, groups = gene_groups(rest, by=["copy_change", "supports"])
+    groups = ranges.written(groups, "residual-sets")
+    within = ranges.written(contained_sets(groups.where("supports"), groups.where("not supports"), 1.0, ["copy_change"]), "contained")
+    best = within.groupBy(F.col("other").alias("group")).agg(F.max("n").alias("best")).unionByName(within.groupBy("group").agg(F.min("n_other").alias("best")))
+    placed = members.join(best, "group", "left").select("assertion", F.lit(True).alias("has_genes"), "best")
+    conflict = F.when(F.col("best").isNull(), "none").when(F.col("supports"), "within_a_residual_set").otherwise("holds_a_pathogenic_set")
+    category = F.coalesce("mapped", F.when(F.col("has_genes").isNull(), F.lit("no_genes")).otherwise(conflict))
+    return own.join(placed, "assertion", "left").select("assertion", "copy_change", "direction", category.alias("category"), F.when(F.col("mapped").isNull(), F.col("best")).cast("long").alias("best"))
+
+
 def variant_conflicts(assertions: DataFrame, sets: DataFrame, error: float = 0.1, batch: bool = False) -> DataFrame:
     """Supporting assertions against others of the same copy change that are Inconclusive or Refutes (X4; batch: the strict test of X5).
 
@@ -123,9 +216,16 @@ def same_gene_set(regions: DataFrame, variants: DataFrame) -> DataFrame:
 
 
 def region_matches(regions: DataFrame, variants: DataFrame, slack: float = 0.05, share: float = 0.9) -> DataFrame:
-    """(region, variant): the variant's gene count is within round(slack * region's) of the region's, and at least the share of its genes lie in the region."""
-    r = regions.distinct().join(regions.groupBy("region").agg(F.countDistinct("gene").alias("n_region")), "region")
-    v = variants.distinct().join(variants.groupBy("variant").agg(F.countDistinct("gene").alias("n_variant")), "variant")
-    met = r.join(v, "gene").groupBy("region", "variant").agg(F.count("*").alias("shared"), F.first("n_region").alias("n_region"), F.first("n_variant").alias("n_variant"))
-    window = F.floor(F.col("n_region") * slack + 0.5)
-    return met.where((F.abs(F.col("n_variant") - F.col("n_region")) <= window) & (F.col("shared") >= share * F.col("n_variant"))).select("region", "variant")
+    """(region, variant): the variant's gene count is within round(slack * region's) of the region's, and at least the share of its genes lie in the region.
+
+    Both sizes bound each other, so both sides' prefixes are short, and distinct sets are compared.
+    """
+    rm, rg = gene_groups(regions, "region")
+    vm, vg = gene_groups(variants, "variant")
+    window = lambda n: F.floor(n * slack + 0.5)
+    # a variant of n genes shares share * n; a region's least partner has n - window genes
+    need_variant = F.ceil(F.col("n") * share - 1e-9)
+    need_region = F.ceil((F.col("n") - window(F.col("n"))) * share - 1e-9)
+    close = lambda n, m: F.abs(n - m) <= window(m)
+    met = similar_sets(vg, rg, lambda n, _: F.ceil(n * share - 1e-9), need_variant, need_region, close)
+    return met.select("group", "other").join(vm, "group").join(rm.select("region", F.col("group").alias("other")), "other").select("region", "variant")

@@ -199,34 +199,46 @@ def filter_bits(m: Model, calls: list[tuple[str, str | None]]) -> DataFrame:
     """Assertions with a column bits: bit i is set where call i (filter, argument) keeps the row. At most 63 calls.
 
     All overlap filters are answered by one interval join, over the features of all their sets; the others' rows are
-    folded by assertion in one aggregation.
+    folded by assertion in one aggregation. Where the model has no criteria, gene counts come from that same join, which
+    then takes all features.
     """
     if len(calls) > 63:
         raise ValueError("more than 63 calls")
+    counted = [(i, a) for i, (f, a) in enumerate(calls) if f == "gene_count_min" and m.criteria is None]
     near = [(i, OVERLAP_KINDS[f], a) for i, (f, a) in enumerate(calls) if f in OVERLAP_KINDS]
+    joined = {i for i, *_ in [*counted, *near]}
     flags = None
     for i, (f, a) in enumerate(calls):
-        if f not in OVERLAP_KINDS:
-            rows = FILTERS[f][0](m, a).select("assertion", F.lit(1 << i).alias("bits"))
+        if i not in joined:
+            rows = FILTERS[f][0](m, a).select("assertion", F.lit(1 << i).cast("long").alias("bits"))
             flags = rows if flags is None else flags.unionByName(rows)
     out = m.assertions
     zero = F.lit(0).cast("long")
     bits = zero
     if flags is not None:
-        out = out.join(flags.groupBy("assertion").agg(F.bit_or("bits").cast("long").alias("_own")), "assertion", "left")
+        out = out.join(flags.groupBy("assertion").agg(F.bit_or("bits").alias("_own")), "assertion", "left")
         bits = bits.bitwiseOR(F.coalesce("_own", zero))
-    if near:
+    if joined:
         names = sorted({a for _, _, a in near})
         sets = None
         for j, name in enumerate(names):
             rows = feature_set(m, name).select("feature", F.lit(1 << j).alias("sets"))
             sets = rows if sets is None else sets.unionByName(rows)
-        sets = sets.groupBy("feature").agg(F.bit_or("sets").cast("long").alias("sets"))
-        hit = m.overlaps_with(sets.select("feature")).join(sets, "feature")
+        if sets is not None:
+            sets = sets.groupBy("feature").agg(F.bit_or("sets").cast("long").alias("sets"))
+        if counted:
+            hit = m.overlaps if m.overlaps is not None else intervals.overlaps(m.variants, m.features, one_location=m.one_location)
+            hit = hit.withColumn("sets", zero) if sets is None else hit.join(sets, "feature", "left").withColumn("sets", F.coalesce("sets", zero))
+        else:
+            hit = m.overlaps_with(sets.select("feature")).join(sets, "feature")
         each = zero
         for i, kind, a in near:
             each = each.bitwiseOR(F.when((F.col("kind") == kind) & (F.col("sets").bitwiseAND(F.lit(1 << names.index(a))) != 0), F.lit(1 << i).cast("long")).otherwise(zero))
-        out = out.join(hit.groupBy("variant").agg(F.bit_or(each).alias("_near")), "variant", "left")
+        told = hit.groupBy("variant").agg(F.bit_or(each).alias("_near"), F.count_if(F.col("kind") == "CompleteOverlap").alias("_genes"))
+        many, least = zero, {name: n for n, name in vocab.GENE_COUNT_CRITERIA.items()}
+        for i, name in counted:
+            many = many.bitwiseOR(F.when(F.col("_genes") >= least[name], F.lit(1 << i).cast("long")).otherwise(zero))
+        out = out.join(told.select("variant", F.col("_near").bitwiseOR(many).alias("_near")), "variant", "left")
         bits = bits.bitwiseOR(F.coalesce("_near", zero))
     return out.withColumn("bits", bits).drop("_own", "_near")
 

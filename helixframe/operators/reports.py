@@ -10,8 +10,47 @@ from ..functions import vocab
 from .aggregates import frequencies, pivot_counts, running_total
 from .filters import Model, apply_filters, filter_bits
 
-#: Named combinations of filters: name -> calls.
-COMBINATIONS: dict[str, list[tuple[str, str | None, str]]] = {
+Call = tuple[str, str | None, str]
+
+_YES, _NO = "exists", "not_exists"
+_PROPOSITION: Call = ("proposition_type", "VariantPathogenicityProposition", _YES)
+_LOSS: list[Call] = [_PROPOSITION, ("copy_change", "loss", _YES)]
+_GAIN: list[Call] = [_PROPOSITION, ("copy_change", "gain", _YES)]
+_FEW: Call = ("gene_count_min", "Genes35", _NO)
+
+
+def _complete(features: str, op: str = _YES) -> Call:
+    return ("complete_overlap_with_feature_set", features, op)
+
+
+def _partial(features: str, op: str = _YES) -> Call:
+    return ("partial_overlap_with_feature_set", features, op)
+
+
+_HAPLO, _ADXL, _AR = "HaploinsufficiencyFeatures", "GeneValidityModerateAndGreaterADXL", "ARGene"
+
+#: The case mix (X21): eleven named combinations of filter calls; the later ones for losses exclude what the earlier ones explain.
+COMBINATIONS: dict[str, list[Call]] = {
+    "losses_of_35_genes": [*_LOSS, ("gene_count_min", "Genes35", _YES)],
+    "gains_of_50_genes": [*_GAIN, ("gene_count_min", "Genes50", _YES)],
+    "losses_complete_haploinsufficient": [*_LOSS, _complete(_HAPLO)],
+    "gains_complete_triplosensitive": [*_GAIN, _complete("TriplosensitivityFeatures")],
+    "losses_complete_adxl": [*_LOSS, _complete(_ADXL)],
+    "losses_complete_recessive_alone": [*_LOSS, _complete(_AR), _complete(_ADXL, _NO), _complete(_HAPLO, _NO), _FEW],
+    "losses_partial_haploinsufficient": [*_LOSS, _partial(_HAPLO), _complete(_HAPLO, _NO), _FEW],
+    "losses_partial_adxl": [*_LOSS, _partial(_ADXL), _partial(_HAPLO, _NO), _complete(_HAPLO, _NO), _FEW],
+    "losses_partial_recessive": [*_LOSS, _partial(_AR), _partial(_ADXL, _NO), _complete(_ADXL, _NO), _partial(_HAPLO, _NO), _complete(_HAPLO, _NO), _FEW],
+    "losses_without_curated_features": [*_LOSS, *[f(s, _NO) for s in (_AR, _ADXL, _HAPLO) for f in (_partial, _complete)], _FEW],
+    "annotated": [_PROPOSITION, ("has_annotation", None, _YES)],
+}
+
+#: The candidate gold standard (X22): losses called pathogenic that the dosage map doesn't explain. Submitter and date are the given tables'.
+GOLD_STANDARD: list[Call] = [
+    *_LOSS, _partial(_HAPLO, _NO), _complete(_HAPLO, _NO), _FEW, ("assertion_direction", "Supports", _YES), ("submitter", "agent:1", _NO), ("date_evaluated_min", "1996", _YES), _complete("ProteinCodingGenes"),
+]
+
+#: Single filters and pairs of them.
+SIMPLE_COMBINATIONS: dict[str, list[Call]] = {
     "supported_losses": [("copy_change", "loss", "exists"), ("assertion_direction", "Supports", "exists")],
     "supported_gains": [("copy_change", "gain", "exists"), ("assertion_direction", "Supports", "exists")],
     "losses_over_haploinsufficient": [("copy_change", "loss", "exists"), ("complete_overlap_with_feature_set", "HaploinsufficiencyFeatures", "exists")],
@@ -27,6 +66,13 @@ COMBINATIONS: dict[str, list[tuple[str, str | None, str]]] = {
 }
 
 
+def combination(m: Model, calls: list[Call]) -> DataFrame:
+    """(assertion): those that meet all calls, by one interval join and one aggregation."""
+    distinct = list(dict.fromkeys((f, a) for f, a, _ in calls))
+    want = sum(1 << i for i, c in enumerate(distinct) if (*c, _YES) in calls)
+    return filter_bits(m, distinct).where(F.col("bits") == want).select("assertion")
+
+
 def case_mix(m: Model, combinations: dict[str, list] = COMBINATIONS) -> DataFrame:
     """(combination, classification, n): the class distribution of each combination."""
     distinct = list(dict.fromkeys((f, a) for calls in combinations.values() for f, a, _ in calls))
@@ -99,6 +145,28 @@ def quarterly(approvals: DataFrame, secondary: DataFrame) -> DataFrame:
     return a.join(b, ["quarter", "agent"], "full").na.fill(0, ["approvals", "secondary"])
 
 
+def counted_versions(versions: DataFrame, quarter: Column, record: str = "record", version: str = "version", date: str = "date") -> DataFrame:
+    """versions with the quarter of their date: those whose number ends with .0, and those whose record has such a version in the same quarter.
+
+    The records' first versions are found per quarter in one aggregation, so no version is joined to another of its record.
+    """
+    rows = versions.withColumn("quarter", quarter).where(F.col(date).isNotNull())
+    first = F.coalesce(F.rlike(version, F.lit(r"\.0$")), F.lit(False))
+    with_first = rows.where(first).select(record, "quarter").distinct()
+    return rows.where(first).unionByName(rows.where(~first).join(with_first, [record, "quarter"], "left_semi"))
+
+
+def quarterly_productivity(versions: DataFrame, roles: DataFrame, quarter: Column, key: str = "curation") -> DataFrame:
+    """(quarter, agent, approvals, secondary): how many counted versions each agent approved or contributed to second.
+
+    versions: (curation, record, version, date); roles: (curation, role, agent). A version's approver is the first by name,
+    as is its secondary contributor; agents without a name are left out.
+    """
+    counted = counted_versions(versions, quarter).select(key, "quarter")
+    first = lambda role: roles.where(F.col("role") == role).groupBy(key).agg(F.min("agent").alias("agent")).where("agent is not null")
+    return quarterly(counted.join(first("Approver"), key), counted.join(first("SecondaryContributor"), key))
+
+
 def gene_report(features: DataFrame, validity: DataFrame, mechanism: DataFrame, criteria: DataFrame) -> DataFrame:
     """Per gene: best validity, dosage strengths and number of variants per count."""
     v = validity.groupBy(F.col("gene").alias("feature")).agg(F.min(F.struct(F.array_position(F.array(*map(F.lit, vocab.STRENGTH_ORDER)), F.col("strength")).alias("r"), "strength"))["strength"].alias("validity"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..operators import conflicts, filters, intervals, patterns, scores
@@ -48,6 +50,15 @@ KINDS = """, pairs AS (
 VF = with_views("variants", "features") + KINDS
 ALL = with_views("variants", "features", "assertions", "mechanism", "validity", "lof", "annotations", "gene_sets") + KINDS
 
+#: The same over the wider variants, which then go by the name of variants.
+CNVS = with_views("cnvs", "features", "assertions", "mechanism", "validity", "annotations").replace("cnvs AS", "variants AS", 1) + KINDS
+
+
+def cnv_model(t: Source) -> filters.Model:
+    """model() over the wider variants, without gene-count criteria of its own: filter_bits() counts."""
+    return replace(model(t), variants=t.cnvs, criteria=None)
+
+
 # ---- overlaps ----------------------------------------------------------------------------------------------------
 
 query("x2_overlaps", VF + " SELECT variant, feature, kind FROM olap")(overlaps)
@@ -262,13 +273,17 @@ def containment(t: Source, direction: str):
     known = t.gene_sets.join(stated(t), "assertion")
     lm, lg = conflicts.gene_groups(known.where("direction = 'Supports'"), by=["copy_change"])
     rm, rg = conflicts.gene_groups(known.where(F.col("direction") == direction), by=["copy_change"])
-    w = lambda m, n: m.groupBy("group").agg(F.count("*").alias(n))
-    a = lg.join(w(lm, "w1"), "group").select("group", "n", "w1", "copy_change", F.explode("genes").alias("gene"))
-    b = rg.join(w(rm, "w2"), "group").select(F.col("group").alias("other"), F.col("n").alias("n2"), "w2", "copy_change", F.explode("genes").alias("gene"))
-    m = a.join(b, ["gene", "copy_change"]).groupBy("group", "other", "copy_change", "n", "n2", "w1", "w2").agg(F.count("*").alias("shared")).withColumn("pairs", F.col("w1") * F.col("w2"))
-    total = lambda cond: F.sum(F.when(cond, F.col("pairs")).otherwise(0))
-    s, n, n2 = F.col("shared"), F.col("n"), F.col("n2")
-    return m.groupBy("copy_change").agg(total(s == n).alias("n_subset"), total(s == n2).alias("n_superset"), total((s == n) & (n == n2)).alias("n_equal"))
+    weights = lambda m, group, n: m.groupBy(F.col("group").alias(group), "copy_change").agg(F.count("*").alias(n))
+    on = ["copy_change"]
+    sub = conflicts.contained_sets(lg, rg, on=on).select("group", "other", F.lit(1).alias("sub"), F.lit(0).alias("sup"), (F.col("n") == F.col("n_other")).cast("int").alias("eq"))
+    sup = conflicts.contained_sets(rg, lg, on=on).select(F.col("other").alias("group"), F.col("group").alias("other"), F.lit(0).alias("sub"), F.lit(1).alias("sup"), F.lit(0).alias("eq"))
+    met = sub.unionByName(sup).join(weights(lm, "group", "w1"), "group").join(weights(rm, "other", "w2").drop("copy_change"), "other")
+    pairs = F.col("w1") * F.col("w2")
+    counts = met.groupBy("copy_change").agg(*[F.sum(pairs * F.col(c)).alias(n) for c, n in (("sub", "n_subset"), ("sup", "n_superset"), ("eq", "n_equal"))])
+    # copy changes in which any gene is shared have a row
+    some = lambda g: g.select("copy_change", F.explode("genes").alias("gene")).distinct()
+    there = some(lg).join(some(rg), ["copy_change", "gene"]).select("copy_change").distinct()
+    return there.join(counts, "copy_change", "left").fillna(0)
 
 
 @query("x20_containment_counts", ALL + """, k AS (SELECT g.assertion, g.gene, v.copy_change, a.direction FROM gene_sets g JOIN assertions a ON g.assertion = a.assertion JOIN variants v ON a.variant = v.variant),
@@ -304,6 +319,45 @@ def j10_shared(t):
     return whole.select("n", "n_other", "shared", (F.col("shared") == F.col("n")).alias("subset"), (F.col("shared") == F.col("n_other")).alias("superset"), (F.col("shared") / F.col("n")).alias("fraction"), "n_pairs")
 
 
+@query("j10_jaccard_sets", ALL + """, s AS (SELECT assertion, string_agg(gene, '|' ORDER BY gene) AS genes, count(*) AS n FROM gene_sets GROUP BY assertion), g AS (SELECT DISTINCT genes, n FROM s),
+f AS (SELECT genes, n, unnest(string_split(genes, '|')) AS gene FROM g),
+m AS (SELECT a.genes, b.genes AS other, a.n, b.n AS n_other, count(*) AS shared FROM f a JOIN f b ON a.gene = b.gene AND a.genes < b.genes GROUP BY ALL)
+SELECT least(n, n_other) AS n_small, greatest(n, n_other) AS n_large, shared, count(*) AS n_pairs FROM m WHERE shared >= 0.2 * (n + n_other - shared) GROUP BY ALL""")
+def j10_jaccard(t):
+    """Pairs of distinct gene sets of a Jaccard similarity of 0.2 or more, by their sizes and what they share."""
+    met = conflicts.jaccard_sets(conflicts.gene_groups(t.gene_sets)[1], 0.2)
+    sizes = [F.least("n", "n_other").alias("n_small"), F.greatest("n", "n_other").alias("n_large"), F.col("shared")]
+    return met.groupBy(*sizes).agg(F.count("*").alias("n_pairs")).select(*[F.col(c).cast("long").alias(c) for c in ("n_small", "n_large", "shared", "n_pairs")])
+
+
+_TS = "SELECT feature FROM mechanism WHERE mechanism = 'Triplosensitivity' AND strength = 'DosageSufficientEvidence'"
+
+
+@query("x20_residual_categories", ALL + f""", k AS (SELECT a.assertion, v.copy_change, a.direction, a.direction = 'Supports' AS supports FROM assertions a JOIN variants v ON a.variant = v.variant),
+h AS (SELECT a.assertion, bool_or(o.kind = 'CompleteOverlap' AND o.feature IN ({_H})) AS h, bool_or(o.kind = 'PartialOverlap' AND o.feature IN ({_H})) AS p, bool_or(o.kind = 'CompleteOverlap' AND o.feature IN ({_TS})) AS t
+  FROM assertions a JOIN olap o ON o.variant = a.variant GROUP BY a.assertion),
+c AS (SELECT k.*, CASE WHEN NOT supports AND copy_change = 'loss' AND h THEN 'complete_haploinsufficient' WHEN NOT supports AND copy_change = 'loss' AND p THEN 'partial_haploinsufficient'
+  WHEN NOT supports AND copy_change = 'gain' AND t THEN 'complete_triplosensitive' END AS mapped FROM k LEFT JOIN h ON k.assertion = h.assertion),
+s AS (SELECT DISTINCT c.assertion, c.copy_change, c.supports, g.gene FROM c JOIN (SELECT assertion, gene FROM gene_sets WHERE CAST(split_part(gene, ':', 2) AS BIGINT) % 3 = 0) g ON c.assertion = g.assertion WHERE c.mapped IS NULL),
+n AS (SELECT assertion, count(*) AS n FROM s GROUP BY assertion),
+w AS (SELECT a.assertion, b.assertion AS other, x.n, y.n AS n_other FROM s a JOIN s b ON a.gene = b.gene AND a.copy_change = b.copy_change AND a.supports AND NOT b.supports JOIN n x ON x.assertion = a.assertion JOIN n y ON y.assertion = b.assertion
+  GROUP BY ALL HAVING count(*) = x.n),
+best AS (SELECT other AS assertion, max(n) AS best FROM w GROUP BY other UNION ALL SELECT assertion, min(n_other) FROM w GROUP BY assertion)
+SELECT c.assertion, c.copy_change, c.direction, coalesce(mapped, CASE WHEN n.n IS NULL THEN 'no_genes' WHEN best.best IS NULL THEN 'none' WHEN supports THEN 'within_a_residual_set' ELSE 'holds_a_pathogenic_set' END) AS category, CAST(best.best AS BIGINT) AS best
+FROM c LEFT JOIN n ON c.assertion = n.assertion LEFT JOIN best ON c.assertion = best.assertion""")
+def x20_residual(t):
+    """Every assertion in one category; its genes are those of its set whose number is divisible by three, so that some have none."""
+    named = {"haplo": "HaploinsufficiencyFeatures", "triplo": "TriplosensitivityFeatures"}
+    m = filters.Model(t.assertions, mechanism=t.mechanism)
+    wanted = None
+    for name, feature_set in named.items():
+        rows = filters.feature_set(m, feature_set).withColumn("feature_set", F.lit(name))
+        wanted = rows if wanted is None else wanted.unionByName(rows)
+    hits = overlaps_of(t, wanted.select("feature").distinct()).join(wanted, "feature").join(t.assertions.select("assertion", "variant"), "variant").select("assertion", "feature_set", "kind")
+    genes = t.gene_sets.where(F.split_part("gene", F.lit(":"), F.lit(2)).cast("long") % 3 == 0)
+    return conflicts.residual_categories(stated(t), genes, hits)
+
+
 # ---- scores ------------------------------------------------------------------------------------------------------
 
 query("x15_lof_scores", ALL + """, p AS (SELECT o.variant, product(1 - l.lower95) AS none FROM olap o JOIN lof l ON o.feature = l.gene WHERE o.kind = 'CompleteOverlap' GROUP BY o.variant)

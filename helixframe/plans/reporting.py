@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
-from ..operators import conflicts, filters, reports
+from ..operators import conflicts, filters, reports, responses
 from .analytics import versions
-from .core import _REGIONS, ALL, model, overlaps, region_sets
-from .registry import query
+from .core import _REGIONS, ALL, CNVS, cnv_model, model, overlaps, region_sets
+from .registry import Source, query
 from .views import with_views
 
 _H = "(SELECT feature FROM mechanism WHERE mechanism = 'Haploinsufficiency' AND strength = 'DosageSufficientEvidence')"
@@ -37,10 +38,34 @@ _WHERE = {
     "annotated": "assertion IN (SELECT subject FROM annotations)",
     "gold_standard": f"{_LOSS} AND direction = 'Supports' AND {_over('CompleteOverlap', _H)} AND '1995' < date_last_evaluated AND assertion NOT IN (SELECT subject FROM annotations)",
 }
-query("x21_case_mix", ALL + " UNION ALL ".join(f" SELECT '{k}' AS combination, classification, count(*) AS n FROM assertions WHERE {w} GROUP BY classification" for k, w in _WHERE.items()))(lambda t: reports.case_mix(model(t)))
-query("x22_gold_standard", ALL + f" SELECT assertion FROM assertions WHERE {_WHERE['gold_standard']}")(
-    lambda t: filters.apply_filters(model(t), [{"filter": f, "argument": a, "operation": o} for f, a, o in reports.COMBINATIONS["gold_standard"]])
+query("x21_simple_mix", ALL + " UNION ALL ".join(f" SELECT '{k}' AS combination, classification, count(*) AS n FROM assertions WHERE {w} GROUP BY classification" for k, w in _WHERE.items()))(
+    lambda t: reports.case_mix(model(t), reports.SIMPLE_COMBINATIONS)
 )
+
+#: The same conditions for SQL: (filter, argument) -> condition on a row of assertions.
+_SETS = {"HaploinsufficiencyFeatures": _H, "TriplosensitivityFeatures": _T, "GeneValidityModerateAndGreaterADXL": _ADXL, "ARGene": _AR, "ProteinCodingGenes": _PC}
+
+
+def _condition(name: str, argument: str | None) -> str:
+    if name in filters.OVERLAP_KINDS:
+        return f"variant IN (SELECT variant FROM olap WHERE kind = '{filters.OVERLAP_KINDS[name]}' AND feature IN {_SETS[argument]})"
+    return {
+        "proposition_type": "direction <> 'Refutes'",
+        "copy_change": f"variant IN (SELECT variant FROM variants WHERE copy_change = '{argument}')",
+        "gene_count_min": f"variant IN (SELECT variant FROM olap WHERE kind = 'CompleteOverlap' GROUP BY variant HAVING count(*) >= {(argument or '')[5:] or 0})",
+        "assertion_direction": f"direction = '{argument}'",
+        "submitter": f"submitter = '{argument}'",
+        "date_evaluated_min": f"coalesce('{argument}' < date_last_evaluated, false)",
+        "has_annotation": "assertion IN (SELECT subject FROM annotations)",
+    }[name]
+
+
+def _all_of(calls) -> str:
+    return " AND ".join(f"{'NOT ' if op == 'not_exists' else ''}({_condition(f, a)})" for f, a, op in calls)
+
+
+query("x21_case_mix", CNVS + " UNION ALL ".join(f" SELECT '{k}' AS combination, classification, count(*) AS n FROM assertions WHERE {_all_of(c)} GROUP BY classification" for k, c in reports.COMBINATIONS.items()))(lambda t: reports.case_mix(cnv_model(t)))
+query("x22_gold_standard", CNVS + f" SELECT assertion FROM assertions WHERE {_all_of(reports.GOLD_STANDARD)}")(lambda t: reports.combination(cnv_model(t), reports.GOLD_STANDARD))
 query("x13_about_feature", ALL + """ SELECT DISTINCT feature, stmt AS assertion FROM (SELECT gene AS feature, stmt FROM validity UNION SELECT feature, mech FROM mechanism) WHERE stmt NOT IN (SELECT mech FROM mechanism WHERE strength = 'DosageNoEvidence')""")(
     lambda t: reports.about_feature([t.validity.select(F.col("gene").alias("feature"), F.col("stmt").alias("assertion")), t.mechanism.select("feature", F.col("mech").alias("assertion"))], t.mechanism.where("strength = 'DosageNoEvidence'").select(F.col("mech").alias("assertion")))
 )
@@ -115,3 +140,57 @@ query("g13_curations_by_gene", ALL + " SELECT gene, stmt AS curation, 'validity'
 query("g15_dosage_view", ALL + " SELECT feature, strength, CASE strength WHEN 'DosageSufficientEvidence' THEN 3 WHEN 'DosageModerateEvidence' THEN 2 WHEN 'DosageMinimalEvidence' THEN 1 WHEN 'DosageNoEvidence' THEN 0 WHEN 'DosageAutosomalRecessive' THEN 30 END AS ordinal, CASE mechanism WHEN 'Haploinsufficiency' THEN 1 ELSE 3 END AS copies FROM mechanism")(
     lambda t: t.mechanism.select("feature", "strength", F.when(F.col("strength") == "DosageSufficientEvidence", 3).when(F.col("strength") == "DosageModerateEvidence", 2).when(F.col("strength") == "DosageMinimalEvidence", 1).when(F.col("strength") == "DosageNoEvidence", 0).when(F.col("strength") == "DosageAutosomalRecessive", 30).alias("ordinal"), F.when(F.col("mechanism") == "Haploinsufficiency", 1).otherwise(3).alias("copies"))
 )
+
+# ---- versions by quarter, nested responses -----------------------------------------------------------------------
+
+_QUARTER = "concat(year(date), 'Q', quarter(date))"
+_ORDER_VERSIONS = """WITH v AS (SELECT o_orderkey AS curation, o_custkey AS record, CAST(o_orderdate AS DATE) AS date, concat('panel:', o_custkey % 30) AS clerk,
+  concat((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1) // 3 + 1, '.', (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1) % 3) AS version FROM orders)"""
+
+
+def _versions(t: Source):
+    """Orders as versions of their customers' records: every third begins a major version."""
+    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) - 1
+    number = F.concat_ws(".", (F.floor(rank / 3) + 1).cast("string"), (rank % 3).cast("string"))
+    return t.orders.select(F.col("o_orderkey").alias("curation"), F.col("o_custkey").alias("record"), F.col("o_orderdate").cast("date").alias("date"), number.alias("version"))
+
+
+@query("x31_productivity", _ORDER_VERSIONS + f""", c AS (SELECT *, {_QUARTER} AS quarter FROM v),
+k AS (SELECT c.* FROM c WHERE version LIKE '%.0' OR EXISTS (SELECT 1 FROM c z WHERE z.record = c.record AND z.quarter = c.quarter AND z.version LIKE '%.0')),
+a AS (SELECT quarter, clerk AS agent, count(*) AS n FROM k WHERE curation % 5 <> 0 GROUP BY ALL), b AS (SELECT quarter, clerk AS agent, count(*) AS n FROM k WHERE curation % 5 = 0 OR curation % 7 = 0 GROUP BY ALL)
+SELECT coalesce(a.quarter, b.quarter) AS quarter, coalesce(a.agent, b.agent) AS agent, coalesce(a.n, 0) AS approvals, coalesce(b.n, 0) AS secondary FROM a FULL JOIN b ON a.quarter = b.quarter AND a.agent = b.agent""")
+def x31_productivity(t):
+    k, clerk = F.col("o_orderkey"), F.concat(F.lit("panel:"), (F.col("o_custkey") % 30).cast("string")).alias("agent")
+    roles = t.orders.where(k % 5 != 0).select(k.alias("curation"), F.lit("Approver").alias("role"), clerk)
+    roles = roles.unionByName(t.orders.where((k % 5 == 0) | (k % 7 == 0)).select(k.alias("curation"), F.lit("SecondaryContributor").alias("role"), clerk))
+    quarter = F.concat(F.year("date").cast("string"), F.lit("Q"), F.quarter("date").cast("string"))
+    return reports.quarterly_productivity(_versions(t), roles, quarter)
+
+
+query("x31_counted_versions", _ORDER_VERSIONS + f""", c AS (SELECT *, {_QUARTER} AS quarter FROM v)
+SELECT curation, record, version, quarter FROM c WHERE version LIKE '%.0' OR EXISTS (SELECT 1 FROM c z WHERE z.record = c.record AND z.quarter = c.quarter AND z.version LIKE '%.0')""")(
+    lambda t: reports.counted_versions(_versions(t), F.concat(F.year("date").cast("string"), F.lit("Q"), F.quarter("date").cast("string"))).select("curation", "record", "version", "quarter")
+)
+
+
+def _responses(t: Source):
+    """Orders as responses with their lines, twice: the second time lines and tags stand the other way round, every fifth order's first line has one more, every eleventh order is missing."""
+    q = F.col("l_quantity").cast("long")
+    line = lambda more: F.struct(F.col("l_linenumber").alias("line"), (q + more).alias("quantity"), F.array(F.col("l_returnflag"), F.col("l_linestatus")).alias("tags"))
+    changed = F.when((F.col("l_orderkey") % 5 == 0) & (F.col("l_linenumber") == 1), 1).otherwise(0)
+    turned = F.struct(F.col("l_linenumber").alias("line"), (q + changed).alias("quantity"), F.array(F.col("l_linestatus"), F.col("l_returnflag")).alias("tags"))
+    whole = lambda items, up: t.lineitem.groupBy(F.col("l_orderkey").alias("key")).agg(F.struct(F.sort_array(F.collect_list(items), up).alias("lines"), F.lit("CG:Old").alias("group")).alias("response"))
+    return whole(line(0), True), whole(turned, False).where("key % 11 <> 0").withColumn("response", F.col("response").withField("group", F.lit("CGTERMS:New")))
+
+
+_RENAMED = {"CG:Old": "CGTERMS:New"}
+_TOUCHED = "SELECT DISTINCT l_orderkey AS key, o_orderpriority AS query FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+_MOVED = "EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = key AND key % 5 = 0 AND l_linenumber = 1)"
+query("x37_discrepancies", f"SELECT query, count(*) AS n, count_if(key % 11 = 0 OR {_MOVED}) AS n_different FROM ({_TOUCHED}) GROUP BY query")(
+    lambda t: responses.discrepancies(responses.response_states(*_responses(t), rewrites=_RENAMED), t.orders.select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("query")))
+)
+query("x37_leaf_differences", """WITH l AS (SELECT l_orderkey AS key, CAST(l_quantity AS BIGINT) AS q, CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END AS more FROM lineitem WHERE l_orderkey % 5 = 0 AND l_orderkey % 11 <> 0),
+a AS (SELECT key, q, 1 AS o, 0 AS n FROM l UNION ALL SELECT key, q + more, 0, 1 FROM l)
+SELECT key, 'lines[].quantity' AS path, concat('bigint:', q) AS value, CAST(sum(o) AS BIGINT) AS n_old, CAST(sum(n) AS BIGINT) AS n_new FROM a GROUP BY key, q HAVING sum(o) <> sum(n)""")(
+    lambda t: responses.leaf_differences(*_responses(t), rewrites=_RENAMED)
+)

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..functions import vocab
+from .records import split_records
 
 _INTS = ["outerStart", "innerStart", "start", "stop", "innerStop", "outerStop", "display_start", "display_stop", "variantLength", "positionVCF", "forDisplayLength"]
 _TEXTS = ["Assembly", "Chr", "Accession", "Strand", "referenceAllele", "alternateAllele"]
@@ -36,9 +37,14 @@ ARCHIVE = f"""
 
 
 def load_archive(spark: SparkSession, path: str, row_tag: str = "VariationArchive", partitions: int | None = None) -> DataFrame:
-    """Variant archive XML: one row per record (S1, D15). Records without a simple allele have null variation ids."""
-    raw = spark.read.format("xml").option("rowTag", row_tag).schema(ARCHIVE).load(path)
-    raw = raw.repartition(partitions) if partitions else raw
+    """Variant archive XML: one row per record (S1, D15). Records without a simple allele have null variation ids.
+
+    The file is cut at the end tags by a scan that Spark splits (compressed files by partitions, if given, after the cut),
+    and every record is parsed by itself.
+    """
+    records = split_records(spark, path, row_tag, simple=True)
+    records = records.repartition(partitions) if partitions else records
+    raw = records.select(F.from_xml("record", ARCHIVE, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
     sa, list_ = "ClassifiedRecord.SimpleAllele", "ClassifiedRecord.ClinicalAssertionList.ClinicalAssertion"
     location = F.transform(F.coalesce(F.col(f"{sa}.Location.SequenceLocation"), F.array().cast(T.ArrayType(_location_type()))), lambda x: F.struct(*[x[f"_{n}"].alias(n) for n in [*_INTS, *_TEXTS]]))
     copies = F.try_element_at(F.filter(F.flatten(F.transform(F.col(list_), lambda a: F.coalesce(F.transform(a["SimpleAllele"]["AttributeSet"], lambda s: s["Attribute"]), F.array().cast("array<struct<_Type:string,_VALUE:string>>")))), lambda x: x["_Type"] == "AbsoluteCopyNumber"), F.lit(1))
@@ -59,11 +65,6 @@ def _location_type() -> T.StructType:
     return T.StructType([T.StructField(f"_{n}", T.LongType()) for n in _INTS] + [T.StructField(f"_{n}", T.StringType()) for n in _TEXTS])
 
 
-def split_records(spark: SparkSession, path: str, tag: str) -> DataFrame:
-    """Whole elements of a tag as text, tags kept."""
-    return spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(rf"(?s)<{tag}[\s>].*?</{tag}>"), 0)).alias("record"))
-
-
 def _tabbed(spark: SparkSession, path: str, columns: list[str], comment: str | None = "#", header: bool = False, sep: str = "\t") -> DataFrame:
     reader = spark.read.option("sep", sep).option("header", header).option("quote", "\u0000" if sep == "\t" else '"').option("escape", '"')
     reader = reader.option("comment", comment) if comment else reader
