@@ -17,16 +17,18 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep_table, stored, use_table, with_text_columns
+from .common import give_back, keep_table, stored, use_table, with_text_columns
 
 _WORD = re.compile(r"[^\W_]+")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -34,7 +36,7 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 
 @dataclass(frozen=True)
 class Params:
-    """max_rows and max_slots bound the labelled sample (chosen by key hash): about so many rows, and features in all; the rest is fixed, whatever the input's size."""
+    """max_rows and max_slots bound the labelled sample (chosen by a hash of key and text): about so many rows, and features in all; the rest is fixed, whatever the input's size."""
 
     bits: int = 20
     max_rows: int = 16_000
@@ -130,38 +132,54 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params(), key: str
         known = known.where(F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) < int(4 * p.max_rows / count * (1 << 30)))
     # at most about 4 * max_rows rows of two numbers: a proven bound
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(known), "_key")
-    if rows.select("_key").count() > p.max_rows:
-        pairs = rows.select("_key", F.xxhash64("_text").alias("_hash")).distinct().count()
-        if pairs > p.max_rows:
-            rows = rows.where(F.pmod(F.xxhash64("_key", "_text"), F.lit(1 << 30)) < int(p.max_rows / pairs * (1 << 30)))
+    rows = rows.withColumn("_hash", F.xxhash64("_text"))
+    n, keys = rows.agg(F.count("*"), F.count_distinct("_key")).first()
+    repeated = n > keys
+    if repeated:  # of a key's rows each different text counts
+        n = rows.select("_key", "_hash").distinct().count()
+    if n > p.max_rows:
+        rows = rows.where(F.pmod(F.xxhash64("_key", "_hash"), F.lit(1 << 30)) < int(p.max_rows / n * (1 << 30)))
+    if repeated:  # equal rows are one, taken together per task before they are shuffled
+        rows = rows.groupBy("_key", "_hash").agg(F.any_value("_y").alias("_y"), F.any_value("_text").alias("_text"))
 
     def make():
         return lambda texts: [[x.astype(np.int32) for x in distinct_features([t or "" for t in texts], p.bits)]]
 
-    rows = rows.withColumn("_hash", F.xxhash64("_text"))
     ready = with_text_columns(rows, "_text", make, [T.StructField("_slots", T.ArrayType(T.IntegerType()))]).drop("_text")
-    # repeated rows are one, taken together per task before they are shuffled
-    ready = ready.groupBy("_key", "_hash").agg(F.any_value("_y").alias("_y"), F.any_value("_slots").alias("_slots"))
     ready = stored(ready, "toxicity-features")
     slots = ready.agg(F.sum(F.size("_slots"))).first()[0] or 0
     if slots > p.max_slots:
         ready = ready.where(F.pmod(F.xxhash64("_key", "_hash", F.lit(2)), F.lit(1 << 30)) < int(p.max_slots / slots * (1 << 30)))
 
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((pdf["_hash"].to_numpy(np.int64), np.array([xxhash.xxh3_64_intdigest(str(k)) for k in pdf["_key"]], np.uint64)))
-        labels, slots = pdf["_y"].to_numpy(float)[order], pdf["_slots"].to_numpy()[order]
-        count = np.zeros(1 << p.bits, np.int32)
-        for x in slots:
-            count[x] += 1  # a row's slots are distinct
-        common = count >= min(p.min_rows, len(slots))
-        for i, x in enumerate(slots):
-            slots[i] = x[common[x]]
-        w0, w = ftrl(slots, labels, p)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, hashes, labels, parts = [], [], [], []
+        count = np.zeros(1 << p.bits, np.int64)
+        for b in batches:
+            lists = b.column(3)
+            flat = np.array(lists.flatten().to_numpy(zero_copy_only=False), np.int32)
+            count += np.bincount(flat, minlength=len(count))  # a row's slots are distinct
+            keys += [xxhash.xxh3_64_intdigest(str(k)) for k in b.column(0).to_pylist()]
+            hashes.append(b.column(1).to_numpy())
+            labels.append(b.column(2).to_numpy())
+            parts.append((flat, np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))))
+            del b, lists
+        if not keys:
+            return
+        common = count >= min(p.min_rows, len(keys))
+        del count
+        rows = []
+        for i, (flat, ends) in enumerate(parts):
+            parts[i] = None  # one batch's numbers go as its rows are made smaller
+            rows += [x[common[x]] for x in (flat[a:z] for a, z in zip(ends, ends[1:], strict=False))]
+            del flat
+        order = np.lexsort((np.concatenate(hashes), np.array(keys, np.uint64)))
+        w0, w = ftrl([rows[i] for i in order], np.concatenate(labels).astype(float)[order], p)
         found = np.flatnonzero(w)
-        return pd.DataFrame({"slot": np.append(found, -1), "w": np.append(w[found], w0)})
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1), pa.int64()), pa.array(np.append(w[found], w0))], ["slot", "w"])
+        give_back()
 
-    # one group of at most about max_rows rows and max_slots numbers
-    got = ready.groupBy(F.lit(0).alias("_all")).applyInPandas(learn, "slot long, w double").toPandas()  # at most 2**bits + 1 rows
+    # one task, of at most about max_rows rows and max_slots numbers, taken batch by batch from the files
+    got = ready.select("_key", "_hash", "_y", "_slots").coalesce(1).mapInArrow(learn, "slot long, w double").toPandas()  # at most 2**bits + 1 rows
     if got.empty:
         return Model(p.bits, -math.inf, np.zeros(0, np.int64), np.zeros(0))
     w0 = float(got.loc[got["slot"] == -1, "w"].iloc[0])
