@@ -84,6 +84,32 @@ def page(df: DataFrame, limit: int, offset: int = 0, field: str = "GENE_LABEL",
     return df.orderBy(c.desc() if descending else c.asc(), tie).offset(offset).limit(limit), df.agg(F.count("*").alias("count"))
 
 
+def page_after(df: DataFrame, limit: int, after: tuple | None = None, field: str = "GENE_LABEL", descending: bool = False, tie: str = "iri", sorts: dict[str, str] = SORTS) -> DataFrame:
+    """The page that follows a row, given by its sort value and tie (L1, G14): all pages together are the list of page(), and none reads what an earlier one showed.
+
+    Ties are unique and not null; null sort values come first upwards, last downwards. The condition on the sort column
+    stands by itself too, so that it reaches the scan.
+    """
+    column, unique = sorts[field], F.col(tie)
+    c = F.col(column)
+    if after is not None:
+        value, last = after
+        if value is None:
+            rest = (c.isNull() & (unique > last)) if descending else (c.isNotNull() | (unique > last))
+        elif descending:
+            rest = ((c <= value) & ((c < value) | (unique > last))) | c.isNull()
+        else:
+            rest = (c >= value) & ((c > value) | (unique > last))
+        df = df.where(rest)
+    return df.orderBy(c.desc() if descending else c.asc(), tie).limit(limit)
+
+
+def cursor(page: DataFrame, field: str = "GENE_LABEL", tie: str = "iri", sorts: dict[str, str] = SORTS) -> tuple | None:
+    """Sort value and tie of a page's last row, for page_after(); None after an empty page."""
+    rows = page.select(sorts[field], tie).collect()  # a page's rows
+    return tuple(rows[-1]) if rows else None
+
+
 def version_list(df: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
     """Versions in order as an array of structs."""
     return df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, *columns))).alias("versions"))

@@ -43,6 +43,11 @@ def mentions(column: str, text: str) -> Column:
     return F.coalesce(F.contains(F.lower(F.col(column)), F.lit(text.lower())), F.lit(False))
 
 
+def matches(column: str, pattern: str) -> Column:
+    """The pattern is found in the text; null has none."""
+    return F.coalesce(F.rlike(column, F.lit(pattern)), F.lit(False))
+
+
 def is_lof_deletion(alt="alt", filt="filter", length="svlen", lof="predicted_lof") -> Column:
     return F.coalesce((F.col(alt) == "<DEL>") & (F.col(filt) == "PASS") & (F.col(length).try_cast("bigint") > 1000) & F.col(lof).isNotNull(), F.lit(False))
 

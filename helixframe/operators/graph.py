@@ -32,6 +32,47 @@ def closure(edges: DataFrame, child: str = "child", parent: str = "parent", refl
     return found
 
 
+def reachable(edges: DataFrame, roots: DataFrame, root: str = "root", source: str = "child", target: str = "parent", reflexive: bool = True) -> DataFrame:
+    """(root, node, depth): what each root reaches along the edges, with the smallest number of edges.
+
+    Only the asked roots' frontier goes from round to round: it is joined to the edges, what was reached before is left
+    out, and the rest is written. So what is written grows with the answer, not with the closure of all nodes; cycles end
+    as their nodes are reached once. reflexive: a root reaches itself at depth 0.
+    """
+    e = edges.select(F.col(source).alias("node"), F.col(target).alias("next")).where("node is not null and next is not null")
+    start = roots.select(F.col(root).alias("root")).where("root is not null").distinct()
+    found = frontier = _written(start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")), "reached")
+    for depth in itertools.count(1):
+        step = frontier.select("root", "node").join(e, "node").select("root", F.col("next").alias("node")).distinct()
+        frontier = _written(step.join(found.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "reached")
+        if frontier.isEmpty():
+            break
+        found = found.unionByName(frontier)
+        if depth % 25 == 0:  # one folder again, as plans grow with the rounds
+            found = _written(found, "reached")
+    return found if reflexive else found.where("depth > 0")
+
+
+def instances_of(types: DataFrame, edges: DataFrame, cls: str) -> DataFrame:
+    """Nodes whose type is the class or one below it, going down from the class alone (G7). types: (node, type); edges: (child, parent)."""
+    asked = edges.sparkSession.createDataFrame([(cls,)], "root string")
+    below = reachable(edges, asked, source="parent", target="child").select(F.col("node").alias("type"))
+    return types.join(below, "type", "left_semi").select("node").distinct()
+
+
+def evidence_of(edges: DataFrame, roots: DataFrame, types: DataFrame | None = None, classes: DataFrame | None = None, cls: str | None = None, transitive: bool = True, hide: DataFrame | None = None) -> DataFrame:
+    """(root, evidence): evidence_tree() of the asked roots alone (G11). edges: child (the node) to parent (its evidence); classes: class edges (child, parent) for cls."""
+    if transitive:
+        below = reachable(edges, roots, reflexive=False).select("root", F.col("node").alias("evidence"))
+    else:
+        below = roots.select(F.col("root").alias("child")).distinct().join(edges, "child").select(F.col("child").alias("root"), F.col("parent").alias("evidence")).distinct()
+    if cls is not None:
+        below = below.join(instances_of(types, classes, cls).withColumnRenamed("node", "evidence"), "evidence", "left_semi")
+    if hide is not None:
+        below = below.join(hide, "evidence", "left_anti")
+    return below.select("root", "evidence")
+
+
 def path_with_inverse_end(edges: DataFrame, inverse: DataFrame) -> DataFrame:
     """e* then at most one inverse step v: (node, reached) (G4). inverse has (s, o) rows; the step goes from o to s."""
     reach = closure(edges, reflexive=True).select("node", F.col("ancestor").alias("reached"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import vocab
 from .aggregates import frequencies, pivot_counts, running_total
-from .filters import Model, apply_filters, filter_bits
+from .filters import MODERATE_OR_MORE, Model, apply_filters, filter_bits, mentions
 
 Call = tuple[str, str | None, str]
 
@@ -174,6 +174,12 @@ def gene_report(features: DataFrame, validity: DataFrame, mechanism: DataFrame,
     return features.select("feature", "symbol").join(v, "feature", "left").join(d, "feature", "left").join(criteria, "feature", "left").fillna(0, ["n_complete", "n_partial"])
 
 
+def dominant_mentions(validity: DataFrame, scores: DataFrame, text: str, column: str = "disease") -> DataFrame:
+    """(stmt, gene, score): dominant statements of moderate strength or more whose text mentions something, in any case, with their gene's score, 0 if there is none (X26). scores: (gene, score)."""
+    said = validity.where(F.col("strength").isin(*MODERATE_OR_MORE) & (F.col("moi") == "AD") & mentions(column, text))
+    return said.join(scores, "gene", "left").select("stmt", "gene", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def dosage_candidates(validity: DataFrame, mechanism: DataFrame) -> DataFrame:
     """Genes of moderate or better validity without a mechanism proposition."""
     strong = validity.where("strength in ('Moderate', 'Strong', 'Definitive')")

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import KeyedTable
+
 
 def terms(text: Column | str) -> Column:
     """Lower-cased letter-digit terms."""
@@ -35,7 +37,11 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, n: int = 100,
     stats = split.agg(F.count("*").alias("n_docs"), F.avg(F.size("ts")).alias("mean"))
     hit = split.select(key, F.size("ts").alias("length"), F.explode("ts").alias("term")).join(hint(asked.select("term").distinct()), "term")
     tf = hit.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    return _scored(tf, tf.groupBy("term").agg(F.count("*").alias("df")), stats, asked, key, n, k1, b, hint)
+
+
+def _scored(tf: DataFrame, df: DataFrame, stats: DataFrame, asked: DataFrame, key: str, n: int, k1: float, b: float, hint) -> DataFrame:
+    """(query, key, score, rank) from the asked terms' postings, their document frequencies, and one row of statistics."""
     idf = df.crossJoin(stats).select("term", "mean", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row of statistics
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     scored = tf.join(hint(idf), "term").join(hint(asked), "term").groupBy("query", key).agg(F.round(F.sum(part), 6).alias("score"))
@@ -43,6 +49,65 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, n: int = 100,
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+class TextIndex:
+    """Postings that follow upserts and deletes of documents, and bm25 that reads the asked terms alone.
+
+    Three keyed tables: the postings of a document, with their terms' hash range as a folder, so that a query reads the
+    ranges of its terms; document frequencies and counts as signed deltas, added up where they are asked for. A batch is
+    applied once, whatever its retries: every table knows the batch's number.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "doc_id", kind: str = "long", ranges: int = 64):
+        self.spark, self.path, self.key, self.kind, self.ranges = spark, path.rstrip("/"), key, kind, ranges
+        self.live = KeyedTable(spark, f"{self.path}/live", f"{key} {kind}, length int, terms array<string>, batch long", key)
+
+    def _range(self, term: str) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(self.ranges)).cast("int")
+
+    def apply(self, batch: int, upserts: DataFrame | None = None, deletes: DataFrame | None = None, text: str = "text") -> None:
+        """Texts that come (key, text) or go (key). Keys of a batch are unique; a key of both goes and comes again."""
+        key = self.key
+        new = None if upserts is None else upserts.select(key, terms(text).alias("ts")).select(key, F.size("ts").alias("length"), F.col("ts").alias("terms"))
+        touched = new.select(key) if new is not None else None
+        if deletes is not None:
+            touched = deletes.select(key) if touched is None else touched.unionByName(deletes.select(key))
+        if self.live.batches() and self.live.last_batch() >= batch:
+            return
+        # what goes is what lives before this batch; its postings come back with a minus
+        old = self.live.read().join(touched.distinct(), key, "left_semi").select(key, "length", "terms", F.lit(-1).alias("sign"))
+        both = old if new is None else old.unionByName(new.withColumn("sign", F.lit(1)))
+        flat = both.select(key, "length", "sign", F.explode("terms").alias("term")).groupBy("term", key, "length", "sign").agg(F.count("*").alias("tf"))
+        flat.withColumn("range", self._range("term")).repartition("range").sortWithinPartitions("range", "term").write.mode("overwrite").partitionBy("range").parquet(f"{self.path}/postings/batch={batch}")
+        both.agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum(F.col("sign") * F.col("length")), F.lit(0)).alias("n_terms")).write.mode("overwrite").parquet(f"{self.path}/totals/batch={batch}")
+        self.live.merge(upserts=None if new is None else new.withColumn("batch", F.lit(batch).cast("long")), deletes=deletes, batch=batch)
+
+    def _whole(self, what: str, schema: str) -> DataFrame:
+        """The rows of the batches that were committed."""
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{what}").where(F.col("batch") <= self.live.last_batch())
+
+    def postings(self, asked: list[str]) -> DataFrame:
+        """(term, key, length, tf) of the terms: the ranges that hold them are read, no others."""
+        hashed = self.spark.createDataFrame([(t,) for t in asked], "term string").select("term", self._range("term").alias("r"))
+        mine = sorted({r["r"] for r in hashed.collect()})  # at most `ranges` numbers
+        rows = self._whole("postings", f"batch long, range int, term string, {self.key} {self.kind}, length int, sign int, tf long")
+        rows = rows.where(F.col("range").isin(mine)).where(F.col("term").isin(asked))
+        return rows.groupBy("term", self.key, "length").agg(F.sum(F.col("sign") * F.col("tf")).alias("tf")).where("tf > 0")
+
+    def totals(self) -> DataFrame:
+        """(n_docs, mean): how many documents there are, and their mean number of terms."""
+        t = self._whole("totals", "batch long, n_docs long, n_terms long")
+        return t.agg(F.sum("n_docs").alias("n_docs"), (F.sum("n_terms") / F.sum("n_docs")).alias("mean"))
+
+    def bm25(self, queries: DataFrame, n: int = 100, k1: float = 1.2, b: float = 0.75, most_terms: int = 100_000) -> DataFrame:
+        """(query, key, score, rank) as bm25() gives over the live documents' texts. queries: (query, text); at most most_terms different terms."""
+        asked = queries.select("query", F.explode(F.array_distinct(terms("text"))).alias("term"))
+        wanted = [r[0] for r in asked.select("term").distinct().limit(most_terms + 1).collect()]
+        if len(wanted) > most_terms:
+            raise ValueError(f"more than {most_terms} terms: search texts with bm25()")
+        tf = self.postings(wanted)
+        return _scored(tf, tf.groupBy("term").agg(F.count("*").alias("df")), self.totals(), asked, self.key, n, k1, b, F.broadcast)
+
+
 def symbol_search(docs: DataFrame, symbol: str, column: str = "symbol") -> DataFrame:
     """Exact keyword match, upper-cased."""
     return docs.where(F.col(column) == symbol.upper())
@@ -53,12 +118,36 @@ def combined(symbol_hits: DataFrame, label_hits: DataFrame) -> DataFrame:
     return symbol_hits.withColumn("source_rank", F.lit(0)).unionByName(label_hits.withColumn("source_rank", F.lit(1)))
 
 
+class _Best:
+    """The best groups of each query among the vectors that a task has seen: k of them, and those that tie with the last."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(self, at: tuple[int, int], groups: np.ndarray, scores: np.ndarray) -> None:
+        """groups: codes of groups, scores: of vectors of these groups, for one query."""
+        if at in self.held:
+            groups, scores = np.concatenate((self.held[at][0], groups)), np.concatenate((self.held[at][1], scores))
+        order = np.lexsort((-scores, groups))
+        groups, scores = groups[order], scores[order]
+        first = np.concatenate(([True], groups[1:] != groups[:-1]))  # a group's best vector
+        groups, scores = groups[first], scores[first]
+        if len(groups) > self.k:
+            least = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
+            keep = scores >= least - 2e-6  # scores are told to six digits: what may tie stays
+            groups, scores = groups[keep], scores[keep]
+        self.held[at] = groups, scores
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, group: str, k: int = 5, block: int = 4_096) -> DataFrame:
     """(query, group, score, rank): the k groups whose best vector has the largest dot product with the query (T5).
 
     Queries are dealt by key hash into blocks of about `block`, each sent to every task in a pass of its own (stated
-    queries against all rows); a task multiplies matrices and keeps the best score per query and group before the
-    shuffle. Vectors of other lengths than the query's, null ones and ones with null components have no score.
+    queries against all rows). A task multiplies matrices and keeps the k best groups per query over all its vectors: a
+    group among the k best of all is among the k best of the task that holds its best vector. So what is shuffled grows
+    with tasks, queries and k, not with vectors or groups. Vectors of other lengths than the query's, null ones and ones
+    with null components have no score.
     """
     asked = queries.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())).select(F.col(key).cast("string").alias("query"), F.col(vector).cast("array<double>").alias("q"))
     passes = max(1, -(-queries.count() // block))
@@ -74,15 +163,29 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, group
         shared = vectors.sparkSession.sparkContext.broadcast({n: (names, np.array(q)) for n, (names, q) in by_length.items()})
 
         def best(frames, shared=shared):
+            top, codes, names_of = _Best(k), {}, []
             for pdf in frames:
-                sizes = pdf["v"].map(len)
-                for n, (names, q) in shared.value.items():
-                    some = pdf[sizes == n]
+                own = [None if pd.isna(g) else g for g in pdf["g"]]
+                for g in own:
+                    if g not in codes:
+                        codes[g] = len(names_of)
+                        names_of.append(g)
+                code = np.array([codes[g] for g in own], np.int64)
+                sizes = pdf["v"].map(len).to_numpy()
+                for n, (_, q) in shared.value.items():
+                    some = np.flatnonzero(sizes == n)
                     if len(some):
-                        score = pd.DataFrame(np.stack(some["v"].to_numpy()) @ q.T, columns=names)
-                        score["g"] = some["g"].to_numpy()
-                        top = score.groupby("g", dropna=False).max()
-                        yield pd.DataFrame({"query": np.tile(top.columns.to_numpy(), len(top)), "g": np.repeat(top.index.to_numpy(), top.shape[1]), "score": top.to_numpy().ravel()})
+                        score = np.stack(pdf["v"].to_numpy()[some]) @ q.T
+                        for j in range(score.shape[1]):
+                            top.add((n, j), code[some], score[:, j])
+                used = {c for groups, _ in top.held.values() for c in groups.tolist()}
+                if len(codes) > 4 * len(used) + 10_000:  # names of groups that no query holds any more
+                    again = {c: i for i, c in enumerate(sorted(used))}
+                    names_of = [names_of[c] for c in sorted(used)]
+                    codes = {g: i for i, g in enumerate(names_of)}
+                    top.held = {at: (np.array([again[c] for c in groups.tolist()], np.int64), scores) for at, (groups, scores) in top.held.items()}
+            for (n, j), (groups, scores) in top.held.items():
+                yield pd.DataFrame({"query": shared.value[n][0][j], "g": pd.Series([names_of[c] for c in groups.tolist()], dtype=object), "score": scores})
 
         scored = rows.mapInPandas(best, f"query string, g {kinds[group]}, score double")
         found = scored if found is None else found.unionByName(scored)

@@ -8,6 +8,7 @@ from ..functions import scalars as S
 from ..functions import vocab
 from ..operators import aggregates as A
 from ..operators import filters, graph, search
+from ..sources import sinks
 from .core import ALL, overlaps
 from .registry import SQL, query
 from .views import with_views
@@ -112,6 +113,17 @@ def curations(t):
 
 query("l1_page", _CURATIONS + " SELECT * FROM c ORDER BY disease_label DESC, iri LIMIT 30 OFFSET 20")(lambda t: A.page(curations(t), 30, 20, "DISEASE_LABEL", True)[0])
 query("l1_page_count", _CURATIONS + " SELECT count(*) AS count FROM c")(lambda t: A.page(curations(t), 30)[1])
+
+
+def third_page(t):
+    """The third page of thirty, each found from the last row of the one before."""
+    after = None
+    for _ in range(2):
+        after = A.cursor(A.page_after(curations(t), 30, after, "DISEASE_LABEL", True), "DISEASE_LABEL")
+    return A.page_after(curations(t), 30, after, "DISEASE_LABEL", True)
+
+
+query("l1_keyset_page", _CURATIONS + " SELECT * FROM c ORDER BY disease_label DESC, iri LIMIT 30 OFFSET 60")(third_page)
 query("l4_top_n", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 20")(lambda t: A.top(A.frequencies(t.orders, "o_custkey"), 20, "n", "o_custkey"))
 query("l5_top_and_other", "SELECT k AS source, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN row_number() OVER (ORDER BY n DESC, source) <= 10 THEN source ELSE 'other' END AS k, n FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)) GROUP BY k")(
     lambda t: A.top_and_other(A.frequencies(t.documents, "source"), 10, "source")
@@ -210,7 +222,7 @@ query("g6_type_dispatch", _ET + """, i AS (SELECT node, type FROM types UNION SE
 SELECT node, CASE min(CASE type WHEN 'nation:3' THEN 0 WHEN 'region:1' THEN 1 WHEN 'region:2' THEN 2 END) WHEN 0 THEN 'Three' WHEN 1 THEN 'First' WHEN 2 THEN 'Second' ELSE 'Other' END AS target FROM i GROUP BY node""")(
     lambda t: graph.dispatch(graph.inferred_types(nation_types(t), graph.closure(t.edges)), [("nation:3", "Three"), ("region:1", "First"), ("region:2", "Second")], "Other")
 )
-query("g7_instances", _ET + " SELECT DISTINCT node FROM types WHERE type = 'region:1' OR type IN (SELECT node FROM closure WHERE ancestor = 'region:1')")(lambda t: graph.instances_under(nation_types(t), graph.closure(t.edges), "region:1"))
+query("g7_instances", _ET + " SELECT DISTINCT node FROM types WHERE type = 'region:1' OR type IN (SELECT node FROM closure WHERE ancestor = 'region:1')")(lambda t: graph.instances_of(nation_types(t), t.edges, "region:1"))
 query("g9_label_resolution", with_views("triples") + """ SELECT n.node, coalesce(l.o, (SELECT min_by(x.o, x.s) FROM triples m JOIN triples x ON m.o = x.s AND x.p = 'rdfs:label' WHERE m.p = 'memberOf' AND m.s = n.node)) AS label
 FROM (SELECT DISTINCT s AS node FROM triples WHERE p IN ('memberOf', 'rdfs:label')) n LEFT JOIN triples l ON l.s = n.node AND l.p = 'rdfs:label'""")(
     lambda t: graph.resolve_label(t.triples.where("p in ('memberOf', 'rdfs:label')").select(F.col("s").alias("node")).distinct(), t.triples.where("p = 'rdfs:label'").select(F.col("s").alias("node"), F.col("o").alias("label")), t.triples.where("p = 'memberOf'").select(F.col("o").alias("s"), F.col("s").alias("o")))
@@ -222,6 +234,12 @@ query("g10_siblings", f"WITH v AS (SELECT DISTINCT concat(conv_id, '/', version)
     lambda t: graph.siblings(versions(t).select(F.concat_ws("/", F.col("conv_id").cast("string"), "version").alias("version"), F.col("conv_id").alias("record")).distinct())
 )
 query("g11_evidence_tree", _ET + " SELECT DISTINCT node, ancestor AS evidence FROM closure WHERE ancestor <> 'world'")(lambda t: graph.evidence_tree(t.edges, nation_types(t), None, hide=t.edges.sparkSession.createDataFrame([("world",)], "evidence string")))
+query("g11_evidence_of_roots", _ET + " SELECT DISTINCT node AS root, ancestor AS evidence FROM closure WHERE ancestor <> 'world' AND node IN (SELECT concat('customer:', c_custkey) FROM customer WHERE c_custkey % 50 = 0)")(
+    lambda t: graph.evidence_of(t.edges, t.customer.where("c_custkey % 50 = 0").select(F.concat(F.lit("customer:"), "c_custkey").alias("root")), hide=t.edges.sparkSession.createDataFrame([("world",)], "evidence string"))
+)
+query("g13_reached_classes", _ET + " SELECT c.ancestor AS root, count(DISTINCT c.node) AS n, max(c.depth) AS depth FROM closure c WHERE c.ancestor LIKE 'region:%' GROUP BY ALL")(
+    lambda t: graph.reachable(t.edges, t.region.select(F.concat(F.lit("region:"), "r_regionkey").alias("root")), source="parent", target="child", reflexive=False).groupBy("root").agg(F.count("*").alias("n"), F.max("depth").alias("depth"))
+)
 query("g17_feature_by_symbol", with_views("features") + " SELECT symbol, min(feature) AS feature FROM features WHERE symbol = 'G7' GROUP BY symbol")(lambda t: search.symbol_search(t.features, "g7").groupBy("symbol").agg(F.min("feature").alias("feature")))
 query("g20_feature_variants", ALL + " SELECT o.feature, o.variant, a.assertion FROM olap o JOIN assertions a ON a.variant = o.variant WHERE o.kind = 'CompleteOverlap'")(lambda t: overlaps(t).where("kind = 'CompleteOverlap'").join(t.assertions, "variant").select("feature", "variant", "assertion"))
 
@@ -249,7 +267,30 @@ query("t4_combined_search", with_views("features") + " SELECT feature, 0 AS sour
     lambda t: search.combined(search.symbol_search(t.features, "g7").select("feature"), t.features.where(filters.mentions("symbol", "7")).select("feature"))
 )
 query("f18_mentions", "SELECT doc_id FROM documents WHERE contains(lower(coalesce(text, '')), 'idiot')")(lambda t: t.documents.where(filters.mentions("text", "Idiot")).select("doc_id"))
-query("t5_nearest", """WITH q AS (SELECT vec_id AS query, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings), v AS (SELECT label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
-s AS (SELECT query, label, round(max(list_dot_product(e, q)), 6) AS score FROM v CROSS JOIN q GROUP BY ALL)
-SELECT query, label, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, label) AS rank FROM s) WHERE rank <= 5""")(lambda t: search.nearest(t.embeddings, t.embeddings, "vec_id", "embedding", "label", 5))
-query("t5_nearest_all", SQL["t5_nearest"].replace("FROM embeddings), v AS", "FROM embeddings WHERE vec_id % 50 = 0), v AS"))(lambda t: search.nearest(t.embeddings, t.embeddings.where("vec_id % 50 = 0"), "vec_id", "embedding", "label", 5))
+_NEAR = """WITH q AS (SELECT vec_id AS query, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings WHERE vec_id % 50 = 0), v AS (SELECT {group}, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+s AS (SELECT query, {group}, round(max(list_dot_product(e, q)), 6) AS score FROM v CROSS JOIN q GROUP BY ALL)
+SELECT query, {group}, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, {group}) AS rank FROM s) WHERE rank <= 5"""
+
+
+def _near(t, group: str):
+    return search.nearest(t.embeddings, t.embeddings.where("vec_id % 50 = 0"), "vec_id", "embedding", group, 5)
+
+
+for _name, _group in (("t5_nearest", "label"), ("t5_nearest_all", "label"), ("t5_nearest_vectors", "vec_id")):
+    query(_name, _NEAR.format(group=_group))(lambda t, g=_group: _near(t, g))
+
+
+def indexed(t):
+    """Documents in an index after three batches: two thirds come, then the last third and every fifth one anew, then every seventh goes."""
+    index = search.TextIndex(t.spark, sinks.shared_folder(t.spark, "index"))
+    d, k = t.documents.select("doc_id", "text"), F.col("doc_id")
+    old = F.when(k % 5 == 0, F.lit("words that a later batch takes back")).otherwise(F.col("text"))
+    index.apply(0, d.where(k % 3 != 2).withColumn("text", old))
+    for _ in range(2):  # sent twice
+        index.apply(1, d.where((k % 3 == 2) | (k % 5 == 0)))
+    index.apply(2, deletes=d.where(k % 7 == 0).select("doc_id"))
+    return index
+
+
+_INDEXED = _BM.format(n=100).replace("FROM documents)", "FROM documents WHERE doc_id % 7 <> 0)").replace("FROM benchmark)", "FROM benchmark WHERE item_id % 50 = 0)")
+query("t1_maintained_index", _INDEXED)(lambda t: indexed(t).bm25(t.benchmark.where("item_id % 50 = 0").select(F.col("item_id").alias("query"), "text")))

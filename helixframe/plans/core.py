@@ -28,6 +28,12 @@ def overlaps_of(t: Source, features):
     return intervals.overlaps(v, f.join(features, "feature", "left_semi"), one_location=True)
 
 
+def loss_overlaps_of(t: Source, features):
+    """Overlaps of losses alone with the features whose id is among those given."""
+    f, v = located(t)
+    return intervals.overlaps(v.where("copy_change = 'loss'"), f.join(features, "feature", "left_semi"), one_location=True)
+
+
 def model(t: Source) -> filters.Model:
     f, v = located(t)
     a = t.assertions.withColumn("gene", F.concat(F.lit("gene:"), F.expr("cast(split_part(assertion, ':', 2) as bigint) % 40"))).withColumn("proposition", F.concat(F.lit("prop:"), "variant"))
@@ -87,10 +93,10 @@ def x3(t):
 
 
 #: A region here is a band of the sequence: features and variants are counted against thresholds of the small tables.
-@query("a3_gene_count_criteria", VF + """, n AS (SELECT variant, count(*) AS n FROM olap WHERE kind = 'CompleteOverlap' GROUP BY variant)
+@query("a3_gene_count_criteria", CNVS + """, n AS (SELECT variant, count(*) AS n FROM olap WHERE kind = 'CompleteOverlap' GROUP BY variant)
 SELECT variant, 'Genes25' AS criterion FROM n WHERE n >= 25 UNION ALL SELECT variant, 'Genes35' FROM n WHERE n >= 35 UNION ALL SELECT variant, 'Genes50' FROM n WHERE n >= 50""")
 def a3(t):
-    return intervals.gene_count_criteria(overlaps(t))
+    return intervals.gene_count_criteria(intervals.overlaps(t.cnvs, located(t)[0], one_location=True))
 
 
 @query("x14_overlapping_features", with_views("features") + """ SELECT a.feature, b.feature AS other,
@@ -124,8 +130,8 @@ query("f4_result_modes", T + " SELECT count(*) AS n, count(DISTINCT o) AS n_dist
 query("f5_exists", T + " SELECT DISTINCT s AS customer FROM triples WHERE p = 'memberOf' AND s IN (SELECT o FROM triples WHERE p = 'subject')")(
     lambda t: patterns.exists(patterns.scan(t.triples, "?customer", "memberOf"), patterns.scan(t.triples, p="subject", o="?customer")).distinct()
 )
-query("f6_not_exists", T + " SELECT DISTINCT s AS customer FROM triples WHERE p = 'memberOf' AND s NOT IN (SELECT o FROM triples WHERE p = 'subject')")(
-    lambda t: patterns.not_exists(patterns.scan(t.triples, "?customer", "memberOf"), patterns.scan(t.triples, p="subject", o="?customer")).distinct()
+query("f6_not_exists", T + """ SELECT DISTINCT s AS customer FROM triples WHERE p = 'memberOf' AND s NOT IN (SELECT a.o FROM triples a JOIN triples b ON a.s = b.s WHERE a.p = 'subject' AND b.p = 'direction' AND b.o = 'P')""")(
+    lambda t: patterns.not_exists(patterns.scan(t.triples, "?customer", "memberOf"), patterns.bgp(t.triples, ("?order", "subject", "?customer"), ("?order", "direction", "P")).select("customer")).distinct()
 )
 query("f8_in_list", T + " SELECT s FROM triples WHERE p = 'direction' AND o IN ('F', 'P')")(lambda t: t.triples.where((F.col("p") == "direction") & F.col("o").isin("F", "P")).select("s"))
 query("j3_optional", T + """ SELECT a.s AS customer, a.o AS nation, b.s AS "order" FROM triples a LEFT JOIN (SELECT s, o FROM triples WHERE p = 'subject') b ON a.s = b.o WHERE a.p = 'memberOf'""")(
@@ -176,7 +182,6 @@ CALLS = {
     "nf3_assertion_direction": ("assertion_direction", "Supports", "exists", f"{_A} WHERE direction = 'Supports'"),
     "nf4_complete_overlap": ("complete_overlap_with_feature_set", "HaploinsufficiencyFeatures", "exists", f"{_A} WHERE variant IN (SELECT variant FROM olap WHERE kind = 'CompleteOverlap' AND feature IN ({_H}))"),
     "nf5_partial_overlap": ("partial_overlap_with_feature_set", "HaploinsufficiencyFeatures", "exists", f"{_A} WHERE variant IN (SELECT variant FROM olap WHERE kind = 'PartialOverlap' AND feature IN ({_H}))"),
-    "nf6_gene_count_min": ("gene_count_min", "Genes25", "not_exists", f"{_A} WHERE variant NOT IN (SELECT variant FROM olap WHERE kind = 'CompleteOverlap' GROUP BY variant HAVING count(*) >= 25)"),
     "nf7_date_evaluated_min": ("date_evaluated_min", "1996", "exists", f"{_A} WHERE '1996' < date_last_evaluated"),
     "nf8_has_annotation": ("has_annotation", "DosageMapConflict", "exists", f"{_A} WHERE assertion IN (SELECT subject FROM annotations WHERE classification = 'DosageMapConflict')"),
     "nf10_is_about_gene": ("is_about_gene", "gene:7", "exists", f"{_A} WHERE CAST(split_part(assertion, ':', 2) AS BIGINT) % 40 = 7"),
@@ -190,6 +195,11 @@ for _name, (_f, _arg, _op, _sql) in CALLS.items():
     query(_name, ALL + " " + _sql)(lambda t, c=(_f, _arg, _op): filters.apply_filters(model(t), [{"filter": c[0], "argument": c[1], "operation": c[2]}]))
 
 
+@query("nf6_gene_count_min", CNVS + f" {_A} WHERE variant NOT IN (SELECT variant FROM olap WHERE kind = 'CompleteOverlap' GROUP BY variant HAVING count(*) >= 25)")
+def nf6(t):
+    return filters.apply_filters(replace(cnv_model(t), criteria=a3(t)), [{"filter": "gene_count_min", "argument": "Genes25", "operation": "not_exists"}])
+
+
 @query("nf9_has_assertion", ALL + " SELECT DISTINCT feature AS assertion FROM features WHERE feature IN (SELECT gene FROM validity)")
 def nf9(t):
     return filters.apply_filters(model(t), [{"filter": "has_assertion"}], base=t.features.select(F.col("feature").alias("assertion")))
@@ -364,7 +374,7 @@ query("x15_lof_scores", ALL + """, p AS (SELECT o.variant, product(1 - l.lower95
 SELECT variant, round(ln((1 - none) / none), 6) AS score FROM p""")(lambda t: scores.lof_scores(overlaps_of(t, t.lof.select(F.col("gene").alias("feature"))), t.lof).select("variant", F.round("score", 6).alias("score")))
 query("x16_deletion_scores", ALL + """, p AS (SELECT o.variant, product(1 - l.lower95) AS none FROM olap o JOIN lof l ON o.feature = l.gene WHERE o.kind = 'CompleteOverlap' AND o.copy_change = 'loss' GROUP BY o.variant)
 SELECT variant, round(ln((1 - none) / none), 6) AS score FROM p WHERE ln((1 - none) / none) > -11 AND ln((1 - none) / none) < 3.5""")(
-    lambda t: scores.lof_scores(overlaps(t).join(t.variants.where("copy_change = 'loss'"), "variant", "left_semi"), t.lof).where(filters.in_open_range("score", -11, 3.5)).select("variant", F.round("score", 6).alias("score"))
+    lambda t: scores.lof_scores(loss_overlaps_of(t, t.lof.select(F.col("gene").alias("feature"))), t.lof).where(filters.in_open_range("score", -11, 3.5)).select("variant", F.round("score", 6).alias("score"))
 )
 query("x17_gene_table", ALL + """ SELECT l.gene, f.symbol, l.lower95 AS score, (SELECT min(strength) FROM mechanism m WHERE m.mechanism = 'Haploinsufficiency' AND m.feature = l.gene) AS haplo,
 (SELECT string_agg(DISTINCT moi, ',' ORDER BY moi) FROM validity v WHERE v.gene = l.gene) AS moi FROM lof l LEFT JOIN features f ON f.feature = l.gene""")(lambda t: scores.gene_table(t.lof, t.features, t.mechanism, t.validity))

@@ -246,8 +246,9 @@ FROM part WHERE p_partkey % 14 <> 1""")(lambda t: validity(t)[0].select("gene",
 query("b15_gene_rewrite", "SELECT concat('gv:', p_partkey) AS s, 'cg:gene' AS p, CASE WHEN p_partkey % 10 <> 0 THEN concat('https://identifiers.org/ncbigene:', p_partkey) ELSE concat('HGNC:', p_partkey) END AS o FROM part")(
     lambda t: builders.rewrite_genes(t.part.select(text_of(before="gv:").alias("s"), F.lit("cg:gene").alias("p"), text_of(before="HGNC:").alias("o")), builders.hgnc_map(builders.gene_triples(genes(t))))
 )
-query("v2_submitter_labels", f"""SELECT CAST(p_partkey AS VARCHAR) AS uuid, CASE p_partkey % 14 + 1 WHEN 11 THEN 'PanelApp Australia' WHEN 1 THEN 'Ambry Genetics' WHEN 10 THEN 'Orphanet' END AS label FROM part WHERE p_partkey % 14 + 1 IN (3, 9 + 1, 11)""")(
-    lambda t: gencc(t).where(F.col("submitter_curie").isin("GENCC:000103", "GENCC:000110", "GENCC:000111")).select("uuid", vocab.lookup(vocab.GENCC_SUBMITTERS, "submitter_curie").alias("label"))
+_LABELS = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in vocab.GENCC_SUBMITTERS.items())
+query("v2_submitter_labels", f"SELECT CAST(p_partkey AS VARCHAR) AS uuid, l.label FROM part LEFT JOIN (VALUES {_LABELS}) l(curie, label) ON l.curie = {_SUBMITTER} WHERE p_partkey % 14 <> 1")(
+    lambda t: gencc(t).select("uuid", vocab.lookup(vocab.GENCC_SUBMITTERS, "submitter_curie").alias("label"))
 )
 query("s7_genebayes", """SELECT concat('HGNC:', p_partkey) AS hgnc, CASE WHEN p_partkey % 5 = 0 THEN -1.0 ELSE CAST(p_size AS DOUBLE) / 8 END AS lower95, CAST(p_partkey AS DOUBLE) AS observed FROM part""")(
     lambda t: files.load_genebayes(t.spark, csv_file(t.part.select(

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vocab
-from ..operators import builders, filters, patterns
+from ..operators import builders, filters, intervals, patterns
 from ..sources import files, sinks
 from ..streaming import streams
-from .core import ALL, overlaps
+from .core import ALL, located, overlaps
 from .registry import query
 from .views import with_views
 
@@ -20,8 +20,8 @@ T = with_views("triples")
 query("f9_differ", T + " SELECT s, o FROM triples WHERE p = 'direction' AND o <> 'F'")(lambda t: patterns.scan(t.triples, "?s", "direction", "?o").where(F.col("o") != "F"))
 query("f10_date_after", with_views("assertions") + " SELECT assertion FROM assertions WHERE '1997-06' < date_last_evaluated")(lambda t: t.assertions.where(filters.date_after("date_last_evaluated", "1997-06")).select("assertion"))
 query("f11_date_range", with_views("assertions") + " SELECT assertion FROM assertions WHERE date_last_evaluated > '1995' AND date_last_evaluated < '1996-03'")(lambda t: t.assertions.where(filters.date_between("date_last_evaluated", "1995", "1996-03")).select("assertion"))
-query("f12_regex", with_views("validity") + " SELECT stmt FROM validity WHERE regexp_matches(disease, '^(PROMO|SMALL).*TIN')")(lambda t: t.validity.where(F.col("disease").rlike("^(PROMO|SMALL).*TIN")).select("stmt"))
-query("f22_coding_variants", ALL + " SELECT DISTINCT variant FROM olap WHERE feature IN (SELECT feature FROM features WHERE protein_coding)")(lambda t: overlaps(t).join(t.features.where("protein_coding"), "feature", "left_semi").select("variant").distinct())
+query("f12_regex", with_views("validity") + " SELECT stmt FROM validity WHERE regexp_matches(disease, '^(PRO|SM).*(MO|LL)$')")(lambda t: t.validity.where(filters.matches("disease", "^(PRO|SM).*(MO|LL)$")).select("stmt"))
+query("f22_coding_variants", ALL + " SELECT DISTINCT variant FROM olap WHERE feature IN (SELECT feature FROM features WHERE protein_coding)")(lambda t: intervals.coding_overlaps(*reversed(located(t)), one_location=True).select("variant").distinct())
 query("f23_no_nulls", with_views("assertions") + " SELECT assertion, date_last_evaluated FROM assertions WHERE date_last_evaluated IS NOT NULL")(lambda t: filters.no_nulls(t.assertions.select("assertion", "date_last_evaluated"), "date_last_evaluated"))
 query("f24_raw_event_filter", "SELECT event_id FROM events WHERE regexp_matches(CAST(props AS VARCHAR), '[13579]\\}')")(lambda t: t.events.where(F.col("props").rlike("[13579]\\}")).select("event_id"))
 query("j2_algebra_join", with_views("validity", "mechanism") + " SELECT v.gene, v.stmt, m.mech FROM (SELECT gene, stmt FROM validity WHERE moi = 'AD') v JOIN (SELECT feature AS gene, mech FROM mechanism WHERE mechanism = 'Haploinsufficiency') m ON v.gene = m.gene")(
@@ -82,10 +82,16 @@ query("g21_value_set_members", T + " SELECT o AS node, count(DISTINCT s) AS n FR
 query("b6_rows_to_triples", with_views("validity") + " SELECT stmt AS s, 'cg:gene' AS p, gene AS o, 'iri' AS o_kind FROM validity UNION SELECT stmt, 'dc:title', disease, 'literal' FROM validity UNION SELECT stmt, 'rdf:type', 'cg:Statement', 'iri' FROM validity")(
     lambda t: builders.to_triples(t.validity.select(F.col("stmt").alias("iri"), "gene", "disease"), "validity", kind="cg:Statement", literals=("disease",), names={"gene": "cg:gene", "disease": "dc:title"}).drop("g")
 )
-query("b11_annotation_triples", with_views("annotations") + " SELECT annotation AS g, annotation AS s, 'cg:classification' AS p, CASE WHEN classification = 'NoAssessment' THEN 'cg:NoAssessment' ELSE classification END AS o, 'iri' AS o_kind FROM annotations")(
+_ANNOTATED = {
+    ("annotation", "rdf:type", "iri"): "'cg:AssertionAnnotation'", ("annotation", "cg:contributions", "iri"): "concat(annotation, 'contrib')", ("annotation", "cg:subject", "iri"): "subject",
+    ("annotation", "dc:description", "literal"): "''", ("annotation", "cg:classification", "iri"): "CASE WHEN classification = 'NoAssessment' THEN 'cg:NoAssessment' ELSE classification END",
+    ("concat(annotation, 'contrib')", "cg:agent", "iri"): "'me'", ("concat(annotation, 'contrib')", "cg:role", "iri"): "'cg:Author'", ("concat(annotation, 'contrib')", "cg:date", "literal"): "'2020'",
+    ("annotation", "cg:evidence", "iri"): "concat('ev:', subject)",
+}
+query("b11_annotation_triples", with_views("annotations") + " UNION ALL ".join(f" SELECT annotation AS g, {s} AS s, '{p}' AS p, {o} AS o, '{k}' AS o_kind FROM annotations" for (s, p, k), o in _ANNOTATED.items()))(
     lambda t: builders.annotation_triples(
-        t.annotations.select(F.col("annotation").alias("iri"), "subject", F.when(F.col("classification") != "NoAssessment", F.col("classification")).alias("classification"), F.lit(None).cast("string").alias("description"), F.lit("me").alias("agent"), F.lit("2020").alias("date"), F.lit(None).cast("array<string>").alias("evidence"))
-    ).where("p = 'cg:classification'")
+        t.annotations.select(F.col("annotation").alias("iri"), "subject", F.when(F.col("classification") != "NoAssessment", F.col("classification")).alias("classification"), F.lit(None).cast("string").alias("description"), F.lit("me").alias("agent"), F.lit("2020").alias("date"), F.array(F.concat(F.lit("ev:"), "subject")).alias("evidence"))
+    )
 )
 query("b16_described_variants", "SELECT o_orderkey, CAST(o_orderkey AS BIGINT) AS start_outer, CAST(o_orderkey + 500 AS BIGINT) AS end_outer, CASE WHEN o_orderkey % 2 = 0 THEN 'efo:copy-number-loss' ELSE 'efo:copy-number-gain' END AS copy_change FROM orders WHERE o_orderkey % 30 BETWEEN 1 AND 22 AND o_orderkey % 11 <> 0")(
     lambda t: builders.build_variants(

@@ -131,7 +131,7 @@ def curated(t: Source) -> tuple[DataFrame, DataFrame]:
 
 _CURATED = with_views("validity", "features") + """, c AS (SELECT v.stmt AS curation, v.gene, f.symbol AS gene_label, v.disease, lower(v.disease) AS disease_label, CAST(split_part(v.stmt, ':', 2) AS BIGINT) AS k FROM validity v JOIN features f ON v.gene = f.feature) """
 query("g14_approved_curations", _CURATED + "SELECT curation, gene_label, disease_label FROM c WHERE k % 3 = 0")(lambda t: reports.curation_list(*curated(t)).select("curation", "gene_label", "disease_label"))
-query("g14_any_role_by_text", _CURATED + "SELECT curation FROM c WHERE contains(disease_label, 'tin')")(lambda t: reports.curation_list(*curated(t), role="ANY", text="TIN").select("curation"))
+query("g14_any_role_by_text", _CURATED + "SELECT curation FROM c WHERE contains(disease_label, 'romo')")(lambda t: reports.curation_list(*curated(t), role="ANY", text="ROMO").select("curation"))
 query("g14_curated_diseases", _CURATED + "SELECT DISTINCT disease, disease_label FROM c")(lambda t: reports.curation_list(*curated(t), role="ANY", of="disease"))
 query("g14_curated_genes", _CURATED + "SELECT DISTINCT gene, gene_label FROM c WHERE k % 3 <> 0")(lambda t: reports.curation_list(*curated(t), role="SECONDARY_CONTRIBUTOR", of="gene"))
 query("g14_affiliations", _CURATED + "SELECT concat('agent:', k % 7) AS agent, count(*) AS n_curations, count_if(k % 3 = 0) AS n_approved, count_if(k % 3 <> 0) AS n_secondary FROM c GROUP BY ALL")(lambda t: reports.affiliation_counts(*curated(t)))
@@ -158,11 +158,21 @@ query("x43_exon_ids", _LINES + "SELECT concat('g', k) AS gene, CAST(n AS BIGINT)
 )
 query("x43_exon_sets", _LINES + "SELECT concat('g', k) AS gene, concat('t', k, '_', n) AS transcript, CAST(2 AS BIGINT) AS n_exons FROM l")(lambda t: reports.feature_hierarchy(gene_models(t)).select("gene", "transcript", "n_exons"))
 query("t2_symbol_search", with_views("features") + " SELECT feature FROM features WHERE symbol = 'G11'")(lambda t: search.symbol_search(t.features, "g11").select("feature"))
+def labels_with(t: Source, text: str) -> DataFrame:
+    """Nodes whose label the text search finds, as a binding of a pattern's variable."""
+    labels = patterns.scan(t.triples, "?nation", "rdfs:label", "?label")
+    asked = t.spark.createDataFrame([("q", text)], "query string, text string")
+    return search.bm25(labels, asked, "nation", "label", n=1_000_000).select("nation")
+
+
 query("t6_embedded_texts", "SELECT doc_id, CAST(CASE WHEN length(coalesce(text, '')) = 0 THEN 0 ELSE 1 END AS DOUBLE) AS norm FROM documents")(
     lambda t: search.embed(t.documents, "doc_id", "text", character_counts).select("doc_id", F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), 3).alias("norm"))
 )
-query("t7_text_in_patterns", T + " SELECT a.s AS customer, a.o AS nation FROM triples a JOIN triples b ON b.s = a.o AND b.p = 'rdfs:label' WHERE a.p = 'memberOf' AND list_contains(regexp_split_to_array(lower(b.o), '[^a-z0-9]+'), 'united')")(
-    lambda t: patterns.bgp(t.triples, ("?customer", "memberOf", "?nation"), ("?nation", "rdfs:label", "?label")).where(F.array_contains(search.terms("label"), "united")).select("customer", "nation")
+query("t7_text_in_patterns", T + " SELECT a.s AS customer, a.o AS nation FROM triples a JOIN triples b ON b.s = a.o AND b.p = 'rdfs:label' WHERE a.p = 'memberOf' AND list_contains(regexp_split_to_array(lower(b.o), '[^a-z0-9]+'), '7')")(
+    lambda t: patterns.scan(t.triples, "?customer", "memberOf", "?nation").join(labels_with(t, "7"), "nation", "left_semi").select("customer", "nation")
+)
+query("k6_log_records", with_views("annotations") + " SELECT annotation AS key, concat('{\"subject\":\"', subject, '\",\"classification\":\"', classification, '\"}') AS value FROM annotations")(
+    lambda t: sinks.log_records(t.annotations, "annotation")
 )
 query("k8_search_documents", with_views("features") + " SELECT feature AS iri, 'features' AS source, symbol AS symbols, ftype AS types FROM features")(
     lambda t: search_table(t).read().select("iri", "source", F.array_join("symbols", ",").alias("symbols"), F.array_join("types", ",").alias("types"))

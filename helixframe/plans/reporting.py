@@ -87,8 +87,8 @@ query("x24_annotated_conflicts", ALL + """ SELECT x.annotation, a.assertion, x.c
     lambda t: reports.annotated_conflicts(t.annotations, t.assertions, overlaps(t), t.features)
 )
 query("x25_leaderboard", ALL + " SELECT submitter, count(*) AS n FROM assertions WHERE assertion IN (SELECT subject FROM annotations) GROUP BY submitter")(lambda t: reports.leaderboard(t.annotations, t.assertions))
-query("x26_moderate_ad_mentions", ALL + " SELECT v.stmt, v.gene, coalesce(l.lower95, 0) AS score FROM validity v LEFT JOIN lof l ON v.gene = l.gene WHERE v.moi = 'AD' AND v.strength IN ('Moderate', 'Strong', 'Definitive') AND contains(lower(v.disease), 'brass')")(
-    lambda t: t.validity.where(F.col("strength").isin(*filters.MODERATE_OR_MORE) & (F.col("moi") == "AD") & filters.mentions("disease", "BRASS")).join(t.lof, "gene", "left").select("stmt", "gene", F.coalesce("lower95", F.lit(0.0)).alias("score"))
+query("x26_moderate_ad_mentions", ALL + " SELECT v.stmt, v.gene, coalesce(l.lower95, 0) AS score FROM validity v LEFT JOIN lof l ON v.gene = l.gene WHERE v.moi = 'AD' AND v.strength IN ('Moderate', 'Strong', 'Definitive') AND contains(lower(v.disease), 'promo')")(
+    lambda t: reports.dominant_mentions(t.validity, t.lof.select("gene", F.col("lower95").alias("score")), "PROMO")
 )
 query("x27_limited_report", ALL + " SELECT v.stmt, f.symbol, v.disease, v.moi, m.mechanism, m.strength AS dosage FROM validity v JOIN features f ON v.gene = f.feature LEFT JOIN mechanism m ON m.feature = v.gene WHERE v.strength = 'Limited'")(
     lambda t: t.validity.where("strength = 'Limited'").join(t.features.select(F.col("feature").alias("gene"), "symbol"), "gene").join(t.mechanism.select(F.col("feature").alias("gene"), "mechanism", F.col("strength").alias("dosage")), "gene", "left").select("stmt", "symbol", "disease", "moi", "mechanism", "dosage")

@@ -102,6 +102,10 @@ class KeyedTable:
     def batches(self) -> int:
         return sum(self._commit(name) is not None for name in self._names("commits"))
 
+    def last_batch(self) -> int:
+        """The number of the last whole commit; -1 before the first."""
+        return self._last()[0]
+
     def merge(self, upserts: DataFrame | None = None, deletes: DataFrame | None = None, batch: int | None = None) -> bool:
         """Applies upserts (full rows) and deletes (keys) as one commit; a batch number that was committed before changes nothing."""
         last, places = self._last()
@@ -194,6 +198,11 @@ def write_bed(df: DataFrame, path: str, position: str | None = None) -> None:
     lines.orderBy("o", "value").select("value").write.text(path)
 
 
+def log_records(df: DataFrame, key: str) -> DataFrame:
+    """(key, value) as publish() writes them: the key as text, the other columns as one JSON object; a null column is left out of it (K6)."""
+    return df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*[c for c in df.columns if c != key])).alias("value"))
+
+
 def publish(df: DataFrame, servers: str, topic: str, stream: bool = False):
     """key and value columns to a topic (K6)."""
     writer = df.writeStream if stream else df.write
