@@ -1,9 +1,9 @@
 """Locations, boundary index, candidate windows and overlap kinds.
 
 A location is six columns: seq_ref, start_outer, start_inner, end_inner, end_outer, is_range; a definite one has equal
-outer and inner members. The interval join bins both sides in a hierarchy of bin widths: a variant uses the width at
-which it covers few bins, a feature is present at every width, so no variant, however wide, makes many rows, and
-a pair meets in one bin only (the later of the two first bins), which needs no distinct.
+outer and inner members. The interval join bins both sides in a hierarchy of bin widths: each row has the width at which
+it covers few bins, and a pair meets at the wider of its two widths, so no row, however wide, makes many, and in one bin
+only (the later of the two first bins), which needs no distinct.
 """
 
 from __future__ import annotations
@@ -66,21 +66,44 @@ def candidates(variants: DataFrame, features: DataFrame, bin_width: int = 1 << 2
     return wide.join(bounds, ["seq_ref", "kind", "bin"]).where("coord between start_outer and to").select(key, fkey).distinct()
 
 
-def interval_join(variants: DataFrame, features: DataFrame) -> DataFrame:
-    """Rows of both sides (columns prefixed v_ and f_) whose outer extents on one sequence intersect, ends included."""
-    v = variants.select(*[F.col(c).alias(f"v_{c}") for c in variants.columns]).where("v_start_outer is not null and v_end_outer is not null and v_seq_ref is not null")
-    f = features.select(*[F.col(c).alias(f"f_{c}") for c in features.columns]).where("f_start_outer is not null and f_end_outer is not null and f_seq_ref is not null")
-    size = F.col("v_end_outer") - F.col("v_start_outer")
+def _own_level(size: Column) -> Column:
+    """The smallest width of which a location covers a few bins only."""
     level = F.lit(_LEVELS[-1])
     for w in reversed(_LEVELS):
         level = F.when(size <= 4 * w, w).otherwise(level)
-    v = v.withColumn("level", level.cast("long"))
-    v = v.withColumn("bin", F.explode(F.sequence(F.floor(F.col("v_start_outer") / F.col("level")), F.floor(F.greatest("v_end_outer", "v_start_outer") / F.col("level")))))
-    f = f.withColumn("level", F.explode(F.array(*[F.lit(w).cast("long") for w in _LEVELS])))
-    f = f.withColumn("bin", F.explode(F.sequence(F.floor(F.col("f_start_outer") / F.col("level")), F.floor(F.greatest("f_end_outer", "f_start_outer") / F.col("level")))))
-    v, f = v.withColumnRenamed("v_seq_ref", "seq_ref"), f.withColumnRenamed("f_seq_ref", "seq_ref")
-    met = v.join(f, ["seq_ref", "level", "bin"]).where("v_start_outer <= f_end_outer and f_start_outer <= v_end_outer")
-    return met.where("bin = greatest(floor(v_start_outer / level), floor(f_start_outer / level))").drop("level", "bin")
+    return level.cast("long")
+
+
+def _binned(df: DataFrame, places: Column, start: str, end: str) -> DataFrame:
+    """A row per place (level, finer) and bin of that level."""
+    rows = df.withColumn("_at", F.explode(places)).withColumns({"level": F.col("_at.level"), "finer": F.col("_at.finer")}).drop("_at")
+    return rows.withColumn("bin", F.explode(F.sequence(F.floor(F.col(start) / F.col("level")), F.floor(F.greatest(end, start) / F.col("level")))))
+
+
+def interval_join(variants: DataFrame, features: DataFrame) -> DataFrame:
+    """Rows of both sides (columns prefixed v_ and f_) whose outer extents on one sequence intersect, ends included.
+
+    Each row has the level of its own size, at which it covers six bins at most. A pair meets at the coarser of its two
+    levels: a variant at its own level meets features of that level and finer ones, which stand there with a bin or two
+    (finer: false), and a feature at its own level meets finer variants in the same way (finer: true). So neither a wide
+    variant nor a wide feature makes many rows. Which levels occur is asked of both sides first (six numbers each), and rows
+    are made for those alone.
+    """
+    v = variants.select(*[F.col(c).alias(f"v_{c}") for c in variants.columns]).where("v_start_outer is not null and v_end_outer is not null and v_seq_ref is not null")
+    f = features.select(*[F.col(c).alias(f"f_{c}") for c in features.columns]).where("f_start_outer is not null and f_end_outer is not null and f_seq_ref is not null")
+    v = v.withColumn("_own", _own_level(F.col("v_end_outer") - F.col("v_start_outer")))
+    f = f.withColumn("_own", _own_level(F.col("f_end_outer") - F.col("f_start_outer")))
+    of_v, of_f = (sorted(r[0] for r in df.select("_own").distinct().collect()) or _LEVELS[-1:] for df in (v, f))
+    place = lambda level, finer: F.struct(level.cast("long").alias("level"), F.lit(finer).alias("finer"))
+    own = F.col("_own")
+    coarser = [F.when(F.lit(w) > own, place(F.lit(w), True)) for w in of_f if w > of_v[0]]
+    v = _binned(v, F.array_compact(F.array(place(own, False), *coarser)), "v_start_outer", "v_end_outer")
+    met_by = [F.when(F.lit(w) >= own, place(F.lit(w), False)) for w in of_v]
+    alone = [place(own, True)] if of_f[-1] > of_v[0] else []
+    f = _binned(f, F.array_compact(F.array(*met_by, *alone)), "f_start_outer", "f_end_outer")
+    v, f = v.drop("_own").withColumnRenamed("v_seq_ref", "seq_ref"), f.drop("_own").withColumnRenamed("f_seq_ref", "seq_ref")
+    met = v.join(f, ["seq_ref", "level", "finer", "bin"]).where("v_start_outer <= f_end_outer and f_start_outer <= v_end_outer")
+    return met.where("bin = greatest(floor(v_start_outer / level), floor(f_start_outer / level))").drop("level", "finer", "bin")
 
 
 def overlaps(variants: DataFrame, features: DataFrame, mode: str = "compat", key: str = "variant", fkey: str = "feature", widths: dict[str, int] = WIDTHS, one_location: bool = False) -> DataFrame:

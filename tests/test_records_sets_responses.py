@@ -231,3 +231,29 @@ def test_versions_count_by_a_first_version_in_their_quarter(spark):
     roles = spark.createDataFrame([(1, "Approver", "b"), (1, "Approver", "a"), (2, "Approver", "a"), (2, "SecondaryContributor", "c"), (3, "Approver", "z"), (4, "Approver", None)], "curation long, role string, agent string")
     got = {(r.quarter, r.agent, r.approvals, r.secondary) for r in reports.quarterly_productivity(v, roles, quarter).collect()}
     assert got == {("2025Q1", "a", 2, 0), ("2025Q1", "c", 0, 1)}
+
+
+# ---- J8 ----------------------------------------------------------------------------------------------------------
+
+
+def test_interval_join_against_every_pair_and_few_rows_for_wide_ones(spark):
+    from helixframe.operators import intervals
+
+    rng = random.Random(13)
+
+    def side(n):
+        out = []
+        for i in range(n):
+            start = rng.randrange(250_000_000)
+            out.append((f"k{i}", rng.choice(["s1", "s2", None]), start, start + int(10 ** rng.uniform(-1, 8.4)) if rng.random() < 0.95 else None))
+        return [*out, ("whole", "s1", 0, 249_000_000), ("back", "s1", 500, 400), ("point", "s1", 7, 7)]
+
+    left, right = side(120), side(120)
+    columns = "key string, seq_ref string, start_outer long, end_outer long"
+    frame = lambda rows: spark.createDataFrame(rows, columns)
+    for a, b in ((left, right), (left[:3], right), (left, right[-3:-2]), (left, [])):
+        want = sorted((x[0], y[0]) for x in a for y in b if None not in x and None not in y and x[1] == y[1] and x[2] <= y[3] and y[2] <= x[3])
+        got = intervals.interval_join(frame(a), frame(b))
+        assert sorted((r.v_key, r.f_key) for r in got.collect()) == want
+    wide = frame([("whole", "s1", 0, 249_000_000)]).withColumn("_own", intervals._own_level(F.col("end_outer") - F.col("start_outer")))
+    assert wide.first()._own == 1 << 26  # four bins, and one or two at wider levels
