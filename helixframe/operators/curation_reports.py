@@ -132,3 +132,48 @@ def curation_statistics(reports: DataFrame, roles: DataFrame, parts: DataFrame,
     for df in out[1:]:
         whole = whole.unionByName(df)
     return whole
+
+
+def version_sheet(versions: DataFrame, recurated: bool) -> DataFrame:
+    """(record, gene, disease, moi, earliest, versions): records of several versions that were curated again, or those that never
+    were, with the latest version of each major one as repeated columns (X29, W3, W9).
+
+    versions: (record, version, date, classification, total, genetic, experimental, gene, disease, moi, earliest). A version
+    is later if its text is greater, its major part is the first character; a record was curated again if any isn't 1. What
+    is told of a record itself is its latest version's.
+    """
+    majors = versions.withColumn("major", F.substring("version", 1, 1))
+    kinds = majors.groupBy("record").agg(F.count("*").alias("n"), F.coalesce(F.max(F.col("major") != "1"), F.lit(False)).alias("again"))
+    chosen = kinds.where("n > 1 and again") if recurated else kinds.where("not again")
+    last = latest(majors.join(chosen.select("record"), "record", "left_semi"), ["record", "major"], "version", "date")
+    one = F.struct("major", "version", "date", "classification", "total", "genetic", "experimental")
+    whole = last.groupBy("record").agg(F.max(F.struct("version", "date", "gene", "disease", "moi", "earliest")).alias("l"), F.sort_array(F.collect_list(one)).alias("versions"))
+    return whole.select("record", "l.gene", "l.disease", "l.moi", "l.earliest", F.transform("versions", lambda v: v.dropFields("major", "version")).alias("versions"))
+
+
+def inheritance_table(lof: DataFrame, features: DataFrame, mechanism: DataFrame, validity: DataFrame, shared: DataFrame) -> DataFrame:
+    """(gene, symbol, score, haplo, moi, shared_moi) by descending score: scored genes with their haploinsufficiency strength and the
+    inheritance modes of their own curations and of shared ones, each list sorted with its repetitions (X17)."""
+    haplo = mechanism.where("mechanism = 'Haploinsufficiency'").groupBy(F.col("feature").alias("gene")).agg(F.min("strength").alias("haplo"))
+    listed = lambda df, name: df.groupBy("gene").agg(F.sort_array(F.collect_list("moi")).alias(name))
+    names = features.select(F.col("feature").alias("gene"), "symbol")
+    told = lof.join(names, "gene", "left").join(haplo, "gene", "left").join(listed(validity, "moi"), "gene", "left").join(listed(shared, "shared_moi"), "gene", "left")
+    none = F.array().cast("array<string>")
+    return told.select("gene", "symbol", F.col("lower95").alias("score"), "haplo", F.coalesce("moi", none).alias("moi"), F.coalesce("shared_moi", none).alias("shared_moi")).orderBy(F.desc("score"), "gene")
+
+
+def assertions_about(propositions: DataFrame, assertions: DataFrame, invalidated: DataFrame, proposition_type: str | None = None) -> DataFrame:
+    """(feature, assertion): assertions whose proposition names the feature as gene, feature or subject, of a type if one is given, that nothing invalidated.
+
+    propositions: (proposition, type, gene, feature, subject); assertions: (assertion, proposition); invalidated: (assertion).
+    """
+    some = propositions if proposition_type is None else propositions.where(F.col("type") == proposition_type)
+    named = some.select("proposition", F.explode(F.array_distinct(F.array_compact(F.array("gene", "feature", "subject")))).alias("feature"))
+    return assertions.join(named, "proposition").join(invalidated.select("assertion"), "assertion", "left_anti").select("feature", "assertion").distinct()
+
+
+def entity_types(types: DataFrame, labels: DataFrame, local: str) -> DataFrame:
+    """(type, label, n): types outside the local namespace with their label, if they have one, and how many nodes have them (X42). types: (node, type); labels: (node, label)."""
+    counts = types.where(~F.startswith("type", F.lit(local))).groupBy("type").agg(F.count_distinct("node").alias("n"))
+    named = labels.groupBy(F.col("node").alias("type")).agg(F.min("label").alias("label"))
+    return counts.join(named, "type", "left").select("type", "label", "n")

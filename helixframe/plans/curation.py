@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
@@ -131,3 +132,59 @@ query("x38_curation_statistics", f"""WITH l AS (SELECT * FROM lineitem JOIN orde
 SELECT 'reports' AS statistic, CAST(count(*) AS VARCHAR) AS value FROM orders UNION ALL SELECT 'updated_reports', CAST(count_if(o_orderkey % 4 <> 0) AS VARCHAR) FROM orders
 UNION ALL SELECT 'gene_disease_pairs', CAST(count(*) AS VARCHAR) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM l) UNION ALL SELECT 'outcome_intervention_pairs', CAST(count(*) AS VARCHAR) FROM l WHERE o_orderkey % 3 <> 0
 {_by_group('adult', 'o_custkey % 2 = 0')}{_by_group('paediatric', 'o_custkey % 2 <> 0')}""")(_statistics)
+
+# ---- X29, X17, X13, X42 ------------------------------------------------------------------------------------------
+
+_NUMBERED = """WITH v AS (SELECT o_custkey AS record, concat((row_number() OVER w - 1) // 9 + 1, '.', (row_number() OVER w - 1) % 9) AS version, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS date, o_orderstatus AS classification,
+  CAST(floor(o_totalprice) AS BIGINT) AS total, o_orderkey % 12 AS genetic, o_orderkey % 6 AS experimental, concat('G', o_custkey) AS gene, o_orderpriority AS disease, CASE WHEN o_custkey % 2 = 0 THEN 'AD' ELSE 'AR' END AS moi, year(o_orderdate) - 3 AS earliest
+  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+k AS (SELECT record, count(*) AS n, bool_or(version[1] <> '1') AS again FROM v GROUP BY record),
+m AS (SELECT v.* FROM v QUALIFY row_number() OVER (PARTITION BY record, version[1] ORDER BY version DESC) = 1)"""
+_SHEET = """ SELECT record, max_by(gene, version) AS gene, max_by(disease, version) AS disease, max_by(moi, version) AS moi, CAST(max_by(earliest, version) AS INTEGER) AS earliest,
+string_agg(concat_ws(' ', date, classification, total, genetic, experimental), '; ' ORDER BY version[1]) AS versions FROM m WHERE record IN (SELECT record FROM k WHERE {}) GROUP BY record"""
+
+
+def sheet(t: Source, recurated: bool):
+    """Orders as versions of their customers' records: nine minor versions to a major one."""
+    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) - 1
+    k = F.col("o_orderkey")
+    v = t.orders.select(
+        F.col("o_custkey").alias("record"), F.concat_ws(".", (F.floor(rank / 9) + 1).cast("string"), (rank % 9).cast("string")).alias("version"), F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd").alias("date"),
+        F.col("o_orderstatus").alias("classification"), F.floor("o_totalprice").cast("long").alias("total"), (k % 12).alias("genetic"), (k % 6).alias("experimental"), F.concat(F.lit("G"), "o_custkey").alias("gene"),
+        F.col("o_orderpriority").alias("disease"), F.when(F.col("o_custkey") % 2 == 0, "AD").otherwise("AR").alias("moi"), (F.year("o_orderdate") - 3).alias("earliest"),
+    )
+    line = lambda x: F.concat_ws(" ", x["date"], x["classification"], x["total"].cast("string"), x["genetic"].cast("string"), x["experimental"].cast("string"))
+    return C.version_sheet(v, recurated).withColumn("versions", F.array_join(F.transform("versions", line), "; "))
+
+
+query("x29_recurated_sheet", _NUMBERED + _SHEET.format("n > 1 AND again"))(lambda t: sheet(t, True))
+query("x29_not_recurated_sheet", _NUMBERED + _SHEET.format("NOT again"))(lambda t: sheet(t, False))
+
+_SHARED = "SELECT concat('gene:', l_partkey) AS gene, CASE l_returnflag WHEN 'R' THEN 'AR' WHEN 'A' THEN 'AD' ELSE 'XL' END AS moi FROM lineitem WHERE l_linenumber = 1"
+query("x17_inheritance_table", with_views("lof", "features", "mechanism", "validity") + f""", g AS ({_SHARED}) SELECT l.gene, f.symbol, l.lower95 AS score, (SELECT min(strength) FROM mechanism m WHERE m.mechanism = 'Haploinsufficiency' AND m.feature = l.gene) AS haplo,
+coalesce((SELECT string_agg(moi, ',' ORDER BY moi) FROM validity v WHERE v.gene = l.gene), '') AS moi, coalesce((SELECT string_agg(moi, ',' ORDER BY moi) FROM g WHERE g.gene = l.gene), '') AS shared_moi FROM lof l LEFT JOIN features f ON f.feature = l.gene""")(
+    lambda t: C.inheritance_table(
+        t.lof, t.features, t.mechanism, t.validity,
+        t.lineitem.where("l_linenumber = 1").select(F.concat(F.lit("gene:"), "l_partkey").alias("gene"), F.when(F.col("l_returnflag") == "R", "AR").when(F.col("l_returnflag") == "A", "AD").otherwise("XL").alias("moi")),
+    ).withColumns({c: F.array_join(c, ",") for c in ("moi", "shared_moi")})
+)
+
+
+def about(t: Source, proposition_type: str | None):
+    """Statements on validity name a gene, those on mechanism a feature, annotations their subject."""
+    none = F.lit(None).cast("string")
+    rows = lambda df, key, kind, **names: df.select(F.concat(F.lit("p:"), key).alias("proposition"), F.lit(kind).alias("type"), *[names.get(c, none).alias(c) for c in ("gene", "feature", "subject")], F.col(key).alias("assertion"))
+    v = rows(t.validity, "stmt", "GeneValidityProposition", gene=F.col("gene"), subject=F.col("gene")).unionByName(rows(t.mechanism, "mech", "MechanismProposition", feature=F.col("feature"))).unionByName(rows(t.annotations, "annotation", "AnnotationProposition", subject=F.col("subject")))
+    gone = t.mechanism.where("strength = 'DosageNoEvidence'").select(F.col("mech").alias("assertion")).unionByName(t.annotations.where("classification = 'NoAssessment'").select(F.col("annotation").alias("assertion")))
+    return C.assertions_about(v, v.select("assertion", "proposition"), gone, proposition_type)
+
+
+_ABOUT = with_views("validity", "mechanism", "annotations")
+query("x13_assertions_about", _ABOUT + """ SELECT gene AS feature, stmt AS assertion FROM validity UNION SELECT feature, mech FROM mechanism WHERE strength <> 'DosageNoEvidence' UNION SELECT subject, annotation FROM annotations WHERE classification <> 'NoAssessment'""")(lambda t: about(t, None))
+query("x13_assertions_of_type", _ABOUT + " SELECT DISTINCT feature, mech AS assertion FROM mechanism WHERE strength <> 'DosageNoEvidence'")(lambda t: about(t, "MechanismProposition"))
+query("x42_entity_types", with_views("triples") + " SELECT o AS type, CASE WHEN o <> 'BUILDING' THEN concat('segment ', lower(o)) END AS label, count(DISTINCT s) AS n FROM triples WHERE p = 'rdf:type' AND NOT starts_with(o, 'Order') GROUP BY o")(
+    lambda t: C.entity_types(
+        t.triples.where("p = 'rdf:type'").select(F.col("s").alias("node"), F.col("o").alias("type")),
+        t.customer.where("c_mktsegment <> 'BUILDING'").select(F.col("c_mktsegment").alias("node"), F.concat(F.lit("segment "), F.lower("c_mktsegment")).alias("label")), "Order",
+    )
+)
