@@ -177,13 +177,27 @@ def dosage_conflicts(assertions: DataFrame, variants: DataFrame, overlaps: DataF
 
 
 def related_assertions(assertions: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs that share a gene and copy change, differ in direction, the other's set no larger."""
-    known = sets.join(assertions, "assertion")
-    members, groups = gene_groups(known, by=["copy_change", "direction"])
+    """Pairs that share a gene and copy change, differ in direction, the other's set no larger (X9): related_groups() multiplied out."""
+    pairs, members = related_groups(assertions, sets)
+    members = members.select("assertion", "group")
+    return pairs.join(members, "group").join(members.select(F.col("assertion").alias("other_assertion"), F.col("group").alias("other")), "other").select("assertion", F.col("other_assertion").alias("other"))
+
+
+def conflict_groups(assertions: DataFrame, sets: DataFrame, error: float = 0.1, batch: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """variant_conflicts() as pairs of gene sets (group, other) and the members of either side (assertion, group, copy_change): nothing is multiplied out."""
+    known = sets.join(assertions, "assertion").select("assertion", "gene", "copy_change", "direction")
+    left = known.where("direction = 'Supports'").drop("direction")
+    right = known.where("direction in ('Inconclusive', 'Refutes')").drop("direction")
+    return contained_groups(left, right, error, batch, ["copy_change"])
+
+
+def related_groups(assertions: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """related_assertions() as pairs of gene sets (group, other) of one copy change and different directions, and the members (assertion, group)."""
+    members, groups = gene_groups(sets.join(assertions, "assertion"), by=["copy_change", "direction"])
     flat = groups.select("group", "n", "copy_change", "direction", F.explode("genes").alias("gene"))
     other = flat.select(F.col("group").alias("other"), F.col("n").alias("n_other"), "copy_change", F.col("direction").alias("d2"), "gene")
     pairs = flat.join(other, ["gene", "copy_change"]).where("direction <> d2 and n_other <= n").select("group", "other").distinct()
-    return pairs.join(members.select("assertion", "group"), "group").join(members.select(F.col("assertion").alias("other_assertion"), F.col("group").alias("other")), "other").select("assertion", F.col("other_assertion").alias("other"))
+    return pairs, members
 
 
 def related_counts(assertions: DataFrame, sets: DataFrame, max_subset_genes: int = 10) -> DataFrame:

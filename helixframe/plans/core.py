@@ -233,6 +233,35 @@ query("x5_batch_conflicts", _STATED + " SELECT m.assertion, m.other FROM met m J
 query("x6_conflict_triples", _STATED + """, c AS (SELECT m.assertion, m.other FROM met m JOIN sizes s ON m.assertion = s.assertion WHERE s.n - m.shared <= 0.1 * s.n)
 SELECT assertion AS s, 'cg:conflictingAssertions' AS p, other AS o FROM c UNION SELECT other, 'cg:conflictingAssertions', assertion FROM c""")(lambda t: conflicts.symmetric(conflicts.variant_conflicts(stated(t), t.gene_sets)))
 
+_GROUPED = ", gs AS (SELECT assertion, copy_change, direction, string_agg(gene, '|' ORDER BY gene) AS genes FROM known GROUP BY ALL)"
+
+
+def grouped(t: Source, pairs, left, right):
+    """Pairs of gene sets with their genes and how many assertions have each."""
+    genes = t.gene_sets.groupBy("assertion").agg(F.array_join(F.sort_array(F.collect_set("gene")), "|").alias("genes"))
+    of = lambda members, group, g, n: members.join(genes, "assertion").groupBy(F.col("group").alias(group)).agg(F.any_value("genes").alias(g), F.count("*").alias(n))
+    return pairs.join(of(left, "group", "genes", "n"), "group").join(of(right, "other", "other_genes", "n_other"), "other")
+
+
+@query("x5_conflict_groups", _STATED + _GROUPED + """, c AS (SELECT m.assertion, m.other FROM met m JOIN sizes s ON m.assertion = s.assertion WHERE (s.n - m.shared) / s.n < 0.25)
+SELECT a.copy_change, a.genes, b.genes AS other_genes, count(DISTINCT a.assertion) AS n, count(DISTINCT b.assertion) AS n_other FROM c JOIN gs a ON c.assertion = a.assertion JOIN gs b ON c.other = b.assertion GROUP BY ALL""")
+def x5_groups(t):
+    """Gene sets in conflict and how many assertions stand on either side."""
+    pairs, left, right = conflicts.conflict_groups(stated(t), t.gene_sets, 0.25, batch=True)
+    return grouped(t, pairs, left, right).join(left.select("group", "copy_change").distinct(), "group").select("copy_change", "genes", "other_genes", "n", "n_other")
+
+
+@query("x9_related_groups", ALL + """, known AS (SELECT g.assertion, g.gene, v.copy_change, a.direction FROM gene_sets g JOIN assertions a ON g.assertion = a.assertion JOIN variants v ON a.variant = v.variant),
+n AS (SELECT assertion, count(*) AS n FROM gene_sets GROUP BY assertion)""" + _GROUPED + """, c AS (SELECT DISTINCT a.assertion, b.assertion AS other FROM known a JOIN known b ON a.gene = b.gene AND a.copy_change = b.copy_change AND a.direction <> b.direction JOIN n x ON a.assertion = x.assertion JOIN n y ON b.assertion = y.assertion WHERE y.n <= x.n)
+SELECT a.genes, a.direction, b.genes AS other_genes, b.direction AS other_direction, count(DISTINCT a.assertion) AS n, count(DISTINCT b.assertion) AS n_other FROM c JOIN gs a ON c.assertion = a.assertion JOIN gs b ON c.other = b.assertion GROUP BY a.genes, a.direction, a.copy_change, b.genes, b.direction""")
+def x9_groups(t):
+    """Related gene sets by direction and how many assertions stand on either side."""
+    pairs, members = conflicts.related_groups(stated(t), t.gene_sets)
+    way = members.select("group", "direction").distinct()
+    told = grouped(t, pairs, members, members).join(way, "group").join(way.select(F.col("group").alias("other"), F.col("direction").alias("other_direction")), "other")
+    return told.select("genes", "direction", "other_genes", "other_direction", "n", "n_other")
+
+
 @query("x9_related_assertions", ALL + """, k AS (SELECT g.assertion, g.gene, v.copy_change, a.direction FROM gene_sets g JOIN assertions a ON g.assertion = a.assertion JOIN variants v ON a.variant = v.variant),
 n AS (SELECT assertion, count(*) AS n FROM gene_sets GROUP BY assertion)
 SELECT DISTINCT a.assertion, b.assertion AS other FROM k a JOIN k b ON a.gene = b.gene AND a.copy_change = b.copy_change AND a.direction <> b.direction JOIN n x ON a.assertion = x.assertion JOIN n y ON b.assertion = y.assertion WHERE y.n <= x.n""")
