@@ -224,7 +224,7 @@ class LibraryWords:
     a word. A piece of several words is put together from theirs.
     """
 
-    def __init__(self, path: str, max_pieces: int = 800_000, joined: int = 64, classes: LetterClasses | None = None):
+    def __init__(self, path: str, max_pieces: int = 400_000, joined: int = 64, classes: LetterClasses | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
