@@ -128,7 +128,7 @@ UNION ALL SELECT '{name}_failed_early_rule_out', CAST(sum(CASE WHEN o_orderkey %
 """
 
 
-query("x38_curation_statistics", f"""WITH l AS (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+query("x38_actionability_statistics", f"""WITH l AS (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT 'reports' AS statistic, CAST(count(*) AS VARCHAR) AS value FROM orders UNION ALL SELECT 'updated_reports', CAST(count_if(o_orderkey % 4 <> 0) AS VARCHAR) FROM orders
 UNION ALL SELECT 'gene_disease_pairs', CAST(count(*) AS VARCHAR) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM l) UNION ALL SELECT 'outcome_intervention_pairs', CAST(count(*) AS VARCHAR) FROM l WHERE o_orderkey % 3 <> 0
 {_by_group('adult', 'o_custkey % 2 = 0')}{_by_group('paediatric', 'o_custkey % 2 <> 0')}""")(_statistics)
