@@ -54,6 +54,14 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of at most so many rows from now on, unless the session already has smaller ones: what a task and its worker hold of long texts is in proportion."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if not 0 < now <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def learn_bucket(key: str, modulus: int):
     """crc32 of the key as text, modulo; null keys count as bucket 0."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % modulus, F.lit(0))
