@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm import op02_toxicity, op04_language, op07_ngram_join, op09_decontaminate
 from helixframe.llm import op10_bpe as bpe
-from helixframe.llm.common import learn_bucket, stored, table
+from helixframe.llm.common import learn_bucket, small_batches, stored, table
 from helixframe.llm.queries import VOCABULARY
 
 
@@ -36,6 +36,7 @@ def free(docs: DataFrame, *names: str) -> list[str]:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as toxic (0.5 or more) go. The model learns from the labels of the folder."""
+    small_batches(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(learn_bucket("doc_id", 5) != 0)
     model = op02_toxicity.fit(docs, labels)
     score, flag = free(docs, "_toxic_score", "_toxic")
@@ -44,6 +45,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told (no letters, or too narrow a margin) go."""
+    small_batches(spark)
     dictionaries = op04_language.fit(docs.where(learn_bucket("doc_id", 3) != 1))
     lang, sure, rejected = free(docs, "_lang_pred", "_lang_score", "_lang_rejected")
     judged = op04_language.predict(docs, dictionaries, out=lang, score=sure, rejected=rejected)
@@ -58,6 +60,7 @@ def numbered(docs: DataFrame, what: str) -> tuple[DataFrame, str]:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates stays, that with the smallest id (a null id last), of equal ids the first row."""
+    small_batches(spark)
     rows, row = numbered(docs, "duplicates-rows")
     classes = op07_ngram_join.near_duplicates(rows, key=row).where("n_links > 0").select(row, "class_id")
     classes = stored(classes.join(rows.select(row, "doc_id"), row), "duplicate-classes")
@@ -75,6 +78,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the documents that are left."""
+    small_batches(spark)
     return bpe.encode(docs, VOCABULARY).select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 
