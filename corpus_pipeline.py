@@ -13,6 +13,10 @@ stages but the last: the stages' own columns take names that no column has.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,18 +56,57 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where(~F.col(rejected)).select(*docs.columns)
 
 
+#: Files whose names may be broadcast to number their rows (names are cut off by no system below 4 KB: 80 MB at the very most).
+MAX_FILES = 20_000
+
+
+def file_scan(docs: DataFrame) -> bool:
+    """Whether docs is a plain scan of files: then a row is known by its file and its place in it, however often it is read."""
+    if not docs._jdf.queryExecution().analyzed().children().isEmpty():
+        return False
+    try:
+        docs.select(docs.metadataColumn("_metadata")["row_index"])
+    except AnalysisException:
+        return False
+    return True
+
+
 def numbered(docs: DataFrame, what: str) -> tuple[DataFrame, str]:
-    """The rows with a number each, written, so that rows with null or equal ids are told apart; and the number's column."""
-    row = free(docs, "_row_number")[0]
+    """The rows with a number each, so that rows with null or equal ids are told apart; and the number's column.
+
+    Rows of a file scan, as every stage gets them, are numbered by file and place and aren't copied. Others, and those of
+    more than MAX_FILES files, are written with their numbers, as numbers given while reading may differ the next time.
+    """
+    row, name, number = free(docs, "_row_number", "_file_name", "_file_number")
+    if file_scan(docs):
+        meta = docs.metadataColumn("_metadata")
+        names = [r[0] for r in docs.select(meta["file_path"]).distinct().limit(MAX_FILES + 1).collect()]
+        if len(names) <= MAX_FILES:
+            files = docs.sparkSession.createDataFrame(list(enumerate(sorted(names))), f"{number} long, {name} string")
+            placed = docs.select("*", meta["file_path"].alias(name), meta["row_index"].alias(row)).join(F.broadcast(files), name)
+            return placed.withColumn(row, F.shiftleft(number, 40) + F.col(row)).select(*docs.columns, row), row
     return stored(docs.withColumn(row, F.monotonically_increasing_id()), what), row
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile, shuffle files go as soon as a query ends: what it gave is written, so nothing reads them again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates stays, that with the smallest id (a null id last), of equal ids the first row."""
     small_batches(spark)
     rows, row = numbered(docs, "duplicates-rows")
-    classes = op07_ngram_join.near_duplicates(rows, key=row).where("n_links > 0").select(row, "class_id")
-    classes = stored(classes.join(rows.select(row, "doc_id"), row), "duplicate-classes")
+    with shuffles_freed(spark):
+        classes = op07_ngram_join.near_duplicates(rows, key=row).where("n_links > 0").select(row, "class_id")
+        classes = stored(classes.join(rows.select(row, "doc_id"), row), "duplicate-classes")
     first = classes.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row))[row].alias("first"))
     goes = classes.join(first, "class_id").where(F.col(row) != F.col("first")).select(row)
     return rows.join(stored(goes, "duplicates"), row, "left_anti").select(*docs.columns)

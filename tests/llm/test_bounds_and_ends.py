@@ -166,3 +166,27 @@ def test_stages_keep_very_long_texts_and_clashing_columns(spark):
     out = corpus_pipeline.near_duplicates(spark, docs, SF)
     assert out.columns == docs.columns and sorted((r.doc_id, r._row_number, r.class_id) for r in out.collect()) == [(1, 5, "x"), (3, 7, None)]
     assert corpus_pipeline.decontamination(spark, docs, SF).count() == 3
+
+
+def test_pipeline_numbers_rows_by_file_and_place(spark, tmp_path):
+    """Every row has a number of its own that stays however the files are cut; what isn't a plain scan is written instead."""
+    path = f"{tmp_path}/a b%20c"
+    rows = [(i % 7 if i % 5 else None, f"text {i % 11}", "net") for i in range(900)]
+    spark.createDataFrame(rows, "doc_id long, text string, _metadata string").repartition(6).write.parquet(path)
+    docs = spark.read.parquet(path)
+    assert corpus_pipeline.file_scan(docs)
+    assert not corpus_pipeline.file_scan(docs.where("doc_id > 1")) and not corpus_pipeline.file_scan(spark.range(3))
+    seen = []
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for most in (before, "1k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        try:
+            numbered, row = corpus_pipeline.numbered(docs, "rows")
+            seen.append(sorted((r[row], str(r.doc_id), r.text) for r in numbered.collect()))
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert numbered.columns == [*docs.columns, row]
+    assert seen[0] == seen[1] and len({x[0] for x in seen[0]}) == len(rows)
+    for other in (docs.where("doc_id > 1"), docs.unionAll(docs)):
+        numbered, row = corpus_pipeline.numbered(other, "rows")
+        assert numbered.select(row).distinct().count() == other.count()
