@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -143,57 +146,114 @@ class _Best:
 def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, group: str, k: int = 5, block: int = 4_096) -> DataFrame:
     """(query, group, score, rank): the k groups whose best vector has the largest dot product with the query (T5).
 
-    Queries are dealt by key hash into blocks of about `block`, each sent to every task in a pass of its own (stated
-    queries against all rows). A task multiplies matrices and keeps the k best groups per query over all its vectors: a
-    group among the k best of all is among the k best of the task that holds its best vector. So what is shuffled grows
-    with tasks, queries and k, not with vectors or groups. Vectors of other lengths than the query's, null ones and ones
-    with null components have no score.
+    Up to `block` queries are sent to every task; a task multiplies matrices and keeps the k best groups per query over all
+    its vectors: a group among the k best of all is among the k best of the task that holds its best vector. So what is
+    shuffled grows with tasks, queries and k, not with vectors or groups. More queries, up to all rows, are dealt with the
+    vectors into cells (see _in_cells). Vectors of other lengths than the query's, null ones and ones with null components
+    have no score.
     """
-    asked = queries.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())).select(F.col(key).cast("string").alias("query"), F.col(vector).cast("array<double>").alias("q"))
-    passes = max(1, -(-queries.count() // block))
-    kinds = dict(vectors.dtypes)
-    rows = vectors.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())).select(F.col(group).alias("g"), F.col(vector).cast("array<double>").alias("v"))
-    found = None
-    for i in range(passes):
-        mine = (asked if passes == 1 else asked.where(F.pmod(F.xxhash64("query"), F.lit(passes)) == i)).collect()  # about `block` vectors
-        by_length = {}
-        for r in mine:
-            by_length.setdefault(len(r["q"]), ([], []))[0].append(r["query"])
-            by_length[len(r["q"])][1].append(r["q"])
-        shared = vectors.sparkSession.sparkContext.broadcast({n: (names, np.array(q)) for n, (names, q) in by_length.items()})
-
-        def best(frames, shared=shared):
-            top, codes, names_of = _Best(k), {}, []
-            for pdf in frames:
-                own = [None if pd.isna(g) else g for g in pdf["g"]]
-                for g in own:
-                    if g not in codes:
-                        codes[g] = len(names_of)
-                        names_of.append(g)
-                code = np.array([codes[g] for g in own], np.int64)
-                sizes = pdf["v"].map(len).to_numpy()
-                for n, (_, q) in shared.value.items():
-                    some = np.flatnonzero(sizes == n)
-                    if len(some):
-                        score = np.stack(pdf["v"].to_numpy()[some]) @ q.T
-                        for j in range(score.shape[1]):
-                            top.add((n, j), code[some], score[:, j])
-                used = {c for groups, _ in top.held.values() for c in groups.tolist()}
-                if len(codes) > 4 * len(used) + 10_000:  # names of groups that no query holds any more
-                    again = {c: i for i, c in enumerate(sorted(used))}
-                    names_of = [names_of[c] for c in sorted(used)]
-                    codes = {g: i for i, g in enumerate(names_of)}
-                    top.held = {at: (np.array([again[c] for c in groups.tolist()], np.int64), scores) for at, (groups, scores) in top.held.items()}
-            for (n, j), (groups, scores) in top.held.items():
-                yield pd.DataFrame({"query": shared.value[n][0][j], "g": pd.Series([names_of[c] for c in groups.tolist()], dtype=object), "score": scores})
-
-        scored = rows.mapInPandas(best, f"query string, g {kinds[group]}, score double")
-        found = scored if found is None else found.unionByName(scored)
-    total = found.groupBy(F.col("query").cast(dict(queries.dtypes)[key]).alias("query"), F.col("g").alias(group)).agg(F.round(F.max("score"), 6).alias("score"))
+    n_queries = queries.count()
+    search = _by_broadcast if n_queries <= block else partial(_in_cells, n_queries=n_queries, block=block)
+    found = search(_whole_vectors(vectors, group, vector, "g", "v"), _whole_vectors(queries, key, vector, "query", "q"), k)
+    total = found.groupBy("query", F.col("g").alias(group)).agg(F.round(F.max("score"), 6).alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), group)
     return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _whole_vectors(df: DataFrame, name: str, vector: str, as_name: str, as_vector: str) -> DataFrame:
+    """(name, vector) of the vectors that are not null and have no null components; floats stay floats, others become doubles."""
+    kind = "array<float>" if dict(df.dtypes)[vector] == "array<float>" else "array<double>"
+    rows = df.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
+    return rows.select(F.col(name).alias(as_name), F.col(vector).cast(kind).alias(as_vector))
+
+
+def _by_broadcast(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query, g, score): for each task and query the k best groups, from (g, v) and at most a block of (query, q)."""
+    kinds = dict(rows.dtypes) | dict(asked.dtypes)
+    by_length = {}
+    for r in asked.select(F.col("query").cast("string"), F.col("q").cast("array<double>")).collect():  # at most a block
+        by_length.setdefault(len(r["q"]), ([], []))[0].append(r["query"])
+        by_length[len(r["q"])][1].append(r["q"])
+    shared = rows.sparkSession.sparkContext.broadcast({n: (names, np.array(q)) for n, (names, q) in by_length.items()})
+
+    def best(frames):
+        top, codes, names_of = _Best(k), {}, []
+        for pdf in frames:
+            own = [None if pd.isna(g) else g for g in pdf["g"]]
+            for g in own:
+                if g not in codes:
+                    codes[g] = len(names_of)
+                    names_of.append(g)
+            code = np.array([codes[g] for g in own], np.int64)
+            sizes = pdf["v"].map(len).to_numpy()
+            for n, (_, q) in shared.value.items():
+                some = np.flatnonzero(sizes == n)
+                if len(some):
+                    score = np.stack(pdf["v"].to_numpy()[some]) @ q.T
+                    for j in range(score.shape[1]):
+                        top.add((n, j), code[some], score[:, j])
+            used = {c for groups, _ in top.held.values() for c in groups.tolist()}
+            if len(codes) > 4 * len(used) + 10_000:  # names of groups that no query holds any more
+                again = {c: i for i, c in enumerate(sorted(used))}
+                names_of = [names_of[c] for c in sorted(used)]
+                codes = {g: i for i, g in enumerate(names_of)}
+                top.held = {at: (np.array([again[c] for c in groups.tolist()], np.int64), scores) for at, (groups, scores) in top.held.items()}
+        for (n, j), (groups, scores) in top.held.items():
+            yield pd.DataFrame({"query": shared.value[n][0][j], "g": pd.Series([names_of[c] for c in groups.tolist()], dtype=object), "score": scores})
+
+    scored = rows.withColumn("v", F.col("v").cast("array<double>")).mapInPandas(best, f"query string, g {kinds['g']}, score double")
+    return scored.withColumn("query", F.col("query").cast(kinds["query"]))
+
+
+def _in_cells(rows: DataFrame, asked: DataFrame, k: int, n_queries: int, block: int) -> DataFrame:
+    """(query, g, score): for each cell and query the k best groups, from (g, v) and any number of (query, q).
+
+    Vectors and queries are dealt by hash into blocks, each vector block meets each query block in one cell, and a cell is
+    one product of matrices: nothing passes through the driver, and a cell's size is bounded. Equal rows say nothing new
+    and are dropped first, so no block is hot. All pairs are multiplied: rows times queries in work, rows times query
+    blocks and queries times vector blocks in shuffle.
+    """
+    kinds = dict(rows.dtypes) | dict(asked.dtypes)
+    rows, asked = rows.distinct(), asked.distinct()
+    n_rows, length = rows.agg(F.count("*"), F.avg(F.size("v"))).first()
+    block = max(1, int(block * 64 / max(64, length or 0)))  # long vectors make fewer rows of a cell
+    over = max(1, -(-n_rows // (8 * block)))
+    down = max(-(-n_queries // (4 * block)), -(-3 * rows.sparkSession.sparkContext.defaultParallelism // over))  # some cells for each core
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    left = asked.withColumn("down", dealt(down, "query", "q")).withColumn("over", each(over))
+    right = rows.withColumn("over", dealt(over, "g", "v")).withColumn("down", each(down))
+    return left.groupBy("down", "over").cogroup(right.groupBy("down", "over")).applyInArrow(lambda q, v: _cell(q, v, k), f"query {kinds['query']}, g {kinds['g']}, score double")
+
+
+def _cell(asked: pa.Table, rows: pa.Table, k: int, at_once: int = 1 << 22) -> pa.Table:
+    """(query, g, score): the k best groups of each query among the rows, and those that tie with the last. At most about at_once scores are held."""
+    names, g = asked["query"].combine_chunks(), rows["g"].combine_chunks().dictionary_encode(null_encoding="encode")
+    q, v = asked["q"].combine_chunks(), rows["v"].combine_chunks()
+    q_sizes, v_sizes = (np.asarray(pc.list_value_length(x)) for x in (q, v))
+    found = [(names[:0], g.dictionary[:0], pa.array([], pa.float64()))]
+    for n in np.unique(q_sizes):
+        mine, code = np.flatnonzero(q_sizes == n), np.asarray(g.indices)
+        some = np.flatnonzero(v_sizes == n)
+        if not len(some):
+            continue
+        some = some[np.argsort(code[some], kind="stable")]
+        code = code[some]
+        first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        matrix = lambda x, at: x.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), n)  # noqa: E731, B023
+        x, y = matrix(q, mine), matrix(v, some).T
+        step = max(1, at_once // len(some))
+        for a in range(0, len(mine), step):
+            score = np.maximum.reduceat(x[a : a + step] @ y, first, axis=1)  # of groups; NaN is the largest, as in SQL
+            keep = np.ones(score.shape, bool)
+            if len(first) > k:
+                least = np.partition(score, len(first) - k, axis=1)[:, [len(first) - k]]
+                keep = np.isnan(score) | (score >= least - 2e-6)  # scores are told to six digits: what may tie stays
+            i, j = np.nonzero(keep)
+            found.append((names.take(pa.array(mine[a + i])), g.dictionary.take(pa.array(code[first[j]])), pa.array(score[keep])))
+    return pa.table([pa.concat_arrays(x) for x in zip(*found, strict=True)], ["query", "g", "score"])
+
+
 def embed(docs: DataFrame, key: str, text: str, model: Callable[[list[str]], np.ndarray]) -> DataFrame:
     """(key, vector): texts through a user's model in batches, normalised to length 1."""
 

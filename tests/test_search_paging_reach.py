@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,49 @@ def test_what_nearest_shuffles_does_not_grow_with_vectors(spark):
     assert search.nearest(df, df.where("id < 3"), "id", "v", "id").count() == 15
 
 
+def test_every_vector_is_a_query_of_t5_nearest(spark, sf):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    got = plans.QUERIES["t5_nearest"](spark, sf).groupBy("query").count().collect()
+    assert {r.query for r in got} == {r.vec_id for r in v.collect()} and {r["count"] for r in got} == {5}
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
+    assert con.execute(f"select count(distinct query) from ({plans.SQL['t5_nearest']})").fetchone() == (v.count(),)
+
+
+@pytest.mark.parametrize("group", ["g", "id"])
+def test_nearest_in_cells_takes_all_rows_as_queries(spark, group):
+    """Repeated ids, rows and vectors, null groups beside long ids, other lengths, NaN, null vectors, ties."""
+    rng = np.random.default_rng(8)
+    far = 2**60
+    rows = [(far + i // 2 if i < 20 else far + i, far + int(i % 23) if i % 9 else None, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 6)).round(1))]
+    rows += [(7, 1, [0.5] * 6)] * 40 + [(8, 2, [0.5] * 6), (None, 3, [0.1] * 6), (None, None, [0.2] * 6), (9, 1, [1.0, 2.0]), (10, 4, [2.0, 2.0]), (11, 1, [3.0]), (12, 5, []), (13, 1, None), (14, 1, [1.0, None])]
+    rows += [(15, 6, [float("nan")] * 3), (16, 6, [1.0, 2.0, 3.0]), (17, 7, [3.0, 2.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, g long, v array<double>").repartition(5).cache()
+    best = {}
+    for q, _, a in rows:
+        for i, g, b in rows:
+            if a is not None and b is not None and len(a) == len(b) and None not in a and None not in b:
+                held, s = best.setdefault(q, {}), float(np.dot(a, b))
+                at = g if group == "g" else i
+                held[at] = max(held.get(at, -np.inf), np.inf if np.isnan(s) else round(s, 6))  # NaN is the largest
+    want = []
+    for q, held in best.items():
+        ranked = sorted(held.items(), key=lambda e: (-e[1], e[0] is not None, e[0] or 0))[:3]
+        want += [(q, g, s, r + 1) for r, (g, s) in enumerate(ranked)]
+    got = search.nearest(df, df, "id", "v", group, 3, block=10).collect()
+    got = [(r.query, r[group], np.inf if np.isnan(r.score) else r.score, r["rank"]) for r in got]
+    near = lambda x: sorted(((q, g, round(s, 5) + 0.0, r) for q, g, s, r in x), key=str)
+    assert near(got) == near(want)
+
+
+def test_a_cell_keeps_what_it_keeps_at_once():
+    rng = np.random.default_rng(9)
+    asked = pa.table({"query": pa.array(range(50)), "q": pa.array(rng.normal(size=(50, 4)).tolist())})
+    rows = pa.table({"g": pa.array((np.arange(400) % 31).tolist()), "v": pa.array(rng.normal(size=(400, 4)).tolist())})
+    whole, parts = (search._cell(asked, rows, 4, n) for n in (1 << 22, 1500))  # 3 queries at once
+    assert whole.num_rows == 200 and whole.sort_by([("query", "ascending"), ("g", "ascending")]).drop(["score"]) == parts.sort_by([("query", "ascending"), ("g", "ascending")]).drop(["score"])
+
+
 # ---- L1, G14 -----------------------------------------------------------------------------------------------------
 
 
