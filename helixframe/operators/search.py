@@ -132,13 +132,13 @@ class _Best:
         """groups: codes of groups, scores: of vectors of these groups, for one query."""
         if at in self.held:
             groups, scores = np.concatenate((self.held[at][0], groups)), np.concatenate((self.held[at][1], scores))
-        order = np.lexsort((-scores, groups))
+        order = np.lexsort((-scores, ~np.isnan(scores), groups))  # NaN is the largest, as in SQL
         groups, scores = groups[order], scores[order]
         first = np.concatenate(([True], groups[1:] != groups[:-1]))  # a group's best vector
         groups, scores = groups[first], scores[first]
         if len(groups) > self.k:
             least = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
-            keep = scores >= least - 2e-6  # scores are told to six digits: what may tie stays
+            keep = np.isnan(scores) | (scores >= least - 2e-6)  # scores are told to six digits: what may tie stays
             groups, scores = groups[keep], scores[keep]
         self.held[at] = groups, scores
 
@@ -201,8 +201,9 @@ def _by_broadcast(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
         for (n, j), (groups, scores) in top.held.items():
             yield pd.DataFrame({"query": shared.value[n][0][j], "g": pd.Series([names_of[c] for c in groups.tolist()], dtype=object), "score": scores})
 
-    scored = rows.withColumn("v", F.col("v").cast("array<double>")).mapInPandas(best, f"query string, g {kinds['g']}, score double")
-    return scored.withColumn("query", F.col("query").cast(kinds["query"]))
+    kind = "string" if kinds["g"] == "bigint" else kinds["g"]  # pandas has long integers beside nulls as floats, and NaN as null
+    scored = rows.select(F.col("g").cast(kind), F.col("v").cast("array<double>")).mapInPandas(best, f"query string, g {kind}, score double")
+    return scored.select(F.col("query").cast(kinds["query"]), F.col("g").cast(kinds["g"]), F.coalesce("score", F.lit(float("nan"))).alias("score"))
 
 
 def _in_cells(rows: DataFrame, asked: DataFrame, k: int, n_queries: int, block: int) -> DataFrame:

@@ -85,9 +85,10 @@ def test_every_vector_is_a_query_of_t5_nearest(spark, sf):
     assert con.execute(f"select count(distinct query) from ({plans.SQL['t5_nearest']})").fetchone() == (v.count(),)
 
 
+@pytest.mark.parametrize("block", [10, 4096])
 @pytest.mark.parametrize("group", ["g", "id"])
-def test_nearest_in_cells_takes_all_rows_as_queries(spark, group):
-    """Repeated ids, rows and vectors, null groups beside long ids, other lengths, NaN, null vectors, ties."""
+def test_nearest_takes_all_rows_as_queries(spark, group, block):
+    """In cells and by broadcast: repeated ids, rows and vectors, null groups beside long ids, other lengths, NaN, null vectors, ties."""
     rng = np.random.default_rng(8)
     far = 2**60
     rows = [(far + i // 2 if i < 20 else far + i, far + int(i % 23) if i % 9 else None, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 6)).round(1))]
@@ -105,7 +106,7 @@ def test_nearest_in_cells_takes_all_rows_as_queries(spark, group):
     for q, held in best.items():
         ranked = sorted(held.items(), key=lambda e: (-e[1], e[0] is not None, e[0] or 0))[:3]
         want += [(q, g, s, r + 1) for r, (g, s) in enumerate(ranked)]
-    got = search.nearest(df, df, "id", "v", group, 3, block=10).collect()
+    got = search.nearest(df, df, "id", "v", group, 3, block=block).collect()
     got = [(r.query, r[group], np.inf if np.isnan(r.score) else r.score, r["rank"]) for r in got]
     near = lambda x: sorted(((q, g, round(s, 5) + 0.0, r) for q, g, s, r in x), key=str)
     assert near(got) == near(want)
