@@ -11,6 +11,7 @@ from helixframe.operators import intervals
 SF = "/root/testdata/sf0.001"
 NAMES = [
     "f22_coding_variants",
+    "x15_lof_scores",
 ]
 
 
@@ -42,3 +43,19 @@ def test_no_pairs_are_made(spark, duck, name, monkeypatch):
     monkeypatch.setattr(intervals, "candidates", pairs)
     ours, theirs = rows_of(spark, duck, name)
     assert ours == theirs
+
+
+def test_scores_of_odd_factors(spark):
+    """Zeros, factors below zero, missing and unusual ones, several rows of a gene: as the product of the factors has them."""
+    from pyspark.sql import functions as F
+
+    from helixframe.operators import scores
+
+    loc = "start_outer long, start_inner long, end_inner long, end_outer long, is_range boolean"
+    genes = {"a": [0.3], "b": [1.0], "c": [1.5], "d": [None], "e": [float("nan")], "f": [float("inf")], "g": [0.999999] * 3, "h": [0.0], "i": [1.5, 0.2], "j": [1e-7]}
+    lof = spark.createDataFrame([(g, x) for g, xs in genes.items() for x in xs], "gene string, lower95 double")
+    f = spark.createDataFrame([(g, "Gene", "s", 1_000 * i, 1_000 * i, 1_000 * i + 10, 1_000 * i + 10, False) for i, g in enumerate(genes)], f"feature string, ftype string, seq_ref string, {loc}")
+    v = spark.createDataFrame([(f"{i}-{j}", "s", x := 1_000 * i - 5, x, y := 1_000 * j + 20, y, False) for i in range(10) for j in range(i, 10)], f"variant string, seq_ref string, {loc}")
+    pairs = scores.lof_scores(intervals.overlaps(v, f, one_location=True), lof)
+    told = lambda df: {r[0]: cell(r[1]) for r in df.select("variant", F.round("score", 6)).collect()}
+    assert told(scores.lof_scores_of(v, f, lof)) == told(pairs)
