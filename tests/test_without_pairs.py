@@ -16,6 +16,7 @@ NAMES = [
     "x20_residual_categories",
     "a3_gene_count_criteria",
     "nf6_gene_count_min",
+    "x21_simple_mix",
     "f7_filter_conjunction",
     "nf5_partial_overlap",
     "nf4_complete_overlap",
