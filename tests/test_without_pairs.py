@@ -17,6 +17,7 @@ NAMES = [
     "a3_gene_count_criteria",
     "nf6_gene_count_min",
     "x21_simple_mix",
+    "x22_gold_standard",
     "f7_filter_conjunction",
     "nf5_partial_overlap",
     "nf4_complete_overlap",
