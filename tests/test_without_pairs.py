@@ -18,6 +18,7 @@ NAMES = [
     "nf6_gene_count_min",
     "x21_simple_mix",
     "x22_gold_standard",
+    "x21_case_mix",
     "f7_filter_conjunction",
     "nf5_partial_overlap",
     "nf4_complete_overlap",
