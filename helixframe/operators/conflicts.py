@@ -30,6 +30,64 @@ def shared_counts(groups: DataFrame, on: list[str] | None = None) -> DataFrame:
     return flat.join(other, ["gene", *on]).groupBy("group", "other").agg(F.first("n").alias("n"), F.first("n_other").alias("n_other"), F.count("*").alias("shared"))
 
 
+def distinct_sets(sets: DataFrame, key: str = "assertion", gene: str = "gene") -> DataFrame:
+    """(group, n, genes): the distinct gene sets, numbered and written."""
+    one = sets.groupBy(key).agg(F.sort_array(F.collect_set(gene)).alias("genes"))
+    return ranges.written(one.groupBy("genes").agg(F.lit(1)).select(F.monotonically_increasing_id().alias("group"), F.size("genes").alias("n"), "genes"), "sets")
+
+
+def _gene_pairs(groups: DataFrame, *columns: str) -> DataFrame:
+    """A row per two genes of a set, as a hash of both; genes are in order, so equal pairs have equal hashes."""
+    first = groups.select(*columns, "genes", F.posexplode("genes").alias("_i", "_a"))
+    both = first.select(*columns, "_a", F.explode(F.slice("genes", F.col("_i") + 2, F.greatest(F.size("genes") - F.col("_i") - 1, F.lit(0)))).alias("_b"))
+    return both.select(*columns, F.xxhash64("_a", "_b").alias("pair"))
+
+
+def shared_size_counts(groups: DataFrame, most_genes: int = 32) -> DataFrame:
+    """(n, n_other, shared, n_pairs): how many ordered pairs of sets, each with itself too, share so many genes, by their sizes.
+
+    groups: as distinct_sets() has them. Only pairs that share two genes or more are made, from pairs of genes that several
+    sets hold; what two sets share adds up over genes to products of counts, so those that share one gene are what is left
+    of these. Sets of more than most_genes genes have too many pairs of genes and are joined by single genes.
+    """
+    sizes = groups.groupBy("n").agg(F.count("*").alias("c")).where("n > 0")
+    small, large = groups.where(F.col("n") <= most_genes), groups.where(F.col("n") > most_genes)
+    held = small.select("n", F.explode("genes").alias("gene")).groupBy("gene", "n").agg(F.count("*").alias("c"))
+    by_gene = held.groupBy("gene").agg(F.collect_list(F.struct("n", "c")).alias("x")).withColumn("a", F.explode("x")).withColumn("b", F.explode("x"))
+    total = by_gene.groupBy(F.col("a.n").alias("n"), F.col("b.n").alias("n_other")).agg(F.sum(F.col("a.c") * F.col("b.c")).alias("total"))
+    several = ranges.written(_gene_pairs(small).groupBy("pair").agg(F.count("*").alias("c")).where("c > 1").select("pair"), "pairs")
+    some = ranges.written(_gene_pairs(small, "group").join(several, "pair"), "holders")
+    met = some.join(some.select("pair", F.col("group").alias("other")), "pair").where("group < other").select("group", "other").distinct()
+    told = small.select("group", "n", "genes").join(some.select("group").distinct(), "group", "left_semi")
+    met = met.join(told, "group").join(told.select(F.col("group").alias("other"), F.col("n").alias("n_other"), F.col("genes").alias("others")), "other")
+    met = met.select("n", "n_other", F.size(F.array_intersect("genes", "others")).cast("long").alias("shared")).where("shared > 1")
+    both = lambda df, n: df.unionByName(df.select(F.col("n_other").alias("n"), F.col("n").alias("n_other"), "shared", n))
+    itself = sizes.where(F.col("n").between(2, most_genes)).select("n", F.col("n").alias("n_other"), F.col("n").cast("long").alias("shared"), F.col("c").alias("n_pairs"))
+    more = both(met.groupBy("n", "n_other", "shared").agg(F.count("*").alias("n_pairs")), "n_pairs").unionByName(itself)
+    more = ranges.written(more.groupBy("n", "n_other", "shared").agg(F.sum("n_pairs").alias("n_pairs")), "shared")
+    rest = more.groupBy("n", "n_other").agg(F.sum(F.col("shared") * F.col("n_pairs")).alias("more"))
+    ones = total.join(rest, ["n", "n_other"], "left").select("n", "n_other", F.lit(1).cast("long").alias("shared"), (F.col("total") - F.coalesce("more", F.lit(0))).alias("n_pairs")).where("n_pairs > 0")
+    out = ones.unionByName(more)
+    if not large.isEmpty():
+        flat = groups.select("group", "n", F.explode("genes").alias("gene"))
+        other = flat.select(F.col("group").alias("other"), F.col("n").alias("n_other"), "gene")
+        wide = flat.where(F.col("n") > most_genes).join(other, "gene").groupBy("group", "other").agg(F.first("n").alias("n"), F.first("n_other").alias("n_other"), F.count("*").alias("shared"))
+        wide = wide.groupBy("n", "n_other", "shared").agg(F.count("*").alias("n_pairs"))
+        mixed = wide.where(F.col("n_other") <= most_genes).select(F.col("n_other").alias("n"), F.col("n").alias("n_other"), "shared", "n_pairs")
+        out = out.unionByName(wide).unionByName(mixed)
+    return out
+
+
+def jaccard_counts(groups: DataFrame, least: float) -> DataFrame:
+    """(n_small, n_large, shared, n_pairs): how many pairs of different sets jaccard_sets() has, by their sizes and what they share."""
+    counts = shared_size_counts(groups).where("n <= n_other")
+    itself = groups.groupBy("n").agg(F.count("*").alias("own")).select("n", F.col("n").alias("n_other"), F.col("n").cast("long").alias("shared"), "own")
+    counts = counts.join(itself, ["n", "n_other", "shared"], "left")
+    pairs = F.when(F.col("n") == F.col("n_other"), F.expr("(n_pairs - coalesce(own, 0)) div 2")).otherwise(F.col("n_pairs"))
+    near = F.col("shared") * (1 + least) >= (F.col("n") + F.col("n_other")) * least - 1e-9
+    return counts.where(near).select(F.col("n").alias("n_small"), F.col("n_other").alias("n_large"), "shared", pairs.alias("n_pairs")).where("n_pairs > 0")
+
+
 def _prefixes(groups: DataFrame, often: DataFrame, length: Column, on: list[str]) -> DataFrame:
     """(group, n, genes, *on, gene, place): the `length` rarest genes of each set, with their places in the order from rare to frequent."""
     flat = groups.select("group", "n", "genes", *on, F.explode("genes").alias("gene")).join(often, ["gene", *on], "left")
