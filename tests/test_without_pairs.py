@@ -73,6 +73,19 @@ def test_scores_of_odd_factors(spark):
     assert told(scores.lof_scores_of(v, f, lof)) == told(pairs)
 
 
+@pytest.mark.parametrize("name", ["j10_jaccard_sets", "j10_shared_gene_sets"])
+def test_no_pairs_of_gene_sets_by_single_genes(spark, duck, name, monkeypatch):
+    from helixframe.operators import conflicts
+
+    def pairs(*_, **__):
+        raise AssertionError("pairs are made")
+
+    monkeypatch.setattr(conflicts, "similar_sets", pairs)
+    monkeypatch.setattr(conflicts, "shared_counts", pairs)
+    ours, theirs = rows_of(spark, duck, name)
+    assert ours == theirs
+
+
 @pytest.mark.parametrize("name, table", [("x24_annotated_conflicts", "annotations")])
 def test_only_asked_variants_are_joined(spark, duck, name, table, monkeypatch):
     join, seen = intervals.interval_join, []
