@@ -165,18 +165,27 @@ def supersede(current: KeyedTable, history: KeyedTable, order: tuple[str, ...] =
     return fn
 
 
-def enrich_regions(features: DataFrame, regions: KeyedTable, overlaps: KeyedTable, rejects: KeyedTable) -> Callable[[DataFrame, int], None]:
+def reject_regions(rejects: KeyedTable) -> Callable[[DataFrame, int], None]:
+    """Region events that aren't valid go to the rejects, which have an order (ST7)."""
+    _ordered(rejects)
+
+    def fn(batch: DataFrame, batch_id: int) -> None:
+        rejects.merge(upserts=batch.where(~filters.dosage_record_ok()), batch=batch_id)
+
+    return fn
+
+
+def enrich_regions(features: DataFrame, regions: KeyedTable, overlaps: KeyedTable, rejects: KeyedTable, one_location: bool = False) -> Callable[[DataFrame, int], None]:
     """Region events: valid ones are stored with their protein-coding overlaps, others go to the rejects (ST6, ST7).
 
     regions and rejects have an order, so a late event replaces nothing. Overlaps follow the stored regions: they are
-    found anew for those keys whose stored row is of this batch.
+    found anew for those keys whose stored row is of this batch. one_location: that of intervals.overlaps(), of the features.
     """
     _ordered(regions)
-    _ordered(rejects)
+    reject = reject_regions(rejects)
 
     def fn(batch: DataFrame, batch_id: int) -> None:
-        ok = filters.dosage_record_ok()
-        good = batch.where(ok)
+        good = batch.where(filters.dosage_record_ok())
         names = regions.spark.createDataFrame([], regions.schema).columns
         regions.merge(upserts=good.select(*names), batch=batch_id)
         own = good.select(F.col(regions.key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in regions.order]).distinct()
@@ -184,9 +193,9 @@ def enrich_regions(features: DataFrame, regions: KeyedTable, overlaps: KeyedTabl
         for c in regions.order:
             same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
         stands = regions.read().join(own, same, "left_semi")
-        found = intervals.coding_overlaps(stands.withColumnRenamed(regions.key, "variant"), features).withColumnRenamed("variant", regions.key)
+        found = intervals.coding_overlaps(stands.withColumnRenamed(regions.key, "variant"), features, one_location=one_location).withColumnRenamed("variant", regions.key)
         overlaps.merge(upserts=found, deletes=stands.select(regions.key), batch=batch_id)
-        rejects.merge(upserts=batch.where(~ok), batch=batch_id)
+        reject(batch, batch_id)
 
     return fn
 

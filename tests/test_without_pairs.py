@@ -21,6 +21,7 @@ NAMES = [
     "x21_case_mix",
     "j9_candidates",
     "x1_overlap_kinds",
+    "st7_rejected_regions",
     "f7_filter_conjunction",
     "nf5_partial_overlap",
     "nf4_complete_overlap",
