@@ -101,3 +101,15 @@ def test_only_asked_variants_are_joined(spark, duck, name, table, monkeypatch):
     from helixframe.plans.registry import Source
 
     assert seen == [getattr(Source(spark, SF), table).count()]
+
+
+def test_pairs_of_regions_with_one_location_are_not_shuffled_for_their_best_kind(spark, monkeypatch):
+    join, seen = intervals.overlaps, []
+
+    def watched(*args, **named):
+        seen.append(named.get("one_location"))
+        return join(*args, **named)
+
+    monkeypatch.setattr(intervals, "overlaps", watched)
+    plans.QUERIES["st6_enriched_regions"](spark, SF).count()
+    assert seen == [True]
