@@ -55,10 +55,24 @@ def ask(df: DataFrame) -> DataFrame:
     return df.limit(1).agg((F.count("*") > 0).alias("answer"))
 
 
+#: Rows of a key whose pairs are dealt over several tasks.
+_MANY = 4096
+
+
 def theta_self_join(df: DataFrame, on: list[str], differ: list[str]) -> DataFrame:
-    """Pairs of rows equal in `on` and different in every column of `differ`; the other row's columns get the suffix _2."""
-    other = df.select(*[F.col(c) if c in on else F.col(c).alias(f"{c}_2") for c in df.columns])
-    return df.join(other, on).where(reduce(lambda a, b: a & b, [F.col(c) != F.col(f"{c}_2") for c in differ]))
+    """Pairs of rows equal in `on` and different in every column of `differ`; the other row's columns get the suffix _2.
+
+    The pairs of a key with very many rows are dealt over tasks: its rows are cut into parts, and each part meets all.
+    """
+    parts = df.groupBy(*on).count().where(F.col("count") > _MANY).select(*on, F.least(F.ceil(F.col("count") / (_MANY / 4)), F.lit(256)).cast("int").alias("_parts"))
+    last = F.coalesce("_parts", F.lit(1)) - 1
+    dealt = df.join(parts, on, "left")
+    own = dealt.withColumn("_part", F.pmod(F.xxhash64(*differ), last + 1).cast("int")).drop("_parts")
+    # few rows make many pairs: a number of partitions that isn't lowered by their size
+    own = own.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *on, "_part")
+    other = dealt.withColumn("_part", F.explode(F.sequence(F.lit(0), last)))
+    other = other.select("_part", *[F.col(c) if c in on else F.col(c).alias(f"{c}_2") for c in df.columns])
+    return own.join(other, [*on, "_part"]).where(reduce(lambda a, b: a & b, [F.col(c) != F.col(f"{c}_2") for c in differ])).drop("_part")
 
 
 def hybrid(objects: DataFrame, triples: DataFrame, key: str, attributes: dict[str, str]) -> DataFrame:
