@@ -113,3 +113,12 @@ def test_pairs_of_regions_with_one_location_are_not_shuffled_for_their_best_kind
     monkeypatch.setattr(intervals, "overlaps", watched)
     plans.QUERIES["st6_enriched_regions"](spark, SF).count()
     assert seen == [True]
+
+
+@pytest.mark.parametrize("name", ["g20_feature_variants"])
+def test_pairs_meet_no_further_join(spark, name):
+    """The topmost join is that of the locations."""
+    df = plans.QUERIES[name](spark, SF)
+    lines = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    first = next(i for i, x in enumerate(lines) if "Join" in x)
+    assert "start_outer" in lines[first] and "bin" in lines[first]
