@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import ranges
+from . import intervals, ranges
 
 
 def gene_groups(sets: DataFrame, key: str = "assertion", gene: str = "gene", by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -228,10 +228,26 @@ def dosage_conflicts(assertions: DataFrame, variants: DataFrame, overlaps: DataF
     sufficient = mechanism.where((F.col("mechanism") == mechanism_name) & (F.col("strength") == "DosageSufficientEvidence")).select("feature", "mech")
     hit = overlaps.where("kind = 'CompleteOverlap'").join(sufficient, "feature")
     some = assertions.join(variants.where(F.col("copy_change") == copy_change).select("variant"), "variant", "left_semi")
+    some = conflicting_assertions(some, annotations)
+    return some.join(hit, "variant").groupBy("assertion").agg(F.sort_array(F.collect_set("mech")).alias("mechanisms"))
+
+
+def conflicting_assertions(assertions: DataFrame, annotations: DataFrame) -> DataFrame:
+    """Assertions that may conflict with a dosage map: the exclusions of dosage_conflicts(), a missing attribute passes."""
+    some = assertions
     for bad in ("review_status = 'Flagged'", "direction = 'Supports'", "classification = 'OtherClassification'"):
         some = some.join(assertions.where(bad).select("assertion"), "assertion", "left_anti")
-    some = some.join(annotations.select(F.col("subject").alias("assertion")), "assertion", "left_anti")
-    return some.join(hit, "variant").groupBy("assertion").agg(F.sort_array(F.collect_set("mech")).alias("mechanisms"))
+    return some.join(annotations.select(F.col("subject").alias("assertion")), "assertion", "left_anti")
+
+
+def dosage_conflicts_of(assertions: DataFrame, variants: DataFrame, features: DataFrame, mechanism: DataFrame, annotations: DataFrame, copy_change: str = "loss", mechanism_name: str = "Haploinsufficiency") -> DataFrame:
+    """dosage_conflicts() of variants and features with one location each: only variants of assertions that may conflict meet
+    only features with sufficient evidence, and their pairs are shuffled once, by assertion."""
+    sufficient = mechanism.where((F.col("mechanism") == mechanism_name) & (F.col("strength") == "DosageSufficientEvidence")).select("feature", "mech")
+    about = conflicting_assertions(assertions, annotations).select("variant", "assertion")
+    stated = variants.where(F.col("copy_change") == copy_change).join(about, "variant")
+    found = intervals.overlaps(stated, features.join(sufficient, "feature"), key="assertion", fkey="mech", one_location=True)
+    return found.where("kind = 'CompleteOverlap'").groupBy("assertion").agg(F.sort_array(F.collect_set("mech")).alias("mechanisms"))
 
 
 def related_assertions(assertions: DataFrame, sets: DataFrame) -> DataFrame:
