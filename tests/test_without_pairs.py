@@ -115,7 +115,7 @@ def test_pairs_of_regions_with_one_location_are_not_shuffled_for_their_best_kind
     assert seen == [True]
 
 
-@pytest.mark.parametrize("name", ["g20_feature_variants", "x7_dosage_conflicts"])
+@pytest.mark.parametrize("name", ["g20_feature_variants", "x7_dosage_conflicts", "x8_region_conflicts"])
 def test_pairs_meet_no_further_join(spark, name):
     """The topmost join is that of the locations."""
     df = plans.QUERIES[name](spark, SF)
